@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryline.llm import bpe, lookalike, percentiles, split, terms
+from quarryline.llm import bpe, leakage, lookalike, percentiles, split, terms
 from quarryline.plans.registry import Registry
 from quarryline.session import table
 
@@ -102,6 +102,21 @@ def p7_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.decode_corpus(bpe.encode_corpus(table(spark, sf_dir, "documents")))
 
 
+def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+@_R.add("p8_found")
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _leaks(spark, sf_dir)
+
+
+@_R.add("p8_leaked_items")
+def p8_leaked_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many documents hold each item that leaked."""
+    return _leaks(spark, sf_dir).groupBy("item_id").agg(F.count("*").alias("n_documents"))
+
+
 @_R.add("p9_found")
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.lookalike_pairs(table(spark, sf_dir, "documents"))
