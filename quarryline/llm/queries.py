@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryline.llm import bpe, leakage, lookalike, percentiles, split, terms
+from quarryline.llm import bpe, leakage, lookalike, percentiles, split, terms, truncation
 from quarryline.plans.registry import Registry
 from quarryline.session import table
 
@@ -91,6 +91,17 @@ def p5_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return percentiles.percentiles(daily, "model", "day").select("model", "day", "measure", "n")
 
 
+@_R.add("p6_found")
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.cut_elements(truncation.scored(table(spark, sf_dir, "log_analysis")))
+
+
+@_R.add("p6_share")
+def p6_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each analyzer's elements are cut, per field."""
+    return truncation.cut_share(truncation.scored(table(spark, sf_dir, "log_analysis")))
+
+
 @_R.add("p7_ids")
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_corpus(table(spark, sf_dir, "documents"))
