@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 from types import ModuleType
 
-NAMES = ("records",)
+NAMES = ("records", "filters")
 
 
 def modules() -> list[ModuleType]:
