@@ -40,7 +40,7 @@ BOUNDARY = (".", "!", "?", ";", "。", "！", "？")
 
 #: Log-odds. A text off the limit is cut about three times in a hundred.
 PRIOR = math.log(0.03 / 0.97)
-LIMIT_PRIOR_MOST = 2.5
+LIMIT_PRIOR_MOST = 2.0
 SIGNED, CLOSED_TEXT, RECURRING, OPEN_TEXT, FRAGMENT, WHOLE_WORD, ODD_QUOTES, BARE_PATH = 9.0, -5.0, -4.0, 5.0, 6.0, -1.8, 2.0, 8.0
 STYLE_SHARE = 0.5
 RECUR_TIMES, RECUR_SHARE, FRAGMENT_TIMES = 2, 0.3, 10
@@ -51,6 +51,8 @@ SEEN_ENDING = 0.15
 NOTE_TIMES, NOTE_SHARE = 3, 0.8
 #: Cases that the order below weighs as.
 SHRINK = 4.0
+#: Two tokens seen this rarely are not where a random cut would fall; their ending is more likely meant.
+RARE_CASES, RARE_HAZARD = 12, 0.15
 
 
 def elements(analyses: DataFrame) -> DataFrame:
@@ -184,7 +186,7 @@ def _ending_features(texts: DataFrame) -> DataFrame:
         .withColumn("h1", (F.col("ended1") + SHRINK * BASE_HAZARD) / (F.col("cases1") + SHRINK))
         .withColumn("h2", (F.col("ended2") + SHRINK * F.col("h1")) / (F.col("cases2") + SHRINK))
         .withColumn("h3", (F.col("ended3") + SHRINK * F.col("h2")) / (F.col("cases3") + SHRINK))
-        .withColumn("hazard", F.coalesce("h3", "h2", "h1"))
+        .withColumn("hazard", F.when(F.col("cases2") <= RARE_CASES, (F.col("ended2") + SHRINK * RARE_HAZARD) / (F.col("cases2") + SHRINK)).otherwise(F.coalesce("h3", "h2", "h1")))
         .withColumn("fragment", F.col("fragment") & (F.coalesce(F.greatest("h2", "h3"), F.lit(0.0)) < SEEN_ENDING))
         .select(*key, "recurs", "fragment", "unseen", "hazard")
     )
