@@ -10,8 +10,9 @@ shapes alone, so two texts get the same form exactly if they look the same.
 
 Texts of ASCII characters only are their own form and never reach Python.
 
-Pairs: documents are grouped by two 64-bit hashes of the form. Classes with a single text are dropped
-by a combinable aggregate before anything is paired; pairs are made between the distinct texts of a
+Pairs: documents are grouped by two 64-bit hashes of the form. The hashes (32 bytes a document) are
+checkpointed, so that every text is normalised once. Classes with a single text are dropped by a
+combinable aggregate before anything is paired; pairs are made between the distinct texts of a
 class and then given to their documents, so exact copies are never paired with each other.
 
 Defined cases: null, empty and invisible-only texts have a form (null, "", "") but no pair; case,
@@ -31,6 +32,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarryline.session import ensure_checkpoint_dir
+
 #: Letters of other scripts that look like a Latin letter.
 LOOKALIKES = {
     "Cyrillic": {"а": "a", "с": "c", "ԁ": "d", "е": "e", "һ": "h", "і": "i", "ј": "j", "ӏ": "l", "о": "o", "р": "p", "ԛ": "q", "ѕ": "s", "ѵ": "v", "ԝ": "w", "х": "x", "у": "y",
@@ -142,7 +145,8 @@ def lookalike_classes(members: DataFrame) -> DataFrame:
 def lookalike_pairs(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id_a < doc_id_b for documents whose texts differ but look the same."""
     key = ["form_a", "form_b"]
-    members = lookalike_classes(lookalike_members(docs, id_column, text_column)).distinct()
+    ensure_checkpoint_dir(docs.sparkSession)
+    members = lookalike_classes(lookalike_members(docs, id_column, text_column).checkpoint()).distinct()
     texts = members.select(*key, "text_hash").distinct()
     pairs = texts.withColumnRenamed("text_hash", "text_a").join(texts.withColumnRenamed("text_hash", "text_b"), key).filter("text_a < text_b")
     a = members.select(*key, F.col("doc_id").alias("a"), F.col("text_hash").alias("text_a"))
