@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,3 +30,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """``df`` written once as a table in the shared folder and read back: a cut lineage that survives lost executors.
+
+    For what several branches of a plan read. Columns that a branch does not use are not read again.
+    """
+    folder = f"{ensure_checkpoint_dir(df.sparkSession)}/quarryline-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.parquet(folder)
