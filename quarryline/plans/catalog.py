@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 from types import ModuleType
 
-NAMES = ("records", "filters", "joins", "aggregates", "windows")
+NAMES = ("records", "filters", "joins", "aggregates", "windows", "metrics")
 
 
 def modules() -> list[ModuleType]:
