@@ -29,6 +29,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarryline.session import materialize
+
 #: What a cutting program writes at the end.
 SIGN = r"(?:\.\.\.|…|<\.\.\.>|\[\.\.\.\]|[\[(<](?i:truncated|cut|snip|more)[\])>]|\(\+\d+ (?i:chars|characters|bytes)\)|\x{FFFD})\s*\z"
 CLOSED = r"[.!?。！？]+[\"'”’»)\]`]*\s*\z"
@@ -163,10 +165,14 @@ def _ending_features(texts: DataFrame) -> DataFrame:
     last = F.substring_index("gram", " ", -1)
     size = F.length(last)
     begun = F.transform(F.sequence(F.lit(1), size - 1), lambda k: F.left("gram", F.length("gram") - size + k))
-    longer = counts.filter(last.rlike(rf"^{LETTERS}$") & (size > 1)).select("kind", "n", F.explode(begun).alias("gram"), (F.col("goes_on") + F.col("bounds") + F.col("ends_closing") + F.col("ends_open")).alias("c"))
-    longer = longer.join(wanted, gram, "left_semi").groupBy(*gram).agg(F.sum("c").alias("longer"))
-    # What begins longer words is known of whole grams only, so it joins the counts before the elements do.
-    known = counts.join(wanted, gram, "left_semi").join(longer, gram, "left").fillna(0, ["longer"])
+    # One pass over the counts gives each wanted gram its own counts and those of the grams it begins.
+    kinds = ("goes_on", "bounds", "ends_closing", "ends_open")
+    begins = last.rlike(rf"^{LETTERS}$") & (size > 1)
+    itself = F.struct(F.col("gram"), *kinds, F.lit(0).cast("bigint").alias("longer"))
+    nothing = [F.lit(0).cast("bigint").alias(k) for k in kinds]
+    longer = F.transform(begun, lambda g: F.struct(g.alias("gram"), *nothing, sum(map(F.col, kinds), F.lit(0)).cast("bigint").alias("longer")))
+    spread = counts.select("kind", "n", F.explode(F.concat(F.array(itself), F.when(begins, longer).otherwise(F.array()))).alias("x")).select("kind", "n", "x.*")
+    known = spread.join(wanted, gram, "left_semi").groupBy(*gram).agg(*[F.sum(k).alias(k) for k in (*kinds, "longer")])
     own = F.when(F.col("style") == "open", F.col("ends_open")).otherwise(F.col("ends_closing")) - 1
     every = F.col("ends_open") + F.col("ends_closing") - 1
     on = F.col("goes_on") + F.col("bounds")
@@ -208,6 +214,7 @@ def scored(analyses: DataFrame) -> DataFrame:
         text.rlike(rf"(?:\A|[^\p{{L}}\p{{M}}\p{{N}}]){LETTERS}\s*\z").alias("ends_in_letters"), text.rlike(r"/[\p{L}\p{M}\p{N}_-]+\.\s*\z").alias("bare_path"),
         _tokens(text, kind).alias("t"), F.transform(F.regexp_extract_all(text, F.lit(LETTERS), F.lit(0)), F.lower).alias("p"),
     )
+    texts = materialize(texts)  # five branches read it
     limits = length_limits(texts)
     same_source = F.col("e.analyzer").eqNullSafe(F.col("l.analyzer")) & (F.col("e.part") == F.col("l.part"))
     styled = texts.alias("e").join(limits.alias("l"), same_source, "left").select("e.*", "len_limit", "censoring", (F.coalesce("closes", F.lit(0.0)) >= STYLE_SHARE).alias("closes"))
