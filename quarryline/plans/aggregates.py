@@ -78,7 +78,7 @@ def a08(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_R.add(
     "a09_month_rollup",
     """WITH x AS (SELECT DISTINCT analysis_id, strftime(created_at, '%Y-%m') AS month, trim(e.category) AS label FROM (SELECT analysis_id, created_at, unnest(error_types) AS e FROM log_analysis) WHERE trim(e.category) <> ''),
-t AS (SELECT month, label, count(*) AS n, row_number() OVER (PARTITION BY month ORDER BY count(*) DESC, label) AS rk FROM x WHERE month IS NOT NULL GROUP BY 1, 2) SELECT month, label, n, rk FROM t WHERE rk <= 3""",
+t AS (SELECT month, label, count(*) AS n, row_number() OVER (PARTITION BY month ORDER BY count(*) DESC, label) AS rk FROM x WHERE month IS NOT NULL GROUP BY 1, 2) SELECT month, label, n, CAST(rk AS INTEGER) AS rk FROM t WHERE rk <= 3""",
 )
 def a09(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarryline.operators.windows import top_k
@@ -103,9 +103,11 @@ def a12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.rates(_labelled(spark, sf_dir), ["label"], F.col("ok")).agg(F.sum("total").alias("total"), F.sum("ok").alias("ok"), F.count("*").alias("n_labels"))
 
 
-@_R.add("a13_weak_labels", f"WITH {_L}, {_O} SELECT l.label, count(*) AS total, count(*) FILTER (o.ok) / count(*) AS rate FROM outc o JOIN lab l ON o.id = l.id GROUP BY 1 HAVING count(*) >= 5 AND count(*) FILTER (o.ok) / count(*) < 0.8")
+@_R.add("a13_weak_labels", f"WITH {_L}, {_O} SELECT l.label, count(*) AS total, count(*) FILTER (o.ok) / count(*) AS rate FROM outc o JOIN lab l ON o.id = l.id GROUP BY 1 HAVING count(*) >= 5 AND count(*) FILTER (o.ok) / count(*) < (SELECT count(*) FILTER (ok) / count(*) FROM outc)")
 def a13(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.rates(_labelled(spark, sf_dir), ["label"], F.col("ok")).filter("total >= 5 and rate < 0.8").select("label", "total", "rate")
+    """Labels of at least five instances that do worse than all instances together."""
+    overall = base.outcomes(spark, sf_dir).agg(F.count_if("ok") / F.count("*")).scalar()
+    return op.rates(_labelled(spark, sf_dir), ["label"], F.col("ok")).filter((F.col("total") >= 5) & (F.col("rate") < overall)).select("label", "total", "rate")
 
 
 @_R.add("a14_solvable_share", f"WITH {_L}, {_O}, p AS (SELECT l.label, bool_or(o.ok) AS any_ok FROM outc o JOIN lab l ON o.id = l.id GROUP BY 1) SELECT count(*) AS n_labels, count(*) FILTER (any_ok) AS solvable, count(*) FILTER (any_ok) / count(*) AS share FROM p")
@@ -121,9 +123,10 @@ def a15(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base.labels(spark, sf_dir).withColumn("category", cat).rollup("category", "label").agg(F.count("*").alias("n"))
 
 
-@_R.add("a16_unsolved", f"WITH {_L}, {_O} SELECT DISTINCT label FROM lab WHERE label NOT IN (SELECT l.label FROM outc o JOIN lab l ON o.id = l.id WHERE o.ok)")
+@_R.add("a16_unsolved", f"WITH {_L}, {_O} SELECT DISTINCT l.id, l.label FROM lab l WHERE l.id NOT IN (SELECT id FROM outc WHERE ok)")
 def a16(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return base.labels(spark, sf_dir).select("label").distinct().join(_labelled(spark, sf_dir).filter("ok").select("label"), "label", "left_anti")
+    """Labels of instances that no run has solved."""
+    return base.labels(spark, sf_dir).join(base.outcomes(spark, sf_dir).filter("ok").select("id"), "id", "left_anti").select("id", "label")
 
 
 @_R.add("a17_unique_jobs", f"WITH {_J}, f AS (SELECT *, row_number() OVER (PARTITION BY record_id, job_name ORDER BY commit_pos, job_pos) AS rn FROM job WHERE job_name IS NOT NULL) SELECT record_id, job_name, commit_pos, job_pos, CAST(coalesce(len(steps), 0) AS BIGINT) AS n_steps FROM f WHERE rn = 1")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 from types import ModuleType
 
-NAMES = ("records", "filters", "joins", "aggregates", "windows", "metrics")
+NAMES = ("records", "filters", "joins", "aggregates", "windows", "metrics", "labels", "text", "diffs", "streams")
 
 
 def modules() -> list[ModuleType]:

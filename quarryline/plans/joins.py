@@ -131,11 +131,12 @@ def change_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 _HITS_SQL = "hit AS (SELECT DISTINCT r.file AS path, r.line_number AS line FROM (SELECT unnest(relevant_files) AS r FROM log_analysis) WHERE r.file IS NOT NULL AND r.line_number IS NOT NULL)"
 
 
-@_R.add("j18_overlapping_spans", f"WITH {_SPANS_SQL} SELECT a.parsed_id AS id_a, b.parsed_id AS id_b, a.path FROM sp a JOIN sp b ON a.path = b.path AND a.parsed_id < b.parsed_id AND a.b_start <= b.b_end AND a.b_end >= b.b_start")
+@_R.add("j18_overlapping_spans", f"WITH {_SPANS_SQL}, sd AS (SELECT sp.*, p.diff_id FROM sp JOIN parsed_file p ON sp.parsed_id = p.parsed_id) SELECT a.parsed_id AS id_a, b.parsed_id AS id_b, a.diff_id FROM sd a JOIN sd b ON a.diff_id = b.diff_id AND a.parsed_id < b.parsed_id AND a.b_start <= b.b_end AND a.b_end >= b.b_start")
 def j18(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = change_spans(spark, sf_dir)
-    left = s.select("path", F.col("parsed_id").alias("id_a"), F.col("b_start").alias("a_start"), F.col("b_end").alias("a_end"))
-    return op.overlapping(left, s.withColumnRenamed("parsed_id", "id_b"), ["path"], 64).filter("id_a < id_b").select("id_a", "id_b", "path")
+    """Files of a diff whose changed line ranges overlap."""
+    s = change_spans(spark, sf_dir).join(table(spark, sf_dir, "parsed_file").select("parsed_id", "diff_id"), "parsed_id").drop("path")
+    left = s.select("diff_id", F.col("parsed_id").alias("id_a"), F.col("b_start").alias("a_start"), F.col("b_end").alias("a_end"))
+    return op.overlapping(left, s.withColumnRenamed("parsed_id", "id_b"), ["diff_id"], 64).filter("id_a < id_b").select("id_a", "id_b", "diff_id")
 
 
 @_R.add(
@@ -167,9 +168,10 @@ def u02(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sets.prefix_intersection(m.select(F.col("sha_fail").alias("sha")), [table(spark, sf_dir, "log_analysis").select(F.col("sha_fail").alias("sha")), m.select(F.col("sha_success").alias("sha"))], "sha", 7)
 
 
-@_R.add("u04_key_differences", "SELECT DISTINCT id, 'missing' AS side FROM all_instances_metadata WHERE id IS NOT NULL AND id NOT IN (SELECT id FROM failed_jobs_summary WHERE id IS NOT NULL) UNION ALL SELECT DISTINCT id, 'extra' FROM failed_jobs_summary WHERE id IS NOT NULL AND id NOT IN (SELECT id FROM all_instances_metadata WHERE id IS NOT NULL)")
+@_R.add("u04_key_differences", "WITH b AS (SELECT instance_id AS id FROM log_analysis UNION ALL SELECT 'x' || instance_id FROM diff_output) SELECT DISTINCT id, 'missing' AS side FROM all_instances_metadata WHERE id IS NOT NULL AND id NOT IN (SELECT id FROM b WHERE id IS NOT NULL) UNION ALL SELECT DISTINCT id, 'extra' FROM b WHERE id IS NOT NULL AND id NOT IN (SELECT id FROM all_instances_metadata WHERE id IS NOT NULL)")
 def u04(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sets.key_differences(table(spark, sf_dir, "all_instances_metadata"), table(spark, sf_dir, "failed_jobs_summary"), "id")
+    b = table(spark, sf_dir, "log_analysis").select(F.col("instance_id").alias("id")).union(table(spark, sf_dir, "diff_output").select(F.concat(F.lit("x"), "instance_id")))
+    return sets.key_differences(table(spark, sf_dir, "all_instances_metadata"), b, "id")
 
 
 @_R.add(
