@@ -80,7 +80,7 @@ def normal_predictions(rows: DataFrame, origin: str) -> DataFrame:
 def source_files(spark: SparkSession, path: str, glob: str = "*.py", most_bytes: int = 1_000_000) -> DataFrame:
     """path, content of text files of at most ``most_bytes``, found recursively."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path)
-    return files.filter(F.col("length") <= most_bytes).select("path", F.decode("content", F.lit("UTF-8")).alias("content"))
+    return files.filter(F.col("length") <= most_bytes).select("path", F.decode("content", "UTF-8").alias("content"))
 
 
 def fingerprints(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
