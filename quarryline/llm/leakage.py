@@ -10,14 +10,14 @@ block is sent to every task. Documents are read once per block, in Arrow batches
 3. SimHash. Around the seeds, windows of the document and of the item on the seeds' diagonals get
    weighted 128-bit fingerprints (words weighted by their rarity among items); pairs beyond the
    Hamming radius go.
-4. Verification. The best local alignment of the words must match at least ``MATCHED_WORDS`` blank-
+4. Verification. Local alignment scores of all items near a stretch are computed together; where the
+   score is enough, the best local alignment of the words must match at least ``MATCHED_WORDS`` blank-
    separated words of the item and ``SIMILARITY`` of the weight of the aligned item words.
 
 The method's multi-index over Hamming blocks gives way to the seeds of step 2 as the index. With a
-quarter of the words changed the radius has to be about a quarter of the bits; a guarantee for 31 of
-128 bits needs 32 blocks of 4 bits (each window then meets 87 % of all item windows in some block) or
-16 blocks of 8 bits of which one bit may differ (43 %), so the blocks would select next to nothing,
-while the seeds are as lossless and select 0.1 % (README has the figures).
+quarter of the words changed, windows are up to 50 of 128 bits apart (measured); a guarantee for that
+needs 51 blocks of two or three bits, in one of which every window meets every item, so the blocks
+would select nothing, while the seeds are as lossless and select 0.1 % (README has the figures).
 
 Defined cases: null, empty and blank texts match nothing; an item of fewer than ``WINDOW`` words
 must be there whole as one window; equal items each get their rows; repeated documents with
@@ -44,9 +44,12 @@ SEED = 3
 LEAST_SEEDS = 3
 SEED_REACH = 25
 BITS = 128
-RADIUS = 31
+RADIUS = 50
+DRIFT = 8
+STRETCH = 1000
+LEAST_SCORE = 8
 MATCHED_WORDS = 13
-SIMILARITY = 0.75
+SIMILARITY = 0.7
 BLOCK_WORDS = 1_000_000
 
 _WORD = re.compile(r"[^\W_]+")
@@ -96,7 +99,9 @@ class ItemIndex:
         self.foreign = float(np.float32(math.log(10)))
         self.vectors = np.stack([_signs(w) for w in self.number]) * self.weight[:, None] if self.number else np.zeros((0, BITS), np.float32)
         self.codes = [np.array([self.number[w] for w in words], np.int64) for _, words, _ in self.items]
-        self.prints = [_fingerprints(self.vectors[c], WINDOW) if len(c) else np.zeros((0, 2), np.uint64) for c in self.codes]
+        # An item shorter than the window is one window of its own length.
+        self.widths = [min(WINDOW, len(c)) for c in self.codes]
+        self.prints = [_fingerprints(self.vectors[c], w) if len(c) else np.zeros((0, 2), np.uint64) for c, w in zip(self.codes, self.widths, strict=True)]
         base = len(self.number) + 1
         keys, owner, place = [], [], []
         for i, c in enumerate(self.codes):
@@ -140,18 +145,24 @@ class ItemIndex:
         p = np.repeat(at, n)
         entry = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
         item, q = self.owner[entry], self.place[entry]
-        order = np.lexsort((q, p, item))
-        item, p, q = item[order], p[order], q[order]
-        close = (item[2:] == item[:-2]) & (p[2:] - p[:-2] <= SEED_REACH)
+        # Changes move a passage off its diagonal by a few places only; of two shifted bucketings
+        # of diagonals one holds all three seeds together.
         keep = np.zeros(len(p), bool)
-        for k in range(LEAST_SEEDS):
-            keep[k : len(p) - 2 + k] |= close
-        return item[keep], p[keep], q[keep]
+        for shift in (0, DRIFT):
+            diagonal = (p - q + shift) // (2 * DRIFT)
+            order = np.lexsort((p, diagonal, item))
+            i, d, at = item[order], diagonal[order], p[order]
+            close = (i[2:] == i[:-2]) & (d[2:] == d[:-2]) & (at[2:] - at[:-2] <= SEED_REACH)
+            for k in range(LEAST_SEEDS):
+                keep[order[k : len(p) - 2 + k][close]] = True
+        kept = np.flatnonzero(keep)
+        kept = kept[np.lexsort((p[kept], item[kept]))]
+        return item[kept], p[kept], q[kept]
 
     def near(self, prints: np.ndarray, item: int, p: np.ndarray, q: np.ndarray) -> bool:
         """Whether a pair of windows on the seeds' diagonals is within the radius."""
         own = self.prints[item]
-        shift = np.arange(0, WINDOW - SEED + 1, 2)
+        shift = np.arange(0, max(1, self.widths[item] - SEED + 1), 2)
         starts = np.unique(np.stack([(p[:, None] - shift).ravel(), (q[:, None] - shift).ravel()], axis=1), axis=0)
         x, y = np.clip(starts[:, 0], 0, len(prints) - 1), np.clip(starts[:, 1], 0, len(own) - 1)
         return bool((np.bitwise_count(prints[x] ^ own[y]).sum(axis=1) <= self.radius).any())
@@ -185,14 +196,53 @@ class ItemIndex:
         item, p, q = self.seeds(codes)
         if not len(item):
             return []
-        prints = _fingerprints(self._vectors(words, codes), WINDOW)
+        vectors, prints = self._vectors(words, codes), {}
         edges = np.flatnonzero(np.diff(item)) + 1
-        found = []
+        near: list[tuple[int, np.ndarray]] = []
         for one, ps, qs in zip(np.split(item, edges), np.split(p, edges), np.split(q, edges), strict=True):
             i = int(one[0])
-            if self.near(prints, i, ps, qs) and self.holds(codes, i, np.unique(ps)):
-                found.append(i)
-        return found
+            width = self.widths[i]
+            if width not in prints:
+                prints[width] = _fingerprints(vectors, width)
+            if self.near(prints[width], i, ps, qs):
+                near.append((i, np.unique(ps)))
+        if not near:
+            return []
+        good = self._aligned(codes, near)
+        return [i for i, ps in near if i in good and self.holds(codes, i, ps)]
+
+    def _aligned(self, codes: np.ndarray, near: list[tuple[int, np.ndarray]]) -> set[int]:
+        """Items whose best local alignment around their seeds scores enough, all items of a stretch at once."""
+        places = np.unique(np.concatenate([ps for _, ps in near]))
+        out: set[int] = set()
+        for run in np.split(places, np.flatnonzero(np.diff(places) > 2 * SEED_REACH) + 1):
+            for start in range(int(run[0]), int(run[-1]) + 1, STRETCH):
+                low, high = max(0, start - STRETCH // 2), min(int(run[-1]), start + STRETCH + STRETCH // 2)
+                ask = [i for i, ps in near if i not in out and ((ps >= low) & (ps <= high)).any()]
+                if ask:
+                    best = best_scores(codes[max(0, low - SEED_REACH) : high + SEED_REACH + SEED], [self.codes[i] for i in ask])
+                    out |= {i for i, b in zip(ask, best, strict=True) if b >= min(LEAST_SCORE, len(self.codes[i]) // 2)}
+        return out
+
+
+def best_scores(a: np.ndarray, items: list[np.ndarray]) -> np.ndarray:
+    """Scores of the best local alignments (match 1, change -1) of ``a`` with each item; one row of state per item."""
+    width = max(map(len, items))
+    b = np.full((len(items), width), -2, np.int64)
+    for k, x in enumerate(items):
+        b[k, : len(x)] = x
+    state = np.zeros((len(items), width + 1), np.int32)
+    step = np.arange(width, dtype=np.int32)
+    best = np.zeros(len(items), np.int32)
+    for word in a:
+        row = np.maximum(state[:, :-1] + np.where(b == word, 1, -1), state[:, 1:] - 1)
+        np.maximum(row, 0, out=row)
+        row += step
+        np.maximum.accumulate(row, axis=1, out=row)
+        row -= step
+        state[:, 1:] = row
+        np.maximum(best, row.max(axis=1), out=best)
+    return best
 
 
 def align(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, int, int]:
