@@ -89,7 +89,17 @@ def _own_script(ch: str) -> int:
     return 8 if 0x530 <= cp <= 0x58F else 0
 
 
-_TOKEN = re.compile(r"[^\W\d_](?:[^\W\d_]|[̀-ͯ])*")
+_TOKEN = re.compile(r"[^\W\d_](?:[^\W\d_]|[\u0300-\u036f])*")
+#: Characters that may need a plain form: all but ASCII, accents, and the common blocks that never do.
+_SPECIAL = re.compile(r"[^\x00-\x7f\u00c0-\u024f\u0300-\u034e\u0350-\u036f\u0391-\u03c9\u0400-\u045f\u3041-\u30ff\u4e00-\u9fff]")
+#: Letters that other scripts share with Latin, or that decide a script.
+_OTHER_SCRIPTS = re.compile(r"[\u0131\u017f\u0250-\u02af\u0370-\u058f\u1f00-\u1fff]")
+
+
+def _plain(m: re.Match[str]) -> str:
+    ch = m[0]
+    form = _tables()[0].get(ord(ch), ch)
+    return "" if form is None else form
 
 
 def _resolve(token: re.Match[str]) -> str:
@@ -111,8 +121,10 @@ def normal_form(text: str | None) -> str | None:
     """The one form of ``text``, composed (NFC)."""
     if text is None or text.isascii():
         return text
-    plain = unicodedata.normalize("NFD", text).translate(_tables()[0])
-    return unicodedata.normalize("NFC", _TOKEN.sub(_resolve, plain))
+    plain = _SPECIAL.sub(_plain, unicodedata.normalize("NFD", text))
+    if _OTHER_SCRIPTS.search(plain):
+        plain = _TOKEN.sub(_resolve, plain)
+    return unicodedata.normalize("NFC", plain)
 
 
 def with_normal_form(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
