@@ -15,9 +15,10 @@ block is sent to every task. Documents are read once per block, in Arrow batches
    separated words of the item and ``SIMILARITY`` of the weight of the aligned item words.
 
 The method's multi-index over Hamming blocks gives way to the seeds of step 2 as the index. With a
-quarter of the words changed, windows are up to 50 of 128 bits apart (measured); a guarantee for that
-needs 51 blocks of two or three bits, in one of which every window meets every item, so the blocks
-would select nothing, while the seeds are as lossless and select 0.1 % (README has the figures).
+quarter of the words changed, windows are up to 32 of 128 bits apart (measured), and the radius is 36; a
+guarantee for it needs 37 blocks of three or four bits, in one of which a window meets 97 % of all item
+windows by chance, so the blocks would select next to nothing, while the seeds are as lossless and
+select 0.1 % (README has the figures).
 
 Defined cases: null, empty and blank texts match nothing; an item of fewer than ``WINDOW`` words
 must be there whole as one window; equal items each get their rows; repeated documents with
@@ -44,7 +45,7 @@ SEED = 3
 LEAST_SEEDS = 3
 SEED_REACH = 25
 BITS = 128
-RADIUS = 50
+RADIUS = 36
 DRIFT = 8
 STRETCH = 1000
 LEAST_SCORE = 8
@@ -95,8 +96,9 @@ class ItemIndex:
         n = len(self.items)
         self.number = {w: i for i, w in enumerate(df)}
         self.weight = np.array([math.log((n + 1) / c) for c in df.values()], np.float32)
-        # A word no item has weighs as one in a tenth of them: changed words count, but do not drown the rest.
-        self.foreign = float(np.float32(math.log(10)))
+        # A word no item has weighs half of what an item's word does on average: changed words count, but do not drown the rest.
+        tokens = sum(len(words) for _, words, _ in self.items)
+        self.foreign = 0.5 * sum(float(self.weight[self.number[w]]) for _, words, _ in self.items for w in words) / max(1, tokens)
         self.vectors = np.stack([_signs(w) for w in self.number]) * self.weight[:, None] if self.number else np.zeros((0, BITS), np.float32)
         self.codes = [np.array([self.number[w] for w in words], np.int64) for _, words, _ in self.items]
         # An item shorter than the window is one window of its own length.
