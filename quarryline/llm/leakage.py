@@ -3,7 +3,7 @@
 The items are a stated query set; they are indexed in blocks of a bounded number of words and each
 block is sent to every task. Documents are read once per block, in Arrow batches, without a shuffle.
 
-1. Words: the look-alike normal form, case-folded, runs of letters and digits.
+1. Words: the look-alike normal form without line prefixes, case-folded, runs of letters and digits.
 2. Seeds. A window of 20 words in which a quarter is replaced, dropped or added still shares at least
    three word triples with its item (each edit destroys at most three of the 18), so windows without
    three shared triples close together are dropped without loss.
@@ -54,16 +54,22 @@ SIMILARITY = 0.7
 BLOCK_WORDS = 1_000_000
 
 _WORD = re.compile(r"[^\W_]+")
+#: What loggers put before a line: time stamps, tags in brackets, line numbers. Quote marks and bullets are no words anyway.
+_LINE_PREFIX = re.compile(r"(?m)^[^\w\n]*(?:\d{4}-\d\d-\d\d[T ][\d:.,]+Z?(?:[+-]\d\d:?\d\d)?[^\w\n]+|\[[^\]\n]{1,20}\][^\w\n]*|\d{1,6}[:|][^\w\n]+)+")
+
+
+def _plain(text: str) -> str:
+    return _LINE_PREFIX.sub("", normal_form(text)).casefold()
 
 
 def words_of(text: str) -> list[str]:
-    return _WORD.findall(normal_form(text).casefold())
+    return _WORD.findall(_plain(text))
 
 
 def item_words(text: str) -> tuple[list[str], list[int]]:
     """The words and, for each, the number of the blank-separated word that holds it."""
     words, owner = [], []
-    for n, part in enumerate(normal_form(text).casefold().split()):
+    for n, part in enumerate(_plain(text).split()):
         found = _WORD.findall(part)
         words += found
         owner += [n] * len(found)

@@ -78,6 +78,17 @@ def test_batch_scores_equal_single_alignments():
             assert best == grid.max()
 
 
+def test_line_prefixes_do_not_matter():
+    rng = random.Random(4)
+    text = item(rng)
+    words = text.split()[5:29]
+    lines = [f"2031-01-06T13:19:{k:02}.332070Z [info] {' '.join(words[i : i + 6])}" for k, i in enumerate(range(0, 24, 6))]
+    quoted = [f"> {k}: {' '.join(words[i : i + 6])}" for k, i in enumerate(range(0, 24, 6))]
+    index = op.ItemIndex([(1, *op.item_words(text)), (2, *op.item_words(item(rng)))])
+    assert index.find("start\n" + "\n".join(lines) + "\nend") == [0]
+    assert index.find("start\n" + "\n".join(quoted)) == [0]
+
+
 def test_blocks_give_the_same(spark):
     rng = random.Random(3)
     items = [(i, item(rng)) for i in range(12)]
