@@ -171,16 +171,15 @@ class ItemIndex:
         """Whether a pair of windows on the seeds' diagonals is within the radius."""
         own = self.prints[item]
         shift = np.arange(0, max(1, self.widths[item] - SEED + 1), 2)
-        starts = np.unique(np.stack([(p[:, None] - shift).ravel(), (q[:, None] - shift).ravel()], axis=1), axis=0)
-        x, y = np.clip(starts[:, 0], 0, len(prints) - 1), np.clip(starts[:, 1], 0, len(own) - 1)
-        return bool((np.bitwise_count(prints[x] ^ own[y]).sum(axis=1) <= self.radius).any())
+        x = np.minimum(np.maximum(p[:, None] - shift, 0), len(prints) - 1)
+        y = np.minimum(np.maximum(q[:, None] - shift, 0), len(own) - 1)
+        return bool(np.bitwise_count(prints[x] ^ own[y]).sum(axis=-1).min() <= self.radius)
 
     def holds(self, codes: np.ndarray, item: int, p: np.ndarray) -> bool:
         """Exact verification, by runs of seeds that lie close together."""
         own = self.codes[item]
-        cuts = np.flatnonzero(np.diff(p) > 2 * SEED_REACH) + 1
-        for run in np.split(p, cuts):
-            a = codes[max(0, run[0] - SEED_REACH) : run[-1] + SEED_REACH + SEED]
+        for low, high in _stretches(p):
+            a = codes[low:high]
             matched, first, last = align(a, own)
             if not len(matched):
                 continue
@@ -223,16 +222,22 @@ class ItemIndex:
         """Items whose best local alignment around their seeds scores enough, all items of a stretch at once."""
         places = np.unique(np.concatenate([ps for _, ps in near]))
         out: set[int] = set()
-        for run in np.split(places, np.flatnonzero(np.diff(places) > 2 * SEED_REACH) + 1):
-            for start in range(int(run[0]), int(run[-1]) + 1, STRETCH):
-                low, high = max(0, start - STRETCH // 2), min(int(run[-1]), start + STRETCH + STRETCH // 2)
-                ask = [i for i, ps in near if i not in out and ((ps >= low) & (ps <= high)).any()]
-                if ask:
-                    best = best_scores(codes[max(0, low - SEED_REACH) : high + SEED_REACH + SEED], [self.codes[i] for i in ask])
-                    out |= {i for i, b in zip(ask, best, strict=True) if b >= min(LEAST_SCORE, len(self.codes[i]) // 2)}
+        for low, high in _stretches(places):
+            ask = [i for i, ps in near if i not in out and ((ps >= low) & (ps < high)).any()]
+            if ask:
+                best = best_scores(codes[low:high], [self.codes[i] for i in ask])
+                out |= {i for i, b in zip(ask, best, strict=True) if b >= min(LEAST_SCORE, len(self.codes[i]) // 2)}
         return out
 
 
+def _stretches(places: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Stretches of a document around runs of seeds. A long run is cut in overlapping stretches, so that memory stays bounded."""
+    for run in np.split(places, np.flatnonzero(np.diff(places) > 2 * SEED_REACH) + 1):
+        for start in range(int(run[0]), int(run[-1]) + 1, STRETCH):
+            low, high = max(int(run[0]), start - STRETCH // 2), min(int(run[-1]), start + STRETCH + STRETCH // 2)
+            yield max(0, low - SEED_REACH), high + SEED_REACH + SEED
+
+
 def best_scores(a: np.ndarray, items: list[np.ndarray]) -> np.ndarray:
     """Scores of the best local alignments (match 1, change -1) of ``a`` with each item; one row of state per item."""
     width = max(map(len, items))

@@ -89,6 +89,15 @@ def test_line_prefixes_do_not_matter():
     assert index.find("start\n" + "\n".join(quoted)) == [0]
 
 
+def test_long_document_full_of_seeds():
+    rng = random.Random(8)
+    text = item(rng, 80)
+    index = op.ItemIndex([(1, *op.item_words(text)), (2, *op.item_words(item(rng)))])
+    phrase = " ".join(text.split()[:6])
+    assert index.find(" ".join(f"{phrase} x{i} y{i} z{i} v{i} w{i} u{i} t{i} s{i}" for i in range(4000))) == []
+    assert index.find(" ".join(f"{phrase} x{i} y{i}" for i in range(3000)) + " " + " ".join(text.split()[20:60])) == [0]
+
+
 def test_blocks_give_the_same(spark):
     rng = random.Random(3)
     items = [(i, item(rng)) for i in range(12)]
