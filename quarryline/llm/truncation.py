@@ -33,7 +33,7 @@ from quarryline.session import materialize
 
 #: What a cutting program writes at the end.
 SIGN = r"(?:\.\.\.|…|<\.\.\.>|\[\.\.\.\]|[\[(<](?i:truncated|cut|snip|more)[\])>]|\(\+\d+ (?i:chars|characters|bytes)\)|\x{FFFD})\s*\z"
-CLOSED = r"[.!?。！？]+[\"'”’»)\]`]*\s*\z"
+CLOSED = r"(?:[.!?。！？]+[\"'”’»)\]`]*|[\"”»)\]`])\s*\z"
 LETTERS = r"[\p{L}\p{M}]+"
 #: Prose: paths, names and numbers are one token each. Paths: every part is a token.
 PROSE_TOKEN = r"[\w.@-]*/[\w./@-]*\w|[\p{L}\p{M}\p{N}_]*[\p{N}_](?:[\p{L}\p{M}\p{N}_.-]*[\p{L}\p{M}\p{N}_])?|[\p{L}\p{M}]+|[^\p{L}\p{M}\p{N}_\s]"
@@ -50,7 +50,7 @@ RECUR_TIMES, RECUR_SHARE, FRAGMENT_TIMES = 2, 0.3, 10
 BASE_HAZARD = 0.05
 #: An ending of two tokens or more that ends sentences this often is no fragment.
 SEEN_ENDING = 0.15
-NOTE_TIMES, NOTE_SHARE = 3, 0.8
+NOTE_TIMES, NOTE_SHARE = 2, 0.8
 #: Cases that the order below weighs as.
 SHRINK = 4.0
 #: Two tokens seen this rarely are not where a random cut would fall; their ending is more likely meant.
@@ -177,6 +177,8 @@ def _ending_features(texts: DataFrame) -> DataFrame:
     every = F.col("ends_open") + F.col("ends_closing") - 1
     on = F.col("goes_on") + F.col("bounds")
     recurs = (F.col("n") > 0) & (own >= RECUR_TIMES) & (own >= RECUR_SHARE * (own + on)) & (own >= RECUR_SHARE * F.col("longer"))
+    # Three tokens that end another text and never stand anywhere else.
+    recurs = recurs | ((F.col("n") == 3) & (own >= 1) & (on + F.col("longer") == 0))
     fragment = F.col("n").isin(0, 2) & (F.col("longer") >= FRAGMENT_TIMES * (on + 1)) & (F.col("longer") >= F.when(F.col("n") == 0, 1).otherwise(4) * (every + 1))
     # What goes on as a longer word counts as going on. Each order is shrunk to the one below it.
     cases = own + on + F.col("longer")
@@ -210,7 +212,7 @@ def scored(analyses: DataFrame) -> DataFrame:
     kind = F.when(F.col("part") == "file", "path").otherwise("prose")
     quotes = F.length("text") - F.length(F.replace(text, F.lit('"'), F.lit("")))
     texts = elements(analyses).select(
-        "*", F.xxhash64("text").alias("h"), F.length("text").alias("len"), text.rlike(SIGN).alias("signed"), text.rlike(CLOSED).alias("closed"), kind.alias("kind"), (F.pmod(quotes, F.lit(2)) == 1).alias("odd_quotes"),
+        "*", F.xxhash64("text").alias("h"), F.length("text").alias("len"), text.rlike(SIGN).alias("signed"), (text.rlike(CLOSED) & (F.pmod(quotes, F.lit(2)) == 0)).alias("closed"), kind.alias("kind"), (F.pmod(quotes, F.lit(2)) == 1).alias("odd_quotes"),
         text.rlike(rf"(?:\A|[^\p{{L}}\p{{M}}\p{{N}}]){LETTERS}\s*\z").alias("ends_in_letters"), text.rlike(r"/[\p{L}\p{M}\p{N}_-]+\.\s*\z").alias("bare_path"),
         _tokens(text, kind).alias("t"), F.transform(F.regexp_extract_all(text, F.lit(LETTERS), F.lit(0)), F.lower).alias("p"),
     )
