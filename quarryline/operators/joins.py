@@ -81,19 +81,22 @@ def suffix_match(names: DataFrame, files: DataFrame, name: str, path: str, separ
 
 
 def best_path_match(wanted: DataFrame, files: DataFrame, wanted_path: str, path: str) -> DataFrame:
-    """Per wanted path the file with the same base name that shares most trailing parts, then most parts at all.
+    """Per wanted path the file with the longest common run of trailing parts; among those the path that sorts first.
 
-    Null and repeated paths are taken out first; a path without a file of its base name has no row.
+    ``score`` is the number of parts in common. Of each suffix of the files only the first path is kept, so
+    that a base name that many files share joins one row and not all of them. Null and repeated paths are
+    taken out first; a path without a file of its base name has no row.
     """
-    base = lambda c: F.substring_index(c, "/", -1)
-    a = wanted.select(wanted_path).filter(F.col(wanted_path).isNotNull()).distinct().withColumn("_base", base(wanted_path))
-    b = files.select(path).filter(F.col(path).isNotNull()).distinct().withColumn("_base", base(path))
-    x, y = F.reverse(F.split(wanted_path, "/")), F.reverse(F.split(path, "/"))
-    same = F.zip_with(x, y, lambda p, q: F.coalesce(p == q, F.lit(False)))
-    run = F.coalesce(F.array_position(same, F.lit(False)) - 1, F.lit(0))
-    tail = F.when(F.array_position(same, F.lit(False)) == 0, F.size(same)).otherwise(run)
-    scored = a.join(b, "_base").withColumn("score", tail.cast("bigint") * 100 + F.size(F.array_intersect(x, y)))
-    return first_per_key(scored.drop("_base"), [wanted_path], [F.desc("score"), F.col(path)])
+
+    def suffixes(c: str) -> Column:
+        parts = F.split(F.col(c), "/")
+        return F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.struct(n.alias("score"), F.array_join(F.slice(parts, -n, n), "/").alias("suffix"))))
+
+    clean = lambda d, c: d.select(c).filter(F.col(c).isNotNull()).distinct()
+    first = clean(files, path).select(path, suffixes(path).alias("x")).groupBy("x.suffix").agg(F.min(path).alias(path))
+    asked = clean(wanted, wanted_path).select(wanted_path, suffixes(wanted_path).alias("x")).select(wanted_path, "x.*")
+    best = asked.join(first, "suffix").groupBy(wanted_path).agg(F.max_by(F.struct("score", path), "score").alias("b"))
+    return best.select(wanted_path, f"b.{path}", "b.score")
 
 
 def in_both_ends(edges: DataFrame, nodes: DataFrame, ends: tuple[str, str] = ("src", "dst")) -> DataFrame:

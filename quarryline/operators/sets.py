@@ -37,9 +37,10 @@ def without(rows: DataFrame, key: str, *others: DataFrame) -> DataFrame:
 
 
 def key_differences(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
-    """key, side: keys missing from b ("missing") and keys only b has ("extra")."""
-    x, y = a.select(key).filter(F.col(key).isNotNull()), b.select(key).filter(F.col(key).isNotNull())
-    return x.exceptAll(y).distinct().join(y, key, "left_anti").withColumn("side", F.lit("missing")).unionByName(y.distinct().join(x, key, "left_anti").withColumn("side", F.lit("extra")))
+    """key, side: keys missing from b ("missing") and keys only b has ("extra"). One combinable aggregate over a tagged union."""
+    side = lambda d, n: d.select(F.col(key), F.lit(n).alias("from"))
+    per_key = side(a, 0).unionByName(side(b, 1)).filter(F.col(key).isNotNull()).groupBy(key).agg(F.min("from").alias("lo"), F.max("from").alias("hi"))
+    return per_key.filter("lo = hi").select(key, F.when(F.col("lo") == 0, "missing").otherwise("extra").alias("side"))
 
 
 def array_drift(old: Column, new: Column) -> tuple[Column, Column, Column]:

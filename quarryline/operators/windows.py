@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quarryline.session import materialize
+
 
 def latest(rows: DataFrame, keys: Sequence[str], by: Sequence[str]) -> DataFrame:
     """The row with the greatest ``by`` per key, nulls least. A combinable aggregate (max_by of structs)."""
@@ -28,9 +30,10 @@ def global_rank(rows: DataFrame, order: Sequence[str], name: str = "rank") -> Da
     """Position of every row in the order of the columns ``order`` (ascending), from 1.
 
     Rows are range-partitioned and ranked within their range; the ranges' sizes, one row per partition,
-    are added up and joined back.
+    are added up and joined back. The partitioned rows are written once: both branches must see the same
+    ranges, also where a lost executor makes a part run again. ``order`` must tell all rows apart.
     """
-    part = rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
+    part = materialize(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
     sizes = part.groupBy("_range").agg(F.count("*").alias("_n"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_range", "_before")
     within = part.withColumn("_at", F.row_number().over(Window.partitionBy("_range").orderBy(*order)))

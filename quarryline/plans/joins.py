@@ -150,7 +150,12 @@ def j19(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.first_per_key(held, ["point_id"], [F.col("b_end") - F.col("b_start"), F.col("b_start"), F.col("parsed_id")]).select("point_id", "parsed_id")
 
 
-@_R.add("j20_best_path_match")
+@_R.add(
+    "j20_best_path_match",
+    """WITH f AS (SELECT DISTINCT path, string_split(path, '/') AS p FROM parsed_file WHERE path IS NOT NULL), n AS (SELECT DISTINCT r.file AS named, string_split(r.file, '/') AS q FROM (SELECT unnest(relevant_files) AS r FROM log_analysis) WHERE r.file IS NOT NULL),
+c AS (SELECT named, path, len(list_filter(range(1, least(len(p), len(q)) + 1), lambda k: p[len(p) - k + 1 :] = q[len(q) - k + 1 :])) AS score FROM n JOIN f ON p[-1] = q[-1])
+SELECT named, path, CAST(score AS INTEGER) AS score FROM (SELECT *, row_number() OVER (PARTITION BY named ORDER BY score DESC, path) AS rn FROM c) WHERE rn = 1""",
+)
 def j20(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each file named by an analysis, the touched file that fits best."""
     named = table(spark, sf_dir, "log_analysis").select(F.explode("relevant_files.file").alias("named"))
