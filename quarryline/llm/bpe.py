@@ -25,6 +25,7 @@ import base64
 import codecs
 from array import array
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,6 +38,8 @@ MOST_WORDS = 300_000
 MOST_STATES = 200_000
 #: Longer words skip the table of words and stream through the transducer.
 WORD_CHARS = 64
+#: The words of longer texts are not listed before they are encoded.
+LONG_TEXT = 1_000_000
 
 
 def read_ranks(folder: str = TOKENIZER_DIR, name: str = VOCABULARY) -> dict[bytes, int]:
@@ -152,30 +155,41 @@ class Transducer:
         return out
 
 
+class _Words(dict):
+    """Ids of words seen before; a word not there goes through the transducer."""
+
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        super().__init__()
+        self.transducer = Transducer(ranks)
+
+    def __missing__(self, word: str) -> list[int]:
+        ids = self.transducer.encode(word.encode("utf-8", "surrogatepass"))
+        if len(word) <= WORD_CHARS:
+            if len(self) >= MOST_WORDS:
+                self.clear()
+            self[word] = ids
+        return ids
+
+
 class Encoder:
-    """Texts to ids: words by the public pattern, each through the transducer or the table of words."""
+    """Texts to ids: words by the public pattern, each from the table of words or through the transducer."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str = PATTERN) -> None:
         import regex
 
-        self._words = regex.compile(pattern)
-        self._transducer = Transducer(ranks)
-        self._table: dict[str, list[int]] = {}
+        self._pattern = regex.compile(pattern)
+        self._words = _Words(ranks)
+        self._transducer = self._words.transducer
+
+    def _parts(self, text: str) -> Iterable[str]:
+        if len(text) <= LONG_TEXT:
+            return self._pattern.findall(text)
+        return (m[0] for m in self._pattern.finditer(text))
 
     def encode(self, text: str | None, into: array | None = None) -> array:
         out = array("i") if into is None else into
-        if not text:
-            return out
-        table, extend = self._table, out.extend
-        for word in self._words.findall(text):
-            ids = table.get(word)
-            if ids is None:
-                ids = self._transducer.encode(word.encode("utf-8", "replace" if word.isascii() else "surrogatepass"))
-                if len(word) <= WORD_CHARS:
-                    if len(table) >= MOST_WORDS:
-                        table.clear()
-                    table[word] = ids
-            extend(ids)
+        if text:
+            out.extend(chain.from_iterable(map(self._words.__getitem__, self._parts(text))))
         return out
 
 
