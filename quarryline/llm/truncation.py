@@ -125,25 +125,27 @@ def length_limits(texts: DataFrame) -> DataFrame:
     return histogram.groupBy("analyzer", "part").applyInPandas(fit, "analyzer string, part string, len_mu double, len_sigma double, len_limit int, censoring double, closes double")
 
 
-def _grams(tokens: Column, orders: tuple[int, ...], at: Column) -> Column:
-    """The grams that end at token ``at`` (from 1): array<struct<n, gram>>; order 0 is a single piece of letters."""
-    fitting = F.filter(F.array(*map(F.lit, orders)), lambda n: n <= at)
-    return F.transform(fitting, lambda n: F.struct(n.alias("n"), F.concat_ws(" ", F.slice(tokens, at - F.greatest(n, F.lit(1)) + 1, F.greatest(n, F.lit(1)))).alias("gram")))
+def _grams_at(tokens: str, orders: tuple[int, ...], at: Column) -> list[tuple[int, Column]]:
+    """(order, gram) that end at token ``at`` (from 0), null where there are too few tokens; order 0 is a single piece of letters."""
+    back = lambda k: F.get(tokens, at - k)
+    out = []
+    for n in orders:
+        parts = [back(k) for k in range(max(n, 1) - 1, -1, -1)]
+        out.append((n, parts[0] if len(parts) == 1 else F.concat(*[x for p in parts for x in (p, F.lit(" "))][:-1])))
+    return out
 
 
 def _gram_counts(texts: DataFrame) -> DataFrame:
     """kind, n, gram: goes_on, bounds (before the end of a sentence), ends_closing, ends_open. One combinable aggregate."""
 
     def of(tokens: str, orders: tuple[int, ...]) -> Column:
-        size = F.size(tokens)
+        def at(_: Column, i: Column) -> Column:
+            last, bound = i == F.size(tokens) - 1, F.coalesce(F.get(tokens, i + 1).isin(*BOUNDARY), F.lit(False))
+            return F.array(*[F.struct(F.lit(n).alias("n"), g.alias("gram"), last.alias("last"), bound.alias("bound")) for n, g in _grams_at(tokens, orders, i)])
 
-        def at(i: Column) -> Column:
-            last = i == size
-            return F.transform(_grams(F.col(tokens), orders, i), lambda g: F.struct(g["n"].alias("n"), g["gram"].alias("gram"), last.alias("last"), F.coalesce(F.get(tokens, i).isin(*BOUNDARY), F.lit(False)).alias("bound")))
+        return F.flatten(F.transform(tokens, at))
 
-        return F.when(size > 0, F.flatten(F.transform(F.sequence(F.lit(1), size), at)))
-
-    rows = texts.select("kind", "style", F.explode(F.concat(F.coalesce(of("t", (1, 2, 3)), F.array()), F.coalesce(of("p", (0,)), F.array()))).alias("g"))
+    rows = texts.select("kind", "style", F.explode(F.concat(of("t", (1, 2, 3)), of("p", (0,)))).alias("g")).filter("g.gram is not null")
     last, open_style = F.col("g.last"), F.col("style") == "open"
     return rows.groupBy("kind", "g.n", "g.gram").agg(
         F.count_if(~last & ~F.col("g.bound")).alias("goes_on"), F.count_if(~last & F.col("g.bound")).alias("bounds"),
@@ -154,11 +156,10 @@ def _gram_counts(texts: DataFrame) -> DataFrame:
 def _ending_features(texts: DataFrame) -> DataFrame:
     """Per element (key and hash of the text): recurs, fragment, hazard."""
     key = ["analysis_id", "field_name", "part", "elem_pos", "h"]
-    none = F.array().cast("array<struct<n:int,gram:string>>")
-    of = lambda tokens, orders: F.when(F.size(tokens) > 0, _grams(F.col(tokens), orders, F.size(tokens)))
+    of = lambda tokens, orders: [F.struct(F.lit(n).alias("n"), g.alias("gram")) for n, g in _grams_at(tokens, orders, F.size(tokens) - 1)]
     # A last piece of letters counts only where it ends the text.
-    piece = F.when(F.col("ends_in_letters"), of("p", (0,)))
-    ends = texts.select(*key, "kind", "style", F.explode(F.concat(F.coalesce(of("t", (1, 2, 3)), none), F.coalesce(piece, none))).alias("g")).select(*key, "kind", "style", "g.*")
+    piece = [F.when(F.col("ends_in_letters"), x) for x in of("p", (0,))]
+    ends = texts.select(*key, "kind", "style", F.explode(F.array(*of("t", (1, 2, 3)), *piece)).alias("g")).filter("g.gram is not null").select(*key, "kind", "style", "g.*")
     counts = _gram_counts(texts)
     gram = ["kind", "n", "gram"]
     wanted = ends.select(*gram).distinct()
