@@ -159,7 +159,9 @@ def _ending_features(texts: DataFrame) -> DataFrame:
     of = lambda tokens, orders: [F.struct(F.lit(n).alias("n"), g.alias("gram")) for n, g in _grams_at(tokens, orders, F.size(tokens) - 1)]
     # A last piece of letters counts only where it ends the text.
     piece = [F.when(F.col("ends_in_letters"), x) for x in of("p", (0,))]
-    ends = texts.select(*key, "kind", "style", F.explode(F.array(*of("t", (1, 2, 3)), *piece)).alias("g")).filter("g.gram is not null").select(*key, "kind", "style", "g.*")
+    # Signed and closed prose is judged without its ending.
+    asked = texts.filter("not signed and (kind = 'path' or not closed)")
+    ends = asked.select(*key, "kind", "style", F.explode(F.array(*of("t", (1, 2, 3)), *piece)).alias("g")).filter("g.gram is not null").select(*key, "kind", "style", "g.*")
     counts = _gram_counts(texts)
     gram = ["kind", "n", "gram"]
     wanted = ends.select(*gram).distinct()
