@@ -13,7 +13,7 @@ Everything is JVM expressions over VARIANT and arrays: one scan, one generate, n
 
 Defined cases: a null or empty list has no rows; a null element is no row but keeps its position;
 a bare value is at position 0; text that is not JSON has no rows and the record state
-``unparsable``; a key that is absent or null gives way to its older name; null ``record_id`` is
+``unparsable`` (as has text with a repeated key or beyond the size limit of VARIANT); a key that is absent or null gives way to its older name; null ``record_id`` is
 kept as null; other columns of the input are ignored, so clashing names do no harm.
 """
 

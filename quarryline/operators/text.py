@@ -52,8 +52,8 @@ def bm25(post: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75,
     Inverse document frequency is log(1 + (n - df + 0.5) / (df + 0.5)), or given as (term, idf).
     """
     lens = post.groupBy("doc").agg(F.max("doc_len").alias("l"))
-    n = lens.agg(F.count("*")).scalar()
-    mean = lens.agg(F.avg("l")).scalar()
+    collection = lens.agg(F.struct(F.count("*").alias("n"), F.avg("l").alias("mean"))).scalar()
+    n, mean = collection["n"], collection["mean"]
     asked = queries.groupBy("query", "term").agg(F.count("*").alias("qtf"))
     hits = post.join(asked.select("term").distinct(), "term", "left_semi")
     if idf is None:

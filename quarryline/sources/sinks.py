@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime, timezone
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -29,10 +29,10 @@ def replace_parquet(rows: DataFrame, path: str, backup: bool = True) -> int:
     spark = rows.sparkSession
     fs, at = _filesystem(spark, path)
     fresh = f"{path}.new"
-    observed = rows.agg(F.count("*")).scalar()
-    rows.write.mode("overwrite").parquet(fresh)
+    written = Observation()
+    rows.observe(written, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(fresh)
     n = spark.read.parquet(fresh).count()
-    if n != spark.range(1).select(observed.alias("n")).first()["n"]:
+    if n != written.get["n"]:
         raise ValueError(f"{path}: {n} rows read back, not as many as were written")
     if fs.exists(at(path)):
         if backup:
