@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarryline.functions.arrays import let
+
 CHUNK = "struct<first:int, last:int, size:int, text:string>"
 
 
@@ -22,10 +24,13 @@ def tokens_estimate(text: Column) -> Column:
 
 def line_windows(text: Column, size: int, overlap: int) -> Column:
     """array<struct<first, last, text>> of ``size`` lines that step back ``overlap`` lines each time."""
-    lines = F.split(text, "\n")
     step = size - overlap
-    starts = F.sequence(F.lit(0), F.greatest(F.ceil((F.size(lines) - overlap) / step).cast("int") - 1, F.lit(0)))
-    return F.transform(starts, lambda i: F.struct((i * step + 1).alias("first"), F.least(i * step + size, F.size(lines)).alias("last"), F.array_join(F.slice(lines, i * step + 1, size), "\n").alias("text")))
+
+    def of(lines: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.ceil((F.size(lines) - overlap) / step).cast("int") - 1, F.lit(0)))
+        return F.transform(starts, lambda i: F.struct((i * step + 1).alias("first"), F.least(i * step + size, F.size(lines)).alias("last"), F.array_join(F.slice(lines, i * step + 1, size), "\n").alias("text")))
+
+    return let(F.split(text, "\n"), of)
 
 
 def fill_lines(text: str, budget: int, overlap: int, size_of: Callable[[str], int]) -> list[dict]:

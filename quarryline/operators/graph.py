@@ -40,14 +40,15 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     return nodes.join(roots, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
-def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 20, bias: DataFrame | None = None, cut_every: int = 5) -> DataFrame:
+def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 20, bias: DataFrame | None = None) -> DataFrame:
     """node, rank of weighted directed edges (src, dst, w); ranks add up to one.
 
     Dangling nodes give their rank to all nodes by the bias, which is even or given as (node, bias).
-    A fixed number of rounds makes runs comparable; lineage is cut every ``cut_every`` rounds.
+    A fixed number of rounds makes runs comparable. Ranks are checkpointed each round, as the next round reads
+    them twice.
     """
     ensure_checkpoint_dir(edges.sparkSession)
-    e = edges.groupBy("src", "dst").agg(F.sum("w").alias("w"))
+    e = edges.groupBy("src", "dst").agg(F.sum("w").alias("w")).checkpoint()
     nodes = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct()
     n = nodes.agg(F.count("*")).scalar()
     if bias is None:
@@ -55,17 +56,14 @@ def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 20, bias: Da
     else:
         known = nodes.join(bias, "node", "left").fillna(0.0, ["bias"])
         start = known.withColumn("bias", F.try_divide(F.col("bias"), known.agg(F.sum("bias")).scalar()))
-    start = start.checkpoint()
     out = e.groupBy("src").agg(F.sum("w").alias("total"))
     flow = e.join(out, "src").select("src", "dst", (F.col("w") / F.col("total")).alias("share")).checkpoint()
-    sources = out.select(F.col("src").alias("node"))
+    start = start.join(out.select(F.col("src").alias("node"), F.lit(True).alias("gives")), "node", "left").fillna(False, ["gives"]).checkpoint()
     ranks = start.withColumn("rank", F.col("bias"))
-    for i in range(rounds):
+    for _ in range(rounds):
         given = flow.join(ranks.select(F.col("node").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
-        dangling = ranks.join(sources, "node", "left_anti").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).scalar()
-        ranks = start.join(given, "node", "left").withColumn("rank", (1 - damping) * F.col("bias") + damping * (F.coalesce("got", F.lit(0.0)) + dangling * F.col("bias"))).drop("got")
-        if (i + 1) % cut_every == 0:
-            ranks = ranks.checkpoint()
+        dangling = ranks.filter("not gives").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).scalar()
+        ranks = start.join(given, "node", "left").withColumn("rank", (1 - damping) * F.col("bias") + damping * (F.coalesce("got", F.lit(0.0)) + dangling * F.col("bias"))).drop("got").checkpoint()
     return ranks.select("node", "rank")
 
 

@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarryline.functions.arrays import let
 from quarryline.operators.windows import renumbered, top_k
 
 #: Words left out of term lists, and words that name a failure.
@@ -106,7 +107,11 @@ def ngrams(tokens: Column, sizes: Sequence[int]) -> Column:
 
 
 def _grams_of(tokens: Column, n: int) -> Column:
-    return F.when(F.size(tokens) >= n, F.transform(F.sequence(F.lit(1), F.size(tokens) - n + 1), lambda i: F.array_join(F.slice(tokens, i, n), " "))).otherwise(F.array().cast("array<string>"))
+    def of(t: Column) -> Column:
+        grams = F.transform(F.sequence(F.lit(1), F.size(t) - n + 1), lambda i: F.array_join(F.slice(t, i, n), " "))
+        return F.when(F.size(t) >= n, grams).otherwise(F.array().cast("array<string>"))
+
+    return let(tokens, of)
 
 
 def tfidf(post: DataFrame, most_share: float = 1.0, least_df: int = 1) -> DataFrame:

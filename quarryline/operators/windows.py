@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quarryline.functions.arrays import let
 from quarryline.session import materialize
 
 
@@ -76,7 +77,7 @@ def last_items(array: Column, keep: int, most: int) -> Column:
 def tail_or_matching(parts: Column, tail: int, words: Sequence[str]) -> Column:
     """Elements of the last ``tail``, and earlier ones that hold one of the words."""
     pattern = "|".join(words)
-    return F.filter(parts, lambda x, i: (i >= F.greatest(F.size(parts) - tail, F.lit(0))) | F.lower(x).rlike(pattern))
+    return let(parts, lambda ps: F.filter(ps, lambda x, i: (i >= F.greatest(F.size(ps) - tail, F.lit(0))) | F.lower(x).rlike(pattern)))
 
 
 def renumbered(rows: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "position") -> DataFrame:
