@@ -24,6 +24,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarryline.functions.arrays import let
+
 #: Names of the two lists, newest first.
 JOB_LISTS = ("failed_validation_jobs", "failed_jobs")
 STEP_LISTS = ("failed_validation_step_names", "step_names")
@@ -77,8 +79,8 @@ def _filled(text: Column) -> Column:
 
 def _join_states(states: Column) -> Column:
     """Least upper bound of the children's states: none, the one state, or mixed."""
-    live = F.array_distinct(F.filter(states, lambda s: ~s.isin("null", "blank")))
-    return F.when(F.coalesce(F.size(live), F.lit(0)) == 0, "none").when(F.size(live) == 1, F.get(live, F.lit(0))).otherwise("mixed")
+    kinds = F.array_distinct(F.filter(states, lambda s: ~s.isin("null", "blank")))
+    return let(kinds, lambda live: F.when(F.coalesce(F.size(live), F.lit(0)) == 0, "none").when(F.size(live) == 1, F.get(live, F.lit(0))).otherwise("mixed"))
 
 
 def _step_from_variant(s: Column) -> Column:
@@ -97,15 +99,17 @@ def _step_from_text(s: Column) -> Column:
 
 
 def _job(fields: list[Column], steps: Column, alias: Column, container: Column, live: Column) -> Column:
-    state = F.concat_ws("/", alias, container, _join_states(F.transform(steps, lambda s: s["state"])))
-    return F.when(live, F.struct(*fields, steps.alias("steps"), state.alias("state")))
+    def of(s: Column) -> Column:
+        state = F.concat_ws("/", alias, container, _join_states(F.transform(s, lambda x: x["state"])))
+        return F.struct(*fields, s.alias("steps"), state.alias("state"))
+
+    return F.when(live, let(steps, of))
 
 
 def _job_from_variant(j: Column) -> Column:
-    steps = _first_key(j, STEP_LISTS)
     fields = [F.try_variant_get(j, f"$.{n}", t).alias(n) for n, t in JOB_FIELDS.items()]
-    listed = F.transform(_as_list(steps), _step_from_variant)
-    return _job(fields, listed, _alias_used(j, STEP_LISTS), _container(steps), j.isNotNull() & ~F.is_variant_null(j))
+    live = j.isNotNull() & ~F.is_variant_null(j)
+    return let(_first_key(j, STEP_LISTS), lambda steps: _job(fields, F.transform(_as_list(steps), _step_from_variant), _alias_used(j, STEP_LISTS), _container(steps), live))
 
 
 def _job_from_struct(j: Column) -> Column:
@@ -114,15 +118,17 @@ def _job_from_struct(j: Column) -> Column:
 
 
 def _commit(fields: list[Column], jobs: Column, alias: Column, container: Column, live: Column) -> Column:
-    kinds = F.transform(jobs, lambda j: F.coalesce(F.element_at(F.split(j["state"], "/"), -1), F.lit("null")))
-    state = F.concat_ws("/", alias, container, _join_states(kinds))
-    return F.when(live, F.struct(*fields, jobs.alias("jobs"), state.alias("state")))
+    def of(js: Column) -> Column:
+        kinds = F.transform(js, lambda j: F.coalesce(F.element_at(F.split(j["state"], "/"), -1), F.lit("null")))
+        return F.struct(*fields, js.alias("jobs"), F.concat_ws("/", alias, container, _join_states(kinds)).alias("state"))
+
+    return F.when(live, let(jobs, of))
 
 
 def _commit_from_variant(c: Column) -> Column:
-    jobs = _first_key(c, JOB_LISTS)
     fields = [F.try_variant_get(c, f"$.{n}", t).alias(n) for n, t in COMMIT_FIELDS.items()]
-    return _commit(fields, F.transform(_as_list(jobs), _job_from_variant), _alias_used(c, JOB_LISTS), _container(jobs), c.isNotNull() & ~F.is_variant_null(c))
+    live = c.isNotNull() & ~F.is_variant_null(c)
+    return let(_first_key(c, JOB_LISTS), lambda jobs: _commit(fields, F.transform(_as_list(jobs), _job_from_variant), _alias_used(c, JOB_LISTS), _container(jobs), live))
 
 
 def _commit_from_struct(c: Column) -> Column:
