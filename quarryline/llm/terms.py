@@ -4,7 +4,7 @@ Terms are hash-partitioned and ordered by record; per term the counters are occu
 and the last record identifier: a record counts when its identifier differs from the last one
 seen. No set of records is kept for any term.
 
-A row is combined before the shuffle (each of its terms once, with a count). A hot term is split
+A row is combined before the shuffle (each of its terms once, with a count; see ``combine_row``). A hot term is split
 by a salt made from the record identifier: all rows of a record meet in one salt, so the records
 of the salts just add up. The window, the counters per salt and their sum need two exchanges, the
 second of at most ``salts`` rows a term.
@@ -20,9 +20,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quarryline.functions.arrays import let
+
 SALTS = 64
 LEAST_RECORDS = 3
 MOST_SHARE = 0.1
+COMBINED = 256
 
 
 def name_form(text: Column) -> Column:
@@ -31,9 +34,19 @@ def name_form(text: Column) -> Column:
 
 
 def combine_row(terms: Column) -> Column:
-    """The distinct non-blank terms of one row with their counts: array<struct<term, n>>."""
-    kept = F.filter(terms, lambda t: t.isNotNull() & (F.regexp_replace(t, r"\s+", "") != ""))
-    return F.transform(F.array_distinct(kept), lambda t: F.struct(t.alias("term"), F.size(F.filter(kept, lambda x: x == t)).cast("bigint").alias("n")))
+    """The non-blank terms of one row with their counts: array<struct<term, n>>.
+
+    A row of up to ``COMBINED`` terms has each of them once; a longer one has its terms as they come, each with
+    a count of one, as comparing them with each other would take the square of their number. The counters
+    give the same either way.
+    """
+
+    def of(kept: Column) -> Column:
+        once = F.transform(F.array_distinct(kept), lambda t: F.struct(t.alias("term"), F.size(F.filter(kept, lambda x: x == t)).cast("bigint").alias("n")))
+        each = F.transform(kept, lambda t: F.struct(t.alias("term"), F.lit(1).cast("bigint").alias("n")))
+        return F.when(F.size(kept) <= COMBINED, once).otherwise(each)
+
+    return let(F.filter(terms, lambda t: t.isNotNull() & (F.regexp_replace(t, r"\s+", "") != "")), of)
 
 
 def term_counts(rows: DataFrame, record: str, lists: dict[str, Column], salts: int = SALTS) -> DataFrame:

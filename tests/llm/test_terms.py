@@ -46,6 +46,13 @@ def test_empty_and_long(spark):
     assert got["term"] == long.strip() and got["mark"] == "rare"
 
 
+def test_a_row_of_many_terms(spark):
+    steps = ["t0", "T1 ", None, ""] + [f"t{i % 7}" for i in range(20_000)]
+    df = frame(spark, [("1", [("j", steps)]), ("2", [("j", ["t0", "t0"])])])
+    got = {r["term"]: (r["occurrences"], r["records"]) for r in terms.job_and_step_terms(df).filter("field_name = 'step_names'").collect()}
+    assert got["t0"] == (1 + 2858 + 2, 2) and got["t1"] == (1 + 2857, 1)
+
+
 def test_hot_term_is_salted(spark):
     df = frame(spark, [(str(i), [("hot", None)]) for i in range(200)])
     tokens = terms.term_counts(df, "id", {"job_name": F.transform("failed_jobs", lambda j: j["job_name"])}, salts=8)
