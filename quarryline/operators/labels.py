@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarryline.functions.arrays import let
 from quarryline.operators.joins import first_per_key
 
 
@@ -23,8 +24,8 @@ def aligned_distinct(labels: Column, subs: Column, synonyms: Mapping[str, Sequen
     """array<struct<label, sub>>: canonical labels, first of each kept with its sub-label, blanks dropped, missing subs ''."""
     zipped = F.transform(labels, lambda x, i: F.struct(canonical(x, synonyms).alias("label"), F.coalesce(F.get(subs, i), F.lit("")).alias("sub")))
     kept = F.filter(zipped, lambda z: z["label"] != "")
-    names = F.transform(kept, lambda z: z["label"])
-    return F.filter(kept, lambda z, i: F.array_position(names, z["label"]) == i + 1)
+    first = lambda k, names: F.filter(k, lambda z, i: F.array_position(names, z["label"]) == i + 1)
+    return let(kept, lambda k: let(F.transform(k, lambda z: z["label"]), lambda names: first(k, names)))
 
 
 def updated_labels(old: Column, new: Column, mode: Column) -> Column:

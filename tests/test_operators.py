@@ -179,6 +179,12 @@ def test_labels(spark):
     assert [r[0] for r in cells.select(labels.label_cell(F.col("c"))).collect()] == [["x", "y"], ["x"], ["x"], [], [], ["[broken"]]
 
 
+def test_aligned_labels(spark):
+    df = spark.createDataFrame([(["tests", "x", "Test Failure", " ", "x"], ["a", None, "c"])], "l array<string>, s array<string>")
+    got = df.select(labels.aligned_distinct(F.col("l"), F.col("s"), {"Test Failure": ["tests"]}).alias("z")).first()["z"]
+    assert [tuple(z) for z in got] == [("Test Failure", "a"), ("x", "")]
+
+
 def test_violations_raise(spark):
     rows = spark.createDataFrame([("1", ["a"], ["x"]), ("1", ["q"], [])], "id string, l array<string>, s array<string>")
     found = labels.violations(rows, "id", "l", "s", ["a"], spark.createDataFrame([("1",), ("2",)], "id string"))
