@@ -42,14 +42,15 @@ def split_camel(text: Column) -> Column:
 
 def postings(docs: DataFrame, doc: str, tokens: Column, scope: Sequence[str] = ()) -> DataFrame:
     """scope, doc, term, tf, doc_len: one combinable aggregate."""
-    rows = docs.select(*scope, F.col(doc).alias("doc"), tokens.alias("_t")).filter("_t is not null")
+    rows = docs.select(*scope, F.col(doc).alias("doc"), tokens.alias("_t"))
     return rows.select(*scope, "doc", F.size("_t").alias("doc_len"), F.explode("_t").alias("term")).groupBy(*scope, "doc", "term").agg(F.count("*").alias("tf"), F.max("doc_len").alias("doc_len"))
 
 
 def bm25(post: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75, k: int = 10, idf: DataFrame | None = None) -> DataFrame:
     """query, doc, score, rank: the k best documents of each query with a positive score.
 
-    ``post`` holds (doc, term, tf, doc_len), ``queries`` (query, term); a term asked twice counts twice.
+    ``post`` holds (doc, term, tf, doc_len) and is read three times, so it is best a written index;
+    ``queries`` holds (query, term); a term asked twice counts twice.
     Inverse document frequency is log(1 + (n - df + 0.5) / (df + 0.5)), or given as (term, idf).
     """
     lens = post.groupBy("doc").agg(F.max("doc_len").alias("l"))
