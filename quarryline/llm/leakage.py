@@ -9,10 +9,11 @@ block is sent to every task. Documents are read once per block, in Arrow batches
    three shared triples close together are dropped without loss.
 3. SimHash. Around the seeds, windows of the document and of the item on the seeds' diagonals get
    weighted 128-bit fingerprints (words weighted by their rarity among items); pairs beyond the
-   Hamming radius go.
-4. Verification. Local alignment scores of all items near a stretch are computed together; where the
-   score is enough, the best local alignment of the words must match at least ``MATCHED_WORDS`` blank-
-   separated words of the item and ``SIMILARITY`` of the weight of the aligned item words.
+   Hamming radius go, unless the stretch around their seeds has words enough for a run of step 4.
+4. Verification. Some run of at least ``WINDOW`` blank-separated words of the item (or all of it) must
+   stand in the document with at most ``CHANGED`` of its words replaced, dropped or added, wherever the
+   changes are and however rare the words. Passages changed a little more still count where the best local
+   alignment matches ``MATCHED_WORDS`` words and ``SIMILARITY`` of the weight of the aligned item words.
 
 The method's multi-index over Hamming blocks gives way to the seeds of step 2 as the index. With a
 quarter of the words changed, windows are up to 32 of 128 bits apart (measured), and the radius is 36; a
@@ -51,6 +52,7 @@ STRETCH = 1000
 LEAST_SCORE = 8
 MATCHED_WORDS = 13
 SIMILARITY = 0.7
+CHANGED = 0.25
 BLOCK_WORDS = 1_000_000
 
 _WORD = re.compile(r"[^\W_]+")
@@ -107,6 +109,8 @@ class ItemIndex:
         self.foreign = 0.5 * sum(float(self.weight[self.number[w]]) for _, words, _ in self.items for w in words) / max(1, tokens)
         self.vectors = np.stack([_signs(w) for w in self.number]) * self.weight[:, None] if self.number else np.zeros((0, BITS), np.float32)
         self.codes = [np.array([self.number[w] for w in words], np.int64) for _, words, _ in self.items]
+        self.parts = [np.array(owner, np.int64) for _, _, owner in self.items]
+        self.part_weight = [1 / np.bincount(p)[p] for p in self.parts]
         # An item shorter than the window is one window of its own length.
         self.widths = [min(WINDOW, len(c)) for c in self.codes]
         self.prints = [_fingerprints(self.vectors[c], w) if len(c) else np.zeros((0, 2), np.uint64) for c, w in zip(self.codes, self.widths, strict=True)]
@@ -124,6 +128,7 @@ class ItemIndex:
         self.owner = np.concatenate(owner)[order] if keys else np.zeros(0, np.int64)
         self.place = np.concatenate(place)[order] if keys else np.zeros(0, np.int64)
         self._foreign_signs: dict[str, np.ndarray] = {}
+        self._seen = np.zeros(len(self.number) + 1, bool)  # the last place is for words no item has
 
     def _vectors(self, words: list[str], codes: np.ndarray) -> np.ndarray:
         out = np.empty((len(words), BITS), np.float32)
@@ -193,6 +198,19 @@ class ItemIndex:
                 return True
         return False
 
+    def has_words(self, a: np.ndarray, item: int) -> bool:
+        """Whether some run of the item has enough words that stand in ``a`` in any order."""
+        self._seen[a] = True
+        found = self.part_weight[item] * self._seen[self.codes[item]]
+        self._seen[a] = False
+        least = min(WINDOW, int(self.parts[item][-1]) + 1)
+        return bool(found.sum() >= (1 - CHANGED) * least - 1e-3 and _starts(self.parts[item], found).any())
+
+    def holds_run(self, a: np.ndarray, owner: np.ndarray, item: int) -> bool:
+        """Whether a run of the item's words stands in ``a`` with few enough changes."""
+        own = self.codes[item]
+        return run_within(*_units(a, owner, own), *_units(own, self.parts[item], a))
+
     def find(self, text: str | None) -> list[int]:
         """Numbers of the items that ``text`` holds."""
         if not text:
@@ -206,17 +224,25 @@ class ItemIndex:
         vectors, prints = self._vectors(words, codes), {}
         edges = np.flatnonzero(np.diff(item)) + 1
         near: list[tuple[int, np.ndarray]] = []
+        asked: list[tuple[int, np.ndarray]] = []
         for one, ps, qs in zip(np.split(item, edges), np.split(p, edges), np.split(q, edges), strict=True):
             i = int(one[0])
             width = self.widths[i]
             if width not in prints:
                 prints[width] = _fingerprints(vectors, width)
+            asked.append((i, np.unique(ps)))
             if self.near(prints[width], i, ps, qs):
-                near.append((i, np.unique(ps)))
-        if not near:
-            return []
-        good = self._aligned(codes, near)
-        return [i for i, ps in near if i in good and self.holds(codes, i, ps)]
+                near.append(asked[-1])
+        good = self._aligned(codes, near) if near else set()
+        found = {i for i, ps in near if i in good and self.holds(codes, i, ps)}
+        # Changes of the heaviest words put a passage beyond the radius; few pairs there have the words for a run.
+        left = [(i, low, high) for i, ps in asked if i not in found for low, high in _stretches(ps) if self.has_words(codes[low:high], i)]
+        if left:
+            owner = np.array(item_words(text)[1], np.int64)
+            for i, low, high in left:
+                if i not in found and self.holds_run(codes[low:high], owner[low:high], i):
+                    found.add(i)
+        return [i for i, _ in asked if i in found]
 
     def _aligned(self, codes: np.ndarray, near: list[tuple[int, np.ndarray]]) -> set[int]:
         """Items whose best local alignment around their seeds scores enough, all items of a stretch at once."""
@@ -282,6 +308,68 @@ def align(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, int, int]:
     return np.array(matched[::-1], np.int64), int(j), last
 
 
+def _units(codes: np.ndarray, owner: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes, weights and owners: the parts of a blank-separated word weigh one together; a word of which ``other`` has no part is one unit."""
+    if not len(codes):
+        return codes, np.zeros(0, np.float32), owner
+    _, word, n = np.unique(owner, return_inverse=True, return_counts=True)
+    first = np.concatenate([[True], word[1:] != word[:-1]])
+    some = np.bincount(word, np.isin(codes, other) & (codes >= 0)) > 0
+    keep = some[word] | first
+    weight = np.where(some, 1 / n, 1).astype(np.float32)
+    return np.where(some[word], codes, -1)[keep], weight[word][keep], word[keep]
+
+
+def _starts(owner: np.ndarray, found: np.ndarray) -> np.ndarray:
+    """For each word, whether a run from it has enough words by the weights ``found`` of those that occur at all."""
+    n_words = int(owner[-1]) + 1
+    least = min(WINDOW, n_words)
+    length = np.arange(least, min(2 * least - 1, n_words) + 1)
+    there = np.concatenate([[0], np.cumsum(np.bincount(owner, found, n_words))])
+    end = np.arange(n_words)[:, None] + length
+    inside = np.minimum(end, n_words)
+    return ((end <= n_words) & (there[inside] - there[:n_words, None] >= (1 - CHANGED) * length - 1e-3)).any(axis=1)
+
+
+def run_within(a: np.ndarray, a_weight: np.ndarray, a_owner: np.ndarray, b: np.ndarray, b_weight: np.ndarray, b_owner: np.ndarray) -> bool:
+    """Whether at least ``WINDOW`` words in sequence of ``b`` (or all) stand in ``a`` with at most ``CHANGED`` of them replaced, dropped or added.
+
+    Edit distance of all runs of ``b`` at once, one state per run. A run of twice the least length parts into two
+    of which one has no greater share of changes, so that longer ones need not be tried."""
+    if not len(a) or not len(b):
+        return False
+    n_words = int(b_owner[-1]) + 1
+    least = min(WINDOW, n_words)
+    most = min(2 * least - 1, n_words)
+    words = np.flatnonzero(_starts(b_owner, b_weight * np.isin(b, a[a >= 0])))
+    if not len(words):
+        return False
+    edge = np.searchsorted(b_owner, np.arange(n_words + 1))
+    added = np.cumsum(a_weight, dtype=np.float32)
+    added = np.concatenate([[np.float32(0)], added])
+    state = np.zeros((len(words), len(a) + 1), np.float32)
+    for k in range(int((edge[np.minimum(words + most, n_words)] - edge[words]).max())):
+        at = edge[words] + k
+        inside = at < edge[np.minimum(words + most, n_words)]
+        words, state, at = words[inside], state[inside], at[inside]
+        # Only words of the other side are -1, and those match nothing.
+        cost = np.where((b[at][:, None] == a) & (a >= 0), np.float32(0), b_weight[at][:, None])
+        row = state + b_weight[at][:, None]
+        np.minimum(row[:, 1:], state[:, :-1] + cost, out=row[:, 1:])
+        row -= added
+        np.minimum.accumulate(row, axis=1, out=row)
+        row += added
+        best, whole = row.min(axis=1), edge[b_owner[at] + 1] == at + 1
+        done = b_owner[at] + 1 - words
+        if (whole & (done >= least) & (best <= CHANGED * done + 1e-3)).any():
+            return True
+        open_ = best <= CHANGED * most + 1e-3
+        if not open_.any():
+            return False
+        words, state = words[open_], row[open_]
+    return False
+
+
 def _blocks(items: DataFrame, id_column: str, text_column: str, block_words: int) -> Iterator[list[tuple[int, list[str], list[int]]]]:
     block, size = [], 0
     for row in items.select(id_column, text_column).toLocalIterator():

@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+
 from quarryline.llm import leakage as op
 
 WORDS = [f"{a}{b}" for a in ("wal", "cur", "ban", "led", "pac", "mos", "anc", "ver") for b in ("ker", "sor", "ner", "ger", "ket", "aic", "hor", "ify", "lo", "ti")]
@@ -63,6 +65,36 @@ def test_radius_loses_nothing_that_verifies():
     assert found > 150 and lost <= 0.01 * found
 
 
+def test_a_quarter_of_changes_anywhere_is_found():
+    rng = random.Random(21)
+    texts = [item(rng, 40) for _ in range(30)]
+    # A quarter of the words of the first items is rare: changes of these weigh most.
+    texts = [" ".join(f"rare{i}x{k}" if i < 15 and k % 4 == 0 else w for k, w in enumerate(t.split())) for i, t in enumerate(texts)]
+    index = op.ItemIndex([(i, *op.item_words(t)) for i, t in enumerate(texts)])
+    for n in (20, 22, 25, 30, 40):
+        for i, t in enumerate(texts):
+            start = rng.randrange(0, 41 - n)
+            words = t.split()[start : start + n]
+            rare = [k for k, w in enumerate(words) if w.startswith("rare")]
+            first = rng.randrange(n - n // 4 + 1)
+            for k in rare[: n // 4] if rare else range(first, first + n // 4):
+                words[k] = f"zz{rng.randrange(10**6)}"
+            assert i in index.find(" ".join([*item(rng, 40).split(), *words, *item(rng, 40).split()])), (n, i)
+
+
+def test_fewer_words_are_not_found():
+    rng = random.Random(22)
+    texts = [item(rng, 40) for _ in range(10)]
+    index = op.ItemIndex([(i, *op.item_words(t)) for i, t in enumerate(texts)])
+    for i, t in enumerate(texts):
+        words = t.split()[5:25]
+        foreign = [f"zz{k}" for k in range(9)]
+        assert index.find(" ".join([*foreign * 5, *words[:9], *foreign * 5])) == []
+        assert index.find(" ".join([*foreign * 5, *words[:10], *foreign, *foreign, *words[10:], *foreign * 5])) == []
+        as_units = lambda w: (np.array([index.number[x] for x in w]), np.ones(len(w), np.float32), np.arange(len(w)))
+        assert op.run_within(*as_units(words[:15]), *as_units(words)) and not op.run_within(*as_units(words[:14]), *as_units(words))
+
+
 def test_batch_scores_equal_single_alignments():
     import numpy as np
 
