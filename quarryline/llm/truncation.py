@@ -7,7 +7,7 @@ Sources are pairs of an analyzer and a kind of text. Three parts give the log-od
    at the limit is one minus the number the uncensored density expects there over the number found.
 2. Signs of a cut at the end (ellipsis, "[truncated]", a count of dropped characters, U+FFFD).
 3. Endings. For the last piece of letters and the last one, two and three tokens, all texts of the
-   kind are counted: how often these end a text, go on, come before the end of a sentence, or
+   kind are counted, copies of longer prose once: how often these end a text, go on, come before the end of a sentence, or
    are the beginning of something longer. What is mostly a beginning is a fragment. A source that closes
    its sentences is expected to do so, except for endings that recur (short notes); in other sources
    an ending is held against the share of places at which a sentence ends there. A text's own ending is
@@ -135,6 +135,13 @@ def _grams_at(tokens: str, orders: tuple[int, ...], at: Column) -> list[tuple[in
     return out
 
 
+def _without_copies(texts: DataFrame) -> DataFrame:
+    """Copies of a text under other ids once: they say no more about its ending than one of them. Paths, and notes that
+    are not longer than the endings themselves, count each time; that they are written again is what shows them whole."""
+    one = F.xxhash64("analysis_id", "field_name", "part", "elem_pos")
+    return texts.withColumn("one", F.when((F.col("kind") == "path") | (F.size("t") <= 3), one)).dropDuplicates(["kind", "style", "h", "one"])
+
+
 def _gram_counts(texts: DataFrame) -> DataFrame:
     """kind, n, gram: goes_on, bounds (before the end of a sentence), ends_closing, ends_open. One combinable aggregate."""
 
@@ -145,6 +152,7 @@ def _gram_counts(texts: DataFrame) -> DataFrame:
 
         return F.flatten(F.transform(tokens, at))
 
+    texts = _without_copies(texts)
     rows = texts.select("kind", "style", F.explode(F.concat(of("t", (1, 2, 3)), of("p", (0,)))).alias("g")).filter("g.gram is not null")
     last, open_style = F.col("g.last"), F.col("style") == "open"
     return rows.groupBy("kind", "g.n", "g.gram").agg(
@@ -206,6 +214,7 @@ def _ending_features(texts: DataFrame) -> DataFrame:
 def _note_starts(texts: DataFrame) -> DataFrame:
     """kind, first, starts, open_starts: how texts of closing sources that begin with the same token end."""
     rows = texts.filter("style = 'closing' and not signed and first is not null")
+    rows = _without_copies(rows)
     return rows.groupBy("kind", "first").agg(F.count("*").alias("starts"), F.count_if(~F.col("closed")).alias("open_starts"))
 
 
@@ -235,7 +244,9 @@ def scored(analyses: DataFrame) -> DataFrame:
     # Short notes begin alike and are hardly ever closed; one that ends in a path has its extension.
     note = (F.col("starts") - 1 >= NOTE_TIMES) & (F.col("open_starts") - 1 >= NOTE_SHARE * (F.col("starts") - 1)) & (F.get("t", F.size("t") - 1) != "<path>")
     recurring = recurring | F.coalesce(note, F.lit(False))
-    closing = F.when(F.col("closed"), closed).when(recurring & ~fragment, RECURRING).otherwise(OPEN_TEXT)
+    # At the limit, where a cut is likelier than not, it is what makes an ending of prose recur. Whole paths pile up by themselves.
+    piled = at_limit & (F.coalesce("censoring", F.lit(0.0)) > 0.5)
+    closing = F.when(F.col("closed"), closed).when(recurring & ~fragment & ~piled, RECURRING).otherwise(OPEN_TEXT)
     path = F.when(recurring & ~fragment, RECURRING).otherwise(OPEN_TEXT)
     hazard = F.coalesce("hazard", F.lit(BASE_HAZARD))
     whole_word = F.when(at_limit, WHOLE_WORD).otherwise(0.0) + logit(F.lit(BASE_HAZARD)) - logit(hazard)

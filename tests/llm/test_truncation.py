@@ -63,6 +63,19 @@ def test_censored_fit_finds_the_limit():
     assert op.fit_limit(np.array([5]), np.array([1]))[2] is None
 
 
+def test_copies_of_a_cut_text_are_cut_and_repeated_notes_are_not(spark):
+    rows, cut = corpus(random.Random(5))
+    off_limit = " ".join(sentence(random.Random(i)) for i in range(2))[:71]
+    at_limit = " ".join(sentence(random.Random(9 + i)) for i in range(4))[:150]
+    for i in range(2000, 2700):
+        rows.append((i, "stops", [off_limit, at_limit, "No files matched"], [("Dockerfile", 1, None)], "", 0))
+        cut |= {(i, "error_context", 0), (i, "error_context", 1)}
+    found = {tuple(r) for r in op.cut_elements(op.scored(spark.createDataFrame(rows, SCHEMA))).collect()}
+    copies = {c for c in cut if c[0] >= 2000}
+    assert len(copies & found) == len(copies) == 1400
+    assert not {c for c in found - copies if c[0] >= 2000} and len(found & cut) / len(found) > 0.9
+
+
 def test_signs_nulls_and_empty(spark):
     rows = [(1, None, ["cut here...", None, "", "x [truncated]", "bad �", "so (+531 chars)"], [None, ("", 1, None)], "", 0), (1, None, ["cut here...", None, "", "x [truncated]", "bad �", "so (+531 chars)"], [None, ("", 1, None)], "", 0), (2, "a", None, None, "", 0), (3, "a", [], [], "", 0)]
     df = spark.createDataFrame(rows, SCHEMA)
