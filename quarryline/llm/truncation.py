@@ -3,7 +3,8 @@
 Sources are pairs of an analyzer and a kind of text. Three parts give the log-odds of a cut:
 
 1. Length. Per source a log-normal is fitted to the histogram of lengths by maximum likelihood, right-
-   censored at a candidate limit (the longest length that piles up). The censoring posterior of a value
+   censored at a candidate limit (the longest length, and lower ones that pile up and beyond which texts
+   become fewer). The censoring posterior of a value
    at the limit is one minus the number the uncensored density expects there over the number found.
 2. Signs of a cut at the end (ellipsis, "[truncated]", a count of dropped characters, U+FFFD).
 3. Endings. For the last piece of letters and the last one, two and three tokens, all texts of the
@@ -45,6 +46,8 @@ PRIOR = math.log(0.03 / 0.97)
 LIMIT_PRIOR_MOST = 2.0
 SIGNED, CLOSED_TEXT, RECURRING, OPEN_TEXT, FRAGMENT, WHOLE_WORD, ODD_QUOTES, BARE_PATH = 9.0, -5.0, -4.0, 5.0, 6.0, -1.8, 2.0, 8.0
 STYLE_SHARE = 0.5
+#: Texts beyond a limit that are no more than this share of a source may be strays.
+STRAY_SHARE = 0.02
 RECUR_TIMES, RECUR_SHARE, FRAGMENT_TIMES = 2, 0.3, 10
 #: Share of places at which a sentence ends where nothing is known of the ending.
 BASE_HAZARD = 0.05
@@ -81,11 +84,17 @@ def _tokens(text: Column, kind: Column) -> Column:
     return F.when(kind == "path", path).otherwise(prose)
 
 
-def fit_limit(lengths: np.ndarray, counts: np.ndarray) -> tuple[float, float, int | None, float]:
-    """mu and sigma of the log-normal, the limit (None without one) and the censoring posterior at it."""
+def fit_limit(lengths: np.ndarray, counts: np.ndarray, at_length: int | None = None, chance: float = 1e-4) -> tuple[float, float, int | None, float]:
+    """mu and sigma of the log-normal, the limit (None without one) and the censoring posterior at it.
+
+    The candidate is the longest length, or ``at_length``; texts beyond it count as censored there."""
     order = np.argsort(lengths)
-    x, c = np.log(lengths[order].astype(float)), counts[order].astype(float)
-    total, top = c.sum(), int(lengths[order][-1])
+    ends = lengths[order]
+    top = int(ends[-1] if at_length is None else at_length)
+    own, beyond = float(counts[order][ends == top].sum()), float(counts[order][ends > top].sum())
+    ends, c = ends[ends <= top], counts[order][ends <= top].astype(float)
+    c[-1] += beyond
+    x, total = np.log(ends.astype(float)), c.sum()
     mu = float((x * c).sum() / total)
     sigma = max(0.05, float(np.sqrt(((x - mu) ** 2 * c).sum() / total)))
     if total < 20 or len(x) < 5:
@@ -107,22 +116,61 @@ def fit_limit(lengths: np.ndarray, counts: np.ndarray) -> tuple[float, float, in
             break
     expected = total * (cdf((math.log(top + 0.5) - mu) / sigma) - cdf((math.log(top - 0.5) - mu) / sigma))
     # Chance of so many at one length by the density alone (Poisson, Chernoff bound).
-    log_chance = at - expected - at * math.log(at / max(expected, 1e-9)) if at > expected else 0.0
-    if at < 3 or log_chance > math.log(1e-4):
+    log_chance = _log_chance(own, expected) if own > expected else 0.0
+    if own < 3 or log_chance > math.log(chance):
         return mu, sigma, None, 0.0
-    return mu, sigma, top, float(min(0.999, max(0.0, 1 - expected / at)))
+    return mu, sigma, top, float(min(0.999, max(0.0, 1 - expected / own)))
+
+
+def _log_chance(found: float, expected: float) -> float:
+    """Chernoff bound of a Poisson count as far from its mean as ``found``."""
+    expected = max(expected, 1e-9)
+    return found - expected - (found * math.log(found / expected) if found else 0.0)
+
+
+def lower_limits(lengths: np.ndarray, counts: np.ndarray) -> list[tuple[int, float]]:
+    """Further limits below the longest length, with the censoring posterior at each.
+
+    A limit is a length that stands out of those around it and of the fitted density, and beyond which texts become
+    fewer: by significantly less in the window above than in the one below, or by few texts in all. Repeated notes
+    and names pile up too, but texts go on beyond them as before. Chances are corrected for the lengths tried."""
+    order = np.argsort(lengths)
+    x, c = lengths[order].astype(np.int64), counts[order].astype(float)
+    total, out = c.sum(), []
+    tried = np.flatnonzero((c >= 3) & (x < x[-1]))
+    upto = np.concatenate([[0.0], np.cumsum(c)])
+    within = lambda low, high: float(upto[np.searchsorted(x, high, "right")] - upto[np.searchsorted(x, low, "left")])
+    chance = 1e-4 / max(1, len(tried))
+    for k in tried:
+        at, own, width = int(x[k]), float(c[k]), max(5, int(x[k]) // 10)
+        low, high, beyond = within(at - width, at - 1), within(at + 1, at + width), total - upto[k + 1]
+        near = max(low, high, 1.0) / width
+        if own <= near or _log_chance(own, near) > math.log(chance):
+            continue
+        mu, sigma, limit, posterior = fit_limit(x, c, at, chance)
+        if limit is None:
+            continue
+        cdf = lambda z: 0.5 * math.erfc(-(math.log(max(z, 1e-9)) - mu) / sigma / math.sqrt(2))  # noqa: B023, E731
+        ratio = min(1.0, (cdf(at + width + 0.5) - cdf(at + 0.5)) / max(1e-9, cdf(at - 0.5) - cdf(at - width - 0.5)))
+        fewer = high < low * ratio and _log_chance(high, low * ratio) < math.log(chance)
+        if fewer or (beyond < own and beyond <= STRAY_SHARE * total):
+            out.append((at, posterior))
+    return out
 
 
 def length_limits(texts: DataFrame) -> DataFrame:
-    """analyzer, part, len_mu, len_sigma, len_limit, censoring, style: one row per source, from unsigned texts."""
+    """analyzer, part, len_mu, len_sigma, len_limits, censorings, closes: one row per source, from unsigned texts."""
 
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
         mu, sigma, limit, posterior = fit_limit(rows["len"].to_numpy(), rows["n"].to_numpy())
+        limits = ([] if limit is None else [(limit, posterior)]) + lower_limits(rows["len"].to_numpy(), rows["n_texts"].to_numpy())
         closed = float(rows["closed"].sum() / rows["n"].sum())
-        return pd.DataFrame({"analyzer": [rows["analyzer"].iloc[0]], "part": [rows["part"].iloc[0]], "len_mu": [mu], "len_sigma": [sigma], "len_limit": [limit], "censoring": [posterior], "closes": [closed]})
+        return pd.DataFrame({"analyzer": [rows["analyzer"].iloc[0]], "part": [rows["part"].iloc[0]], "len_mu": [mu], "len_sigma": [sigma], "len_limits": [[k for k, _ in limits]], "censorings": [[p for _, p in limits]], "closes": [closed]})
 
-    histogram = texts.filter("not signed").groupBy("analyzer", "part", "len").agg(F.count("*").alias("n"), F.count_if("closed").alias("closed"))
-    return histogram.groupBy("analyzer", "part").applyInPandas(fit, "analyzer string, part string, len_mu double, len_sigma double, len_limit int, censoring double, closes double")
+    # Limits below the longest length are looked for among distinct texts: copies are no pile.
+    unsigned = texts.filter("not signed").groupBy("analyzer", "part", "len", "h").agg(F.count("*").alias("n"), F.count_if("closed").alias("closed"))
+    histogram = unsigned.groupBy("analyzer", "part", "len").agg(F.sum("n").alias("n"), F.sum("closed").alias("closed"), F.count("*").alias("n_texts"))
+    return histogram.groupBy("analyzer", "part").applyInPandas(fit, "analyzer string, part string, len_mu double, len_sigma double, len_limits array<int>, censorings array<double>, closes double")
 
 
 def _grams_at(tokens: str, orders: tuple[int, ...], at: Column) -> list[tuple[int, Column]]:
@@ -231,12 +279,12 @@ def scored(analyses: DataFrame) -> DataFrame:
     texts = materialize(texts)  # five branches read it
     limits = length_limits(texts)
     same_source = F.col("e.analyzer").eqNullSafe(F.col("l.analyzer")) & (F.col("e.part") == F.col("l.part"))
-    styled = texts.alias("e").join(limits.alias("l"), same_source, "left").select("e.*", "len_limit", "censoring", (F.coalesce("closes", F.lit(0.0)) >= STYLE_SHARE).alias("closes"))
+    styled = texts.alias("e").join(limits.alias("l"), same_source, "left").select("e.*", F.get("censorings", F.array_position("len_limits", F.col("len")).cast("int") - 1).alias("censoring"), (F.coalesce("closes", F.lit(0.0)) >= STYLE_SHARE).alias("closes"))
     styled = styled.withColumn("style", F.when(F.col("kind") == "path", "path").when(F.col("closes"), "closing").otherwise("open"))
     styled = styled.withColumn("first", F.get("t", F.lit(0)))
     rows = styled.join(_ending_features(styled), ["analysis_id", "field_name", "part", "elem_pos", "h"], "left").join(_note_starts(styled), ["kind", "first"], "left")
 
-    at_limit = F.coalesce(F.col("len") == F.col("len_limit"), F.lit(False))
+    at_limit = F.col("censoring").isNotNull()
     logit = lambda p: F.log(p / (1 - p))
     prior = F.when(at_limit, F.least(logit(F.greatest("censoring", F.lit(0.05))), F.lit(LIMIT_PRIOR_MOST))).otherwise(PRIOR)
     recurring, fragment = F.coalesce("recurs", F.lit(False)), F.coalesce("fragment", F.lit(False))

@@ -76,6 +76,20 @@ def test_copies_of_a_cut_text_are_cut_and_repeated_notes_are_not(spark):
     assert not {c for c in found - copies if c[0] >= 2000} and len(found & cut) / len(found) > 0.9
 
 
+def test_limits_below_the_longest_text_are_found():
+    rng = np.random.default_rng(3)
+    x = np.exp(rng.normal(5, 0.5, 8000)).astype(int)
+    low, high = int(np.quantile(x, 0.8)), int(np.quantile(x, 0.95))
+    stray = np.append(np.minimum(x[:4000], low), 9000)
+    assert [k for k, p in op.lower_limits(*np.unique(stray, return_counts=True)) if p > 0.9] == [low]
+    changed = np.concatenate([np.minimum(x[:4000], low), np.minimum(x[4000:], high)])
+    assert [k for k, p in op.lower_limits(*np.unique(changed, return_counts=True)) if p > 0.9] == [low]
+    assert op.fit_limit(*np.unique(changed, return_counts=True))[2] == high
+    # Notes of one length are no limit, and neither is there one in whole texts.
+    assert op.lower_limits(*np.unique(np.append(x, [int(np.exp(5))] * 400), return_counts=True)) == []
+    assert op.lower_limits(*np.unique(x, return_counts=True)) == [] == op.lower_limits(np.array([5]), np.array([1]))
+
+
 def test_signs_nulls_and_empty(spark):
     rows = [(1, None, ["cut here...", None, "", "x [truncated]", "bad �", "so (+531 chars)"], [None, ("", 1, None)], "", 0), (1, None, ["cut here...", None, "", "x [truncated]", "bad �", "so (+531 chars)"], [None, ("", 1, None)], "", 0), (2, "a", None, None, "", 0), (3, "a", [], [], "", 0)]
     df = spark.createDataFrame(rows, SCHEMA)
