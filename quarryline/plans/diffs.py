@@ -185,7 +185,7 @@ def t11(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Terms within five places of each other, per document (T11; ranks of them are T12, T13)."""
     from quarryline.operators.text import terms
 
-    return graph.term_graph(table(spark, sf_dir, "documents").filter("source = 'commit_message'"), "doc_id", terms(F.col("text")))
+    return graph.term_graph(table(spark, sf_dir, "documents").filter("text is not null"), "doc_id", terms(F.col("text")))
 
 
 @_R.add("g04_neighbourhood", f"WITH {_EDGES_SQL}, sd AS (SELECT DISTINCT path AS node FROM parsed_file WHERE file_type = '.toml') SELECT node FROM sd WHERE node IS NOT NULL UNION SELECT dst FROM ed WHERE src IN (SELECT node FROM sd) UNION SELECT src FROM ed WHERE dst IN (SELECT node FROM sd)")

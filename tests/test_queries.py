@@ -48,6 +48,16 @@ def test_query(spark, sf_dir, duck, name):
     assert rows == Counter(repr(tuple(norm(r[i]) for i in order)) for r in cur.fetchall())
 
 
+def test_term_graph_is_over_all_documents(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from quarryline.operators.text import terms
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", F.slice(F.array_distinct(terms(F.col("text"))), 1, 2).alias("t")).filter("size(t) = 2")
+    assert docs.select("source").distinct().count() > 1
+    assert {r[0] for r in docs.select("doc_id").collect()} == {r[0] for r in QUERIES["t11_term_graph"](spark, sf_dir).select("doc").distinct().collect()}
+
+
 def test_sql_belongs_to_queries():
     assert set(SQL) <= set(QUERIES)
 
