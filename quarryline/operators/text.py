@@ -147,6 +147,15 @@ def jaccard_pairs(sets: DataFrame, scope: Sequence[str], id_column: str, items:
     return both.select(*scope, "id_a", "id_b", j.alias("jaccard")).filter(F.col("jaccard") >= least)
 
 
+def overlapping_pairs(sets: DataFrame, id_column: str, items: str) -> DataFrame:
+    """id_a, id_b (both ways), jaccard of all pairs that share an item. Pairs are counted from the postings, sets are not sent again."""
+    flat = sets.select(F.col(id_column).alias("id"), F.array_distinct(F.filter(items, lambda x: x.isNotNull())).alias("s"))
+    posts = flat.select("id", F.size("s").alias("n"), F.explode("s").alias("item"))
+    a, b = posts.withColumnsRenamed({"id": "id_a", "n": "n_a"}), posts.withColumnsRenamed({"id": "id_b", "n": "n_b"})
+    shared = a.join(b, "item").filter("id_a <> id_b").groupBy("id_a", "id_b", "n_a", "n_b").agg(F.count("*").alias("n"))
+    return shared.select("id_a", "id_b", (F.col("n") / (F.col("n_a") + F.col("n_b") - F.col("n"))).alias("jaccard"))
+
+
 def mean_jaccard(features: Sequence[tuple[Column, Column]]) -> Column:
     """Mean Jaccard similarity over pairs of feature sets; a pair of empty sets is passed over; null without any."""
     parts = [F.when(F.size(F.array_union(a, b)) > 0, F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))) for a, b in features]

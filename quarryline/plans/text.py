@@ -145,6 +145,37 @@ def j14(spark: SparkSession, sf_dir: str) -> DataFrame:
     return earlier_best(dates, both, "id", "dt", "jaccard")
 
 
+def _file_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "log_analysis").filter("instance_id is not null").select(F.col("instance_id").alias("id"), F.explode("relevant_files.file").alias("f")).filter("f is not null")
+    return rows.groupBy("id").agg(F.collect_set("f").alias("s"))
+
+
+@_R.add("t19_recurrence_all", f"WITH {_FILES_SQL}, q AS (SELECT a.id, coalesce(max(len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s)))), 0) AS b FROM fs a LEFT JOIN fs b ON a.id <> b.id GROUP BY 1) SELECT count(*) AS n_ids, round(avg(b), 9) AS mean_best FROM q")
+def t19_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T19 over every instance with files, however small its best similarity; one that shares no file counts as 0."""
+    sets = _file_sets(spark, sf_dir)
+    best = op.overlapping_pairs(sets, "id", "s").groupBy(F.col("id_a").alias("id")).agg(F.max("jaccard").alias("best"))
+    rows = sets.select("id").join(best, "id", "left")
+    return rows.agg(F.count("*").alias("n_ids"), F.round(F.avg(F.coalesce("best", F.lit(0.0))), 9).alias("mean_best"))
+
+
+@_R.add(
+    "j14_historical_recurrence_all",
+    f"""WITH {_FILES_SQL}, d AS (SELECT instance_id AS id, min(created_at) AS dt FROM log_analysis WHERE instance_id IS NOT NULL AND created_at IS NOT NULL GROUP BY 1), x AS (SELECT fs.id, s, dt FROM fs JOIN d ON d.id = fs.id)
+SELECT a.id AS id_a, max(len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s)))) AS best FROM x a JOIN x b ON b.dt < a.dt GROUP BY 1""",
+)
+def j14_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best similarity to an earlier instance, however small; 0 where no earlier one shares a file."""
+    from quarryline.operators.joins import earlier_best
+
+    sets = _file_sets(spark, sf_dir)
+    dates = table(spark, sf_dir, "log_analysis").filter("instance_id is not null and created_at is not null").groupBy(F.col("instance_id").alias("id")).agg(F.min("created_at").alias("dt"))
+    dated = sets.join(dates, "id").select("id", "dt")
+    best = earlier_best(dates, op.overlapping_pairs(sets, "id", "s"), "id", "dt", "jaccard")
+    later = dated.join(dated.agg(F.min("dt").alias("first")), F.col("dt") > F.col("first")).select(F.col("id").alias("id_a"))
+    return later.join(best, "id_a", "left").select("id_a", F.coalesce("best", F.lit(0.0)).alias("best"))
+
+
 @_R.add("t20_text_slices", "SELECT doc_id, right(text, 100) AS tail, left(text, 50) AS head FROM documents")
 def t20(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.right("text", F.lit(100)).alias("tail"), F.left("text", F.lit(50)).alias("head"))

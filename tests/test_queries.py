@@ -58,6 +58,15 @@ def test_term_graph_is_over_all_documents(spark, sf_dir):
     assert {r[0] for r in docs.select("doc_id").collect()} == {r[0] for r in QUERIES["t11_term_graph"](spark, sf_dir).select("doc").distinct().collect()}
 
 
+def test_recurrence_counts_every_instance(spark, sf_dir, duck):
+    n = duck.execute("SELECT count(DISTINCT instance_id) FROM (SELECT instance_id, unnest(relevant_files) AS r FROM log_analysis) WHERE r.file IS NOT NULL").fetchone()[0]
+    whole, cut = (QUERIES[k](spark, sf_dir).first() for k in ("t19_recurrence_all", "t19_recurrence"))
+    assert whole["n_ids"] == n > cut["n_ids"] and whole["mean_best"] is not None
+    best = {r["id_a"]: r["best"] for r in QUERIES["j14_historical_recurrence_all"](spark, sf_dir).collect()}
+    cut = {r["id_a"]: r["best"] for r in QUERIES["j14_historical_recurrence"](spark, sf_dir).collect()}
+    assert len(best) > len(cut) and all(best[k] == v for k, v in cut.items())
+
+
 def test_sql_belongs_to_queries():
     assert set(SQL) <= set(QUERIES)
 
