@@ -131,6 +131,12 @@ def o06(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "all_instances_metadata").select("id").distinct().orderBy(*op.natural_order("id")).limit(50)
 
 
+@_R.add("o06_natural_order_all", "SELECT DISTINCT id FROM all_instances_metadata ORDER BY TRY_CAST(id AS BIGINT) IS NULL, TRY_CAST(id AS BIGINT), id")
+def o06_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ids in natural order (O06); o06_natural_order shows the first 50, as its SQL does."""
+    return table(spark, sf_dir, "all_instances_metadata").select("id").distinct().orderBy(*op.natural_order("id"))
+
+
 @_R.add("o08_seeded_sample")
 def o08(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.seeded_sample(table(spark, sf_dir, "all_instances_metadata").select("record_id", "id"), "record_id", 10, 42)

@@ -11,6 +11,7 @@ from decimal import Decimal
 import duckdb
 import pytest
 
+from quarryline.operators import windows
 from quarryline.plans import catalog
 
 QUERIES = {n: q for m in catalog.modules() for n, q in m.QUERIES.items()}
@@ -67,6 +68,16 @@ def test_recurrence_counts_every_instance(spark, sf_dir, duck):
     assert len(best) > len(cut) and all(best[k] == v for k, v in cut.items())
 
 
+def test_natural_order_sorts_every_id(spark, sf_dir, duck):
+    ids = [r[0] for r in QUERIES["o06_natural_order_all"](spark, sf_dir).collect()]
+    rows = [r[0] for r in duck.execute(SQL["o06_natural_order_all"]).fetchall()]
+    assert len(ids) == duck.execute("SELECT count(*) FROM (SELECT DISTINCT id FROM all_instances_metadata)").fetchone()[0]
+    # Nulls may stand at either end.
+    assert [i for i in ids if i is not None] == [i for i in rows if i is not None]
+    more = spark.createDataFrame([(str(i),) for i in range(120)], "id string").orderBy(*windows.natural_order("id"))
+    assert [r[0] for r in more.collect()] == [str(i) for i in range(120)]
+
+
 def test_sql_belongs_to_queries():
     assert set(SQL) <= set(QUERIES)
 
