@@ -4,9 +4,13 @@
    members, RFC 4180 records). It loads conforming rows with their values typed.
 2. The offsets of the loaded rows are subtracted from the raw offsets by a left anti join.
 3. Only the remainder goes to Python (Arrow batches), where an exact reader names the first reason.
-   A valid line that the pattern leaves out (nested values, lines of more than ``PATTERN_CHARS``
-   characters, which would recurse too deep in the JVM's matcher) comes back from there as a row,
-   so the two loaders together are exact.
+   A valid line that the pattern leaves out (nested values, numbers that are no plain integers, line
+   breaks inside a line, lines of more than ``PATTERN_CHARS`` characters, which would recurse too deep
+   in the JVM's matcher) comes back from there as a row, so the two loaders together are exact.
+
+Both loaders give the same values. A JSON string is its decoded text, in which half of a surrogate pair
+is "?"; any other JSON value is its source text, so no digit and no inner object changes; null and an
+empty CSV field are null.
 
 Defined cases: lines of nothing but spaces and tabs are neither rows nor rejects; a null line is
 such a line; repeated lines are rows of their own; a file that is neither ``*.jsonl`` nor ``*.csv``
@@ -17,6 +21,7 @@ counts as part of the line end; other columns of the input are ignored.
 from __future__ import annotations
 
 import json
+import re
 from dataclasses import dataclass
 
 import pandas as pd
@@ -31,11 +36,12 @@ PATTERN_CHARS = 4000
 
 _WS = r"[ \t\n\r]*+"
 _STRING = r'"(?:[^"\\\x00-\x1f]++|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*+"'
-_NUMBER = r"-?(?:0|[1-9][0-9]*+)(?:\.[0-9]++)?(?:[eE][+-]?[0-9]++)?"
+#: Integers that a JSON reader gives back as they were written; other numbers are for the exact reader.
+_NUMBER = r"(?:0|-?[1-9][0-9]{0,17})"
 _MEMBER = rf'(?:"(?:status|conclusion)"{_WS}:{_WS}(?:{_STRING}|null)|"(?:id|repo_name|url|workflow|patch_applied|sha_original|commit)"{_WS}:{_WS}(?:{_STRING}|{_NUMBER}|true|false|null))'
 JSON_LINE = rf"\A{_WS}\{{{_WS}{_MEMBER}(?:{_WS},{_WS}{_MEMBER}){{{len(FIELDS) - 1}}}{_WS}\}}{_WS}\z"
 _FIELD = r'(?:"[^"]*+(?:""[^"]*+)*+"|[^",]*+)'
-CSV_LINE = rf"\A{_FIELD}(?:,{_FIELD}){{{len(FIELDS) - 1}}}\r?\z"
+CSV_LINE = rf"\A(?![^\r\n\x00]*+(?:\n|\r(?!\z)|\x00)){_FIELD}(?:,{_FIELD}){{{len(FIELDS) - 1}}}\r?\z"
 
 ROW_TYPE = "struct<" + ", ".join(f"{f}:string" for f in FIELDS) + ">"
 DIAGNOSIS = f"struct<reason:string, row:{ROW_TYPE}>"
@@ -90,36 +96,62 @@ def _reject_constant(_: str) -> None:
     raise ValueError("not JSON")
 
 
-class _Members(list):
-    """Members of an object in order, so that repeated keys can be seen."""
+_DECODER = json.JSONDecoder(object_pairs_hook=list, parse_constant=_reject_constant, parse_int=str, parse_float=str)
+_BLANKS = re.compile(r"[ \t\n\r]*")
+
+
+def split_object(line: str) -> list[tuple[str, bool, str | None]] | None:
+    """(key, whether the value is a string or null, value) of the members of one JSON object, or None where the line is none.
+
+    The value of a string is its text, of anything else its source, so that nothing is read and written again."""
+    at = _BLANKS.match(line).end()
+    if not line.startswith("{", at):
+        return None
+    out, at = [], _BLANKS.match(line, at + 1).end()
+    done = line.startswith("}", at)
+    while not done:
+        if not line.startswith('"', at):
+            return None
+        key, at = _DECODER.raw_decode(line, at)
+        at = _BLANKS.match(line, at).end()
+        if not line.startswith(":", at):
+            return None
+        start = _BLANKS.match(line, at + 1).end()
+        value, at = _DECODER.raw_decode(line, start)
+        is_text = value is None or line.startswith('"', start)
+        out.append((key, is_text, _valid_text(value) if is_text else line[start:at]))
+        at = _BLANKS.match(line, at).end()
+        done = line.startswith("}", at)
+        if not done:
+            if not line.startswith(",", at):
+                return None
+            at = _BLANKS.match(line, at + 1).end()
+    return out if _BLANKS.match(line, at + 1).end() == len(line) else None
 
 
-def _bad(value: object, allowed: tuple[str, ...]) -> bool:
-    if value is None:
-        return False
-    if not isinstance(value, str):
-        return True
-    return bool(value.strip()) and value.strip(" ").lower() not in allowed
+def _valid_text(value: str | None) -> str | None:
+    return None if value is None else value.encode("utf-8", "replace").decode("utf-8")
 
 
-def _as_text(value: object) -> str | None:
-    if value is None or isinstance(value, str):
-        return value
-    return json.dumps(dict(value) if isinstance(value, _Members) else value, default=str)
+def _bad(value: str | None, is_text: bool, allowed: tuple[str, ...]) -> bool:
+    if value is None:
+        return False
+    return not is_text or bool(value.strip()) and value.strip(" ").lower() not in allowed
 
 
 def diagnose(kind: str | None, line: str) -> tuple[str | None, dict[str, str | None] | None]:
     """(first reason that holds, None), or (None, the row) for a valid line."""
     if kind == "jsonl":
         try:
-            members = json.loads(line, object_pairs_hook=_Members, parse_constant=_reject_constant, parse_int=str if len(line) > PATTERN_CHARS else None)
+            members = split_object(line)
         except (ValueError, RecursionError):
+            members = None
+        if members is None:
             return "broken_record", None
-        if not isinstance(members, _Members):
-            return "broken_record", None
-        if sorted(k for k, _ in members) != sorted(FIELDS):
+        if sorted(k for k, *_ in members) != sorted(FIELDS):
             return "field_count", None
-        row = dict(members)
+        row = {k: v for k, _, v in members}
+        texts = {k for k, is_text, _ in members if is_text}
     elif kind == "csv":
         values = split_csv(line)
         if values is None:
@@ -127,13 +159,14 @@ def diagnose(kind: str | None, line: str) -> tuple[str | None, dict[str, str | N
         if len(values) != len(FIELDS):
             return "field_count", None
         row = {f: v or None for f, v in zip(FIELDS, values, strict=True)}
+        texts = set(FIELDS)
     else:
         return "broken_record", None
-    if _bad(row["status"], STATUSES):
+    if _bad(row["status"], "status" in texts, STATUSES):
         return "bad_status", None
-    if _bad(row["conclusion"], CONCLUSIONS):
+    if _bad(row["conclusion"], "conclusion" in texts, CONCLUSIONS):
         return "bad_conclusion", None
-    return None, {f: _as_text(row[f]) for f in FIELDS}
+    return None, row
 
 
 @dataclass(frozen=True)

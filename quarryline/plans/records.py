@@ -100,16 +100,51 @@ def p3_steps_from_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _nested(spark, sf_dir).subtype("step", "object")
 
 
-@_R.add("p4_found")
+#: A line's texts and kind; JSON by its grammar (DuckDB also takes commas before an end and NaN, so what is left without the strings is looked at), CSV by one pattern.
+_LINES_SQL = """
+WITH ln AS (
+  SELECT line_id, file_name, line_no, raw_line, CASE WHEN ends_with(lower(file_name), '.jsonl') THEN 'jsonl' WHEN ends_with(lower(file_name), '.csv') THEN 'csv' END AS kind,
+    regexp_replace(raw_line, '\\r$', '') AS l, regexp_replace(raw_line, '"(?:[^"\\\\]|\\\\.)*"', '""', 'g') AS bare
+  FROM jobs_ids_diff WHERE regexp_matches(raw_line, '[^ \\t]')
+), js AS (
+  SELECT *, json_valid(raw_line) AND NOT regexp_matches(bare, ',\\s*[\\]}]') AND NOT regexp_matches(lower(bare), 'nan|inf') AND CASE WHEN json_valid(raw_line) THEN json_type(raw_line) END = 'OBJECT' AS ok
+  FROM ln WHERE kind = 'jsonl'
+), jf AS (
+  SELECT line_id, file_name, line_no, raw_line, coalesce(ok, false) AS ok, CASE WHEN ok THEN list_sort(json_keys(raw_line)) = ['commit', 'conclusion', 'id', 'patch_applied', 'repo_name', 'sha_original', 'status', 'url', 'workflow'] END AS whole,
+    CASE WHEN ok THEN list_transform(['id', 'repo_name', 'url', 'workflow', 'status', 'conclusion', 'patch_applied', 'sha_original', 'commit'], lambda k: json_extract_string(raw_line, '$.' || k)) END AS v,
+    CASE WHEN ok THEN coalesce(json_type(raw_line, '$.status'), 'NULL') IN ('NULL', 'VARCHAR') END AS s_text, CASE WHEN ok THEN coalesce(json_type(raw_line, '$.conclusion'), 'NULL') IN ('NULL', 'VARCHAR') END AS c_text
+  FROM js
+), cs AS (
+  SELECT *, regexp_full_match(l, '(?s)(?:"[^"]*(?:""[^"]*)*"|[^",]*)(?:,(?:"[^"]*(?:""[^"]*)*"|[^",]*))*') AS ok FROM ln WHERE kind = 'csv'
+), cf AS (
+  SELECT line_id, file_name, line_no, raw_line, ok, CASE WHEN ok THEN list_transform(regexp_extract_all(',' || l, '(?s),("[^"]*(?:""[^"]*)*"|[^",]*)', 1), lambda f: nullif(CASE WHEN starts_with(f, '"') THEN replace(f[2:-2], '""', '"') ELSE f END, '')) END AS v FROM cs
+), f AS (
+  SELECT line_id, file_name, line_no, raw_line, ok, whole, v, s_text, c_text FROM jf
+  UNION ALL SELECT line_id, file_name, line_no, raw_line, ok, len(v) = 9, v, true, true FROM cf
+  UNION ALL SELECT line_id, file_name, line_no, raw_line, false, NULL, NULL, NULL, NULL FROM ln WHERE kind IS NULL
+), g AS (
+  SELECT *, CASE WHEN NOT ok THEN 'broken_record' WHEN NOT whole THEN 'field_count'
+    WHEN NOT s_text OR lower(trim(v[5])) NOT IN ('', 'queued', 'in_progress', 'completed', 'waiting') THEN 'bad_status'
+    WHEN NOT c_text OR lower(trim(v[6])) NOT IN ('', 'success', 'failure', 'cancelled', 'timed_out', 'waiting', 'error') THEN 'bad_conclusion' END AS reason FROM f
+)
+"""
+
+
+@_R.add("p4_found", _LINES_SQL + "SELECT line_id, reason FROM g WHERE reason IS NOT NULL")
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _loaded(spark, sf_dir).rejects.select("line_id", "reason")
 
 
-@_R.add("p4_rows")
+@_R.add(
+    "p4_rows",
+    _LINES_SQL
+    + """SELECT line_id, file_name, line_no, trim(v[1]) AS id, trim(v[2]) AS repo_name, trim(v[3]) AS url, trim(v[4]) AS workflow, nullif(lower(trim(v[5])), '') AS status, nullif(lower(trim(v[6])), '') AS conclusion,
+  CASE WHEN lower(trim(v[7])) IN ('true', 'false') THEN lower(trim(v[7])) = 'true' END AS patch_applied, trim(v[8]) AS sha_original, trim(v[9]) AS commit FROM g WHERE reason IS NULL""",
+)
 def p4_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _loaded(spark, sf_dir).rows
 
 
-@_R.add("p4_rejects")
+@_R.add("p4_rejects", _LINES_SQL + "SELECT line_id, file_name, line_no, raw_line, reason FROM g WHERE reason IS NOT NULL")
 def p4_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _loaded(spark, sf_dir).rejects

@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quarryline.operators.strict_load import FIELDS, PATTERN_CHARS, diagnose, split_csv, strict_load
+from quarryline.operators.strict_load import FIELDS, PATTERN_CHARS, diagnose, split_csv, split_object, strict_load
 
 GOOD = dict(id="1", repo_name="r", url="u", workflow="w", status="completed", conclusion="success", patch_applied=True, sha_original="a", commit="b")
 SCHEMA = "line_id bigint, file_name string, line_no int, raw_line string, reason string"
@@ -46,6 +46,33 @@ def test_repeated_and_null_ids(spark):
     assert [r["reason"] for r in out.rejects.collect()] == ["broken_record"]
 
 
+ODD = ["1e400", "12345678901234567890123", "1.50", "-0", "0.1e+05", '{"a": {"b": 1}}', '[ "\u00e9" , 1.0 ]', "true", "[]", "null", '"\\ud800x"', '"\\ud83d\\ude00"', '"a\\u0000b"', '"\u00e9\\n"', "7", '" 8 "']
+
+
+def test_both_routes_give_the_same_values(spark):
+    """Blanks after an object change nothing but take the line past the pattern's length."""
+    lines = [j(workflow="@").replace('"@"', v) for v in ODD]
+    fields = ["1", '"a ""b"""', " x ", '"in, side"', "completed", '""', "true", "\tx", "end"]
+    csv_lines = [",".join(fields), ",".join(fields) + "\r", ",".join([*fields[:3], '"two\nlines"', *fields[4:]]), ",".join([*fields[:3], "two\rlines", *fields[4:]])]
+    short, _ = load(spark, [("a.jsonl", x) for x in lines] + [("b.csv", x) for x in csv_lines])
+    long_, _ = load(spark, [("a.jsonl", x + " " * PATTERN_CHARS) for x in lines] + [("b.csv", x.replace(",end", "," + "end" * PATTERN_CHARS)) for x in csv_lines])
+    assert len(short) == len(ODD) + 4
+    for i in short:
+        assert [short[i][f] for f in (*FIELDS[:8], "line_no")] == [long_[i][f] for f in (*FIELDS[:8], "line_no")], i
+    assert [short[i]["workflow"] for i in (0, 1, 2, 5, 6)] == ["1e400", "12345678901234567890123", "1.50", '{"a": {"b": 1}}', '[ "\u00e9" , 1.0 ]']
+    assert short[10]["workflow"] == "?x" and short[11]["workflow"] == "\U0001f600" and short[len(ODD) + 2]["workflow"] == "two\nlines"
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.recursive(st.none() | st.booleans() | st.floats(allow_nan=False, allow_infinity=False) | st.integers() | st.text(max_size=5), lambda x: st.lists(x, max_size=3) | st.dictionaries(st.text(max_size=3), x, max_size=3), max_leaves=8))
+def test_split_object_reads_what_json_reads(value):
+    line = json.dumps({"k": value, "\u00e9 ": 1}, indent=1)
+    (key, is_text, got), (other, _, one) = split_object(line)
+    assert (key, other, one) == ("k", "\u00e9 ", "1")
+    assert got == (None if value is None else value.encode("utf-8", "replace").decode()) if is_text else json.loads(got) == value
+    assert split_object(line[:-1]) is None and split_object(line + "x") is None
+
+
 def test_empty(spark):
     out = strict_load(spark.createDataFrame([], SCHEMA))
     assert out.rows.count() == 0 and out.rejects.count() == 0
