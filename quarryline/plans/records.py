@@ -48,7 +48,7 @@ WITH src AS (
   SELECT record_id, commit_pos, job_pos, step_pos,
     CASE WHEN json_type(s) = 'OBJECT' THEN json_extract_string(s, '$.name') WHEN json_type(s) = 'NULL' THEN NULL ELSE json_extract_string(s, '$') END AS step_name,
     CASE WHEN json_type(s) = 'OBJECT' THEN CAST(json_extract_string(s, '$.number') AS INTEGER) END AS step_number,
-    CASE WHEN json_type(s) = 'OBJECT' THEN 'object' ELSE 'text' END AS variant FROM s0
+    CASE json_type(s) WHEN 'OBJECT' THEN 'object' WHEN 'VARCHAR' THEN 'text' ELSE 'other' END AS variant FROM s0
 ), st AS (SELECT * FROM s WHERE regexp_replace(step_name, '\\s+', '', 'g') <> '')
 """
 
@@ -64,7 +64,37 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _nested(spark, sf_dir).nodes()
 
 
-@_R.add("p3_commits")
+#: The variants by grouping: a list's name and container, and what its children are.
+_VARIANTS_SQL = (
+    _NESTED_SQL
+    + """, ty AS (SELECT record_id, commits IS NOT NULL AS typed FROM all_instances_metadata),
+sk AS (SELECT record_id, commit_pos, job_pos, CASE json_type(s) WHEN 'OBJECT' THEN 'object' WHEN 'VARCHAR' THEN 'text' ELSE 'other' END AS kind
+  FROM s JOIN s0 USING (record_id, commit_pos, job_pos, step_pos) WHERE regexp_replace(step_name, '\\s+', '', 'g') <> ''),
+jk AS (SELECT j.record_id, j.commit_pos, j.job_pos, any_value(j.j) AS j, CASE count(DISTINCT sk.kind) WHEN 0 THEN 'none' WHEN 1 THEN min(sk.kind) ELSE 'mixed' END AS kids
+  FROM j LEFT JOIN sk USING (record_id, commit_pos, job_pos) GROUP BY 1, 2, 3),
+jv AS (SELECT jk.*, CASE WHEN typed THEN 'typed' WHEN coalesce(json_type(j, '$.failed_validation_step_names'), 'NULL') <> 'NULL' THEN 'failed_validation_step_names' WHEN coalesce(json_type(j, '$.step_names'), 'NULL') <> 'NULL' THEN 'step_names' ELSE 'none' END AS list_name,
+  coalesce(nullif(json_type(j, '$.failed_validation_step_names'), 'NULL'), nullif(json_type(j, '$.step_names'), 'NULL')) AS box FROM jk JOIN ty USING (record_id)),
+ck AS (SELECT c.record_id, c.commit_pos, any_value(c.c) AS c, CASE count(DISTINCT nullif(jk.kids, 'none')) WHEN 0 THEN 'none' WHEN 1 THEN min(nullif(jk.kids, 'none')) ELSE 'mixed' END AS kids FROM c LEFT JOIN jk USING (record_id, commit_pos) GROUP BY 1, 2),
+cv AS (SELECT ck.*, CASE WHEN typed THEN 'typed' WHEN coalesce(json_type(c, '$.failed_validation_jobs'), 'NULL') <> 'NULL' THEN 'failed_validation_jobs' WHEN coalesce(json_type(c, '$.failed_jobs'), 'NULL') <> 'NULL' THEN 'failed_jobs' ELSE 'none' END AS list_name,
+  coalesce(nullif(json_type(c, '$.failed_validation_jobs'), 'NULL'), nullif(json_type(c, '$.failed_jobs'), 'NULL')) AS box FROM ck JOIN ty USING (record_id))
+"""
+)
+_BOX = "CASE WHEN box IS NULL THEN 'absent' WHEN box = 'ARRAY' THEN 'list' ELSE 'bare' END"
+_SPELLINGS = (
+    "%Y-%m-%dT%H:%M:%S%z", "%Y-%m-%dT%H:%M:%S.%g%z", "%Y-%m-%dT%H:%M:%S", "%Y-%m-%d %H:%M:%S%z", "%Y-%m-%d %H:%M:%S", "%Y-%m-%d %H:%M", "%Y/%m/%d %H:%M:%S", "%Y/%m/%d %H:%M", "%Y/%m/%d",
+    "%d.%m.%Y %H:%M:%S", "%d.%m.%Y %H:%M", "%d.%m.%Y", "%d/%m/%Y %H:%M:%S", "%Y%m%dT%H%M%S%z", "%Y%m%dT%H%M%S", "%Y-%m-%d",
+)
+_DATE_SQL = "coalesce(" + ", ".join(f"CAST(try_strptime(d, '{x}') AS TIMESTAMP)" for x in _SPELLINGS) + ", CASE WHEN regexp_full_match(d, '[0-9]{9,10}') THEN make_timestamp(CAST(d AS BIGINT) * 1000000) END)"
+
+
+@_R.add(
+    "p3_commits",
+    _VARIANTS_SQL
+    + f""", cd AS (SELECT cv.*, regexp_replace(trim(json_extract_string(c, '$.commit_date')), 'Z$', '+00:00') AS d FROM cv)
+SELECT record_id, CAST(commit_pos AS INTEGER) AS commit_pos, id, json_extract_string(c, '$.original_commit') AS original_commit, json_extract_string(c, '$.commit_type') AS commit_type, json_extract_string(c, '$.commit_date') AS commit_date,
+  TRY_CAST(json_extract_string(c, '$.workflow_run_id') AS BIGINT) AS workflow_run_id, json_extract_string(c, '$.workflow_conclusion') AS workflow_conclusion, TRY_CAST(json_extract_string(c, '$.pending') AS BOOLEAN) AS pending,
+  {_DATE_SQL} AS committed_at, list_name || '/' || {_BOX} || '/' || kids AS variant FROM cd JOIN (SELECT record_id, id FROM all_instances_metadata) USING (record_id)""",
+)
 def p3_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _nested(spark, sf_dir).commits()
 
@@ -88,7 +118,7 @@ def p3_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _nested(spark, sf_dir).steps()
 
 
-@_R.add("p3_variants")
+@_R.add("p3_variants", _VARIANTS_SQL + f"SELECT list_name || '/' || {_BOX} || '/' || kids AS variant, count(*) AS n_jobs FROM jv GROUP BY 1")
 def p3_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many jobs each structural variant has."""
     return _nested(spark, sf_dir).jobs().groupBy("variant").agg(F.count("*").alias("n_jobs"))
@@ -97,7 +127,7 @@ def p3_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_R.add("p3_steps_from_objects", _NESTED_SQL + "SELECT record_id, CAST(commit_pos AS INTEGER) AS commit_pos, CAST(job_pos AS INTEGER) AS job_pos, CAST(step_pos AS INTEGER) AS step_pos, step_name, step_number, variant FROM st WHERE variant = 'object'")
 def p3_steps_from_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The subtype table of steps that came as objects."""
-    return _nested(spark, sf_dir).subtype("step", "object")
+    return _nested(spark, sf_dir).subtypes()["step_object"]
 
 
 #: A line's texts and kind; JSON by its grammar (DuckDB also takes commas before an end and NaN, so what is left without the strings is looked at), CSV by one pattern.
@@ -130,6 +160,12 @@ WITH ln AS (
 """
 
 
+@_R.add("p3_rejects", "SELECT record_id, id, 'unparsable' AS reason, commits_json FROM all_instances_metadata WHERE commits IS NULL AND commits_json IS NOT NULL AND TRY_CAST(commits_json AS JSON) IS NULL")
+def p3_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records whose text is no JSON."""
+    return _nested(spark, sf_dir).rejects()
+
+
 @_R.add("p4_found", _LINES_SQL + "SELECT line_id, reason FROM g WHERE reason IS NOT NULL")
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _loaded(spark, sf_dir).rejects.select("line_id", "reason")
