@@ -1,21 +1,24 @@
 """Texts cut off before their end, from length limits and endings.
 
-Sources are pairs of an analyzer and a kind of text. Three parts give the log-odds of a cut:
+Sources are pairs of an analyzer and a kind of text. The log-odds of a cut are a prior from the length and the
+weight of the ending, and both are fitted:
 
 1. Length. Per source a log-normal is fitted to the histogram of lengths by maximum likelihood, right-
    censored at a candidate limit (the longest length, and lower ones that pile up and beyond which texts
-   become fewer). The censoring posterior of a value
-   at the limit is one minus the number the uncensored density expects there over the number found.
-2. Signs of a cut at the end (ellipsis, "[truncated]", a count of dropped characters, U+FFFD).
-3. Endings. For the last piece of letters and the last one, two and three tokens, all texts of the
-   kind are counted, copies of longer prose once: how often these end a text, go on, come before the end of a sentence, or
-   are the beginning of something longer. What is mostly a beginning is a fragment. A source that closes
-   its sentences is expected to do so, except for endings that recur (short notes); in other sources
-   an ending is held against the share of places at which a sentence ends there. A text's own ending is
-   taken out of the counts.
-
-Counts cover all texts: one combinable aggregate over n-grams, one join of endings to it. The histograms
-are per source and length, so the fit sees as many rows as there are lengths, not texts.
+   become fewer). At a limit the prior is the censoring posterior: one minus the number the uncensored
+   density expects there over the number found, which the endings of the texts at the limit bring up to date by EM. Off the limits it
+   is the source's own share of cuts.
+2. Endings. An ending is a category: closed or not, an odd quote, a blank at the end, and the hazard, that is how often texts (where
+   a source leaves out full stops: sentences) end after its last two tokens among all places where these stand or begin a longer word.
+   How cuts end is known by cutting: a sample of whole texts is cut at a place drawn by hash, and these go through
+   the same counts. How whole texts end is what is left of the off-limit texts without their share of
+   cuts. The logarithm of the ratio is the category's weight, the same at every length, so at one ending the fit
+   of the lengths decides.
+3. A sign that the cutting program wrote (ellipsis, "[truncated]", a count of dropped characters, U+FFFD) is taken at its word.
+
+Counts cover all texts, copies of longer prose once: one combinable aggregate over pairs of tokens, from which single tokens and beginnings
+of words are rolled up. Only keys and small columns are joined; texts and tokens never travel. The histograms are per source and length or
+category, so the fits see as many rows as there are lengths or categories, not texts.
 
 Defined cases: null and empty texts are no elements; repeated rows count once; a null analyzer is a source
 of its own; positions count null elements; very long texts are read whole; an empty table has no rows.
@@ -33,49 +36,49 @@ from pyspark.sql import functions as F
 from quarryline.session import materialize
 
 #: What a cutting program writes at the end.
-SIGN = r"(?:\.\.\.|…|<\.\.\.>|\[\.\.\.\]|[\[(<](?i:truncated|cut|snip|more)[\])>]|\(\+\d+ (?i:chars|characters|bytes)\)|\x{FFFD})\s*\z"
-CLOSED = r"(?:[.!?。！？]+[\"'”’»)\]`]*|[\"”»)\]`])\s*\z"
-LETTERS = r"[\p{L}\p{M}]+"
+SIGN = r"(?:\.\.\.|…|<\.\.\.>|\[\.\.\.\]|[\[(<](?i:truncated|cut|snip|more)[\])>]|\(\+\d+ (?i:chars|characters|bytes)\)|\x{FFFD})\z"
+CLOSED = r"(?:[.!?。！？]+[\"'”’»)\]`]*|[\"”»)\]`])\z"
 #: Prose: paths, names and numbers are one token each. Paths: every part is a token.
 PROSE_TOKEN = r"[\w.@-]*/[\w./@-]*\w|[\p{L}\p{M}\p{N}_]*[\p{N}_](?:[\p{L}\p{M}\p{N}_.-]*[\p{L}\p{M}\p{N}_])?|[\p{L}\p{M}]+|[^\p{L}\p{M}\p{N}_\s]"
 PATH_TOKEN = r"[\p{L}\p{M}]+|\p{N}+|[^\p{L}\p{M}\p{N}\s]"
 BOUNDARY = (".", "!", "?", ";", "。", "！", "？")
+BLANKS = " \t\r\n\f\x0b"
 
-#: Log-odds. A text off the limit is cut about three times in a hundred.
-PRIOR = math.log(0.03 / 0.97)
-LIMIT_PRIOR_MOST = 2.0
-SIGNED, CLOSED_TEXT, RECURRING, OPEN_TEXT, FRAGMENT, WHOLE_WORD, ODD_QUOTES, BARE_PATH = 9.0, -5.0, -4.0, 5.0, 6.0, -1.8, 2.0, 8.0
+#: A source closes its sentences if at least this share of its unsigned texts does.
 STYLE_SHARE = 0.5
 #: Texts beyond a limit that are no more than this share of a source may be strays.
 STRAY_SHARE = 0.02
-RECUR_TIMES, RECUR_SHARE, FRAGMENT_TIMES = 2, 0.3, 10
-#: Share of places at which a sentence ends where nothing is known of the ending.
-BASE_HAZARD = 0.05
-#: An ending of two tokens or more that ends sentences this often is no fragment.
-SEEN_ENDING = 0.15
-NOTE_TIMES, NOTE_SHARE = 2, 0.8
-#: Cases that the order below weighs as.
-SHRINK = 4.0
-#: Two tokens seen this rarely are not where a random cut would fall; their ending is more likely meant.
-RARE_CASES, RARE_HAZARD = 12, 0.15
+#: Analyses whose texts are cut to learn how cuts end; a bound on that sample alone.
+SAMPLE = 20_000
+#: Cases that the shorter ending weighs as where the longer one was hardly seen, and the hazard where nothing was.
+SHRINK, BASE_HAZARD = 4.0, 0.05
+#: Bins of the hazard per power of e, and how many there are.
+BIN_WIDTH, BINS = 2.0, 14
+#: Texts are rarer than sampled cuts where cuts end: less than this at first, and no more than so many times the share of cuts.
+RARER, MISMATCH = 0.5, 10.0
+#: Fewer sampled cuts tell nothing.
+LEAST_CUTS = 30
+#: Texts that a share known before (a style's, or a limit's censoring posterior) weighs as.
+PRIOR_TEXTS = 50.0
+#: Tokens up to which prose is a note: its copies count, as being written again is what shows it whole.
+NOTE_TOKENS = 3
 
 
 def elements(analyses: DataFrame) -> DataFrame:
-    """analysis_id, analyzer, field_name, part, elem_pos, text: each non-empty text once."""
+    """analysis_id, analyzer, field_name, part, elem_pos, text: each non-empty text; rows repeated whole come out again."""
     text = lambda part, x: F.struct(F.lit(part).alias("part"), x.alias("text"))
     base = analyses.select("analysis_id", "analyzer", "error_context", "relevant_files")
-    context = base.select("analysis_id", "analyzer", F.posexplode("error_context").alias("elem_pos", "text")).select("analysis_id", "analyzer", F.lit("error_context").alias("field_name"), F.lit("error_context").alias("part"), "elem_pos", "text")
-    files = (
-        base.select("analysis_id", "analyzer", F.posexplode("relevant_files").alias("elem_pos", "f"))
-        .select("analysis_id", "analyzer", "elem_pos", F.explode(F.array(text("file", F.col("f.file")), text("reason", F.col("f.reason")))).alias("x"))
-        .select("analysis_id", "analyzer", F.lit("relevant_files").alias("field_name"), "x.part", "elem_pos", "x.text")
-    )
-    return context.unionByName(files).filter("text <> ''").dropDuplicates(["analysis_id", "field_name", "part", "elem_pos", "text"])
+    context = F.transform("error_context", lambda x, i: F.struct(F.lit("error_context").alias("field_name"), i.alias("elem_pos"), F.array(text("error_context", x)).alias("texts")))
+    files = F.transform("relevant_files", lambda f, i: F.struct(F.lit("relevant_files").alias("field_name"), i.alias("elem_pos"), F.array(text("file", f["file"]), text("reason", f["reason"])).alias("texts")))
+    both = F.concat(F.coalesce(context, F.array()), F.coalesce(files, F.array()))
+    flat = F.flatten(F.transform(both, lambda e: F.transform(e["texts"], lambda t: F.struct(e["field_name"].alias("field_name"), e["elem_pos"].alias("elem_pos"), t["part"].alias("part"), t["text"].alias("text")))))
+    return base.select("analysis_id", "analyzer", F.explode(flat).alias("e")).select("analysis_id", "analyzer", "e.*").filter("text <> ''")
 
 
 def _prose_token(t: Column) -> Column:
     ext = F.regexp_extract(t, r"\w(\.[A-Za-z]{1,5})$", 1)
-    return F.when(t.contains("/"), F.concat(F.lit("<path>"), F.lower(ext))).when(t.rlike(r"^\p{N}+$"), "0").when(t.rlike(r"[\p{N}_]"), "<name>").otherwise(F.lower(t))
+    named = F.when(t.contains("/"), F.concat(F.lit("<path>"), F.lower(ext))).when(t.rlike(r"^\p{N}+$"), "0").otherwise("<name>")
+    return F.when(t.contains("/") | t.rlike(r"[\p{N}_]"), F.when(t == "/", t).otherwise(named)).otherwise(F.lower(t))
 
 
 def _tokens(text: Column, kind: Column) -> Column:
@@ -158,151 +161,200 @@ def lower_limits(lengths: np.ndarray, counts: np.ndarray) -> list[tuple[int, flo
     return out
 
 
-def length_limits(texts: DataFrame) -> DataFrame:
-    """analyzer, part, len_mu, len_sigma, len_limits, censorings, closes: one row per source, from unsigned texts."""
-
-    def fit(rows: pd.DataFrame) -> pd.DataFrame:
-        mu, sigma, limit, posterior = fit_limit(rows["len"].to_numpy(), rows["n"].to_numpy())
-        limits = ([] if limit is None else [(limit, posterior)]) + lower_limits(rows["len"].to_numpy(), rows["n_texts"].to_numpy())
-        closed = float(rows["closed"].sum() / rows["n"].sum())
-        return pd.DataFrame({"analyzer": [rows["analyzer"].iloc[0]], "part": [rows["part"].iloc[0]], "len_mu": [mu], "len_sigma": [sigma], "len_limits": [[k for k, _ in limits]], "censorings": [[p for _, p in limits]], "closes": [closed]})
-
-    # Limits below the longest length are looked for among distinct texts: copies are no pile.
-    unsigned = texts.filter("not signed").groupBy("analyzer", "part", "len", "h").agg(F.count("*").alias("n"), F.count_if("closed").alias("closed"))
-    histogram = unsigned.groupBy("analyzer", "part", "len").agg(F.sum("n").alias("n"), F.sum("closed").alias("closed"), F.count("*").alias("n_texts"))
-    return histogram.groupBy("analyzer", "part").applyInPandas(fit, "analyzer string, part string, len_mu double, len_sigma double, len_limits array<int>, censorings array<double>, closes double")
-
-
-def _grams_at(tokens: str, orders: tuple[int, ...], at: Column) -> list[tuple[int, Column]]:
-    """(order, gram) that end at token ``at`` (from 0), null where there are too few tokens; order 0 is a single piece of letters."""
-    back = lambda k: F.get(tokens, at - k)
-    out = []
-    for n in orders:
-        parts = [back(k) for k in range(max(n, 1) - 1, -1, -1)]
-        out.append((n, parts[0] if len(parts) == 1 else F.concat(*[x for p in parts for x in (p, F.lit(" "))][:-1])))
-    return out
-
-
-def _without_copies(texts: DataFrame) -> DataFrame:
-    """Copies of a text under other ids once: they say no more about its ending than one of them. Paths, and notes that
-    are not longer than the endings themselves, count each time; that they are written again is what shows them whole."""
-    one = F.xxhash64("analysis_id", "field_name", "part", "elem_pos")
-    return texts.withColumn("one", F.when((F.col("kind") == "path") | (F.size("t") <= 3), one)).dropDuplicates(["kind", "style", "h", "one"])
-
-
-def _gram_counts(texts: DataFrame) -> DataFrame:
-    """kind, n, gram: goes_on, bounds (before the end of a sentence), ends_closing, ends_open. One combinable aggregate."""
-
-    def of(tokens: str, orders: tuple[int, ...]) -> Column:
-        def at(_: Column, i: Column) -> Column:
-            last, bound = i == F.size(tokens) - 1, F.coalesce(F.get(tokens, i + 1).isin(*BOUNDARY), F.lit(False))
-            return F.array(*[F.struct(F.lit(n).alias("n"), g.alias("gram"), last.alias("last"), bound.alias("bound")) for n, g in _grams_at(tokens, orders, i)])
-
-        return F.flatten(F.transform(tokens, at))
-
-    texts = _without_copies(texts)
-    rows = texts.select("kind", "style", F.explode(F.concat(of("t", (1, 2, 3)), of("p", (0,)))).alias("g")).filter("g.gram is not null")
-    last, open_style = F.col("g.last"), F.col("style") == "open"
-    return rows.groupBy("kind", "g.n", "g.gram").agg(
-        F.count_if(~last & ~F.col("g.bound")).alias("goes_on"), F.count_if(~last & F.col("g.bound")).alias("bounds"),
-        F.count_if(last & ~open_style).alias("ends_closing"), F.count_if(last & open_style).alias("ends_open"),
+def read_texts(analyses: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """Every element, and the sample's elements once more cut at a place drawn by hash (``sim``), with what is seen of a text alone."""
+    n = analyses.count()
+    text, last = F.col("text"), F.length("text")
+    drawn = (last > 1) & (F.pmod(F.xxhash64(F.lit("drawn"), "text"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, sample / max(1, n))))
+    place = (F.lit(1) + F.pmod(F.xxhash64(F.lit("place"), "text"), F.greatest(last - 1, F.lit(1)))).cast("int")
+    rows = elements(analyses).withColumn("place", F.explode(F.when(drawn, F.array(F.lit(0), place)).otherwise(F.array(F.lit(0)))))
+    kind = F.when(F.col("part") == "file", "path").otherwise("prose")
+    sim, trimmed = F.col("place") > 0, lambda t: F.rtrim(t, F.lit(BLANKS))
+    after = F.substring(text, F.col("place") + 1, F.lit(1))
+    word = r"[\p{L}\p{M}\p{N}_]"
+    rows = rows.select(
+        "analysis_id", "analyzer", "field_name", "part", "elem_pos", kind.alias("kind"), sim.alias("sim"), F.xxhash64("text").alias("h"), F.length("text").alias("len"),
+        F.when(sim, F.left(text, F.col("place"))).otherwise(text).alias("text"), F.right(trimmed(text), F.lit(40)).rlike(SIGN).alias("whole_signed"), F.right(trimmed(text), F.lit(40)).rlike(CLOSED).alias("whole_closed"),
+        (sim & after.rlike(word)).alias("goes_on"), (sim & after.isin(*BOUNDARY)).alias("bounds"),
+    )
+    end, quotes = F.right(trimmed(F.col("text")), F.lit(40)), F.length("text") - F.length(F.replace("text", F.lit('"'), F.lit("")))
+    rows = rows.select(
+        "*", end.rlike(SIGN).alias("signed"), (end.rlike(CLOSED) & (F.pmod(quotes, F.lit(2)) == 0)).alias("closed"), (F.pmod(quotes, F.lit(2)) == 1).alias("odd"),
+        end.rlike(r"/[\p{L}\p{M}\p{N}_-]+\.\z").alias("bare_path"), F.right("text", F.lit(1)).isin(*BLANKS).alias("blank"), end.rlike(rf"{word}\z").alias("in_word"), _tokens(F.col("text"), F.col("kind")).alias("t"),
     )
+    back = lambda k: F.coalesce(F.get("t", F.size("t") - k), F.lit(""))
+    mid = F.col("sim") & F.col("goes_on") & F.col("in_word")
+    return rows.select("*", F.size("t").alias("n_tokens"), back(1).alias("w"), back(2).alias("c"), F.coalesce(F.get("t", F.lit(0)), F.lit("")).alias("first"), mid.alias("mid")).drop("text", "goes_on", "in_word")
 
 
-def _ending_features(texts: DataFrame) -> DataFrame:
-    """Per element (key and hash of the text): recurs, fragment, hazard."""
-    key = ["analysis_id", "field_name", "part", "elem_pos", "h"]
-    of = lambda tokens, orders: [F.struct(F.lit(n).alias("n"), g.alias("gram")) for n, g in _grams_at(tokens, orders, F.size(tokens) - 1)]
-    # A last piece of letters counts only where it ends the text.
-    piece = [F.when(F.col("ends_in_letters"), x) for x in of("p", (0,))]
-    # Signed and closed prose is judged without its ending.
-    asked = texts.filter("not signed and (kind = 'path' or not closed)")
-    ends = asked.select(*key, "kind", "style", F.explode(F.array(*of("t", (1, 2, 3)), *piece)).alias("g")).filter("g.gram is not null").select(*key, "kind", "style", "g.*")
-    counts = _gram_counts(texts)
-    gram = ["kind", "n", "gram"]
-    wanted = ends.select(*gram).distinct()
-    last = F.substring_index("gram", " ", -1)
-    size = F.length(last)
-    begun = F.transform(F.sequence(F.lit(1), size - 1), lambda k: F.left("gram", F.length("gram") - size + k))
-    # One pass over the counts gives each wanted gram its own counts and those of the grams it begins.
-    kinds = ("goes_on", "bounds", "ends_closing", "ends_open")
-    begins = last.rlike(rf"^{LETTERS}$") & (size > 1)
-    itself = F.struct(F.col("gram"), *kinds, F.lit(0).cast("bigint").alias("longer"))
-    nothing = [F.lit(0).cast("bigint").alias(k) for k in kinds]
-    longer = F.transform(begun, lambda g: F.struct(g.alias("gram"), *nothing, sum(map(F.col, kinds), F.lit(0)).cast("bigint").alias("longer")))
-    spread = counts.select("kind", "n", F.explode(F.concat(F.array(itself), F.when(begins, longer).otherwise(F.array()))).alias("x")).select("kind", "n", "x.*")
-    known = spread.join(wanted, gram, "left_semi").groupBy(*gram).agg(*[F.sum(k).alias(k) for k in (*kinds, "longer")])
-    own = F.when(F.col("style") == "open", F.col("ends_open")).otherwise(F.col("ends_closing")) - 1
-    every = F.col("ends_open") + F.col("ends_closing") - 1
-    on = F.col("goes_on") + F.col("bounds")
-    recurs = (F.col("n") > 0) & (own >= RECUR_TIMES) & (own >= RECUR_SHARE * (own + on)) & (own >= RECUR_SHARE * F.col("longer"))
-    # Three tokens that end another text and never stand anywhere else.
-    recurs = recurs | ((F.col("n") == 3) & (own >= 1) & (on + F.col("longer") == 0))
-    fragment = F.col("n").isin(0, 2) & (F.col("longer") >= FRAGMENT_TIMES * (on + 1)) & (F.col("longer") >= F.when(F.col("n") == 0, 1).otherwise(4) * (every + 1))
-    # What goes on as a longer word counts as going on. Each order is shrunk to the one below it.
-    cases = own + on + F.col("longer")
-    ended = own + F.col("bounds")
-    unseen = (F.col("n") == 0) & (on + every + F.col("longer") == 0)
-    return (
-        ends.join(known, gram)
-        .groupBy(*key)
-        .agg(
-            F.bool_or(recurs).alias("recurs"), F.bool_or(fragment).alias("fragment"), F.bool_or(unseen).alias("unseen"),
-            *[F.max(F.when(F.col("n") == n, x)).alias(f"{name}{n}") for n in (1, 2, 3) for name, x in (("cases", cases), ("ended", ended))],
-        )
-        .withColumn("h1", (F.col("ended1") + SHRINK * BASE_HAZARD) / (F.col("cases1") + SHRINK))
-        .withColumn("h2", (F.col("ended2") + SHRINK * F.col("h1")) / (F.col("cases2") + SHRINK))
-        .withColumn("h3", (F.col("ended3") + SHRINK * F.col("h2")) / (F.col("cases3") + SHRINK))
-        .withColumn("hazard", F.when(F.col("cases2") <= RARE_CASES, (F.col("ended2") + SHRINK * RARE_HAZARD) / (F.col("cases2") + SHRINK)).otherwise(F.coalesce("h3", "h2", "h1")))
-        .withColumn("fragment", F.col("fragment") & (F.coalesce(F.greatest("h2", "h3"), F.lit(0.0)) < SEEN_ENDING))
-        .select(*key, "recurs", "fragment", "unseen", "hazard")
-    )
+def length_limits(texts: DataFrame) -> DataFrame:
+    """analyzer, part, len_limits, censorings, closes: one row per source, from its distinct unsigned texts (copies are no pile)."""
 
+    def fit(rows: pd.DataFrame) -> pd.DataFrame:
+        lengths, n = rows["len"].to_numpy(), rows["n"].to_numpy()
+        *_, limit, posterior = fit_limit(lengths, n)
+        limits = ([] if limit is None else [(limit, posterior)]) + lower_limits(lengths, n)
+        return pd.DataFrame({"analyzer": [rows["analyzer"].iloc[0]], "part": [rows["part"].iloc[0]], "len_limits": [[k for k, _ in limits]], "censorings": [[p for _, p in limits]], "closes": [float(rows["closed"].sum() / n.sum())]})
+
+    unsigned = texts.filter("not sim and not signed").groupBy("analyzer", "part", "len", "h").agg(F.max(F.col("closed").cast("int")).alias("closed"))
+    histogram = unsigned.groupBy("analyzer", "part", "len").agg(F.sum("closed").alias("closed"), F.count("*").alias("n"))
+    return histogram.groupBy("analyzer", "part").applyInPandas(fit, "analyzer string, part string, len_limits array<int>, censorings array<double>, closes double")
+
+
+def _same_source(a: str, b: str) -> Column:
+    return F.col(f"{a}.analyzer").eqNullSafe(F.col(f"{b}.analyzer")) & (F.col(f"{a}.part") == F.col(f"{b}.part"))
+
+
+def _styled(texts: DataFrame, limits: DataFrame) -> DataFrame:
+    """``texts`` with the censoring posterior at their length (null off the limits) and the style of their source."""
+    at = F.get("censorings", F.array_position("len_limits", F.col("len")).cast("int") - 1)
+    style = F.when(F.col("kind") == "path", "path").when(F.coalesce("closes", F.lit(0.0)) >= STYLE_SHARE, "closing").otherwise("open")
+    return texts.alias("e").join(limits.alias("l"), _same_source("e", "l"), "left").select("e.*", at.alias("censoring"), F.when(at.isNotNull(), F.col("len")).otherwise(0).alias("limit"), style.alias("style"))
+
+
+def _once() -> Column:
+    """Whether copies of a text count once: they say no more about its ending than one of them, except of notes and paths."""
+    return (F.col("kind") == "prose") & (F.col("n_tokens") > NOTE_TOKENS)
+
+
+def _pair_counts(styled: DataFrame) -> DataFrame:
+    """kind, c, w: how often the tokens c w stand in a text and go on (``goes``), end a sentence (``bounds``) or a text of a style (``ends``)."""
+    counted = styled.filter("not sim")
+    once = _once()
+    copies = materialize(counted.filter(once).groupBy("style", "h").agg(F.count("*").alias("copies")).filter("copies > 1"))
+    weighed = counted.select("kind", "style", F.when(once, F.col("h")).alias("h"), "t").join(copies, ["style", "h"], "left").withColumn("weight", 1 / F.coalesce("copies", F.lit(1)))
+
+    def at(w: Column, i: Column) -> Column:
+        after = F.get("t", i + 1)
+        return F.struct(F.when(i > 0, F.get("t", i - 1)).otherwise("").alias("c"), w.alias("w"), F.when(after.isNull(), 2).when(after.isin(*BOUNDARY), 1).otherwise(0).alias("then"))
+
+    rows = weighed.select("kind", "style", "weight", F.explode(F.transform("t", at)).alias("p")).select("kind", "style", "weight", "p.*")
+    share = lambda x: F.sum(F.when(x, F.col("weight")).otherwise(0.0))
+    then, open_ = F.col("then"), F.col("style") == "open"
+    return rows.groupBy("kind", "c", "w").agg(share(then == 0).alias("goes"), share(then == 1).alias("bounds"), share((then == 2) & open_).alias("ends_open"), share((then == 2) & ~open_).alias("ends_other"))
+
+
+_COUNTS = ("goes", "bounds", "ends_open", "ends_other", "longer")
+
+
+def _known(pairs: DataFrame, key: list[str], asked: DataFrame) -> DataFrame:
+    """Per asked key its counts in ``pairs``, and those of longer words that it begins (``longer``)."""
+    counts = pairs.groupBy("kind", *key).agg(*[F.sum(k).alias(k) for k in _COUNTS[:-1]]) if len(key) == 1 else pairs
+    size = F.length("w")
+    itself = F.struct(F.col("w"), *_COUNTS[:-1], F.lit(0.0).alias("longer"))
+    nothing = [F.lit(0.0).alias(k) for k in _COUNTS[:-1]]
+    begun = F.transform(F.sequence(F.lit(1), F.greatest(size - 1, F.lit(1))), lambda k: F.struct(F.left("w", k).alias("w"), *nothing, sum(map(F.col, _COUNTS[:-1]), F.lit(0.0)).alias("longer")))
+    begins = (size > 1) & F.col("w").rlike(r"^[\p{L}\p{M}]+$")
+    spread = counts.select("kind", *key[:-1], F.explode(F.concat(F.array(itself), F.when(begins, begun).otherwise(F.array()))).alias("x")).select("kind", *key[:-1], "x.*")
+    wanted = asked.select("kind", *key).distinct()
+    # Sums are rounded so that their order changes nothing.
+    return spread.join(wanted, ["kind", *key], "left_semi").groupBy("kind", *key).agg(*[F.round(F.sum(k), 3).alias(f"{k}{len(key)}") for k in _COUNTS])
+
+
+def _hazard(order: int, below: Column) -> Column:
+    """How often a text ends after the last ``order`` tokens, without the text itself, shrunk to the order below."""
+    goes, bounds, ends_open, ends_other, longer = (F.coalesce(F.col(f"{k}{order}"), F.lit(0.0)) for k in _COUNTS)
+    open_ = F.col("style") == "open"
+    # A whole text is counted among the ends; a cut one where it was cut. Bounds are ends where full stops are left out.
+    itself = F.when(F.col("sim"), F.when(F.col("bounds") & ~F.col("mid") & open_, 1.0).otherwise(0.0)).otherwise(1.0)
+    ended = F.greatest(F.when(open_, ends_open + bounds).otherwise(ends_other) - itself, F.lit(0.0))
+    others = F.greatest(goes + longer + F.when(open_, 0.0).otherwise(bounds) - (1.0 - itself), F.lit(0.0))
+    return (ended + SHRINK * below) / (ended + others + SHRINK)
+
+
+def _note_starts(styled: DataFrame) -> DataFrame:
+    """style, first: how many texts of closing sources begin with that token, and how many of them are not closed."""
+    rows = styled.filter("style = 'closing' and not sim and not signed").groupBy("style", "first", "h").agg(F.max(F.col("closed").cast("int")).alias("closed"))
+    return rows.groupBy("style", "first").agg(F.count("*").alias("starts"), F.sum(1 - F.col("closed")).alias("open_starts"))
+
+
+def categories(styled: DataFrame) -> DataFrame:
+    """``styled`` without tokens, with the category of the ending."""
+    narrow = styled.drop("t")
+    # Signed and closed prose is judged without its last words.
+    judged = (F.col("kind") == "path") | ~F.col("closed")
+    asked = narrow.filter(judged & ~F.col("signed")).select("kind", "c", "w").distinct()
+    pairs = _pair_counts(styled)
+    known = asked.join(_known(pairs, ["c", "w"], asked), ["kind", "c", "w"], "left").join(_known(pairs, ["w"], asked), ["kind", "w"], "left")
+    rows = narrow.join(known, ["kind", "c", "w"], "left").join(_note_starts(styled), ["style", "first"], "left")
+    hazard = _hazard(2, _hazard(1, F.lit(BASE_HAZARD)))
+    bins = F.lpad(F.least(F.floor(-F.log(hazard) * BIN_WIDTH), F.lit(BINS)).cast("string"), 2, "0")
+    # Short notes begin alike and are hardly ever closed.
+    own = F.when(F.col("sim") | F.col("closed"), 0).otherwise(1)
+    note = F.when(F.coalesce("open_starts", F.lit(0)) - own > F.lit(0.5) * (F.coalesce("starts", F.lit(0)) - own), "note").otherwise("")
+    marks = F.concat_ws(" ", F.when((F.col("kind") == "prose") & F.col("odd"), "odd"), F.when(F.col("blank"), "blank"), F.when(F.col("style") == "closing", note))
+    category = F.when(judged, F.concat(F.lit("open "), bins, F.lit(" "), marks)).when(F.col("bare_path"), "closed path").otherwise("closed")
+    return rows.select("analysis_id", "analyzer", "field_name", "part", "elem_pos", "style", "sim", "signed", "whole_signed", "whole_closed", "censoring", "limit", "h", _once().alias("once"), category.alias("category"))
+
+
+def fit_endings(found: np.ndarray, cut: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """The share of cuts, and how cuts and whole texts end, from counts per category of off-limit texts and of sampled cuts.
+
+    A category in which texts are much rarer than sampled cuts holds cuts; their number over the sampled cuts' part there is the share,
+    and categories that hold far more than this share allows are taken out again. The cuts of the texts may not fall where the sample's do, so
+    within those categories they show themselves how cuts end."""
+    k = max(1, len(found))
+    total, drawn = float(found.sum()), float(cut.sum())
+    q = (cut + 0.5) / (drawn + 0.5 * k)
+    share, cuts = 0.01, np.zeros(len(found), bool)
+    if total and drawn >= LEAST_CUTS:
+        ratio = found / (total * q)
+        wider, cuts = cuts, ratio < RARER
+        while cuts.any() and (cuts != wider).any():
+            share = found[cuts].sum() / (total * q[cuts].sum())
+            wider, cuts = cuts, cuts & (ratio <= MISMATCH * share)
+    share = min(0.5, max(0.001, float(share)))
+    if cuts.any():
+        own = found[cuts] + PRIOR_TEXTS * q[cuts] / q[cuts].sum()
+        q[cuts] = q[cuts].sum() * own / own.sum()
+    whole = np.where(cuts, 0, np.maximum(found - share * total * q, 0)) + 0.5
+    return share, q, whole / whole.sum()
+
+
+def group_share(found: np.ndarray, q: np.ndarray, whole: np.ndarray, before: float) -> float:
+    """The share of cuts among texts of one source and length limit by EM, with ``before`` as ``PRIOR_TEXTS`` texts."""
+    total, own = float(found.sum()), before
+    for _ in range(200):
+        own_next = (float((found * own * q / (own * q + (1 - own) * whole)).sum()) + PRIOR_TEXTS * before) / (total + PRIOR_TEXTS)
+        if abs(own_next - own) < 1e-9:
+            break
+        own = own_next
+    return min(0.999, max(0.0005, own))
 
-def _note_starts(texts: DataFrame) -> DataFrame:
-    """kind, first, starts, open_starts: how texts of closing sources that begin with the same token end."""
-    rows = texts.filter("style = 'closing' and not signed and first is not null")
-    rows = _without_copies(rows)
-    return rows.groupBy("kind", "first").agg(F.count("*").alias("starts"), F.count_if(~F.col("closed")).alias("open_starts"))
 
+def ending_weights(judged: DataFrame) -> DataFrame:
+    """analyzer, part, limit, category, weight, prior: the log ratio of each ending, and the log-odds of a cut at each limit of a source and off them (limit 0)."""
 
-def scored(analyses: DataFrame) -> DataFrame:
-    """Every element with its features and log-odds ``score``."""
-    text = F.col("text")
-    kind = F.when(F.col("part") == "file", "path").otherwise("prose")
-    quotes = F.length("text") - F.length(F.replace(text, F.lit('"'), F.lit("")))
-    texts = elements(analyses).select(
-        "*", F.xxhash64("text").alias("h"), F.length("text").alias("len"), text.rlike(SIGN).alias("signed"), (text.rlike(CLOSED) & (F.pmod(quotes, F.lit(2)) == 0)).alias("closed"), kind.alias("kind"), (F.pmod(quotes, F.lit(2)) == 1).alias("odd_quotes"),
-        text.rlike(rf"(?:\A|[^\p{{L}}\p{{M}}\p{{N}}]){LETTERS}\s*\z").alias("ends_in_letters"), text.rlike(r"/[\p{L}\p{M}\p{N}_-]+\.\s*\z").alias("bare_path"),
-        _tokens(text, kind).alias("t"), F.transform(F.regexp_extract_all(text, F.lit(LETTERS), F.lit(0)), F.lower).alias("p"),
-    )
-    texts = materialize(texts)  # five branches read it
-    limits = length_limits(texts)
-    same_source = F.col("e.analyzer").eqNullSafe(F.col("l.analyzer")) & (F.col("e.part") == F.col("l.part"))
-    styled = texts.alias("e").join(limits.alias("l"), same_source, "left").select("e.*", F.get("censorings", F.array_position("len_limits", F.col("len")).cast("int") - 1).alias("censoring"), (F.coalesce("closes", F.lit(0.0)) >= STYLE_SHARE).alias("closes"))
-    styled = styled.withColumn("style", F.when(F.col("kind") == "path", "path").when(F.col("closes"), "closing").otherwise("open"))
-    styled = styled.withColumn("first", F.get("t", F.lit(0)))
-    rows = styled.join(_ending_features(styled), ["analysis_id", "field_name", "part", "elem_pos", "h"], "left").join(_note_starts(styled), ["kind", "first"], "left")
-
-    at_limit = F.col("censoring").isNotNull()
-    logit = lambda p: F.log(p / (1 - p))
-    prior = F.when(at_limit, F.least(logit(F.greatest("censoring", F.lit(0.05))), F.lit(LIMIT_PRIOR_MOST))).otherwise(PRIOR)
-    recurring, fragment = F.coalesce("recurs", F.lit(False)), F.coalesce("fragment", F.lit(False))
-    closed = F.when(F.col("bare_path") & at_limit, BARE_PATH).otherwise(CLOSED_TEXT)
-    # Short notes begin alike and are hardly ever closed; one that ends in a path has its extension.
-    note = (F.col("starts") - 1 >= NOTE_TIMES) & (F.col("open_starts") - 1 >= NOTE_SHARE * (F.col("starts") - 1)) & (F.get("t", F.size("t") - 1) != "<path>")
-    recurring = recurring | F.coalesce(note, F.lit(False))
-    # At the limit, where a cut is likelier than not, it is what makes an ending of prose recur. Whole paths pile up by themselves.
-    piled = at_limit & (F.coalesce("censoring", F.lit(0.0)) > 0.5)
-    closing = F.when(F.col("closed"), closed).when(recurring & ~fragment & ~piled, RECURRING).otherwise(OPEN_TEXT)
-    path = F.when(recurring & ~fragment, RECURRING).otherwise(OPEN_TEXT)
-    hazard = F.coalesce("hazard", F.lit(BASE_HAZARD))
-    whole_word = F.when(at_limit, WHOLE_WORD).otherwise(0.0) + logit(F.lit(BASE_HAZARD)) - logit(hazard)
-    broken = fragment | (at_limit & F.coalesce("unseen", F.lit(False)))
-    open_style = F.when(F.col("closed"), closed).when(broken, FRAGMENT).when(recurring & ~at_limit, RECURRING).otherwise(whole_word)
-    ending = F.when(F.col("style") == "path", path).when(F.col("style") == "closing", closing).otherwise(open_style)
-    odd = F.when(F.col("odd_quotes") & (F.col("kind") == "prose"), ODD_QUOTES).otherwise(0.0)
-    return rows.withColumn("score", prior + odd + F.when(F.col("signed"), SIGNED).otherwise(ending)).withColumn("at_limit", at_limit)
+    def fit(rows: pd.DataFrame) -> pd.DataFrame:
+        sums = rows.assign(free=rows["n_found"].where(rows["limit"] == 0, 0)).groupby("category")[["free", "n_cut"]].sum()
+        share, q, whole = fit_endings(sums["free"].to_numpy(float), sums["n_cut"].to_numpy(float))
+        at = {c: i for i, c in enumerate(sums.index)}
+        out = []
+        for (analyzer, part, limit), own in rows.groupby(["analyzer", "part", "limit"], dropna=False):
+            k = own["category"].map(at).to_numpy()
+            p = group_share(own["n_found"].to_numpy(float), q[k], whole[k], float(own["censoring"].iloc[0]) if limit else share)
+            out.append(pd.DataFrame({"analyzer": None if pd.isna(analyzer) else analyzer, "part": part, "limit": limit, "category": own["category"].to_numpy(), "weight": np.log(q[k] / whole[k]), "prior": math.log(p / (1 - p))}))
+        return pd.concat(out)
+
+    # A cut of a closing source is one of a closed text. Cuts are drawn at all lengths, so they count off the limits.
+    cut = F.col("sim") & ~F.col("whole_signed") & ((F.col("style") != "closing") | F.col("whole_closed"))
+    limit = F.when(F.col("sim"), 0).otherwise(F.col("limit")).alias("limit")
+    source = ["style", "analyzer", "part", limit, "category"]
+    texts = judged.groupBy(*source, "sim", "once", "h").agg(F.max("censoring").alias("censoring"), F.count_if(~F.col("sim") & ~F.col("signed")).alias("n"), F.count_if(cut).alias("n_cut"))
+    n = F.when(F.col("once"), F.least("n", F.lit(1))).otherwise(F.col("n"))
+    rows = texts.groupBy("style", "analyzer", "part", "limit", "category").agg(F.max("censoring").alias("censoring"), F.sum(n).alias("n_found"), F.sum("n_cut").alias("n_cut"))
+    return rows.groupBy("style").applyInPandas(fit, "analyzer string, part string, limit int, category string, weight double, prior double")
+
+
+def scored(analyses: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """Every element with its ``category``, length ``limit`` (0 off the limits) and log-odds ``score``."""
+    texts = materialize(read_texts(analyses, sample))  # read once, tokenised once
+    styled = _styled(texts, materialize(length_limits(texts)))
+    judged = materialize(categories(styled))
+    weights = materialize(ending_weights(judged))
+    same = _same_source("e", "f") & (F.col("e.limit") == F.col("f.limit")) & (F.col("e.category") == F.col("f.category"))
+    rows = judged.filter("not sim").alias("e").join(weights.alias("f"), same, "left").select("e.*", "f.weight", "f.prior")
+    return rows.withColumn("score", F.when(F.col("signed"), F.lit(float("inf"))).otherwise(F.col("prior") + F.col("weight")))
 
 
 def cut_elements(scores: DataFrame) -> DataFrame:

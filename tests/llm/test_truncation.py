@@ -103,3 +103,27 @@ def test_very_long_text(spark):
     rows, _ = corpus(random.Random(2), 60)
     rows.append((999, "stops", [" ".join(sentence(random.Random(i)) for i in range(3000))], None, "", 0))
     assert (999, "error_context", 0) not in {tuple(r) for r in op.cut_elements(op.scored(spark.createDataFrame(rows, SCHEMA))).collect()}
+
+
+def test_at_one_ending_the_length_decides(spark):
+    """Some cuts at the limit fall where a sentence may end: only the censored fit tells them from whole texts."""
+    rows, _ = corpus(random.Random(11), 4000)
+    df = spark.createDataFrame([(*r[:2], [t for t in r[2] if len(t) > 150 or not t.startswith("Process")], *r[3:]) for r in rows], SCHEMA)
+    scores = op.scored(df).filter("part = 'error_context' and not signed").select("analyzer", "limit", "category", "score").distinct().collect()
+    at = {(r["analyzer"], r["category"]): r["score"] for r in scores if r["limit"]}
+    off = {(r["analyzer"], r["category"]): r["score"] for r in scores if not r["limit"]}
+    assert {r["limit"] for r in scores} == {0, 150}
+    for style in ("open", "stops"):
+        gaps = {round(at[k] - off[k], 6) for k in set(at) & set(off) if k[0] == style}
+        assert len(gaps) == 1 and gaps.pop() > 3
+    assert any(at[k] > 0 > off[k] for k in set(at) & set(off)), sorted((k, at[k], off[k]) for k in set(at) & set(off))
+
+
+def test_shares_and_endings_of_a_known_mixture():
+    rng = np.random.default_rng(5)
+    q, p = np.array([0.6, 0.25, 0.1, 0.05]), np.array([0.0, 0.0, 0.3, 0.7])
+    found = rng.multinomial(20000, 0.04 * q + 0.96 * p)
+    share, q_fit, whole = op.fit_endings(found, rng.multinomial(3000, q))
+    assert share == pytest.approx(0.04, abs=0.005) and q_fit == pytest.approx(q, abs=0.05) and whole == pytest.approx(p, abs=0.02)
+    assert op.group_share(rng.multinomial(4000, 0.5 * q + 0.5 * p), q_fit, whole, share) == pytest.approx(0.5, abs=0.05)
+    assert op.fit_endings(np.array([3]), np.array([0]))[0] == 0.01
