@@ -1,7 +1,8 @@
 """Passages of evaluation items in a corpus: seeds, SimHash of item-sized windows, exact verification.
 
 The items are a stated query set; they are indexed in blocks of a bounded number of words and each
-block is sent to every task. Documents are read once per block, in Arrow batches, without a shuffle.
+block is sent to every task. Documents are read in Arrow batches, without a shuffle; where there are several blocks,
+the documents' normal form is written once and each block reads that.
 
 1. Words: the look-alike normal form without line prefixes, case-folded, runs of letters and digits.
 2. Seeds. A window of 20 words in which a quarter is replaced, dropped or added still shares at least
@@ -40,6 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 
 from quarryline.llm.lookalike import normal_form
+from quarryline.session import materialize
 
 WINDOW = 20
 SEED = 3
@@ -48,6 +50,7 @@ SEED_REACH = 25
 BITS = 128
 RADIUS = 36
 DRIFT = 8
+PLACE = 2 * DRIFT
 STRETCH = 1000
 LEAST_SCORE = 8
 MATCHED_WORDS = 13
@@ -70,8 +73,12 @@ def words_of(text: str) -> list[str]:
 
 def item_words(text: str) -> tuple[list[str], list[int]]:
     """The words and, for each, the number of the blank-separated word that holds it."""
+    return _parted(_plain(text))
+
+
+def _parted(plain: str) -> tuple[list[str], list[int]]:
     words, owner = [], []
-    for n, part in enumerate(_plain(text).split()):
+    for n, part in enumerate(plain.split()):
         found = _WORD.findall(part)
         words += found
         owner += [n] * len(found)
@@ -127,6 +134,13 @@ class ItemIndex:
         self.keys = flat[order]
         self.owner = np.concatenate(owner)[order] if keys else np.zeros(0, np.int64)
         self.place = np.concatenate(place)[order] if keys else np.zeros(0, np.int64)
+        # The words of all items in a row.
+        sizes = [len(c) for c in self.codes]
+        self.first = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        self.flat = np.concatenate(self.codes) if self.codes else np.zeros(0, np.int64)
+        self.flat_weight = np.concatenate(self.part_weight) if self.codes else np.zeros(0)
+        self.flat_first = np.concatenate([np.concatenate([[True], p[1:] != p[:-1]]) if len(p) else np.zeros(0, bool) for p in self.parts]) if self.codes else np.zeros(0, bool)
+        self.n_parts = np.array([int(p[-1]) + 1 if len(p) else 0 for p in self.parts], np.int64)
         self._foreign_signs: dict[str, np.ndarray] = {}
         self._seen = np.zeros(len(self.number) + 1, bool)  # the last place is for words no item has
 
@@ -198,51 +212,98 @@ class ItemIndex:
                 return True
         return False
 
-    def has_words(self, a: np.ndarray, item: int) -> bool:
+    def has_words(self, a: np.ndarray, item: int, share: float = 1 - CHANGED) -> bool:
         """Whether some run of the item has enough words that stand in ``a`` in any order."""
         self._seen[a] = True
+        self._seen[-1] = False
         found = self.part_weight[item] * self._seen[self.codes[item]]
         self._seen[a] = False
         least = min(WINDOW, int(self.parts[item][-1]) + 1)
-        return bool(found.sum() >= (1 - CHANGED) * least - 1e-3 and _starts(self.parts[item], found).any())
+        return bool(found.sum() >= share * least - 1e-3 and _starts(self.parts[item], found, share).any())
+
+    def has_words_in_place(self, a: np.ndarray, item: int, p: np.ndarray, q: np.ndarray) -> bool:
+        """The same for words within ``PLACE`` of where the seeds (``p`` in ``a``, ``q`` in the item) would have them."""
+        own = self.codes[item]
+        m, n = len(own), len(a)
+        allowed = np.zeros(m + n + 2 * PLACE + 1, bool)
+        inside = (p >= 0) & (p < n)
+        for d in np.unique(p[inside] - q[inside]).tolist():
+            allowed[d + m : d + m + 2 * PLACE + 1] = True
+        k, at = np.nonzero((own[:, None] == a) & (own[:, None] >= 0))
+        here = np.zeros(m, bool)
+        here[k[allowed[at - k + m + PLACE]]] = True
+        return bool(_starts(self.parts[item], self.part_weight[item] * here).any())
 
     def holds_run(self, a: np.ndarray, owner: np.ndarray, item: int) -> bool:
         """Whether a run of the item's words stands in ``a`` with few enough changes."""
         own = self.codes[item]
         return run_within(*_units(a, owner, own), *_units(own, self.parts[item], a))
 
+    def enough_words(self, a: np.ndarray, items: np.ndarray) -> np.ndarray:
+        """For each of ``items``, whether a run of it has the share ``MATCHED_WORDS`` of ``WINDOW`` of words that stand in ``a``, in any order: all items at once.
+
+        Runs of ``WINDOW`` up to twice as many words are tried, longer ones part into these. Items of fewer words pass."""
+        size = self.first[items + 1] - self.first[items]
+        start = np.concatenate([[0], np.cumsum(size)])[:-1]
+        at = np.repeat(self.first[items] - start, size) + np.arange(int(size.sum()))
+        self._seen[a] = True
+        self._seen[-1] = False  # words no item has
+        found = self.flat_weight[at] * self._seen[self.flat[at]]
+        self._seen[a] = False
+        # One entry per blank-separated word of the item.
+        first = np.flatnonzero(self.flat_first[at])
+        parts = self.n_parts[items]
+        of = np.repeat(np.arange(len(items)), parts)
+        over = np.concatenate([[0.0], np.cumsum(np.add.reduceat(found, first) - MATCHED_WORDS / WINDOW)])
+        ok = parts < WINDOW
+        for n in range(WINDOW, min(2 * WINDOW, len(of) + 1)):
+            hit = (over[n:] - over[:-n] >= -1e-3) & (of[n - 1 :] == of[: len(of) - n + 1])
+            ok[of[: len(hit)][hit]] = True
+        return ok
+
     def find(self, text: str | None) -> list[int]:
         """Numbers of the items that ``text`` holds."""
-        if not text:
-            return []
-        words = words_of(text)
+        return self.find_plain(_plain(text)) if text else []
+
+    def find_plain(self, plain: str) -> list[int]:
+        """The same for a text in normal form."""
+        words = _WORD.findall(plain)
         number = self.number
         codes = np.array([number.get(w, -1) for w in words], np.int64)
         item, p, q = self.seeds(codes)
         if not len(item):
             return []
+        kept = np.zeros(len(item), bool)
+        for low, high in _stretches(np.unique(p)):
+            here = (p >= low) & (p < high)
+            some, back = np.unique(item[here], return_inverse=True)
+            kept[here] |= self.enough_words(codes[low:high], some)[back]
+        if not kept.any():
+            return []
+        item, p, q = item[kept], p[kept], q[kept]
         vectors, prints = self._vectors(words, codes), {}
         edges = np.flatnonzero(np.diff(item)) + 1
+        owner: np.ndarray | None = None
+        found: set[int] = set()
         near: list[tuple[int, np.ndarray]] = []
-        asked: list[tuple[int, np.ndarray]] = []
         for one, ps, qs in zip(np.split(item, edges), np.split(p, edges), np.split(q, edges), strict=True):
             i = int(one[0])
             width = self.widths[i]
             if width not in prints:
                 prints[width] = _fingerprints(vectors, width)
-            asked.append((i, np.unique(ps)))
-            if self.near(prints[width], i, ps, qs):
-                near.append(asked[-1])
+            places, close = np.unique(ps), self.near(prints[width], i, ps, qs)
+            for low, high in _stretches(places):
+                # Changes of the heaviest words put a passage beyond the radius; few pairs there have the words for a run in place.
+                if self.has_words(codes[low:high], i) and (close or self.has_words_in_place(codes[low:high], i, ps - low, qs)):
+                    owner = np.array(_parted(plain)[1], np.int64) if owner is None else owner
+                    if self.holds_run(codes[low:high], owner[low:high], i):
+                        found.add(i)
+                        break
+            if close and i not in found and any(self.has_words(codes[low:high], i, MATCHED_WORDS / WINDOW) for low, high in _stretches(places)):
+                near.append((i, places))
         good = self._aligned(codes, near) if near else set()
-        found = {i for i, ps in near if i in good and self.holds(codes, i, ps)}
-        # Changes of the heaviest words put a passage beyond the radius; few pairs there have the words for a run.
-        left = [(i, low, high) for i, ps in asked if i not in found for low, high in _stretches(ps) if self.has_words(codes[low:high], i)]
-        if left:
-            owner = np.array(item_words(text)[1], np.int64)
-            for i, low, high in left:
-                if i not in found and self.holds_run(codes[low:high], owner[low:high], i):
-                    found.add(i)
-        return [i for i, _ in asked if i in found]
+        found |= {i for i, ps in near if i in good and self.holds(codes, i, ps)}
+        return sorted(found)
 
     def _aligned(self, codes: np.ndarray, near: list[tuple[int, np.ndarray]]) -> set[int]:
         """Items whose best local alignment around their seeds scores enough, all items of a stretch at once."""
@@ -320,7 +381,7 @@ def _units(codes: np.ndarray, owner: np.ndarray, other: np.ndarray) -> tuple[np.
     return np.where(some[word], codes, -1)[keep], weight[word][keep], word[keep]
 
 
-def _starts(owner: np.ndarray, found: np.ndarray) -> np.ndarray:
+def _starts(owner: np.ndarray, found: np.ndarray, share: float = 1 - CHANGED) -> np.ndarray:
     """For each word, whether a run from it has enough words by the weights ``found`` of those that occur at all."""
     n_words = int(owner[-1]) + 1
     least = min(WINDOW, n_words)
@@ -328,7 +389,7 @@ def _starts(owner: np.ndarray, found: np.ndarray) -> np.ndarray:
     there = np.concatenate([[0], np.cumsum(np.bincount(owner, found, n_words))])
     end = np.arange(n_words)[:, None] + length
     inside = np.minimum(end, n_words)
-    return ((end <= n_words) & (there[inside] - there[:n_words, None] >= (1 - CHANGED) * length - 1e-3)).any(axis=1)
+    return ((end <= n_words) & (there[inside] - there[:n_words, None] >= share * length - 1e-3)).any(axis=1)
 
 
 def run_within(a: np.ndarray, a_weight: np.ndarray, a_owner: np.ndarray, b: np.ndarray, b_weight: np.ndarray, b_owner: np.ndarray) -> bool:
@@ -385,26 +446,52 @@ def _blocks(items: DataFrame, id_column: str, text_column: str, block_words: int
         yield block
 
 
+#: The last block of items that this worker has indexed, the radius and the index; kept from task to task.
+_BUILT: list = []
+
+
+def _index(block: list[tuple[int, list[str], list[int]]], radius: int) -> ItemIndex:
+    if not _BUILT or _BUILT[0] is not block or _BUILT[1] != radius:
+        _BUILT[:] = [block, radius, ItemIndex(block, radius)]
+    return _BUILT[2]
+
+
+def _normal(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """doc_id, plain: the texts in normal form, written once for several blocks of items."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            plain = pa.array([_plain(t.as_py()) for t in batch.column(1)], pa.large_string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), plain.cast(batch.schema.field(1).type)], ["doc_id", "plain"])
+
+    return materialize(docs.select(doc_id, text).filter(f"{text} is not null").mapInArrow(run, f"doc_id {dict(docs.dtypes)[doc_id]}, plain string"))
+
+
 def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", block_words: int = BLOCK_WORDS, radius: int = RADIUS) -> DataFrame:
     """doc_id, item_id: one row per document and item whose passage it holds."""
     kinds = dict(docs.dtypes)[doc_id], dict(items.dtypes)[item_id]
     schema = f"doc_id {kinds[0]}, item_id {kinds[1]}"
+    item_type = pa.string() if kinds[1] == "string" else pa.int32() if kinds[1] == "int" else pa.int64()
     sc = docs.sparkSession.sparkContext
     out = docs.sparkSession.createDataFrame([], schema)
-    for block in _blocks(items, item_id, text, block_words):
+    blocks = _blocks(items, item_id, text, block_words)
+    block, following = next(blocks, None), next(blocks, None)
+    read = None if following is None else _normal(docs, doc_id, text)
+    while block is not None:
         shared = sc.broadcast(block)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = ItemIndex(shared.value, radius)
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, normal=read is not None) -> Iterator[pa.RecordBatch]:
+            index = _index(shared.value, radius)
             for batch in batches:
                 at, found = [], []
                 for k, t in enumerate(batch.column(1)):
-                    hits = index.find(t.as_py())
+                    hits = index.find_plain(t.as_py()) if normal else index.find(t.as_py())
                     at += [k] * len(hits)
                     found += [index.items[i][0] for i in hits]
                 ids = batch.column(0).take(pa.array(at, pa.int64()))
-                yield pa.RecordBatch.from_pydict({"doc_id": ids, "item_id": found}, schema=pa.schema([("doc_id", ids.type), ("item_id", batch_type)]))
+                yield pa.RecordBatch.from_pydict({"doc_id": ids, "item_id": found}, schema=pa.schema([("doc_id", ids.type), ("item_id", item_type)]))
 
-        batch_type = pa.string() if kinds[1] == "string" else pa.int32() if kinds[1] == "int" else pa.int64()
-        out = out.unionByName(docs.select(doc_id, text).filter(f"{text} is not null").mapInArrow(run, schema))
+        source = docs.select(doc_id, text).filter(f"{text} is not null") if read is None else read
+        out = out.unionByName(source.mapInArrow(run, schema))
+        block, following = following, next(blocks, None)
     return out.distinct()
