@@ -133,6 +133,12 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.lookalike_pairs(table(spark, sf_dir, "documents"))
 
 
+@_R.add("p9_classes")
+def p9_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document that looks like another text: its class and its number of links."""
+    return lookalike.lookalike_members_of(table(spark, sf_dir, "documents"))
+
+
 @_R.add("p9_normal")
 def p9_normal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The one form of every text."""

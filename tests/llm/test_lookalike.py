@@ -65,3 +65,24 @@ def test_copies_of_a_hot_text_are_not_paired(spark):
 def test_forms(spark):
     df = spark.createDataFrame([(1, "a" * 200_000), (2, None), (3, ""), (4, "е")], "doc_id bigint, text string")
     assert {r["doc_id"]: r["normal"] for r in op.with_normal_form(df).collect()} == {1: "a" * 200_000, 2: None, 3: "", 4: "e"}
+
+
+@pytest.mark.parametrize(("a", "b"), [("𝐞𝐫𝐫𝐨𝐫", "error"), ("кот", "κοτ"), ("п", "π"), ("ᎪᏴ", "AB"), ("ⲟⲣ", "op"), ("ꓲꓳ", "IO"), ("Ⅳ", "IV"), ("ᴠᴏᴡ", "vow"), ("5 µs", "5 μs"), ("ǆ", "dž"), ("ĳ", "ij")])
+def test_more_scripts_and_forms(a, b):
+    assert op.normal_form(a) == op.normal_form(b)
+
+
+@pytest.mark.parametrize(("a", "b"), [("Ω", "O"), ("ב", "c"), ("中", "国"), ("ⅳ", "IV"), ("x²", "x2"), ("①", "1"), ("の", "0"), ("ж", "x")])
+def test_what_looks_different_stays_so(a, b):
+    assert op.normal_form(a) != op.normal_form(b)
+
+
+def test_hot_class_and_class_table(spark):
+    rows = [(i, "paypal login") for i in range(60)] + [(100 + i, "раypal login") for i in range(50)] + [(200, "paypal\u00a0login"), (201, "other"), (202, "other")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    whole = {tuple(r) for r in op.lookalike_pairs(docs).collect()}
+    assert len(whole) == 60 * 50 + 60 + 50 and {tuple(r) for r in op.lookalike_pairs(docs, slice_size=7).collect()} == whole
+    classes = {r["doc_id"]: r for r in op.lookalike_members_of(docs).collect()}
+    assert set(classes) == {i for i, _ in rows[:-2]} and {r["class_id"] for r in classes.values()} == {0}
+    assert (classes[5]["n_links"], classes[105]["n_links"], classes[200]["n_links"]) == (51, 61, 110) and classes[105]["text_id"] == 100
+    assert sum(r["n_links"] for r in classes.values()) == 2 * len(whole)
