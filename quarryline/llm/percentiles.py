@@ -9,8 +9,8 @@ confidence, 0.0028 for k = 1000. The bound asked for is 0.01, about nine standar
 A sketch holds at most about 3 k values (24 kB), whatever it has seen: a hot model or day costs one
 bounded sketch per partition in the shuffle, so no group is ever gathered in one task.
 
-Defined cases: null, NaN and negative values do not count; a call_id counts once (rows repeated
-whole are one; rows with a null call_id are one if they are equal in all used columns); a null or
+Defined cases: null, NaN and negative values do not count; a call_id counts once (of rows that differ the
+least by model, day and measures; rows with a null call_id are one if they are equal in all used columns); a null or
 blank model is the group null; a null called_at counts in the model's total and in a day null;
 measures without any value have n = 0 and null percentiles; infinite values are ordinary.
 """
@@ -37,8 +37,10 @@ def calls_once(calls: DataFrame) -> DataFrame:
     rows = calls.select(
         "call_id", F.when(model != "", model).alias("model"), F.to_date("called_at").alias("day"), *[usable(F.col(m)).alias(m) for m in MEASURES]
     )
+    # The least row of a call, so that the choice is the same in every run; partial minima combine before the shuffle.
     unnamed = F.when(F.col("call_id").isNull(), F.xxhash64("model", "day", *MEASURES))
-    return rows.withColumn("unnamed", unnamed).dropDuplicates(["call_id", "unnamed"]).drop("call_id", "unnamed")
+    least = rows.groupBy("call_id", unnamed.alias("unnamed")).agg(F.min(F.struct("model", "day", *MEASURES)).alias("r"))
+    return least.select("r.*")
 
 
 def daily_sketches(once: DataFrame, k: int = K) -> DataFrame:
@@ -68,3 +70,23 @@ def percentiles(sketches: DataFrame, *by: str) -> DataFrame:
         return F.struct(F.lit(m).alias("measure"), n.alias("n"), *cut)
 
     return sketches.select(*by, F.explode(F.array(*[of(m) for m in MEASURES])).alias("x")).select(*by, "x.*")
+
+
+def within_bound(once: DataFrame, k: int = K, bound: float = 0.01) -> DataFrame:
+    """model, day, measure, n, within_bound: whether each percentile of a daily sketch is within the rank error, against the exact ranks.
+
+    A percentile q of n values is within it if q lies between the share of values below it and the share up to it, ``bound`` more or less."""
+    group = ["model", "day", "measure"]
+    asked = percentiles(daily_sketches(once, k), "model", "day")
+    values = once.select("model", "day", F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("v")) for m in MEASURES])).alias("x")).select("model", "day", "x.*").filter("v is not null")
+    same = F.col("a.measure") == F.col("b.measure")
+    for g in group[:2]:
+        same = same & F.col(f"a.{g}").eqNullSafe(F.col(f"b.{g}"))
+    ranks = []
+    for p in QUANTILES:
+        ranks += [F.count_if(F.col("v") < F.col(p)).alias(f"below_{p}"), F.count_if(F.col("v") <= F.col(p)).alias(f"upto_{p}")]
+    counted = asked.alias("a").join(values.alias("b"), same, "left").groupBy(*[F.col(f"a.{g}").alias(g) for g in group], F.col("a.n").alias("n")).agg(*ranks)
+    inside = F.lit(True)
+    for p, q in QUANTILES.items():
+        inside = inside & (F.col(f"below_{p}") <= (q + bound) * F.col("n")) & (F.col(f"upto_{p}") >= (q - bound) * F.col("n"))
+    return counted.select(*group, "n", inside.alias("within_bound"))

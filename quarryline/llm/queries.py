@@ -78,19 +78,27 @@ def p5_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return percentiles.percentiles(percentiles.with_totals(daily), "model", "span", "day")
 
 
-@_R.add(
-    "p5_counts",
-    """WITH once AS (SELECT DISTINCT * FROM llm_call_record), r AS (
-  SELECT nullif(lower(trim(model)), '') AS model, CAST(called_at AS DATE) AS day, duration_seconds AS d, CAST(total_tokens AS DOUBLE) AS t, total_cost AS c FROM once),
-m AS (SELECT model, day, 'duration_seconds' AS measure, d AS v FROM r UNION ALL SELECT model, day, 'total_tokens', t FROM r UNION ALL SELECT model, day, 'total_cost', c FROM r)
-SELECT model, day, measure, count(*) FILTER (WHERE v >= 0 AND NOT isnan(v)) AS n FROM m GROUP BY 1, 2, 3""",
-)
+_CALLS_SQL = """WITH r AS (
+  SELECT call_id, nullif(lower(trim(model)), '') AS model, CAST(called_at AS DATE) AS day, CASE WHEN duration_seconds >= 0 AND NOT isnan(duration_seconds) THEN duration_seconds END AS d,
+    CASE WHEN total_tokens >= 0 THEN CAST(total_tokens AS DOUBLE) END AS t, CASE WHEN total_cost >= 0 AND NOT isnan(total_cost) THEN total_cost END AS c FROM llm_call_record),
+o AS (SELECT *, row_number() OVER (PARTITION BY call_id, CASE WHEN call_id IS NULL THEN hash(model, day, d, t, c) END ORDER BY model NULLS FIRST, day NULLS FIRST, d NULLS FIRST, t NULLS FIRST, c NULLS FIRST) AS rn FROM r),
+m AS (SELECT model, day, 'duration_seconds' AS measure, d AS v FROM o WHERE rn = 1 UNION ALL SELECT model, day, 'total_tokens', t FROM o WHERE rn = 1 UNION ALL SELECT model, day, 'total_cost', c FROM o WHERE rn = 1)
+"""
+
+
+@_R.add("p5_counts", _CALLS_SQL + "SELECT model, day, measure, count(v) AS n FROM m GROUP BY 1, 2, 3")
 def p5_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many values each daily sketch has seen."""
     daily = percentiles.daily_sketches(percentiles.calls_once(table(spark, sf_dir, "llm_call_record")))
     return percentiles.percentiles(daily, "model", "day").select("model", "day", "measure", "n")
 
 
+@_R.add("p5_within_bound", _CALLS_SQL + "SELECT model, day, measure, count(v) AS n, true AS within_bound FROM m GROUP BY 1, 2, 3")
+def p5_within_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every percentile of every day against the exact ranks of its values."""
+    return percentiles.within_bound(percentiles.calls_once(table(spark, sf_dir, "llm_call_record")))
+
+
 @_R.add("p6_found")
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.cut_elements(truncation.scored(table(spark, sf_dir, "log_analysis")))

@@ -7,6 +7,8 @@ between them; the weakest boundary is merged first while the combined size plus
 Each piece then repeats whole lines (changes) from the end of the piece before, up to the overlap
 and as far as the limit leaves room. Joining the pieces without their overlaps gives back the item.
 
+An item's ``cut_level`` is the weakest boundary that is left between its pieces.
+
 Items within the limit never reach Python: their length is checked in the JVM.
 
 Defined cases: null and empty items have no pieces; an item at the limit is not cut; rows repeated
@@ -25,6 +27,7 @@ from pyspark.sql import functions as F
 
 LIMIT = 6000
 OVERLAP = 200
+FRAME_CHARS = 8_000_000
 
 #: Strength of the boundary before an atom, weakest first.
 DIFF_LEVELS = ("inside_line", "line", "hunk", "file")
@@ -41,8 +44,8 @@ def _sections(lines: list[tuple[int, int]], text: str, starts: tuple[str, ...])
     return list(zip(edges, edges[1:], strict=False))
 
 
-def diff_atoms(text: str, limit: int) -> tuple[str, list[tuple[int, int, int]]]:
-    """The item's level and its atoms (start, end, strength of the boundary before), end without the line feed after it."""
+def diff_atoms(text: str, limit: int) -> list[tuple[int, int, int]]:
+    """The item's atoms (start, end, strength of the boundary before), end without the line feed after it."""
     lines, at = [], 0
     while True:
         stop = text.find("\n", at)
@@ -51,40 +54,33 @@ def diff_atoms(text: str, limit: int) -> tuple[str, list[tuple[int, int, int]]]:
             break
         at = stop + 1
     atoms: list[tuple[int, int, int]] = []
-    finest = 3
 
     def add(first: int, end: int, strength: int) -> None:
-        nonlocal finest
         a, b = lines[first][0], lines[end - 1][1]
         if b - a <= limit:
             atoms.append((a, b, strength))
             return
         inner = [(first + x, first + y) for x, y in _sections(lines[first:end], text, ("diff --git ", "@@ "))] if strength == 3 else []
         if strength == 3:
-            finest = min(finest, 2)
             for k, (x, y) in enumerate(inner):
                 add_hunk(x, y, 3 if k == 0 else 2)
         else:
             add_hunk(first, end, strength)
 
     def add_hunk(first: int, end: int, strength: int) -> None:
-        nonlocal finest
         a, b = lines[first][0], lines[end - 1][1]
         if b - a <= limit:
             atoms.append((a, b, strength))
             return
-        finest = min(finest, 1)
         for k in range(first, end):
             a, b = lines[k]
             before = strength if k == first else 1
-            if b - a > limit:
-                finest = 0
             for x in range(a, max(b, a + 1), limit):
                 atoms.append((x, min(b, x + limit), before if x == a else 0))
 
     for first, end in _sections(lines, text, ("diff --git ",)):
         add(first, end, 3)
-    return DIFF_LEVELS[finest], atoms
+    return atoms
 
 
 def merge_atoms(sizes: list[int], gaps: list[int], strengths: list[int], limit: int, overlap: int) -> list[tuple[int, int]]:
@@ -120,7 +116,7 @@ def merge_atoms(sizes: list[int], gaps: list[int], strengths: list[int], limit:
 
 def split_diff(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> tuple[str, list[dict]]:
     """The cut level and the pieces of one diff of more than ``limit`` characters."""
-    level, atoms = diff_atoms(text, limit)
+    atoms = diff_atoms(text, limit)
     # Gap: the line feed between atoms of different lines.
     gaps = [0] + [atoms[i][0] - atoms[i - 1][1] for i in range(1, len(atoms))]
     runs = merge_atoms([b - a for a, b, _ in atoms], gaps, [s for *_, s in atoms], limit, overlap)
@@ -133,7 +129,12 @@ def split_diff(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> tuple[s
         repeat = _tail_lines(before, whole, room) if no and atoms[first][2] > 0 else ""
         pieces.append({"piece_no": no, "cut_before": DIFF_LEVELS[atoms[first][2]] if no else None, "n_chars": len(repeat) + len(own), "overlap_chars": len(repeat), "text": repeat + own, "changes": None})
         before, whole = own, no == 0 or atoms[first][2] > 0
-    return level, pieces
+    return _level(pieces, DIFF_LEVELS), pieces
+
+
+def _level(pieces: list[dict], levels: tuple[str, ...]) -> str:
+    """The weakest boundary at which the pieces were cut."""
+    return levels[min((levels.index(p["cut_before"]) for p in pieces[1:]), default=len(levels) - 1)]
 
 
 def _tail_lines(text: str, starts_line: bool, room: int) -> str:
@@ -153,14 +154,13 @@ def _tail_lines(text: str, starts_line: bool, room: int) -> str:
 def split_changes(changes: list[dict | None], limit: int = LIMIT, overlap: int = OVERLAP) -> tuple[str, list[dict]]:
     """The cut level and the pieces of one list of changes of more than ``limit`` characters."""
     atoms: list[tuple[dict, int, int]] = []
-    finest = 1
     for pos, c in enumerate(changes):
         c = dict(c) if c is not None else {"line": None, "before": None, "after": None, "change_type": None}
         size = len(c["before"] or "") + len(c["after"] or "")
         if size <= limit:
             atoms.append((c | {"pos": pos, "part": 0, "repeated": False}, size, 1))
             continue
-        finest, part = 0, 0
+        part = 0
         for side in ("before", "after"):
             for x in range(0, len(c[side] or ""), limit):
                 cut = {"line": c["line"], "change_type": c["change_type"], "before": None, "after": None, side: c[side][x : x + limit]}
@@ -180,11 +180,20 @@ def split_changes(changes: list[dict | None], limit: int = LIMIT, overlap: int =
         over = sum(len(c["before"] or "") + len(c["after"] or "") for c in repeat)
         pieces.append({"piece_no": no, "cut_before": CHANGE_LEVELS[atoms[first][2]] if no else None, "n_chars": size + over, "overlap_chars": over, "text": None, "changes": repeat + [c for c, _, _ in own]})
         before = own
-    return CHANGE_LEVELS[finest], pieces
+    return _level(pieces, CHANGE_LEVELS), pieces
 
 
-def _frame(done: list[tuple[str, list[dict]]]) -> pd.DataFrame:
-    return pd.DataFrame({"cut_level": [x for x, _ in done], "pieces": [p for _, p in done]})
+def _frames(cuts: Iterator[tuple[str, list[dict]]]) -> Iterator[pd.DataFrame]:
+    """Frames of items until their pieces pass ``FRAME_CHARS``, so that no batch of large items is held cut at once."""
+    done, size = [], 0
+    for cut in cuts:
+        done.append(cut)
+        size += sum(p["n_chars"] for p in cut[1])
+        if size >= FRAME_CHARS:
+            yield pd.DataFrame({"cut_level": [x for x, _ in done], "pieces": [p for _, p in done]})
+            done, size = [], 0
+    if done:
+        yield pd.DataFrame({"cut_level": [x for x, _ in done], "pieces": [p for _, p in done]})
 
 
 def changes_chars(changes: Column) -> Column:
@@ -203,12 +212,12 @@ def split_oversized(items: DataFrame, item_table: str, id_column: str, content:
     @F.pandas_udf(RESULT)
     def of_text(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            yield _frame([split_diff(t, limit, overlap) for t in texts])
+            yield from _frames(split_diff(t, limit, overlap) for t in texts)
 
     @F.pandas_udf(RESULT)
     def of_changes(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for lists in batches:
-            yield _frame([split_changes(list(x), limit, overlap) for x in lists])
+            yield from _frames(split_changes(list(x), limit, overlap) for x in lists)
 
     cut = (of_text if is_text else of_changes)(F.col("content"))
     return long.withColumn("cut", cut).select(F.lit(item_table).alias("item_table"), "item_id", "cut.cut_level", "cut.pieces")

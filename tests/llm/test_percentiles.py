@@ -60,3 +60,16 @@ def test_merge_order_does_not_matter_for_counts(spark):
     daily = op.daily_sketches(op.calls_once(df))
     a = op.merge_sketches(daily, "model").select(F.kll_sketch_get_n_double("total_tokens")).first()[0]
     assert a == 5000
+
+
+def test_calls_with_differing_rows_are_the_same_in_every_run(spark):
+    rows = [(i, m, T, d, 1, 1.0, "x") for i in range(50) for m, d in (("b", 1.0), ("a", 9.0), ("a", 3.0))]
+    for n in (1, 3, 8):
+        once = op.calls_once(spark.createDataFrame(rows[::-1] if n == 3 else rows, SCHEMA).repartition(n)).collect()
+        assert len(once) == 50 and {(r["model"], r["duration_seconds"]) for r in once} == {("a", 3.0)}
+
+
+def test_within_bound_says_so(spark):
+    once = op.calls_once(spark.createDataFrame([(i, "m", T, float(i), i, 0.5, "x") for i in range(20_000)], SCHEMA))
+    assert {r["within_bound"] for r in op.within_bound(once).collect()} == {True}
+    assert False in {r["within_bound"] for r in op.within_bound(once, 1000, 0.000001).collect()}
