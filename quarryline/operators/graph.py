@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from quarryline.session import ensure_checkpoint_dir
@@ -18,7 +18,7 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
 
     Each round maps every node's neighbours to the least of them; the number of rounds grows with the
     logarithm of the longest path. Aggregates combine before the shuffle and stars are emitted per edge, so
-    a hot node is never gathered in one task. Isolated nodes come as edges to themselves.
+    a hot node is never gathered in one task. Isolated nodes come as edges to themselves. Raises where ``most_rounds`` do not suffice.
     """
     ensure_checkpoint_dir(edges.sparkSession)
     nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).filter("node is not null").distinct()
@@ -30,12 +30,15 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).filter("u <> v")
-        e = small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().checkpoint()
-        # The edge set is stable when its count and hash are: two numbers reach the driver.
-        now = e.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("h")).first()
-        if before == (now["n"], now["h"]):
+        # The edge set is stable when its count and hash are: two numbers reach the driver, seen while the round is written.
+        seen = Observation()
+        e = small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().observe(seen, F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("h")).checkpoint()
+        now = (seen.get["n"], seen.get["h"])
+        if before == now:
             break
-        before = (now["n"], now["h"])
+        before = now
+    else:
+        raise RuntimeError(f"components are not stable after {most_rounds} rounds")
     roots = e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
     return nodes.join(roots, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
@@ -68,8 +71,8 @@ def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 20, bias: Da
 
 
 def term_graph(docs: DataFrame, doc: str, tokens: Column, window: int = 5) -> DataFrame:
-    """doc, src < dst, w: how often two terms stand within ``window`` places. Pairs are made inside a document's own row."""
-    pairs = F.flatten(F.transform("_t", lambda x, i: F.transform(F.slice("_t", i + 2, window - 1), lambda y: F.struct(F.least(x, y).alias("src"), F.greatest(x, y).alias("dst")))))
+    """doc, src < dst, w: how often a term is one of the ``window`` that follow another. Pairs are made inside a document's own row."""
+    pairs = F.flatten(F.transform("_t", lambda x, i: F.transform(F.slice("_t", i + 2, window), lambda y: F.struct(F.least(x, y).alias("src"), F.greatest(x, y).alias("dst")))))
     return docs.select(F.col(doc).alias("doc"), tokens.alias("_t")).filter(F.size("_t") > 1).select("doc", F.explode(pairs).alias("p")).filter("p.src <> p.dst").groupBy("doc", "p.src", "p.dst").agg(F.count("*").alias("w"))
 
 

@@ -16,14 +16,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The checkpoint folder of the session.
 
-    A cluster names a folder that all executors share in ``spark.checkpoint.dir``. Only where
-    that is unset (local tests) a temporary folder is made.
+    A cluster names a folder that all executors share in ``spark.checkpoint.dir``. Where that is unset a
+    temporary folder is made for a local master only; elsewhere its files would lie on different machines.
     """
     sc = spark.sparkContext
     set_already = sc.getCheckpointDir()
     if set_already:
         return set_already
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quarryline-")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset: it has to name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="quarryline-")
     sc.setCheckpointDir(folder)
     return folder
 

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from quarryline.sources.versions import BUCKETS, merge_batch
+
 FINAL = "id string, outcome string, polls int, first_seen timestamp, last_seen timestamp"
 STATE = "polls int, first_seen timestamp, last_seen timestamp, done boolean"
 WINDOW_MINUTES = 375
@@ -32,14 +34,14 @@ def track(observations: DataFrame, window_minutes: int = WINDOW_MINUTES, late: s
         polls, first, last, done = state.get if state.exists else (0, None, None, False)
         rows = pd.concat(list(batches)).sort_values("observed_at", kind="stable")
         outcome = None
-        for r in rows.itertuples():
-            if done:
-                break
-            polls += 1
-            first = r.observed_at if first is None or r.observed_at < first else first
-            last = r.observed_at if last is None or r.observed_at > last else last
-            if r.status == "completed":
-                done, outcome = True, r.conclusion
+        if not done:
+            over = (rows["status"] == "completed").to_numpy()
+            rows = rows.iloc[: int(over.argmax()) + 1] if over.any() else rows
+            polls += len(rows)
+            first = rows["observed_at"].min() if first is None else min(first, rows["observed_at"].min())
+            last = rows["observed_at"].max() if last is None else max(last, rows["observed_at"].max())
+            if over.any():
+                done, outcome = True, rows["conclusion"].iloc[-1]
         state.update((polls, first, last, done))
         state.setTimeoutTimestamp(max(int(pd.Timestamp(first).timestamp() * 1000) + window_minutes * 60_000, state.getCurrentWatermarkMs() + 1))
         if outcome is not None:
@@ -62,16 +64,11 @@ def delays(runs: DataFrame) -> DataFrame:
     return runs.withColumn("queue_s", between("created_at", "started_at")).withColumn("run_s", between("started_at", "updated_at")).withColumn("detect_s", between("updated_at", "observed_at"))
 
 
-def upsert_batches(stream: DataFrame, path: str, keys: list[str], order: str, checkpoint: str):  # noqa: ANN201
-    """Keeps the newest row per key under ``path``: each batch is merged and swapped in, so a repeated batch changes nothing."""
-    from quarryline.operators.windows import latest
-    from quarryline.sources.readers import path_exists
-    from quarryline.sources.sinks import replace_parquet
+def upsert_batches(stream: DataFrame, path: str, keys: list[str], order: str, checkpoint: str, buckets: int = BUCKETS):  # noqa: ANN201
+    """Keeps the newest row per key under ``path`` (read by ``versions.read_table``). A batch rewrites the buckets that it touches; a repeated batch and a crash at any point lose and change nothing."""
 
-    def merge(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        rows = spark.read.parquet(path).unionByName(batch) if path_exists(spark, path) else batch
-        replace_parquet(latest(rows, keys, [order]).select(*batch.columns), path, backup=False)
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        merge_batch(batch, batch_id, path, keys, order, buckets)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -42,6 +42,44 @@ def test_replace_with_backup(spark, tmp_path):
     assert spark.read.parquet(p).count() == 5 and len([x for x in tmp_path.iterdir() if x.name.startswith("t.2")]) == 1
 
 
+def test_a_swap_cut_short_is_finished(spark, tmp_path, monkeypatch):
+    p = str(tmp_path / "t")
+    sinks.replace_parquet(spark.range(3), p)
+    real = sinks._swap
+
+    def half(spark, path, backup):
+        (tmp_path / "t").rename(tmp_path / "t.old")
+        raise OSError("killed")
+
+    monkeypatch.setattr(sinks, "_swap", half)
+    with pytest.raises(OSError, match="killed"):
+        sinks.replace_parquet(spark.range(5), p)
+    monkeypatch.setattr(sinks, "_swap", real)
+    assert sinks.finish_swap(spark, p) and spark.read.parquet(p).count() == 5 and not sinks.finish_swap(spark, p)
+
+
+def test_one_json_file_replaces_another(spark, tmp_path):
+    for n in (3, 5):
+        sinks.write_json_file(spark.range(n), str(tmp_path / "one.json"))
+        assert len((tmp_path / "one.json").read_text().splitlines()) == n
+
+
+def test_checkpoints_need_a_shared_folder_on_a_cluster(spark, monkeypatch):
+    from quarryline import session
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext, conf = Context(), type("C", (), {"get": staticmethod(lambda *_: None)})()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.ensure_checkpoint_dir(Session())
+
+
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([("a", 'x,"y"', None), ("b", "z", 1)], "k string, v string, n int")
     sinks.write_csv(df, str(tmp_path / "c"), ["k", "v", "n", "missing"])

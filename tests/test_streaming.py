@@ -2,6 +2,9 @@ from __future__ import annotations
 
 import datetime as dt
 
+import pytest
+
+from quarryline.sources import versions
 from quarryline.streaming import status
 
 T0 = dt.datetime(2031, 1, 1, tzinfo=dt.timezone.utc)
@@ -36,7 +39,40 @@ def test_upsert_is_idempotent(spark, tmp_path):
     out = str(tmp_path / "out")
     for _ in range(2):
         status.upsert_batches(src, out, ["id"], "observed_at", str(tmp_path / "cp")).awaitTermination(120)
-    assert {r["id"]: r["status"] for r in spark.read.parquet(out).collect()} == {"a": "completed", "b": "queued"}
+    assert {r["id"]: r["status"] for r in versions.read_table(spark, out).collect()} == {"a": "completed", "b": "queued"}
+
+
+@pytest.mark.parametrize("step", ["write_text", "replace_file"])
+def test_upsert_survives_a_crash_between_its_steps(spark, tmp_path, monkeypatch, step):
+    first = [(f"k{i}", "queued", None, at(0)) for i in range(200)]
+    src = feed(spark, str(tmp_path / "in"), first, [("k1", "completed", "success", at(5))], [("k2", "completed", "failure", at(6))])
+    out, real, calls = str(tmp_path / "out"), getattr(versions, step), []
+
+    def crash(*args):
+        calls.append(1)
+        if len(calls) == 2:
+            raise OSError("killed")
+        return real(*args)
+
+    monkeypatch.setattr(versions, step, crash)
+    with pytest.raises(Exception, match="killed"):
+        status.upsert_batches(src, out, ["id"], "observed_at", str(tmp_path / "cp"), 8).awaitTermination(120)
+    kept = {r["id"]: r["status"] for r in versions.read_table(spark, out).collect()}
+    assert len(kept) == 200 and set(kept.values()) == {"queued"}
+    status.upsert_batches(src, out, ["id"], "observed_at", str(tmp_path / "cp"), 8).awaitTermination(120)
+    now = {r["id"]: r["status"] for r in versions.read_table(spark, out).collect()}
+    assert len(now) == 200 and {k for k, v in now.items() if v == "completed"} == {"k1", "k2"}
+
+
+def test_upsert_rewrites_touched_buckets_only(spark, tmp_path):
+    out = str(tmp_path / "out")
+    versions.merge_batch(spark.createDataFrame([(f"k{i}", "queued", None, at(0)) for i in range(500)], SCHEMA), 0, out, ["id"], "observed_at", 16)
+    versions.merge_batch(spark.createDataFrame([("k1", "done", None, at(1))], SCHEMA), 1, out, ["id"], "observed_at")
+    by = versions.read_manifest(spark, out)
+    assert sorted(by["buckets"].values()) == ["v0"] * 15 + ["v1"] and by["batch"] == 1
+    versions.merge_batch(spark.createDataFrame([("k1", "again", None, at(9))], SCHEMA), 1, out, ["id"], "observed_at")
+    assert versions.read_table(spark, out).filter("id = 'k1'").first()["status"] == "done" and versions.read_table(spark, out).count() == 500
+    assert versions.read_table(spark, str(tmp_path / "none")) is None
 
 
 def test_batch_twin(spark):
