@@ -8,11 +8,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarryline.operators.joins import import_match
+
 _HUNK = re.compile(r"^@@ -(\d+)(?:,\d+)? \+(\d+)(?:,\d+)? @@")
 CHANGE = "struct<path:string, old_path:string, line:int, old_line:int, before:string, after:string, change_type:string>"
 CHANGES = f"array<{CHANGE}>"
@@ -61,11 +64,51 @@ def whitespace_only(section: Column) -> Column:
     return (F.size(old) + F.size(new) > 0) & (old == new)
 
 
-def change_tags(diff: Column) -> Column:
-    """Tags from content and paths of a diff."""
-    low = F.lower(diff)
-    rules = {"imports": low.rlike(r"(?m)^[+-]\s*(?:import|from) "), "tests": low.rlike(r"(?m)^diff --git .*test"), "config": low.rlike(r"(?m)^diff --git .*\.(?:toml|ya?ml|cfg)\s*$"), "signatures": low.rlike(r"(?m)^[+-]\s*def ")}
-    return F.filter(F.array(*[F.when(c, F.lit(t)) for t, c in rules.items()]), lambda x: x.isNotNull())
+#: Tags of a file's diff, by what its text (or its text in lower case) holds and what its path ends with or holds.
+TEXT_TAGS = {"definitions": ("def ", "class "), "type_hints": ("-> ",)}
+LOWER_TAGS = {"imports": ("import", "from "), "returns": ("return",), "assertions": ("assert",)}
+PATH_ENDS = {"config": (".toml", ".ini", ".cfg", ".yaml", ".yml", ".json"), "dependencies": (".txt", ".lock"), "docs": (".md",)}
+PATH_PARTS = {"tests": "test", "docs": "readme"}
+
+
+def change_tags(section: Column, path: Column) -> Column:
+    """Tags of one file section in order of their names; ``code`` alone where no rule holds."""
+    low, low_path = F.lower(section), F.lower(path)
+    any_of = lambda hits: reduce(lambda a, b: a | b, hits)
+    rules = {t: any_of(section.contains(m) for m in marks) for t, marks in TEXT_TAGS.items()}
+    rules |= {t: any_of(low.contains(m) for m in marks) for t, marks in LOWER_TAGS.items()}
+    ends = {t: any_of(path.endswith(m) for m in marks) for t, marks in PATH_ENDS.items()}
+    rules |= {"config": ends["config"], "dependencies": ends["dependencies"] | path.contains("requirements"), "docs": ends["docs"] | low_path.contains(PATH_PARTS["docs"]), "tests": low_path.contains(PATH_PARTS["tests"])}
+    found = F.filter(F.array(*[F.when(rules[t], F.lit(t)) for t in sorted(rules)]), lambda x: x.isNotNull())
+    return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("code")))
+
+
+#: Fixed value: what an added line imports.
+IMPORTED = r"(?:from\s+[.\w]+\s+)?import\s+([\w.\s,]+)"
+
+
+def imported_names(section: Column) -> Column:
+    """Names that the added lines of a section import, without their aliases; private ones are left out."""
+    lines = F.filter(F.split(section, "\n"), lambda x: x.startswith("+") & x.contains("import "))
+    names = F.flatten(F.transform(lines, lambda x: F.split(F.regexp_extract(x, IMPORTED, 1), ",")))
+    plain = F.transform(names, lambda n: F.regexp_replace(F.split(F.regexp_replace(n, r"^\s+|\s+$", ""), " as ")[0], r"^\s+|\s+$", ""))
+    return F.array_distinct(F.filter(plain, lambda n: (n != "") & ~n.startswith("_")))
+
+
+def module_names(path: Column) -> Column:
+    """The dotted name of a Python file and its last part; none for other files."""
+    whole = F.regexp_replace(F.replace(F.replace(path, F.lit("/"), F.lit(".")), F.lit(".py"), F.lit("")), r"^[./]+|[./]+$", "")
+    return F.when(path.endswith(".py"), F.array_distinct(F.array(whole, F.substring_index(whole, ".", -1)))).otherwise(F.array().cast("array<string>"))
+
+
+def import_graph(sections: DataFrame) -> DataFrame:
+    """diff_id, name, src, dst: files of a diff that import another one of it, from (diff_id, section_pos, path, section).
+
+    Where several files have a module name, the last one in the diff has it."""
+    files = sections.select("diff_id", "section_pos", "path", F.explode(module_names(F.col("path"))).alias("module"))
+    modules = files.groupBy("diff_id", "module").agg(F.max_by("path", "section_pos").alias("dst"))
+    imports = sections.filter(F.col("path").endswith(".py")).select("diff_id", F.col("path").alias("src"), F.explode(imported_names(F.col("section"))).alias("name"))
+    return import_match(imports, modules, ["diff_id"], "name", "module").filter("src <> dst").select("diff_id", "name", "src", "dst").distinct()
 
 
 def added_imports(diff: Column) -> Column:
@@ -75,7 +118,27 @@ def added_imports(diff: Column) -> Column:
 
 
 def looks_corrupt(message: Column) -> Column:
-    return F.coalesce(F.lower(message).rlike("corrupt patch|does not apply|patch failed|malformed"), F.lit(False))
+    """Whether an error message names a corrupt or an empty patch; null names nothing."""
+    low = F.lower(message)
+    return F.coalesce(low.contains("corrupt patch") | low.contains("no valid patches in input"), F.lit(False))
+
+
+#: What any diff holds.
+MARKERS = ("diff --git", "@@", "---", "+++", "index ")
+
+
+def extracted_patches(rows: DataFrame) -> DataFrame:
+    """id, repo, sha_fail, diff, marked: the patches of records under any of their names, unchanged.
+
+    The repository is ``repo`` or owner and name, the diff the first of ``diff`` and ``diff_fix`` that is not empty. Records without a repository or with a
+    blank diff are left out; ``marked`` is false where the text has nothing of a diff."""
+    have = set(rows.columns)
+    col = lambda n: F.col(n) if n in have else F.lit(None).cast("string")
+    repo = F.coalesce(col("repo"), F.concat(col("repo_owner"), F.lit("/"), col("repo_name")))
+    diff = F.coalesce(F.when(col("diff") != "", col("diff")), col("diff_fix"))
+    out = rows.select(F.col("id").cast("string").alias("id"), repo.alias("repo"), F.col("sha_fail").cast("string").alias("sha_fail"), diff.alias("diff"))
+    marked = reduce(lambda a, b: a | b, [F.col("diff").contains(m) for m in MARKERS])
+    return out.filter(F.col("repo").isNotNull() & F.col("diff").rlike(r"\S")).withColumn("marked", marked)
 
 
 def parse(text: str | None, compat: bool = False) -> list[dict]:

@@ -73,11 +73,11 @@ def tightest_enclosing(points: DataFrame, spans: DataFrame, scope: Sequence[str]
     return first_per_key(held, [point_id], [F.col(s[1]) - F.col(s[0]), F.col(s[0])])
 
 
-def suffix_match(names: DataFrame, files: DataFrame, name: str, path: str, separator: str = "/") -> DataFrame:
-    """Pairs where the name equals the path or is a suffix of it at a separator: all suffixes, then one equi-join."""
-    parts = F.split(F.col(path), separator)
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), separator))
-    return names.join(files.withColumn(name, F.explode(F.array_distinct(suffixes))), name)
+def import_match(imports: DataFrame, modules: DataFrame, scope: Sequence[str], name: str, module: str) -> DataFrame:
+    """Pairs of one scope where the import equals the module or ends in a dot and the module: all dotted suffixes of the import, then one equi-join."""
+    parts = F.split(F.col(name), r"\.")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+    return imports.withColumn(module, F.explode(F.array_distinct(suffixes))).join(modules, [*scope, module])
 
 
 def best_path_match(wanted: DataFrame, files: DataFrame, wanted_path: str, path: str) -> DataFrame:

@@ -43,14 +43,15 @@ def apply_batch(rows: DataFrame, updates: DataFrame, key: str, labels: str) -> D
 
 
 def violations(rows: DataFrame, key: str, labels: str, subs: str, known: Sequence[str], universe: DataFrame) -> DataFrame:
-    """key, rule: repeated, missing and extra keys, arrays of unequal length, unknown labels."""
+    """key, rule: repeated, missing and extra keys, rows without a label, arrays of unequal length, unknown labels."""
     rule = lambda d, name: d.select(F.col(key).cast("string").alias("key"), F.lit(name).alias("rule"))
     repeated = rule(rows.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1"), "repeated")
     missing = rule(universe.select(key).distinct().join(rows.select(key), key, "left_anti"), "missing")
     extra = rule(rows.select(key).distinct().join(universe.select(key), key, "left_anti"), "extra")
-    uneven = rule(rows.filter(F.size(labels) != F.size(subs)), "length")
+    uneven = rule(rows.filter(F.coalesce(F.size(labels), F.lit(0)) != F.coalesce(F.size(subs), F.lit(0))), "length")
     unknown = rule(rows.filter(F.exists(labels, lambda x: ~x.isin(*known))), "unknown_label")
-    return repeated.unionByName(missing).unionByName(extra).unionByName(uneven).unionByName(unknown)
+    empty = rule(rows.filter(F.coalesce(F.size(labels), F.lit(0)) == 0), "empty")
+    return repeated.unionByName(missing).unionByName(extra).unionByName(empty).unionByName(uneven).unionByName(unknown)
 
 
 def raise_on(found: DataFrame, most: int = 20) -> None:

@@ -18,10 +18,21 @@ _D = "d AS (SELECT DISTINCT diff_id, diff FROM diff_output WHERE diff IS NOT NUL
 _LINES = f"{_D}, ln AS (SELECT diff_id, unnest(string_split(diff, chr(10))) AS l FROM d)"
 
 
+_SECTIONS = f"""{_D}, lx AS (SELECT diff_id, ls[i] AS l, i FROM (SELECT diff_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT diff_id, string_split(diff, chr(10)) AS ls FROM d))),
+sx AS (SELECT diff_id, l, i, sum(CASE WHEN starts_with(l, 'diff --git ') THEN 1 ELSE 0 END) OVER (PARTITION BY diff_id ORDER BY i) AS sec FROM lx),
+se AS (SELECT diff_id, CAST(sec - 1 AS INTEGER) AS section_pos, string_agg(l, chr(10) ORDER BY i) AS section, regexp_replace(regexp_extract(first(l ORDER BY i), '^diff --git a/.*? b/(.+)$', 1), '\\s+$', '') AS path FROM sx WHERE sec > 0 GROUP BY 1, 2)"""
+
+
 def _diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "diff_output").filter("diff is not null").select("diff_id", "diff").distinct()
 
 
+def _sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """diff_id, section_pos, path, section."""
+    s = _diffs(spark, sf_dir).select("diff_id", F.posexplode(op.sections(F.col("diff"))).alias("section_pos", "section"))
+    return s.select("diff_id", "section_pos", op.section_path(F.col("section")).alias("path"), "section")
+
+
 @_R.add("d01_changed_paths", f"WITH {_LINES}, p AS (SELECT diff_id, trim(regexp_replace(regexp_extract(l, '^diff --git a/.*? b/(.+)$', 1), '\\s+$', '')) AS path FROM ln WHERE starts_with(l, 'diff --git a/')) SELECT d.diff_id, list_sort(coalesce(list(DISTINCT p.path) FILTER (p.path <> ''), [])) AS paths FROM d LEFT JOIN p ON d.diff_id = p.diff_id GROUP BY d.diff_id")
 def d01(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _diffs(spark, sf_dir).select("diff_id", F.array_sort(op.changed_paths(F.col("diff"))).alias("paths"))
@@ -64,9 +75,17 @@ def d10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths.groupBy(F.substring_index("path", "/", -1).alias("name")).agg(F.count("*").alias("n")).filter("n > 1")
 
 
-@_R.add("d11_change_tags")
+@_R.add(
+    "d11_change_tags",
+    f"""WITH {_SECTIONS}, t AS (SELECT diff_id, section_pos, path, [
+  CASE WHEN contains(lower(section), 'assert') THEN 'assertions' END, CASE WHEN regexp_matches(path, '[.](toml|ini|cfg|yaml|yml|json)$') THEN 'config' END, CASE WHEN contains(section, 'def ') OR contains(section, 'class ') THEN 'definitions' END,
+  CASE WHEN regexp_matches(path, '[.](txt|lock)$') OR contains(path, 'requirements') THEN 'dependencies' END, CASE WHEN ends_with(path, '.md') OR contains(lower(path), 'readme') THEN 'docs' END,
+  CASE WHEN contains(lower(section), 'import') OR contains(lower(section), 'from ') THEN 'imports' END, CASE WHEN contains(lower(section), 'return') THEN 'returns' END, CASE WHEN contains(lower(path), 'test') THEN 'tests' END,
+  CASE WHEN contains(section, '-> ') THEN 'type_hints' END] AS a FROM se)
+SELECT diff_id, section_pos, path, CASE WHEN len(list_filter(a, lambda x: x IS NOT NULL)) > 0 THEN list_filter(a, lambda x: x IS NOT NULL) ELSE ['code'] END AS tags FROM t""",
+)
 def d11(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _diffs(spark, sf_dir).select("diff_id", op.change_tags(F.col("diff")).alias("tags"))
+    return _sections(spark, sf_dir).select("diff_id", "section_pos", "path", op.change_tags(F.col("section"), F.col("path")).alias("tags"))
 
 
 @_R.add("d12_summary_lines", "SELECT diff_id, list_sort(list(file_type || ' ' || path || ' ' || coalesce(total_changes, 0)))[1:30] AS lines FROM parsed_file WHERE path IS NOT NULL AND file_type IS NOT NULL GROUP BY 1")
@@ -81,14 +100,24 @@ def d13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.groupBy("diff_id", F.regexp_extract("l", r"^\+\s*(?:import|from)\s+([\w.]+)", 1).alias("module_name")).agg(F.count("*").alias("n"))
 
 
-@_R.add("d14_corrupt_messages", "SELECT call_id, error_text FROM llm_call_record WHERE regexp_matches(lower(error_text), 'corrupt patch|does not apply|patch failed|malformed|time')")
+@_R.add("d14_corrupt_messages", "SELECT call_id, coalesce(contains(lower(error_text), 'corrupt patch') OR contains(lower(error_text), 'no valid patches in input'), false) AS corrupt FROM llm_call_record")
 def d14(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "llm_call_record").filter(op.looks_corrupt(F.col("error_text")) | F.lower("error_text").contains("time")).select("call_id", "error_text")
+    return table(spark, sf_dir, "llm_call_record").select("call_id", op.looks_corrupt(F.col("error_text")).alias("corrupt"))
 
 
-@_R.add("d16_valid_patches", f"WITH {_D} SELECT diff_id, contains(diff, 'diff --git ') AND contains(diff, '@@ ') AS valid FROM d")
+@_R.add(
+    "d16_valid_patches",
+    """WITH r AS (SELECT id, min(repo_owner) AS repo_owner, min(repo_name) AS repo_name, min(sha_fail) AS sha_fail FROM all_instances_metadata GROUP BY 1), d AS (SELECT DISTINCT diff_id, instance_id, diff FROM diff_output)
+SELECT d.instance_id AS id, r.repo_owner || '/' || r.repo_name AS repo, r.sha_fail, d.diff, contains(diff, 'diff --git') OR contains(diff, '@@') OR contains(diff, '---') OR contains(diff, '+++') OR contains(diff, 'index ') AS marked
+FROM d JOIN r ON d.instance_id = r.id WHERE regexp_matches(d.diff, '\\S') AND r.repo_owner || '/' || r.repo_name IS NOT NULL""",
+)
 def d16(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _diffs(spark, sf_dir).select("diff_id", (F.col("diff").contains("diff --git ") & F.col("diff").contains("@@ ")).alias("valid"))
+    """Patches of records whose repository comes in two parts and whose diff is under its other name for odd ids."""
+    records = table(spark, sf_dir, "all_instances_metadata").groupBy("id").agg(*[F.min(c).alias(c) for c in ("repo_owner", "repo_name", "sha_fail")])
+    diffs = table(spark, sf_dir, "diff_output").select("diff_id", F.col("instance_id").alias("id"), "diff").distinct()
+    odd = F.col("diff_id") % 2 == 1
+    named = diffs.select("id", F.when(~odd, F.col("diff")).alias("diff"), F.when(odd, F.col("diff")).alias("diff_fix"))
+    return op.extracted_patches(named.join(records, "id"))
 
 
 @_R.add("d17_change_kinds", "SELECT parsed_id, CAST(len(list_filter(changes, lambda c: c.change_type = 'added')) AS INTEGER) AS added, CAST(len(list_filter(changes, lambda c: c.change_type = 'deleted')) AS INTEGER) AS deleted, CAST(len(list_filter(changes, lambda c: c.change_type = 'modified')) AS INTEGER) AS modified FROM parsed_file WHERE changes IS NOT NULL")
@@ -163,14 +192,19 @@ def c09(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.cluster_chunks(c, [], 100).select("component", "item", "chunk")
 
 
-@_R.add("g02_import_edges", f"WITH {_LINES}, im AS (SELECT DISTINCT diff_id, regexp_extract(l, '^[+]\\s*(?:import|from)\\s+([\\w.]+)', 1) AS m FROM ln WHERE regexp_matches(l, '^[+]\\s*(?:import|from)\\s+[\\w.]+')), fl AS (SELECT DISTINCT path FROM parsed_file WHERE file_type = '.py') SELECT im.diff_id, im.m AS module_name, fl.path FROM im JOIN fl ON replace(im.m, '.', '/') || '.py' = fl.path OR ends_with(fl.path, '/' || replace(im.m, '.', '/') || '.py')")
+@_R.add(
+    "g02_import_edges",
+    f"""WITH {_SECTIONS}, im AS (
+  SELECT DISTINCT diff_id, path AS src, regexp_replace(split_part(regexp_replace(n, '^\\s+|\\s+$', '', 'g'), ' as ', 1), '^\\s+|\\s+$', '', 'g') AS name FROM (
+    SELECT diff_id, path, unnest(string_split(regexp_extract(l, '(?:from\\s+[.\\w]+\\s+)?import\\s+([\\w.\\s,]+)', 1), ',')) AS n FROM (SELECT diff_id, path, unnest(string_split(section, chr(10))) AS l FROM se WHERE ends_with(path, '.py'))
+    WHERE starts_with(l, '+') AND contains(l, 'import '))),
+mo AS (SELECT diff_id, section_pos, path, trim(replace(replace(path, '/', '.'), '.py', ''), './') AS whole FROM se WHERE ends_with(path, '.py')),
+ml AS (SELECT diff_id, module, arg_max(path, section_pos) AS dst FROM (SELECT diff_id, section_pos, path, whole AS module FROM mo UNION SELECT diff_id, section_pos, path, split_part(whole, '.', -1) FROM mo) GROUP BY 1, 2)
+SELECT DISTINCT im.diff_id, im.name, im.src, ml.dst FROM im JOIN ml ON im.diff_id = ml.diff_id AND (im.name = ml.module OR ends_with(im.name, '.' || ml.module)) WHERE im.name <> '' AND NOT starts_with(im.name, '_') AND im.src <> ml.dst""",
+)
 def g02(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Added imports joined with files by suffix."""
-    from quarryline.operators.joins import suffix_match
-
-    names = _diffs(spark, sf_dir).select("diff_id", F.explode(op.added_imports(F.col("diff"))).alias("module_name")).withColumn("name", F.concat(F.replace("module_name", F.lit("."), F.lit("/")), F.lit(".py")))
-    files = table(spark, sf_dir, "parsed_file").filter("file_type = '.py'").select("path").distinct()
-    return suffix_match(names, files, "name", "path").select("diff_id", "module_name", "path")
+    """Files of one diff that import each other."""
+    return op.import_graph(_sections(spark, sf_dir))
 
 
 @_R.add("g03_pagerank")

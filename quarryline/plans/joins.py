@@ -112,12 +112,17 @@ def j16(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.in_both_ends(file_edges(spark, sf_dir), nodes).select("diff_id", "src", "dst")
 
 
-@_R.add("j17_suffix_match", "SELECT n.name, f.path FROM (SELECT DISTINCT split_part(path, '/', -1) AS name FROM parsed_file WHERE file_type = '.toml') n JOIN (SELECT DISTINCT path FROM parsed_file WHERE path IS NOT NULL) f ON f.path = n.name OR ends_with(f.path, '/' || n.name)")
+@_R.add(
+    "j17_suffix_match",
+    """WITH f AS (SELECT DISTINCT replace(replace(path, '/', '.'), '.py', '') AS name FROM parsed_file WHERE path IS NOT NULL), m AS (SELECT DISTINCT split_part(name, '.', -1) AS module FROM f UNION SELECT name FROM f)
+SELECT f.name, m.module FROM f JOIN m ON f.name = m.module OR ends_with(f.name, '.' || m.module)""",
+)
 def j17(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names that equal a path or a suffix of it, without a theta join."""
-    files = table(spark, sf_dir, "parsed_file").filter("path is not null").select("path").distinct()
-    names = table(spark, sf_dir, "parsed_file").filter("file_type = '.toml' and path is not null").select(F.substring_index("path", "/", -1).alias("name")).distinct()
-    return op.suffix_match(names, files, "name", "path").select("name", "path")
+    """Dotted names with the modules that they equal or end in, without a theta join."""
+    name = F.replace(F.replace("path", F.lit("/"), F.lit(".")), F.lit(".py"), F.lit(""))
+    names = table(spark, sf_dir, "parsed_file").filter("path is not null").select(name.alias("name")).distinct()
+    modules = names.select(F.explode(F.array("name", F.substring_index("name", ".", -1))).alias("module")).distinct()
+    return op.import_match(names, modules, [], "name", "module").select("name", "module")
 
 
 _SPANS_SQL = "sp AS (SELECT parsed_id, path, min(c.line) AS b_start, max(c.line) AS b_end FROM (SELECT parsed_id, path, unnest(changes) AS c FROM parsed_file) WHERE c.line IS NOT NULL AND path IS NOT NULL GROUP BY 1, 2)"
@@ -141,13 +146,14 @@ def j18(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_R.add(
     "j19_tightest_span",
-    f"""WITH {_SPANS_SQL}, pt AS (SELECT parsed_id AS point_id, path, c.line AS line FROM (SELECT parsed_id, path, changes[1] AS c FROM parsed_file WHERE len(changes) > 0) WHERE c.line IS NOT NULL AND path IS NOT NULL)
-SELECT point_id, parsed_id FROM (SELECT p.point_id, s.parsed_id, row_number() OVER (PARTITION BY p.point_id ORDER BY s.b_end - s.b_start, s.b_start, s.parsed_id) AS rn FROM pt p JOIN sp s ON p.path = s.path AND s.b_start <= p.line AND s.b_end >= p.line) WHERE rn = 1""",
+    f"""WITH {_SPANS_SQL}, pt AS (SELECT DISTINCT path, c.line AS line FROM (SELECT path, unnest(changes) AS c FROM parsed_file) WHERE c.line IS NOT NULL AND path IS NOT NULL)
+SELECT path, line, parsed_id FROM (SELECT p.path, p.line, s.parsed_id, row_number() OVER (PARTITION BY p.path, p.line ORDER BY s.b_end - s.b_start, s.b_start, s.parsed_id) AS rn FROM pt p JOIN sp s ON p.path = s.path AND s.b_start <= p.line AND s.b_end >= p.line) WHERE rn = 1""",
 )
 def j19(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = table(spark, sf_dir, "parsed_file").select(F.col("parsed_id").alias("point_id"), "path", F.get("changes", F.lit(0))["line"].alias("a_start")).filter("a_start is not null and path is not null").withColumn("a_end", F.col("a_start"))
+    """Of every changed line the narrowest range of changes of its file that holds it."""
+    points = table(spark, sf_dir, "parsed_file").select("path", F.explode("changes.line").alias("a_start")).filter("a_start is not null and path is not null").distinct().withColumn("a_end", F.col("a_start"))
     held = op.overlapping(points, change_spans(spark, sf_dir), ["path"], 64)
-    return op.first_per_key(held, ["point_id"], [F.col("b_end") - F.col("b_start"), F.col("b_start"), F.col("parsed_id")]).select("point_id", "parsed_id")
+    return op.first_per_key(held, ["path", "a_start"], [F.col("b_end") - F.col("b_start"), F.col("b_start"), F.col("parsed_id")]).select("path", F.col("a_start").alias("line"), "parsed_id")
 
 
 @_R.add(

@@ -48,18 +48,25 @@ def l04(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.apply_batch(_sets(spark, sf_dir), updates, "id", "labels").select("id", F.array_sort("labels").alias("labels"))
 
 
+_KNOWN = ("Test Failure", "Linting", "Formatting", "Dependency Error", "Build Error")
+
+
 @_R.add(
     "l05_violations",
-    """WITH r AS (SELECT id, list_transform(failed_jobs, lambda x: x.job_name) AS a FROM failed_jobs_summary),
+    f"""WITH r AS (SELECT instance_id AS id, list_filter(list_transform(error_types, lambda e: e.category), lambda x: trim(x) <> '') AS a, list_filter(list_transform(error_types, lambda e: e.subcategory), lambda x: trim(x) <> '') AS b FROM (SELECT DISTINCT analysis_id, instance_id, error_types FROM log_analysis)),
 u AS (SELECT DISTINCT id FROM all_instances_metadata)
 SELECT id AS key, 'repeated' AS rule FROM r GROUP BY 1 HAVING count(*) > 1
-UNION ALL SELECT id, 'missing' FROM u WHERE id NOT IN (SELECT id FROM r WHERE id IS NOT NULL)
-UNION ALL SELECT DISTINCT id, 'extra' FROM r WHERE id NOT IN (SELECT id FROM u WHERE id IS NOT NULL)
-UNION ALL SELECT id, 'length' FROM failed_jobs_summary WHERE len(failed_jobs) <> coalesce(no_of_failed_jobs, -1) AND failed_jobs IS NOT NULL AND false""",
+UNION ALL SELECT id, 'missing' FROM u WHERE id IS NULL OR id NOT IN (SELECT id FROM r WHERE id IS NOT NULL)
+UNION ALL SELECT id, 'extra' FROM (SELECT DISTINCT id FROM r) WHERE id IS NULL OR id NOT IN (SELECT id FROM u WHERE id IS NOT NULL)
+UNION ALL SELECT id, 'empty' FROM r WHERE coalesce(len(a), 0) = 0
+UNION ALL SELECT id, 'length' FROM r WHERE coalesce(len(a), 0) <> coalesce(len(b), 0)
+UNION ALL SELECT id, 'unknown_label' FROM r WHERE len(list_filter(a, lambda x: x NOT IN {_KNOWN})) > 0""",
 )
 def l05(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "failed_jobs_summary").select("id", F.array().cast("array<string>").alias("a"), F.array().cast("array<string>").alias("b"))
-    return op.violations(rows, "id", "a", "b", ["x"], table(spark, sf_dir, "all_instances_metadata"))
+    """Analyses against the instances: their labels and sub-labels without blanks, of which some are missing."""
+    filled = lambda f: F.filter(F.transform("error_types", lambda e: e[f]), lambda x: F.trim(x) != "")
+    once = table(spark, sf_dir, "log_analysis").select("analysis_id", "instance_id", "error_types").distinct()
+    return op.violations(once.select(F.col("instance_id").alias("id"), filled("category").alias("a"), filled("subcategory").alias("b")), "id", "a", "b", _KNOWN, table(spark, sf_dir, "all_instances_metadata"))
 
 
 @_R.add("l07_upsert", "SELECT id, repo, 'summary' AS origin FROM (SELECT DISTINCT id, repo FROM failed_jobs_summary WHERE id IS NOT NULL) UNION ALL SELECT id, repo, 'metadata' FROM all_instances_metadata WHERE id IS NULL OR id NOT IN (SELECT id FROM failed_jobs_summary WHERE id IS NOT NULL)")

@@ -85,9 +85,9 @@ def w11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base.jobs(spark, sf_dir).select("record_id", "commit_pos", "job_pos", op.last_items(F.col("steps"), 2, 2).alias("steps"))
 
 
-@_R.add("w12_tail_or_matching", "SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x, i: i > greatest(len(string_split(text, chr(10))) - 4, 0) OR regexp_matches(lower(x), 'error|failed')) AS lines FROM documents WHERE text IS NOT NULL AND source = 'ci_log'")
+@_R.add("w12_tail_or_matching", "SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x, i: i > greatest(len(string_split(text, chr(10))) - 4, 0) OR regexp_matches(lower(x), 'error|failed')) AS lines FROM documents WHERE text IS NOT NULL")
 def w12(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").filter("text is not null and source = 'ci_log'")
+    rows = table(spark, sf_dir, "documents").filter("text is not null")
     return rows.select("doc_id", op.tail_or_matching(F.split("text", "\n"), 4, ["error", "failed"]).alias("lines"))
 
 
@@ -126,14 +126,9 @@ def o05(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_label(rows, ["analyzer"], "label")
 
 
-@_R.add("o06_natural_order", "SELECT DISTINCT id FROM all_instances_metadata ORDER BY TRY_CAST(id AS BIGINT) IS NULL, TRY_CAST(id AS BIGINT), id LIMIT 50")
+@_R.add("o06_natural_order", "SELECT DISTINCT id FROM all_instances_metadata ORDER BY TRY_CAST(id AS BIGINT) IS NULL, TRY_CAST(id AS BIGINT), id")
 def o06(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "all_instances_metadata").select("id").distinct().orderBy(*op.natural_order("id")).limit(50)
-
-
-@_R.add("o06_natural_order_all", "SELECT DISTINCT id FROM all_instances_metadata ORDER BY TRY_CAST(id AS BIGINT) IS NULL, TRY_CAST(id AS BIGINT), id")
-def o06_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All ids in natural order (O06); o06_natural_order shows the first 50, as its SQL does."""
+    """All ids in natural order."""
     return table(spark, sf_dir, "all_instances_metadata").select("id").distinct().orderBy(*op.natural_order("id"))
 
 

@@ -206,3 +206,49 @@ def test_filters(spark):
     assert [r[0] for r in df.select(filters.matches_repo(F.col("r"), ["lib"])).collect()] == [True, False, None]
     got = filters.band_counts(spark.range(10), F.col("id"), [0, 3, 20, 30]).collect()
     assert [r["n"] for r in got] == [3, 7, 0]
+
+
+def _git_section(path, *lines):
+    return "\n".join([f"diff --git a/{path} b/{path}", "@@ -1 +1 @@", *lines]) + "\n"
+
+
+def test_imports_match_modules_of_the_same_diff(spark):
+    from quarryline.operators import diffs
+
+    rows = [
+        (1, 0, "src/pkg/mod.py", _git_section("src/pkg/mod.py", "+import os, other as o, _private", " import util")),
+        (1, 1, "pkg/other.py", _git_section("pkg/other.py", "+import pkg.mod", "+from x import util as u")),
+        (1, 2, "lib/util.py", _git_section("lib/util.py", "+import lib.util")), (1, 3, "notes/util.md", _git_section("notes/util.md", "+import mod")),
+        (2, 0, "mod.py", _git_section("mod.py", "+import other")), (2, 1, "a.py", None),
+    ]
+    df = spark.createDataFrame(rows, "diff_id int, section_pos int, path string, section string")
+    got = {tuple(r) for r in diffs.import_graph(df).collect()}
+    assert got == {(1, "other", "src/pkg/mod.py", "pkg/other.py"), (1, "pkg.mod", "pkg/other.py", "src/pkg/mod.py"), (1, "util", "pkg/other.py", "lib/util.py")}
+    assert diffs.import_graph(df.limit(0)).count() == 0
+    twice = spark.createDataFrame([(1, 0, "a/m.py", ""), (1, 1, "b/m.py", ""), (1, 2, "c.py", "diff --git a/c.py b/c.py\n+import m\n")], df.schema)
+    assert [r["dst"] for r in diffs.import_graph(twice).collect()] == ["b/m.py"]
+
+
+def test_change_tags_patches_and_messages(spark):
+    from pyspark.sql import functions as F
+
+    from quarryline.operators import diffs
+
+    rows = [("a/x.py", "+import x\n-def f() -> int:\n+  return 1"), ("requirements/dev.in", "+x==1"), ("README.rst", "+text"), ("tests/conf.toml", "+Assert x"), ("main.go", "+x := 1")]
+    df = spark.createDataFrame(rows, "path string, section string")
+    got = {r["path"]: r["tags"] for r in df.select("path", diffs.change_tags(F.col("section"), F.col("path")).alias("tags")).collect()}
+    assert got == {"a/x.py": ["definitions", "imports", "returns", "type_hints"], "requirements/dev.in": ["dependencies"], "README.rst": ["docs"], "tests/conf.toml": ["assertions", "config", "tests"], "main.go": ["code"]}
+    raw = [(1, "o/r", None, None, "s", "diff --git a", None), (2, None, "o", "n", "s", "", "@@ x"), (3, None, None, "n", "s", "diff", None), (4, "o/r", None, None, "s", " \n", None), (5, "o/r", None, None, None, None, "plain")]
+    patches = diffs.extracted_patches(spark.createDataFrame(raw, "id int, repo string, repo_owner string, repo_name string, sha_fail string, diff string, diff_fix string"))
+    assert {tuple(r) for r in patches.collect()} == {("1", "o/r", "s", "diff --git a", True), ("2", "o/n", "s", "@@ x", True), ("5", "o/r", None, "plain", False)}
+    assert diffs.extracted_patches(spark.createDataFrame([(1, "o/r", "s", "+++")], "id int, repo string, sha_fail string, diff string")).count() == 1
+    texts = spark.createDataFrame([("error: Corrupt Patch at line 3",), ("No valid patches in input",), ("time out",), (None,)], "m string")
+    assert [r[0] for r in texts.select(diffs.looks_corrupt(F.col("m"))).collect()] == [True, True, False, False]
+
+
+def test_every_rule_of_the_label_check_has_its_rows(spark):
+    from quarryline.operators import labels
+
+    rows = spark.createDataFrame([("1", ["A"], ["x"]), ("1", ["A"], ["y"]), ("2", [], []), ("3", ["A", "B"], ["x"]), ("4", ["Z"], ["x"]), ("9", None, None)], "id string, a array<string>, b array<string>")
+    found = {tuple(r) for r in labels.violations(rows, "id", "a", "b", ["A", "B"], spark.createDataFrame([(str(i),) for i in range(1, 6)], "id string")).collect()}
+    assert found == {("1", "repeated"), ("5", "missing"), ("9", "extra"), ("2", "empty"), ("9", "empty"), ("3", "length"), ("4", "unknown_label")}
