@@ -76,9 +76,10 @@ def elements(analyses: DataFrame) -> DataFrame:
 
 
 def _prose_token(t: Column) -> Column:
-    ext = F.regexp_extract(t, r"\w(\.[A-Za-z]{1,5})$", 1)
-    named = F.when(t.contains("/"), F.concat(F.lit("<path>"), F.lower(ext))).when(t.rlike(r"^\p{N}+$"), "0").otherwise("<name>")
-    return F.when(t.contains("/") | t.rlike(r"[\p{N}_]"), F.when(t == "/", t).otherwise(named)).otherwise(F.lower(t))
+    # Most tokens are letters alone: one test decides them.
+    path = F.concat(F.lit("<path>"), F.lower(F.regexp_extract(t, r"\w(\.[A-Za-z]{1,5})$", 1)))
+    named = F.when(t == "/", t).when(t.contains("/"), path).when(t.rlike(r"^\p{N}+$"), "0").otherwise("<name>")
+    return F.when(t.rlike(r"[/\p{N}_]"), named).otherwise(F.lower(t))
 
 
 def _tokens(text: Column, kind: Column) -> Column:
@@ -274,7 +275,7 @@ def categories(styled: DataFrame) -> DataFrame:
     # Signed and closed prose is judged without its last words.
     judged = (F.col("kind") == "path") | ~F.col("closed")
     asked = narrow.filter(judged & ~F.col("signed")).select("kind", "c", "w").distinct()
-    pairs = _pair_counts(styled)
+    pairs = materialize(_pair_counts(styled))  # counted once for both orders
     known = asked.join(_known(pairs, ["c", "w"], asked), ["kind", "c", "w"], "left").join(_known(pairs, ["w"], asked), ["kind", "w"], "left")
     rows = narrow.join(known, ["kind", "c", "w"], "left").join(_note_starts(styled), ["style", "first"], "left")
     hazard = _hazard(2, _hazard(1, F.lit(BASE_HAZARD)))
