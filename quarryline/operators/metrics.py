@@ -22,15 +22,19 @@ def scored_rows(truth: DataFrame, predictions: DataFrame, pushed: DataFrame | No
     """
     if denominator not in DENOMINATORS:
         raise ValueError(f"denominator must be one of {DENOMINATORS}")
-    empty = F.array().cast("array<string>")
-    t = truth.filter(F.size("truth") > 0)
+    return counted_rows(truth.join(predictions, "id", "left"), pushed, denominator)
+
+
+def counted_rows(lists: DataFrame, pushed: DataFrame | None, denominator: str) -> DataFrame:
+    """The same from one row per id with both lists; ``predicted`` is null where there is no prediction."""
+    rows = lists.filter(F.size("truth") > 0)
     if denominator == "pushed":
         if pushed is None:
             raise ValueError("denominator pushed needs the pushed ids")
-        t = t.join(pushed.select("id"), "id", "left_semi")
-    how = "inner" if denominator in ("predicted", "both") else "left"
-    rows = t.join(predictions, "id", how).withColumn("predicted", F.coalesce("predicted", empty))
-    return rows.filter(F.size("predicted") > 0) if denominator == "both" else rows
+        rows = rows.join(pushed.select("id"), "id", "left_semi")
+    if denominator in ("predicted", "both"):
+        rows = rows.filter(F.col("predicted").isNotNull() & ((F.size("predicted") > 0) | F.lit(denominator == "predicted")))
+    return rows.withColumn("predicted", F.coalesce("predicted", F.array().cast("array<string>")))
 
 
 def hits_at(predicted: Column, truth: Column, k: int) -> Column:

@@ -22,16 +22,22 @@ STOP_WORDS = ("the", "a", "an", "and", "or", "of", "to", "in", "on", "for", "is"
 ERROR_WORDS = ("error", "failed", "failure", "exception", "traceback", "fatal", "cannot", "undefined", "timeout", "timed out", "missing", "refused")
 
 
+#: Runs of letters, digits and underscores, those of them that are terms, and words joined by dots.
+WORD, TERM, DOTTED = r"[\p{L}\p{N}_]+", r"^[a-z_][a-z0-9_]*$", r"(?:[\p{L}\p{N}_]+\.)*[\p{L}\p{N}_]+"
+#: The edge of a word of ASCII letters, digits and underscores, whatever letters of other scripts stand beside it.
+EDGE = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
+
+
 def terms(text: Column, stop: Sequence[str] = STOP_WORDS, least: int = 3) -> Column:
     """Identifier-like words in lower case of at least ``least`` letters, stop words left out."""
-    found = F.regexp_extract_all(F.lower(text), F.lit(r"\b[a-z_][a-z0-9_]*\b"), F.lit(0))
+    found = F.filter(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)), lambda w: w.rlike(TERM))
     return F.filter(found, lambda w: (F.length(w) >= least) & ~w.isin(*stop))
 
 
 def dotted_tokens(text: Column, stop: Sequence[str] = STOP_WORDS, lower: bool = True) -> Column:
     """Words joined by dots as one token; numbers, single characters and stop words left out."""
     t = F.lower(text) if lower else text
-    found = F.regexp_extract_all(t, F.lit(r"\b(?:\w+\.)*\w+\b"), F.lit(0))
+    found = F.regexp_extract_all(t, F.lit(DOTTED), F.lit(0))
     return F.filter(found, lambda w: ~w.rlike(r"^[0-9.]+$") & (F.length(w) > 1) & ~F.lower(w).isin(*stop))
 
 
@@ -179,19 +185,19 @@ def recurrence(pairs: DataFrame, score: str) -> DataFrame:
 def keyword_hits(line: Column, words: Sequence[str]) -> Column:
     """Keywords in a line: phrases anywhere, words as whole words; a word right after "no" does not count."""
     low = F.lower(line)
-    found = [F.when(low.contains(w) if " " in w else low.rlike(rf"(?<!\bno )\b{w}\b"), F.lit(w)) for w in words]
+    found = [F.when(low.contains(w) if " " in w else low.rlike(rf"(?<!(?<![a-z0-9_])no )(?<![a-z0-9_]){w}(?![a-z0-9_])"), F.lit(w)) for w in words]
     return F.filter(F.array(*found), lambda x: x.isNotNull())
 
 
 def chunk_keywords(text: Column, most: int = 12) -> Column:
     """Distinct path-like or camel-case words or error words, the first ``most``."""
-    words = F.regexp_extract_all(text, F.lit(r"[\w./-]*/[\w./-]+\w|\b[A-Z][a-z0-9]+(?:[A-Z][a-z0-9]+)+\b|\b\w*(?:Error|Exception)\b"), F.lit(0))
+    words = F.regexp_extract_all(text, F.lit(rf"[\w./-]*/[\w./-]+\w|{EDGE}[A-Z][a-z0-9]+(?:[A-Z][a-z0-9]+)+{EDGE}|{EDGE}\w*(?:Error|Exception){EDGE}"), F.lit(0))
     return F.slice(F.array_distinct(words), 1, most)
 
 
 def trace_lines(text: Column, most: int = 5, width: int = 160) -> Column:
     """The first lines that look like code or a trace, cut to ``width``."""
-    hit = F.filter(F.split(text, "\n"), lambda x: x.rlike(r'^\s*File "|^\s*(?:at|def|class|raise|return|import|from)\s|\b\w+Error\b'))
+    hit = F.filter(F.split(text, "\n"), lambda x: x.rlike(rf'^\s*File "|^\s*(?:at|def|class|raise|return|import|from)\s|{EDGE}\w+Error{EDGE}'))
     return F.slice(F.transform(hit, lambda x: F.left(F.trim(x), F.lit(width))), 1, most)
 
 

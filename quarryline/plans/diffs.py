@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarryline.operators import chunking, graph
 from quarryline.operators import diffs as op
+from quarryline.operators.text import STOP_WORDS
 from quarryline.plans.joins import _EDGES_SQL, file_edges
 from quarryline.plans.registry import Registry
 from quarryline.session import table
@@ -44,19 +45,43 @@ def d02(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("diff_id", *[F.col(f"c.{n}").cast("bigint").alias(n) for n in ("added", "deleted", "files")])
 
 
-@_R.add("d03_changes")
+_NUMBERED = f"""{_D}, lx AS (SELECT diff_id, ls[i] AS l, i FROM (SELECT diff_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT diff_id, string_split(diff, chr(10)) AS ls FROM d))),
+sx AS (SELECT *, sum(CASE WHEN starts_with(l, 'diff --git ') THEN 1 ELSE 0 END) OVER (PARTITION BY diff_id ORDER BY i) AS sec, regexp_extract(l, '^@@ -([0-9]+)(?:,[0-9]+)? [+]([0-9]+)(?:,[0-9]+)? @@', ['o', 'n']) AS h FROM lx),
+hx AS (SELECT *, sum(CASE WHEN h.o <> '' THEN 1 ELSE 0 END) OVER (PARTITION BY diff_id, sec ORDER BY i) AS hunk, lead(l) OVER (PARTITION BY diff_id ORDER BY i) AS nxt, lag(l) OVER (PARTITION BY diff_id, sec ORDER BY i) AS prv FROM sx),
+nx AS (SELECT *, first(h.o) OVER w AS o0, first(h.n) OVER w AS n0, sum(CASE WHEN h.o = '' AND NOT starts_with(l, '+') AND NOT starts_with(l, chr(92)) THEN 1 ELSE 0 END) OVER w AS oc, sum(CASE WHEN h.o = '' AND NOT starts_with(l, '-') AND NOT starts_with(l, chr(92)) THEN 1 ELSE 0 END) OVER w AS nc,
+  regexp_extract(first(l) OVER (PARTITION BY diff_id, sec ORDER BY i), '^diff --git a/(.*?) b/(.+?)\\s*$', ['a', 'b']) AS p FROM hx WINDOW w AS (PARTITION BY diff_id, sec, hunk ORDER BY i))"""
+
+
+@_R.add(
+    "d03_changes",
+    f"""WITH {_NUMBERED}
+SELECT diff_id, CASE WHEN sec > 0 THEN p.b END AS path, CASE WHEN sec > 0 THEN p.a END AS old_path, CAST(CAST(n0 AS INTEGER) + nc - CASE WHEN starts_with(l, '+') THEN 1 ELSE 0 END AS INTEGER) AS line, CAST(CAST(o0 AS INTEGER) + oc - CASE WHEN starts_with(l, '-') THEN 1 ELSE 0 END AS INTEGER) AS old_line,
+  CASE WHEN starts_with(l, '-') THEN l[2:] ELSE '' END AS before, CASE WHEN starts_with(l, '+') THEN l[2:] WHEN starts_with(nxt, '+') THEN nxt[2:] ELSE '' END AS after,
+  CASE WHEN starts_with(l, '+') THEN 'added' WHEN starts_with(nxt, '+') THEN 'modified' ELSE 'deleted' END AS change_type
+FROM nx WHERE hunk > 0 AND h.o = '' AND (starts_with(l, '-') OR (starts_with(l, '+') AND NOT starts_with(coalesce(prv, ''), '-')))""",
+)
 def d03(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line-numbered changes of every diff."""
     return _diffs(spark, sf_dir).select("diff_id", F.explode(op.parsed_changes(F.col("diff"))).alias("c")).select("diff_id", "c.*")
 
 
-@_R.add("d05_whitespace_only")
+@_R.add(
+    "d05_whitespace_only",
+    f"""WITH {_SECTIONS}, b AS (SELECT diff_id, section_pos, path, string_split(regexp_extract(section, '(?s)\\n(@@ .*)$', 1), chr(10)) AS ls FROM se),
+c AS (SELECT diff_id, path, list_transform(list_filter(ls, lambda x: starts_with(x, '-')), lambda x: regexp_replace(x[2:], '\\s+', '', 'g')) AS o, list_transform(list_filter(ls, lambda x: starts_with(x, '+')), lambda x: regexp_replace(x[2:], '\\s+', '', 'g')) AS n FROM b)
+SELECT diff_id, path, len(o) + len(n) > 0 AND o = n AS whitespace_only FROM c""",
+)
 def d05(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _diffs(spark, sf_dir).select("diff_id", F.explode(op.sections(F.col("diff"))).alias("s"))
     return s.select("diff_id", op.section_path(F.col("s")).alias("path"), op.whitespace_only(F.col("s")).alias("whitespace_only"))
 
 
-@_R.add("d07_without_workflows")
+@_R.add(
+    "d07_without_workflows",
+    f"""WITH {_SECTIONS}, m AS (SELECT diff_id, max(section_pos) AS top FROM se GROUP BY 1),
+k AS (SELECT se.diff_id, string_agg(section || CASE WHEN section_pos < top THEN chr(10) ELSE '' END, '' ORDER BY section_pos) FILTER (NOT starts_with(path, '.github/')) AS kept FROM se JOIN m ON se.diff_id = m.diff_id GROUP BY 1)
+SELECT d.diff_id, coalesce(kept, '') AS kept, CAST(length(diff) - length(coalesce(kept, '')) AS INTEGER) AS dropped_chars FROM d LEFT JOIN k ON d.diff_id = k.diff_id""",
+)
 def d07(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Diffs without their workflow sections."""
     kept = op.drop_sections(F.col("diff"), lambda p: ~p.startswith(".github/"))
@@ -140,7 +165,13 @@ def c03(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.select("doc_id", "chunk_no", "c.*")
 
 
-@_R.add("c04_diff_chunks")
+@_R.add(
+    "c04_diff_chunks",
+    f"""WITH RECURSIVE {_SECTIONS}, m AS (SELECT diff_id, max(section_pos) AS top FROM se GROUP BY 1), s AS (SELECT se.diff_id, section_pos AS pos, section || CASE WHEN section_pos < top THEN chr(10) ELSE '' END AS t FROM se JOIN m ON se.diff_id = m.diff_id),
+r AS (SELECT diff_id, pos, 0 AS chunk_no, t AS text FROM s WHERE pos = 0
+  UNION ALL SELECT s.diff_id, s.pos, CASE WHEN length(r.text) + length(s.t) <= 8000 THEN r.chunk_no ELSE r.chunk_no + 1 END, CASE WHEN length(r.text) + length(s.t) <= 8000 THEN r.text || s.t ELSE s.t END FROM r JOIN s ON s.diff_id = r.diff_id AND s.pos = r.pos + 1)
+SELECT diff_id, chunk_no, CAST(length(arg_max(text, pos)) AS INTEGER) AS n_chars, arg_max(text, pos) AS text FROM r GROUP BY 1, 2""",
+)
 def c04(spark: SparkSession, sf_dir: str) -> DataFrame:
     """File sections packed in order to 8,000 characters."""
     packs = _diffs(spark, sf_dir).select("diff_id", F.posexplode(chunking.packed_sections(op.sections(F.col("diff")), 8000)).alias("chunk_no", "text"))
@@ -160,7 +191,12 @@ def c07(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.numbered_groups(rows, ["diff_id"], ["file_pos", "parsed_id"], 3).drop("file_pos")
 
 
-@_R.add("c08_packed_files")
+@_R.add(
+    "c08_packed_files",
+    """WITH RECURSIVE f AS (SELECT diff_id, parsed_id, coalesce(total_changes, 0) AS n FROM parsed_file), o AS (SELECT *, row_number() OVER (PARTITION BY diff_id ORDER BY n DESC, parsed_id) AS rn FROM f),
+r AS (SELECT diff_id, parsed_id, rn, 0 AS bin, n AS used FROM o WHERE rn = 1 UNION ALL SELECT o.diff_id, o.parsed_id, o.rn, CASE WHEN r.used + o.n > 40 THEN r.bin + 1 ELSE r.bin END, CASE WHEN r.used + o.n > 40 THEN o.n ELSE r.used + o.n END FROM r JOIN o ON o.diff_id IS NOT DISTINCT FROM r.diff_id AND o.rn = r.rn + 1)
+SELECT diff_id, parsed_id, bin FROM r""",
+)
 def c08(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files of a diff packed by falling size to 40 changes a bin."""
     per = table(spark, sf_dir, "parsed_file").groupBy("diff_id").agg(F.array_sort(F.collect_list(F.struct("parsed_id", F.coalesce("total_changes", F.lit(0)).alias("n")))).alias("f"))
@@ -214,7 +250,12 @@ def g03(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.pagerank(both)
 
 
-@_R.add("t11_term_graph")
+@_R.add(
+    "t11_term_graph",
+    f"""WITH t AS (SELECT doc_id AS doc, list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+'), lambda w: regexp_matches(w, '^[a-z_][a-z0-9_]*$') AND length(w) >= 3 AND w NOT IN ({", ".join(f"'{w}'" for w in STOP_WORDS)})) AS t FROM documents WHERE text IS NOT NULL),
+p AS (SELECT doc, t[i] AS x, t[i + k] AS y FROM (SELECT doc, t, unnest(range(1, len(t) + 1)) AS i FROM t), (SELECT unnest(range(1, 6)) AS k) WHERE i + k <= len(t))
+SELECT doc, least(x, y) AS src, greatest(x, y) AS dst, count(*) AS w FROM p WHERE x <> y GROUP BY 1, 2, 3""",
+)
 def t11(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Terms within five places of each other, per document (T11; ranks of them are T12, T13)."""
     from quarryline.operators.text import terms

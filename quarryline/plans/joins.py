@@ -206,7 +206,7 @@ def u06(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sets.later_wins([of("all_instances_metadata", "metadata"), of("failed_jobs_summary", "summary")], "id", ["loaded_at"])
 
 
-@_R.add("u07_ordered_distinct")
+@_R.add("u07_ordered_distinct", f"WITH {base.JOBS_SQL}, n AS (SELECT record_id, commit_pos, job_pos, list_filter(steps, lambda x: x IS NOT NULL) AS s FROM job) SELECT record_id, commit_pos, job_pos, list_filter(s, lambda x, i: list_position(s, x) = i) AS steps FROM n")
 def u07(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Step names of each job, repeats dropped, first occurrence kept."""
     return base.jobs(spark, sf_dir).select("record_id", "commit_pos", "job_pos", F.array_distinct(F.filter("steps", lambda s: s.isNotNull())).alias("steps"))

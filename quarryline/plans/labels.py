@@ -22,7 +22,12 @@ def l01(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy(op.canonical(F.col("c"), _SYN).alias("label")).agg(F.count("*").alias("n"))
 
 
-@_R.add("l02_aligned_distinct")
+@_R.add(
+    "l02_aligned_distinct",
+    """WITH d AS (SELECT DISTINCT * FROM log_analysis WHERE error_types IS NOT NULL), c AS (SELECT analysis_id, list_transform(error_types, lambda e: {'raw': trim(coalesce(e.category, '')), 'sub': coalesce(e.subcategory, '')}) AS z FROM d),
+k AS (SELECT analysis_id, list_filter(list_transform(z, lambda x: {'label': CASE WHEN lower(x.raw) IN ('test failure', 'tests', 'unit test') THEN 'Test Failure' WHEN lower(x.raw) IN ('dependency error', 'deps') THEN 'Dependency Error' ELSE x.raw END, 'sub': x.sub}), lambda y: y.label <> '') AS k FROM c)
+SELECT analysis_id, list_filter(k, lambda y, i: list_position(list_transform(k, lambda u: u.label), y.label) = i) AS pairs FROM k""",
+)
 def l02(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Canonical labels of an analysis with their sub-labels, first of each."""
     rows = table(spark, sf_dir, "log_analysis").filter("error_types is not null").distinct()

@@ -16,11 +16,11 @@ from quarryline.session import table
 
 _R = Registry()
 QUERIES, SQL = _R.queries, _R.sql
-_KS = (1, 3, 5, 10)
+_KS = (1, 3, 5, 10, 15, 20)
 
 # Ranked lists from the star schema: of an order, parts by falling price against parts with a returned line.
 _RANKED = """ranked AS (
-  SELECT l_orderkey AS id, list(CAST(l_partkey AS VARCHAR) ORDER BY l_extendedprice DESC, l_partkey, l_linenumber) AS predicted FROM lineitem WHERE l_linenumber < 5 GROUP BY 1),
+  SELECT l_orderkey AS id, list(CAST(l_partkey AS VARCHAR) ORDER BY l_extendedprice DESC, l_partkey, l_linenumber) AS predicted FROM lineitem GROUP BY 1),
 truth AS (SELECT l_orderkey AS id, list_sort(list(DISTINCT CAST(l_partkey AS VARCHAR))) AS truth FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1)"""
 _ROWS = {
     "predicted": "rw AS (SELECT t.id, r.predicted, t.truth FROM truth t JOIN ranked r ON t.id = r.id)",
@@ -40,18 +40,13 @@ _SUMMARY = (
 )
 
 
-def _lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_extendedprice", "l_returnflag")
-    by_price = F.array_sort(F.collect_list(F.struct((-F.col("l_extendedprice")).alias("p"), "l_partkey", "l_linenumber")))
-    ranked = lines.filter("l_linenumber < 5").groupBy(F.col("l_orderkey").alias("id")).agg(F.transform(by_price, lambda x: x["l_partkey"].cast("string")).alias("predicted"))
-    truth = lines.filter("l_returnflag = 'R'").groupBy(F.col("l_orderkey").alias("id")).agg(F.array_sort(F.collect_set(F.col("l_partkey").cast("string"))).alias("truth"))
-    return truth, ranked
-
-
 def _rows(spark: SparkSession, sf_dir: str, denominator: str) -> DataFrame:
-    truth, ranked = _lists(spark, sf_dir)
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_partkey").cast("string").alias("part"), "l_partkey", "l_linenumber", "l_extendedprice", "l_returnflag")
+    by_price = F.array_sort(F.collect_list(F.struct((-F.col("l_extendedprice")).alias("p"), "l_partkey", "l_linenumber", "part")))
+    # Both lists of an order from one shuffle.
+    lists = lines.groupBy("id").agg(F.transform(by_price, lambda x: x["part"]).alias("predicted"), F.array_sort(F.collect_set(F.when(F.col("l_returnflag") == "R", F.col("part")))).alias("truth"))
     pushed = table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("id"))
-    return op.scored_rows(truth, ranked, pushed, denominator)
+    return op.counted_rows(lists, pushed, denominator)
 
 
 def _add_localization(name: str, denominator: str) -> None:
@@ -65,12 +60,17 @@ for _name, _den in (("e01_localization_predicted", "predicted"), ("e02_localizat
     _add_localization(_name, _den)
 
 
-@_R.add("e03_per_instance", f"WITH {_RANKED}, {_ROWS['truth']}, {_PER_ROW} SELECT id, CAST(n_predicted AS INTEGER) AS n_predicted, CAST(n_truth AS INTEGER) AS n_truth, CAST(n_matched AS INTEGER) AS n_matched, n_matched = n_truth AND n_predicted = n_truth AS exact, CASE WHEN n_predicted = 0 THEN 0.0 ELSE n_matched / n_predicted END AS precision, n_matched / n_truth AS recall, top_1, top_3, top_5, top_10 FROM sc")
+@_R.add("e03_per_instance", f"WITH {_RANKED}, {_ROWS['truth']}, {_PER_ROW} SELECT id, CAST(n_predicted AS INTEGER) AS n_predicted, CAST(n_truth AS INTEGER) AS n_truth, CAST(n_matched AS INTEGER) AS n_matched, n_matched = n_truth AND n_predicted = n_truth AS exact, CASE WHEN n_predicted = 0 THEN 0.0 ELSE n_matched / n_predicted END AS precision, n_matched / n_truth AS recall, {", ".join(f"top_{k}" for k in _KS)} FROM sc")
 def e03(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.per_row(_rows(spark, sf_dir, "truth"), _KS)
 
 
-@_R.add("e04_paths_from_headers")
+@_R.add(
+    "e04_paths_from_headers",
+    """WITH d AS (SELECT DISTINCT diff_id, diff FROM diff_output WHERE diff IS NOT NULL), l AS (SELECT diff_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT diff_id, string_split(diff, chr(10)) AS ls FROM d)),
+p AS (SELECT diff_id, regexp_replace(regexp_extract(ls[i], '^diff --git a/.*? b/(.+)$', 1), '\\s+$', '') AS path, min(i) AS i FROM l WHERE starts_with(ls[i], 'diff --git a/') GROUP BY 1, 2)
+SELECT d.diff_id, coalesce((list(p.path ORDER BY p.i) FILTER (p.path <> ''))[1:15], []) AS paths FROM d LEFT JOIN p ON d.diff_id = p.diff_id GROUP BY d.diff_id""",
+)
 def e04(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 15 distinct paths of each diff's headers."""
     from quarryline.operators.diffs import changed_paths
@@ -144,7 +144,7 @@ def e14(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _first_ranks(spark: SparkSession, sf_dir: str, descending: bool) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").filter("l_linenumber < 5")
+    lines = table(spark, sf_dir, "lineitem")
     price = -F.col("l_extendedprice") if descending else F.col("l_extendedprice")
     lists = lines.groupBy(F.col("l_orderkey").alias("id")).agg(F.array_sort(F.collect_list(F.struct(price.alias("p"), "l_partkey", "l_linenumber", "l_returnflag"))).alias("x"))
     return lists.select("id", F.nullif(F.array_position(F.transform("x", lambda s: s["l_returnflag"]), F.lit("R")), F.lit(0)).cast("int").alias("rank"))
@@ -152,8 +152,8 @@ def _first_ranks(spark: SparkSession, sf_dir: str, descending: bool) -> DataFram
 
 @_R.add(
     "e16_effectiveness",
-    """WITH a AS (SELECT l_orderkey AS id, nullif(list_position(list(l_returnflag ORDER BY l_extendedprice DESC, l_partkey, l_linenumber, l_returnflag), 'R'), 0) AS r FROM lineitem WHERE l_linenumber < 5 GROUP BY 1),
-b AS (SELECT l_orderkey AS id, nullif(list_position(list(l_returnflag ORDER BY l_extendedprice, l_partkey, l_linenumber, l_returnflag), 'R'), 0) AS r FROM lineitem WHERE l_linenumber < 5 GROUP BY 1),
+    """WITH a AS (SELECT l_orderkey AS id, nullif(list_position(list(l_returnflag ORDER BY l_extendedprice DESC, l_partkey, l_linenumber, l_returnflag), 'R'), 0) AS r FROM lineitem GROUP BY 1),
+b AS (SELECT l_orderkey AS id, nullif(list_position(list(l_returnflag ORDER BY l_extendedprice, l_partkey, l_linenumber, l_returnflag), 'R'), 0) AS r FROM lineitem GROUP BY 1),
 c AS (SELECT coalesce(a.r, 999999) AS x, coalesce(b.r, 999999) AS y FROM a JOIN b ON a.id = b.id)
 SELECT CASE WHEN y < x THEN 'improved' WHEN y > x THEN 'worsened' ELSE 'preserved' END AS change, count(*) AS n, count(*) / (SELECT count(*) FROM c) AS share FROM c GROUP BY 1""",
 )

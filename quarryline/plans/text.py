@@ -47,9 +47,9 @@ s AS (SELECT a.query, po.doc, round(sum(a.qtf * ln(1 + ((SELECT n FROM st) - df.
 rk AS (SELECT query, doc, score, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS INTEGER) AS rank FROM s WHERE score > 0) {extra or f"SELECT query, doc, score, rank FROM rk WHERE rank <= {k}"}"""
 
 
-@_R.add("t02_bm25")
+@_R.add("t02_bm25", _bm25_sql(10))
 def t02(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """BM25 over all documents, ten best a query (T01-T04). Sums of doubles in ties keep this from an exact SQL match of ranks."""
+    """BM25 over all documents, ten best a query (T01-T04). Scores are rounded before they are ranked, so that the order of sums decides no tie."""
     return op.bm25(_index(spark, sf_dir), _asked(spark, sf_dir))
 
 
@@ -91,7 +91,7 @@ def t08p(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _post(spark, sf_dir).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
-@_R.add("t09_dotted_tokens")
+@_R.add("t09_dotted_tokens", f"SELECT doc_id, list_filter(regexp_extract_all(lower(text), '(?:[\\p{{L}}\\p{{N}}_]+\\.)*[\\p{{L}}\\p{{N}}_]+'), lambda w: NOT regexp_matches(w, '^[0-9.]+$') AND length(w) > 1 AND w NOT IN {_STOP}) AS tokens FROM documents WHERE text IS NOT NULL")
 def t09(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", op.dotted_tokens(F.col("text")).alias("tokens"))
 
@@ -125,33 +125,13 @@ def t17(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.jaccard_pairs(sets, [], "instance_id", "s", 0.2)
 
 
-@_R.add("t19_recurrence", f"WITH {_FILES_SQL}, p AS (SELECT a.id AS id_a, b.id AS id_b, len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s))) AS j FROM fs a JOIN fs b ON a.id < b.id), q AS (SELECT id_a AS id, j FROM p WHERE j >= 0.2 UNION ALL SELECT id_b, j FROM p WHERE j >= 0.2) SELECT count(*) AS n_ids, round(avg(b), 9) AS mean_best FROM (SELECT id, max(j) AS b FROM q GROUP BY 1)")
-def t19(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.recurrence(t17(spark, sf_dir), "jaccard")
-
-
-@_R.add(
-    "j14_historical_recurrence",
-    f"""WITH {_FILES_SQL}, d AS (SELECT instance_id AS id, min(created_at) AS dt FROM log_analysis WHERE instance_id IS NOT NULL AND created_at IS NOT NULL GROUP BY 1), p AS (SELECT a.id AS x, b.id AS y, len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s))) AS j FROM fs a JOIN fs b ON a.id <> b.id)
-SELECT p.x AS id_a, max(p.j) AS best FROM p JOIN d da ON da.id = p.x JOIN d db ON db.id = p.y WHERE p.j >= 0.2 AND db.dt < da.dt GROUP BY 1""",
-)
-def j14(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Best similarity to an earlier instance."""
-    from quarryline.operators.joins import earlier_best
-
-    p = t17(spark, sf_dir)
-    both = p.unionByName(p.select(F.col("id_b").alias("id_a"), F.col("id_a").alias("id_b"), "jaccard"))
-    dates = table(spark, sf_dir, "log_analysis").filter("instance_id is not null and created_at is not null").groupBy(F.col("instance_id").alias("id")).agg(F.min("created_at").alias("dt"))
-    return earlier_best(dates, both, "id", "dt", "jaccard")
-
-
 def _file_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "log_analysis").filter("instance_id is not null").select(F.col("instance_id").alias("id"), F.explode("relevant_files.file").alias("f")).filter("f is not null")
     return rows.groupBy("id").agg(F.collect_set("f").alias("s"))
 
 
-@_R.add("t19_recurrence_all", f"WITH {_FILES_SQL}, q AS (SELECT a.id, coalesce(max(len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s)))), 0) AS b FROM fs a LEFT JOIN fs b ON a.id <> b.id GROUP BY 1) SELECT count(*) AS n_ids, round(avg(b), 9) AS mean_best FROM q")
-def t19_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+@_R.add("t19_recurrence", f"WITH {_FILES_SQL}, q AS (SELECT a.id, coalesce(max(len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s)))), 0) AS b FROM fs a LEFT JOIN fs b ON a.id <> b.id GROUP BY 1) SELECT count(*) AS n_ids, round(avg(b), 9) AS mean_best FROM q")
+def t19(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T19 over every instance with files, however small its best similarity; one that shares no file counts as 0."""
     sets = _file_sets(spark, sf_dir)
     best = op.overlapping_pairs(sets, "id", "s").groupBy(F.col("id_a").alias("id")).agg(F.max("jaccard").alias("best"))
@@ -159,12 +139,29 @@ def t19_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.agg(F.count("*").alias("n_ids"), F.round(F.avg(F.coalesce("best", F.lit(0.0))), 9).alias("mean_best"))
 
 
+def _recurrence_within(same: bool) -> None:
+    name, sign = ("t19_recurrence_within_repo", "=") if same else ("t19_recurrence_across_repos", "<>")
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        sets = _file_sets(spark, sf_dir).join(table(spark, sf_dir, "all_instances_metadata").filter("repo is not null").groupBy("id").agg(F.min("repo").alias("repo")), "id")
+        repo = lambda side: sets.select(F.col("id").alias(f"id_{side}"), F.col("repo").alias(f"repo_{side}"))
+        pairs = op.overlapping_pairs(sets, "id", "s").join(repo("a"), "id_a").join(repo("b"), "id_b").filter(F.col("repo_a") == F.col("repo_b") if same else F.col("repo_a") != F.col("repo_b"))
+        rows = sets.select("id").join(pairs.groupBy(F.col("id_a").alias("id")).agg(F.max("jaccard").alias("best")), "id", "left")
+        return rows.agg(F.count("*").alias("n_ids"), F.round(F.avg(F.coalesce("best", F.lit(0.0))), 9).alias("mean_best"))
+
+    _R.add(name, f"WITH {_FILES_SQL}, rp AS (SELECT id, min(repo) AS repo FROM all_instances_metadata WHERE repo IS NOT NULL GROUP BY 1), x AS (SELECT fs.id, s, repo FROM fs JOIN rp ON fs.id = rp.id), q AS (SELECT a.id, coalesce(max(len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s)))), 0) AS b FROM x a LEFT JOIN x b ON a.id <> b.id AND a.repo {sign} b.repo GROUP BY 1) SELECT count(*) AS n_ids, round(avg(b), 9) AS mean_best FROM q")(run)
+
+
+_recurrence_within(True)
+_recurrence_within(False)
+
+
 @_R.add(
-    "j14_historical_recurrence_all",
+    "j14_historical_recurrence",
     f"""WITH {_FILES_SQL}, d AS (SELECT instance_id AS id, min(created_at) AS dt FROM log_analysis WHERE instance_id IS NOT NULL AND created_at IS NOT NULL GROUP BY 1), x AS (SELECT fs.id, s, dt FROM fs JOIN d ON d.id = fs.id)
 SELECT a.id AS id_a, max(len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s)))) AS best FROM x a JOIN x b ON b.dt < a.dt GROUP BY 1""",
 )
-def j14_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def j14(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best similarity to an earlier instance, however small; 0 where no earlier one shares a file."""
     from quarryline.operators.joins import earlier_best
 
@@ -186,25 +183,41 @@ def t21(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", op.tool_names(F.col("text"), ["ruffle", "wheelcast", "testroost", "pinlock"]).alias("tools"))
 
 
-@_R.add("t22_keyword_hits")
+@_R.add(
+    "t22_keyword_hits",
+    f"""WITH l AS (SELECT doc_id, CAST(i - 1 AS INTEGER) AS line_no, lower(ls[i]) AS low FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL))),
+w AS (SELECT doc_id, line_no, list_filter([{", ".join(f"'{w}'" for w in op.ERROR_WORDS)}], lambda w: CASE WHEN contains(w, ' ') THEN contains(low, w) ELSE regexp_matches(regexp_replace(low, '\\bno ' || w || '\\b', '-', 'g'), '\\b' || w || '\\b') END) AS words FROM l)
+SELECT doc_id, line_no, words FROM w WHERE len(words) > 0""",
+)
 def t22(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of log texts with the keywords they hold."""
-    lines = table(spark, sf_dir, "documents").filter("source = 'ci_log'").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    """Lines with the keywords they hold."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     return lines.select("doc_id", "line_no", op.keyword_hits(F.col("line"), op.ERROR_WORDS).alias("words")).filter("size(words) > 0")
 
 
-@_R.add("t23_chunk_keywords")
+@_R.add(
+    "t23_chunk_keywords",
+    """WITH k AS (SELECT doc_id, source, regexp_extract_all(text, '[\\w./-]*/[\\w./-]+\\w|\\b[A-Z][a-z0-9]+(?:[A-Z][a-z0-9]+)+\\b|\\b\\w*(?:Error|Exception)\\b') AS w,
+  list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '^\\s*File "|^\\s*(?:at|def|class|raise|return|import|from)\\s|\\b\\w+Error\\b')) AS t FROM documents WHERE text IS NOT NULL),
+p AS (SELECT doc_id, source, array_to_string(list_filter(w, lambda x, i: list_position(w, x) = i)[1:12], ', ') AS kw, array_to_string(list_transform(t[1:5], lambda x: left(trim(x, ' '), 160)), ' | ') AS tr FROM k)
+SELECT doc_id, concat_ws(chr(10), CASE WHEN kw <> '' THEN 'keywords: ' || kw END, CASE WHEN tr <> '' THEN 'trace: ' || tr END, CASE WHEN source <> '' THEN 'source: ' || source END) AS doc FROM p""",
+)
 def t23(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keywords and trace lines of a text, and a document made of them."""
     t = F.col("text")
     return table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", op.document_text([("keywords", F.array_join(op.chunk_keywords(t), ", ")), ("trace", F.array_join(op.trace_lines(t), " | ")), ("source", F.col("source"))]).alias("doc"))
 
 
-@_R.add("t29_snippet_range")
+@_R.add(
+    "t29_snippet_range",
+    """WITH l AS (SELECT doc_id, text, ls[i] AS x, i FROM (SELECT doc_id, text, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL))),
+p AS (SELECT doc_id, i, length(left(text, strpos(text, x) - 1)) - length(replace(left(text, strpos(text, x) - 1), chr(10), '')) + 1 AS f FROM l WHERE x <> '')
+SELECT doc_id, CAST(i AS INTEGER) AS line_no, CAST(f AS INTEGER) AS first_line FROM p""",
+)
 def t29(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where the second line of a text is found in it first."""
-    rows = table(spark, sf_dir, "documents").withColumn("second", F.get(F.split("text", "\n"), F.lit(1))).filter("second <> ''")
-    return rows.select("doc_id", op.snippet_range(F.col("text"), F.col("second")).alias("at"), op.line_range(F.col("text"), 2, 3).alias("lines"))
+    """Where each line of a text is found in it first."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text", F.posexplode(F.split("text", "\n")).alias("pos", "line")).filter("line <> ''")
+    return rows.select("doc_id", (F.col("pos") + 1).alias("line_no"), op.snippet_range(F.col("text"), F.col("line"))["first"].alias("first_line"))
 
 
 @_R.add("t31_softmax", "WITH e AS (SELECT o_custkey, o_orderkey, exp(o_totalprice / 100000 - max(o_totalprice / 100000) OVER (PARTITION BY o_custkey)) AS x FROM orders) SELECT o_custkey, o_orderkey, round(x / sum(x) OVER (PARTITION BY o_custkey), 9) AS softmax FROM e")

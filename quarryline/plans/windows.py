@@ -58,7 +58,12 @@ def w07(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.with_context(rows, ["analysis_id"], "pos", "t", 1, 1).filter(F.lower("t").rlike("cache")).select("analysis_id", "pos", "context")
 
 
-@_R.add("w07_greedy_frames")
+@_R.add(
+    "w07_greedy_frames",
+    """WITH RECURSIVE h AS (SELECT doc_id, i - 1 AS h, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS rn FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL)) WHERE regexp_matches(lower(ls[i]), 'error|failed')),
+r AS (SELECT doc_id, rn, h AS kept, true AS keep FROM h WHERE rn = 1 UNION ALL SELECT h.doc_id, h.rn, CASE WHEN h.h - 5 > r.kept + 5 THEN h.h ELSE r.kept END, h.h - 5 > r.kept + 5 FROM r JOIN h ON h.doc_id = r.doc_id AND h.rn = r.rn + 1)
+SELECT doc_id, list(CAST(kept AS INTEGER) ORDER BY rn) AS frames FROM r WHERE keep GROUP BY 1""",
+)
 def w07g(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of a document that name an error, greedily spaced so that frames of five lines do not overlap."""
     lines = F.split("text", "\n")
@@ -132,6 +137,6 @@ def o06(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "all_instances_metadata").select("id").distinct().orderBy(*op.natural_order("id"))
 
 
-@_R.add("o08_seeded_sample")
+@_R.add("o08_seeded_sample", "SELECT record_id, id FROM all_instances_metadata ORDER BY md5('42/' || record_id), record_id LIMIT 10")
 def o08(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.seeded_sample(table(spark, sf_dir, "all_instances_metadata").select("record_id", "id"), "record_id", 10, 42)
