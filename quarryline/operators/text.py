@@ -8,6 +8,9 @@ shared terms or shared features, never from all pairs.
 from __future__ import annotations
 
 import ast
+import json
+import re
+import unicodedata
 from collections.abc import Sequence
 
 import pandas as pd
@@ -59,6 +62,11 @@ def bm25(post: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75,
     ``queries`` holds (query, term); a term asked twice counts twice.
     Inverse document frequency is log(1 + (n - df + 0.5) / (df + 0.5)), or given as (term, idf).
     """
+    return top_k(bm25_scores(post, queries, k1, b, idf), ["query"], [F.desc("score"), F.col("doc")], k)
+
+
+def bm25_scores(post: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75, idf: DataFrame | None = None) -> DataFrame:
+    """query, doc, score of all documents with a positive score."""
     lens = post.groupBy("doc").agg(F.max("doc_len").alias("l"))
     collection = lens.agg(F.struct(F.count("*").alias("n"), F.avg("l").alias("mean"))).scalar()
     n, mean = collection["n"], collection["mean"]
@@ -69,7 +77,19 @@ def bm25(post: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75,
         idf = df.select("term", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("doc_len") / mean))
     scores = hits.join(idf, "term").join(asked, "term").groupBy("query", "doc").agg(F.sum(part).alias("score")).filter("score > 0")
-    return top_k(scores.withColumn("score", F.round("score", 9)), ["query"], [F.desc("score"), F.col("doc")], k)
+    return scores.withColumn("score", F.round("score", 9))
+
+
+def filtered_bm25(post: DataFrame, docs: DataFrame, queries: DataFrame, must: Sequence[str], least_should: int = 1, k: int = 10, **how: float) -> DataFrame:
+    """``bm25`` over documents (doc and the keys ``must``) that agree with the query (query, term and the keys) in all keys and have ``least_should`` of its terms.
+
+    The statistics are those of the whole collection. Null keys agree with nothing."""
+    asked = queries.select("query", "term").distinct()
+    held = post.join(asked, "term").groupBy("query", "doc").agg(F.count("*").alias("n")).filter(F.col("n") >= least_should)
+    wanted = queries.select("query", *must).distinct().join(docs.select("doc", *must), list(must)).select("query", "doc")
+    allowed = held.join(wanted, ["query", "doc"], "left_semi")
+    scores = bm25_scores(post, queries, **how).join(allowed.select("query", "doc"), ["query", "doc"], "left_semi")
+    return top_k(scores, ["query"], [F.desc("score"), F.col("doc")], k)
 
 
 def combined_search(results: Sequence[tuple[DataFrame, float]], k: int) -> DataFrame:
@@ -82,6 +102,12 @@ def combined_search(results: Sequence[tuple[DataFrame, float]], k: int) -> DataF
     return top_k(total, ["query"], [F.desc("score"), F.col("doc")], k)
 
 
+def reranked(first: DataFrame, second: DataFrame, k: int) -> DataFrame:
+    """The order of the second search among what the first one found."""
+    kept = second.join(first.select("query", "doc"), ["query", "doc"], "left_semi").select("query", "doc", "score")
+    return top_k(kept, ["query"], [F.desc("score"), F.col("doc")], k)
+
+
 def rescored(first: DataFrame, second: DataFrame, weights: tuple[float, float] = (0.7, 1.2), window: int = 50) -> DataFrame:
     """The first ``window`` results of each query ordered anew by both scores; others are left out."""
     top = first.filter(F.col("rank") <= window).select("query", "doc", F.col("score").alias("s1"))
@@ -170,10 +196,31 @@ def mean_jaccard(features: Sequence[tuple[Column, Column]]) -> Column:
 
 
 def cosine_pairs(weights: DataFrame, least: float, block: Sequence[str] = ()) -> DataFrame:
-    """id_a < id_b, cosine of documents that share a term (and the block): dot products of postings."""
-    a = weights.select(*block, "term", F.col("doc").alias("id_a"), F.col("weight").alias("wa"))
-    b = weights.select(*block, "term", F.col("doc").alias("id_b"), F.col("weight").alias("wb"))
-    return a.join(b, [*block, "term"]).filter("id_a < id_b").groupBy(*block, "id_a", "id_b").agg(F.round(F.sum(F.col("wa") * F.col("wb")), 9).alias("cosine")).filter(F.col("cosine") >= least)
+    """id_a < id_b, cosine of documents (doc, term, weight; each of length one) that reach ``least``.
+
+    Prefix filter: terms are ordered by rarity, and a document's prefix ends where the rest of it is shorter than ``least``. The rarest term of a pair
+    that reaches it stands in both prefixes, so only prefixes are joined; common terms are in few of them. Whole vectors decide."""
+    df = weights.groupBy(*block, "term").agg(F.count("*").alias("df"))
+    vectors = weights.join(df, [*block, "term"]).groupBy(*block, "doc").agg(F.array_sort(F.collect_list(F.struct("df", "term", "weight"))).alias("v"))
+    # How many terms at the end stay shorter than ``least`` together.
+    def longer(a: Column, x: Column) -> Column:
+        s = a["s"] + x["weight"] * x["weight"]
+        return F.when(s < least * least - 1e-9, F.struct(s.alias("s"), (a["k"] + 1).alias("k"))).otherwise(F.struct(F.lit(2.0).alias("s"), a["k"].alias("k")))
+
+    tail = F.aggregate(F.reverse("v"), F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("k")), longer, lambda a: a["k"])
+    size = F.size("v") - tail
+    prefix = vectors.select(*block, "doc", F.explode(F.slice("v", F.lit(1), size)).alias("x")).select(*block, "doc", "x.term")
+    near = prefix.withColumnRenamed("doc", "id_a").join(prefix.withColumnRenamed("doc", "id_b"), [*block, "term"]).filter("id_a < id_b").select(*block, "id_a", "id_b").distinct()
+    full = vectors.select(*block, F.col("doc").alias("id_a"), F.map_from_entries(F.transform("v", lambda x: F.struct(x["term"], x["weight"]))).alias("v_a"))
+    both = near.join(full, [*block, "id_a"]).join(full.withColumnsRenamed({"id_a": "id_b", "v_a": "v_b"}), [*block, "id_b"])
+    dot = F.aggregate(F.map_values(F.map_zip_with("v_a", "v_b", lambda _, x, y: x * y)), F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0)))
+    return both.select(*block, "id_a", "id_b", F.round(dot, 9).alias("cosine")).filter(F.col("cosine") >= least)
+
+
+def most_frequent(post: DataFrame, n: int, least_df: int = 1) -> DataFrame:
+    """Postings of the ``n`` terms with the most occurrences among those in ``least_df`` documents or more."""
+    best = post.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).filter(F.col("df") >= least_df).orderBy(F.desc("cf"), "term").limit(n)
+    return post.join(best.select("term"), "term", "left_semi")
 
 
 def recurrence(pairs: DataFrame, score: str) -> DataFrame:
@@ -226,6 +273,107 @@ def squeeze(text: Column) -> Column:
     return F.trim(out)
 
 
+#: Marker strings of language models, and byte order marks (the second as its bytes read in a one-byte code).
+MARKERS = ("<|endoftext|>", "<|startoftext|>", "<|end|>", "<|start|>", "<|im_start|>", "<|im_end|>")
+MARKS_AT_START = (r"\A\x{FEFF}", r"\A\u00EF\u00BB\u00BF", r"\A[\x{FEFF}\x{FFFE}\x{FFFF}]+")
+
+
+def cleaned(text: Column) -> Column:
+    """Text without marker strings, byte order marks, NUL and control characters, composed (NFC), with at most one empty line and one blank in a row
+    (the first blanks of a line are one more), and one line feed at the end where there was any. Only texts beyond ASCII reach Python, for the composition."""
+
+    @F.pandas_udf("string")
+    def compose(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
+
+    out = text
+    for marker in MARKERS:
+        out = F.replace(out, F.lit(marker), F.lit(""))
+    for mark in MARKS_AT_START:
+        out = F.regexp_replace(out, mark, "")
+    out = F.replace(out, F.lit("\x00"), F.lit(""))
+    beyond = F.when(out.rlike(r"[^\x00-\x7F]"), out)
+    out = F.coalesce(compose(beyond), out)
+    for pattern, new in ((r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F]", ""), (r"\n{3,}", "\n\n"), (r"(?<=[^\n])[ \t]{2,}", " "), (r"\n+\z", "\n")):
+        out = F.regexp_replace(out, pattern, new)
+    return out
+
+
+def without_fence(text: Column) -> Column:
+    """The text inside a code fence, trimmed; other text only trimmed."""
+    t = F.regexp_replace(text, r"\A\s+|\s+\z", "")
+    inner = F.regexp_replace(F.regexp_replace(t, r"\A```[^\n]*(?:\n|\z)", ""), r"(?:\A|\n)[ \t]*```[^\n]*\z", "")
+    return F.when(t.startswith("```"), F.regexp_replace(inner, r"\A\s+|\s+\z", "")).otherwise(t)
+
+
+def close_json(text: str) -> str:
+    """A JSON text that stops early, with what is open closed: a string, a value or a key left out, brackets in their order."""
+    stack, in_text, escaped = [], False, False
+    for i, ch in enumerate(text):
+        if in_text:
+            escaped, in_text = ch == "\\" and not escaped, ch != '"' or escaped
+            continue
+        if ch == '"':
+            in_text = True
+        elif ch in "{[":
+            stack.append("}" if ch == "{" else "]")
+        elif ch in "}]" and stack and stack[-1] == ch:
+            stack.pop()
+            if not stack:
+                return text[: i + 1]
+    out = (text[:-1] if escaped else text) + ('"' if in_text else "")
+    for _ in range(3):  # a key without a value, half a word, a comma
+        tail = re.sub(r'(?:,\s*|(?<=[{\[])\s*)(?:"(?:[^"\\]|\\.)*"\s*:?\s*)?[\w.+-]*\s*\Z', "", out)
+        for candidate in (out, tail):
+            try:
+                json.loads(candidate + "".join(reversed(stack)))
+            except ValueError:
+                continue
+            return candidate + "".join(reversed(stack))
+        out = tail
+    return out + "".join(reversed(stack))
+
+
+def json_fields(text: Column) -> Column:
+    """struct<how, fields>: the members of the one JSON object in a text, as text, and how they were read.
+
+    whole: the text (without a code fence) is one; inner: what stands between the first and the last brace is; lenient: it is one with single quotes, names without
+    quotes or commas before an end; closed: it stops early. how is null where there is none."""
+    lenient = {k: "true" for k in ("allowSingleQuotes", "allowUnquotedFieldNames", "allowUnquotedControlChars", "allowNumericLeadingZeros", "allowBackslashEscapingAnyCharacter")}
+
+    @F.pandas_udf("string")
+    def close(texts: pd.Series) -> pd.Series:
+        return texts.map(close_json, na_action="ignore")
+
+    def strict(t: Column) -> Column:
+        return F.when(F.try_parse_json(t).isNotNull(), F.from_json(t, "map<string,string>"))
+
+    plain = without_fence(text)
+    inner = F.regexp_extract(plain, r"(?s)\{.*\}", 0)
+    tidy = F.regexp_replace(inner, r'("(?:[^"\\]|\\.)*")|,(?=\s*[}\]])', "$1")
+    whole = F.when(plain.startswith("{"), strict(plain))
+    ways = [("whole", whole), ("inner", strict(inner)), ("lenient", F.from_json(F.when(inner != "", tidy), "map<string,string>", lenient))]
+    rest = F.when(F.coalesce(*[w for _, w in ways]).isNull(), F.regexp_extract(plain, r"(?s)\{.*", 0))
+    ways.append(("closed", strict(close(F.when(rest != "", rest)))))
+    how = F.when(F.lit(False), "")
+    for name, way in ways:
+        how = how.when(way.isNotNull(), name)
+    return F.struct(how.alias("how"), F.coalesce(*[w for _, w in ways]).alias("fields"))
+
+
+#: Fixed value: a Python function up to the next one, the next class or the end.
+METHOD = r"(?ms)^[ \t]*(?:async[ \t]+)?def\s+\w+\s*\(.*?(?=^[ \t]*(?:async[ \t]+)?(?:def|class)\s|\z)"
+
+
+def methods(source: Column, most: int = 800, head: int = 1000) -> Column:
+    """array<struct<name, code>> of the functions of a Python source, each cut to ``most`` characters; the head of a source without any, with a null name."""
+    cut = lambda x: F.when(F.length(x) > most, F.concat(F.left(x, F.lit(most)), F.lit("..."))).otherwise(x)
+    found = F.regexp_extract_all(source, F.lit(METHOD), F.lit(0))
+    named = F.transform(found, lambda m: F.struct(F.regexp_extract(m, r"def\s+(\w+)", 1).alias("name"), cut(m).alias("code")))
+    alone = F.array(F.struct(F.lit(None).cast("string").alias("name"), F.left(source, F.lit(head)).alias("code")))
+    return F.when(F.size(found) > 0, named).when(source.isNotNull(), alone)
+
+
 def tool_names(text: Column, tools: Sequence[str]) -> Column:
     """Distinct tool names, sorted. Only ASCII word characters bound a name, as scripts without blanks write on."""
     return F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(rf"(?<![a-z0-9_])(?:{'|'.join(tools)})(?![a-z0-9_])"), F.lit(0))))

@@ -41,10 +41,20 @@ def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(F.col("doc_id").alias("query"), F.explode(F.filter(first, lambda w: F.length(w) >= 3)).alias("term"))
 
 
+_STATS = "st AS (SELECT count(*) AS n, avg(l) AS m FROM (SELECT max(doc_len) AS l FROM po GROUP BY doc)), df AS (SELECT term, ln(1 + ((SELECT n FROM st) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM po GROUP BY 1), a AS (SELECT query, term, count(*) AS qtf FROM qu GROUP BY 1, 2)"
+
+
+def _scores_sql(name: str, b: float = 0.75, post: str = "po", stats: str = "st", df: str = "df") -> str:
+    """Scores and ranks of a search as two more relations: ``name`` and ``name``_r."""
+    return f"""{name} AS (SELECT a.query, po.doc, round(sum(a.qtf * df.idf * po.tf * 2.5 / (po.tf + 1.5 * ({1 - b} + {b} * po.doc_len / (SELECT m FROM {stats})))), 9) AS score FROM a JOIN {post} po ON a.term = po.term JOIN {df} df ON df.term = a.term GROUP BY 1, 2),
+{name}_r AS (SELECT query, doc, score, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS INTEGER) AS rank FROM {name} WHERE score > 0)"""
+
+
 def _bm25_sql(k: int, extra: str = "") -> str:
-    return f"""WITH {_POST}, {_ASKED}, st AS (SELECT count(*) AS n, avg(l) AS m FROM (SELECT max(doc_len) AS l FROM po GROUP BY doc)), df AS (SELECT term, count(*) AS df FROM po GROUP BY 1), a AS (SELECT query, term, count(*) AS qtf FROM qu GROUP BY 1, 2),
-s AS (SELECT a.query, po.doc, round(sum(a.qtf * ln(1 + ((SELECT n FROM st) - df.df + 0.5) / (df.df + 0.5)) * po.tf * 2.5 / (po.tf + 1.5 * (0.25 + 0.75 * po.doc_len / (SELECT m FROM st)))), 9) AS score FROM a JOIN po ON a.term = po.term JOIN df ON df.term = a.term GROUP BY 1, 2),
-rk AS (SELECT query, doc, score, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS INTEGER) AS rank FROM s WHERE score > 0) {extra or f"SELECT query, doc, score, rank FROM rk WHERE rank <= {k}"}"""
+    return f"WITH {_POST}, {_ASKED}, {_STATS}, {_scores_sql('s')} {extra or f'SELECT query, doc, score, rank FROM s_r WHERE rank <= {k}'}"
+
+
+_RENUMBERED = "SELECT query, doc, score, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS INTEGER) AS rank FROM"
 
 
 @_R.add("t02_bm25", _bm25_sql(10))
@@ -59,7 +69,15 @@ def t02b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("query", F.round("score", 6).alias("best"))
 
 
-@_R.add("t05_boosted_fields")
+_HEAD_SQL = _POST.replace("po AS", "ph AS", 1).replace("lower(text)", "lower(split_part(text, chr(10), 1))")
+
+
+@_R.add(
+    "t05_boosted_fields",
+    f"""WITH {_POST}, {_HEAD_SQL}, {_ASKED}, {_STATS}, sh AS (SELECT count(*) AS n, avg(l) AS m FROM (SELECT max(doc_len) AS l FROM ph GROUP BY doc)), dh AS (SELECT term, ln(1 + ((SELECT n FROM sh) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM ph GROUP BY 1),
+{_scores_sql("s")}, {_scores_sql("h", post="ph", stats="sh", df="dh")}, u AS (SELECT query, doc, round(sum(w), 9) AS score FROM (SELECT query, doc, score AS w FROM s_r WHERE rank <= 50 UNION ALL SELECT query, doc, score * 2 FROM h_r WHERE rank <= 50) GROUP BY 1, 2)
+SELECT * FROM ({_RENUMBERED} u) WHERE rank <= 10""",
+)
 def t05(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole text and, at double weight, first lines."""
     docs = table(spark, sf_dir, "documents").filter("text is not null")
@@ -68,18 +86,87 @@ def t05(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.combined_search([(op.bm25(_index(spark, sf_dir), asked, k=50), 1.0), (op.bm25(materialize(head), asked, k=50), 2.0)], 10)
 
 
-@_R.add("t06_rescored")
+@_R.add(
+    "t06_rescored",
+    f"""WITH {_POST}, {_ASKED}, {_STATS}, {_scores_sql("s")}, {_scores_sql("z", 0.2)},
+u AS (SELECT s.query, s.doc, round(s.score * 0.7 + coalesce(z.score, 0) * 1.2, 9) AS score FROM s_r s LEFT JOIN z_r z ON s.query = z.query AND s.doc = z.doc AND z.rank <= 50 WHERE s.rank <= 50) {_RENUMBERED} u""",
+)
 def t06(spark: SparkSession, sf_dir: str) -> DataFrame:
     index, asked = _index(spark, sf_dir), _asked(spark, sf_dir)
     return op.rescored(op.bm25(index, asked, k=50), op.bm25(index, asked, b=0.2, k=50))
 
 
-@_R.add("t07_fused")
+@_R.add(
+    "t07_fused",
+    f"""WITH {_POST}, {_ASKED}, {_STATS}, {_scores_sql("s")}, {_scores_sql("z", 0.2)}, x AS (SELECT * FROM s_r WHERE rank <= 20), y AS (SELECT * FROM z_r WHERE rank <= 20),
+r AS (SELECT coalesce(x.query, y.query) AS query, coalesce(x.doc, y.doc) AS doc, CASE WHEN x.doc IS NOT NULL AND y.doc IS NOT NULL THEN 2.0 WHEN x.doc IS NOT NULL THEN 1.5 ELSE 0.5 END * CAST(greatest(coalesce(x.score, 0), coalesce(y.score, 0)) AS DOUBLE) AS raw FROM x FULL JOIN y ON x.query = y.query AND x.doc = y.doc),
+u AS (SELECT query, doc, round(raw / max(raw) OVER (PARTITION BY query), 9) AS score FROM r) {_RENUMBERED} u""",
+)
 def t07(spark: SparkSession, sf_dir: str) -> DataFrame:
     index, asked = _index(spark, sf_dir), _asked(spark, sf_dir)
     return op.fused(op.bm25(index, asked, k=20), op.bm25(index, asked, b=0.2, k=20))
 
 
+_EXTERNAL_SQL = "SELECT term, round(ln(1 + 220.0 / count(*)), 9) AS idf FROM (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS term FROM eval_items) GROUP BY 1"
+
+
+@_R.add("t03_external_idf", f"WITH {_POST}, {_ASKED}, st AS (SELECT avg(l) AS m FROM (SELECT max(doc_len) AS l FROM po GROUP BY doc)), df AS ({_EXTERNAL_SQL}), a AS (SELECT query, term, count(*) AS qtf FROM qu GROUP BY 1, 2), {_scores_sql('s')} SELECT query, doc, score, rank FROM s_r WHERE rank <= 10")
+def t03(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BM25 with the idf of another collection; terms that it lacks do not count."""
+    other = table(spark, sf_dir, "eval_items").select("item_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("term")).distinct()
+    idf = other.groupBy("term").agg(F.round(F.log(1 + F.lit(220.0) / F.count("*")), 9).alias("idf"))
+    return op.bm25(_index(spark, sf_dir), _asked(spark, sf_dir), idf=idf)
+
+
+@_R.add(
+    "t04_filtered_search",
+    f"""WITH {_POST}, {_ASKED}, {_STATS}, {_scores_sql("s")}, h AS (SELECT query, doc FROM (SELECT DISTINCT query, term FROM qu) q JOIN po ON q.term = po.term GROUP BY 1, 2 HAVING count(*) >= 2),
+f AS (SELECT s.* FROM s JOIN h ON s.query = h.query AND s.doc = h.doc JOIN documents x ON x.doc_id = s.query JOIN documents y ON y.doc_id = s.doc WHERE x.repo = y.repo AND x.lang = y.lang AND s.score > 0)
+SELECT * FROM ({_RENUMBERED} f) WHERE rank <= 10""",
+)
+def t04(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of the query's repository and language that have two of its terms or more."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "repo", "lang")
+    asked = _asked(spark, sf_dir)
+    return op.filtered_bm25(_index(spark, sf_dir), docs, asked.join(docs.withColumnRenamed("doc", "query"), "query"), ["repo", "lang"], 2)
+
+
+@_R.add("t32_reranked", f"WITH {_POST}, {_ASKED}, {_STATS}, {_scores_sql('s')}, {_scores_sql('z', 0.2)}, u AS (SELECT z.* FROM z JOIN s_r ON z.query = s_r.query AND z.doc = s_r.doc WHERE s_r.rank <= 20) SELECT * FROM ({_RENUMBERED} u) WHERE rank <= 10")
+def t32(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 20 of one search in the order of another."""
+    index, asked = _index(spark, sf_dir), _asked(spark, sf_dir)
+    return op.reranked(op.bm25(index, asked, k=20), op.bm25_scores(index, asked, b=0.2), 10)
+
+
+def _term_ranks(spark: SparkSession, sf_dir: str, window: int, biased: bool) -> DataFrame:
+    """query, term, rank over the term graph of each query document; the graphs of the documents are parts of one that do not touch."""
+    from quarryline.operators import graph
+
+    docs = table(spark, sf_dir, "documents").filter("doc_id % 100 = 0 and text is not null")
+    words = op.terms(F.col("text"))
+    edges = graph.term_graph(docs, "doc_id", words, window).select(F.struct("doc", F.col("src").alias("term")).alias("src"), F.struct("doc", F.col("dst").alias("term")).alias("dst"), F.col("w").cast("double").alias("w"))
+    both = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
+    bias = None
+    if biased:
+        post = op.postings(table(spark, sf_dir, "documents").filter("text is not null"), "doc_id", words)
+        bias = op.tfidf(post).filter("doc % 100 = 0").select(F.struct("doc", "term").alias("node"), F.col("weight").alias("bias"))
+    return graph.pagerank(both, bias=bias).select(F.col("node.doc").alias("query"), F.col("node.term").alias("term"), "rank")
+
+
+@_R.add("t12_expansion")
+def t12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each query document the five best terms among its ten highest ranks that the query lacks."""
+    first = op.top_k(_term_ranks(spark, sf_dir, 5, False).withColumn("score", F.round("rank", 9)).drop("rank"), ["query"], [F.desc("score"), F.col("term")], 10)
+    fresh = first.drop("rank").join(_asked(spark, sf_dir).distinct(), ["query", "term"], "left_anti")
+    return op.top_k(fresh, ["query"], [F.desc("score"), F.col("term")], 5).select("query", "term", "rank")
+
+
+@_R.add("t13_biased_keywords")
+def t13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each query document the ten terms of highest rank with a window of 20 and a bias of tf times idf."""
+    return op.top_k(_term_ranks(spark, sf_dir, 20, True).withColumn("score", F.round("rank", 9)).drop("rank"), ["query"], [F.desc("score"), F.col("term")], 10).select("query", "term", "rank")
+
+
 @_R.add("t08_terms", f"SELECT doc_id, len(list_filter({_WORDS}, lambda w: length(w) >= 3 AND w NOT IN {_STOP})) AS n_terms FROM documents WHERE text IS NOT NULL")
 def t08(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", F.size(_words("text")).cast("bigint").alias("n_terms"))
@@ -130,6 +217,60 @@ def _file_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("id").agg(F.collect_set("f").alias("s"))
 
 
+_LEX_SQL = f"""lx AS (SELECT instance_id AS id, list_filter(regexp_extract_all(lower(string_agg(t, ' ' ORDER BY t)), '[a-z]+'), lambda w: length(w) >= 3 AND w NOT IN {_STOP}) AS w FROM (SELECT DISTINCT instance_id, unnest(error_context) AS t FROM log_analysis WHERE instance_id IS NOT NULL) WHERE t IS NOT NULL GROUP BY 1),
+g AS (SELECT id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM lx), gp AS (SELECT id, term, count(*) AS tf FROM g GROUP BY 1, 2),
+gt AS (SELECT term, count(*) AS df FROM gp GROUP BY 1 HAVING count(*) >= 2 ORDER BY sum(tf) DESC, term LIMIT 1000), gk AS (SELECT gp.*, df, count(DISTINCT id) OVER () AS n FROM gp JOIN gt ON gp.term = gt.term),
+gw AS (SELECT id, term, tf * (ln((1 + (SELECT count(DISTINCT id) FROM gk)) / (1 + df)) + 1) AS w FROM (SELECT id, term, tf, df FROM gk)), gn AS (SELECT id, sqrt(sum(w * w)) AS norm FROM gw GROUP BY 1), gv AS (SELECT gw.id, term, w / norm AS w FROM gw JOIN gn ON gw.id = gn.id)"""
+
+
+@_R.add("t18_lexical_pairs", f"WITH {_LEX_SQL} SELECT a.id AS id_a, b.id AS id_b, round(round(sum(a.w * b.w), 9), 6) AS cosine FROM gv a JOIN gv b ON a.term = b.term AND a.id < b.id GROUP BY 1, 2 HAVING round(sum(a.w * b.w), 9) >= 0.25")
+def t18(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Instances whose messages are alike: cosine of TF-IDF over the 1,000 most frequent one- and two-word terms."""
+    rows = table(spark, sf_dir, "log_analysis").filter("instance_id is not null").select("instance_id", F.explode("error_context").alias("t")).filter("t is not null").distinct()
+    texts = rows.groupBy(F.col("instance_id").alias("id")).agg(F.array_join(F.array_sort(F.collect_list("t")), " ").alias("text"))
+    post = materialize(op.most_frequent(materialize(op.postings(texts, "id", op.ngrams(_words("text"), [1, 2]))), 1000, 2))
+    pairs = op.cosine_pairs(materialize(op.tfidf(post)), 0.25)
+    return pairs.select("id_a", "id_b", F.round("cosine", 6).alias("cosine"))
+
+
+@_R.add("t26_methods")
+def t26(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Functions in the texts of the documents, or their heads."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(op.methods(F.col("text"))).alias("pos", "m"))
+    return rows.select("doc_id", "pos", "m.*")
+
+
+@_R.add("t27_outline")
+def t27(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outline of the functions found in the documents, where they parse."""
+    rows = t26(spark, sf_dir).filter("name is not null")
+    return rows.select("doc_id", "pos", F.explode(op.python_outline(F.col("code"))).alias("o")).select("doc_id", "pos", "o.*")
+
+
+_MARKERS_SQL = "text"
+for _m in op.MARKERS:
+    _MARKERS_SQL = f"replace({_MARKERS_SQL}, '{_m}', '')"
+
+
+@_R.add(
+    "t35_cleaned",
+    f"""WITH a AS (SELECT doc_id, {_MARKERS_SQL} AS t FROM documents), b AS (SELECT doc_id, regexp_replace(regexp_replace(t, '^' || chr(65279), ''), '^' || chr(239) || chr(187) || chr(191), '') AS t FROM a),
+c AS (SELECT doc_id, nfc_normalize(replace(regexp_replace(t, '^[' || chr(65279) || chr(65534) || chr(65535) || ']+', ''), chr(0), '')) AS t FROM b),
+d AS (SELECT doc_id, regexp_replace(regexp_replace(t, '[\\x01-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F-\\x{{9F}}]', '', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g') AS t FROM c),
+e AS (SELECT doc_id, regexp_replace(t, '([^\\n])[ \\t]{{2,}}', '\\1 ', 'g') AS t FROM d) SELECT doc_id, regexp_replace(t, '\\n+$', chr(10)) AS text FROM e""",
+)
+def t35(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cleaning chain over every text."""
+    return table(spark, sf_dir, "documents").select("doc_id", op.cleaned(F.col("text")).alias("text"))
+
+
+@_R.add("t36_json_fields", "SELECT call_id, CASE WHEN json_valid(metadata) THEN CASE WHEN json_type(metadata) = 'OBJECT' THEN 'whole' END END AS how, CAST(CASE WHEN json_valid(metadata) THEN CASE WHEN json_type(metadata) = 'OBJECT' THEN len(json_keys(metadata)) END END AS INTEGER) AS n_fields FROM llm_call_record")
+def t36(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How each record's metadata reads as a JSON object, and how many members it has."""
+    rows = table(spark, sf_dir, "llm_call_record").select("call_id", op.json_fields(F.col("metadata")).alias("j"))
+    return rows.select("call_id", "j.how", F.when(F.col("j.fields").isNotNull(), F.size("j.fields")).alias("n_fields"))
+
+
 @_R.add("t19_recurrence", f"WITH {_FILES_SQL}, q AS (SELECT a.id, coalesce(max(len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s)))), 0) AS b FROM fs a LEFT JOIN fs b ON a.id <> b.id GROUP BY 1) SELECT count(*) AS n_ids, round(avg(b), 9) AS mean_best FROM q")
 def t19(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T19 over every instance with files, however small its best similarity; one that shares no file counts as 0."""

@@ -252,3 +252,59 @@ def test_every_rule_of_the_label_check_has_its_rows(spark):
     rows = spark.createDataFrame([("1", ["A"], ["x"]), ("1", ["A"], ["y"]), ("2", [], []), ("3", ["A", "B"], ["x"]), ("4", ["Z"], ["x"]), ("9", None, None)], "id string, a array<string>, b array<string>")
     found = {tuple(r) for r in labels.violations(rows, "id", "a", "b", ["A", "B"], spark.createDataFrame([(str(i),) for i in range(1, 6)], "id string")).collect()}
     assert found == {("1", "repeated"), ("5", "missing"), ("9", "extra"), ("2", "empty"), ("9", "empty"), ("3", "length"), ("4", "unknown_label")}
+
+
+def test_cosine_pairs_lose_none(spark):
+    import itertools
+    import math
+    import random
+
+    from quarryline.operators.text import cosine_pairs
+
+    rng = random.Random(3)
+    docs = {}
+    for d in range(60):
+        raw = {f"t{min(int(rng.expovariate(0.15)), 40)}": rng.random() for _ in range(rng.randrange(1, 15))}
+        norm = math.sqrt(sum(w * w for w in raw.values()))
+        docs[d] = {t: w / norm for t, w in raw.items()}
+    rows = spark.createDataFrame([(d, t, w) for d, v in docs.items() for t, w in v.items()], "doc int, term string, weight double")
+    for least in (0.2, 0.5, 0.9):
+        want = {(a, b) for a, b in itertools.combinations(docs, 2) if round(sum(w * docs[b].get(t, 0) for t, w in docs[a].items()), 9) >= least}
+        assert {(r["id_a"], r["id_b"]) for r in cosine_pairs(rows, least).collect()} == want
+    assert cosine_pairs(rows.limit(0), 0.5).count() == 0
+
+
+def test_cleaned_text(spark):
+    from pyspark.sql import functions as F
+
+    from quarryline.operators.text import cleaned
+
+    cases = {"\ufeffHello": "Hello", "ï»¿Test": "Test", "a\x00b\x07c\x9fd\x7f": "abcd", "e\u0301": "é", "x<|endoftext|>y<|im_start|>": "xy", "a\n\n\n\nb": "a\n\nb", "a  \t b": "a b", "    in": "  in", "end\n\n\n": "end\n", "\n\n": "\n", "": "", "a\r\n": "a\r\n"}
+    df = spark.createDataFrame([(k,) for k in (*cases, None)], "t string")
+    assert {r[0]: r[1] for r in df.select("t", cleaned(F.col("t"))).collect()} == {**cases, None: None}
+
+
+def test_json_fields(spark):
+    from pyspark.sql import functions as F
+
+    from quarryline.operators.text import close_json, json_fields
+
+    cases = {
+        '{"a": 1}': ("whole", {"a": "1"}), '```json\n{"a": [1]}\n```': ("whole", {"a": "[1]"}), 'Sure: {"a": {"b": 2}} done': ("inner", {"a": '{"b":2}'}), "{'a': 'x', b: 2,}": ("lenient", {"a": "x", "b": "2"}),
+        '{"a": ", }", "b": [1, 2,],}': ("lenient", {"a": ", }", "b": "[1,2]"}), 'so {"a": 1, "b": "cut of': ("closed", {"a": "1", "b": "cut of"}), "no object": (None, None), "": (None, None), "[1]": (None, None), "{": ("closed", {}),
+    }
+    df = spark.createDataFrame([(k,) for k in (*cases, None)], "t string")
+    got = {r["t"]: (r["j"]["how"], r["j"]["fields"]) for r in df.select("t", json_fields(F.col("t")).alias("j")).collect()}
+    assert got == {**cases, None: (None, None)}
+    assert close_json('{"a": 1, "b": tr') == '{"a": 1}' and close_json('{"a": [ {"b": 2}, {"c') == '{"a": [ {"b": 2}, {}]}' and close_json('{"a": "x\\') == '{"a": "x"}'
+
+
+def test_methods(spark):
+    from pyspark.sql import functions as F
+
+    from quarryline.operators.text import methods
+
+    source = "import x\n\ndef one(a, b):\n    return a\n\nclass C:\n    def two(self):\n        pass\n\n    async def three(self):\n        " + "y = 1\n        " * 200
+    rows = spark.createDataFrame([(source,), ("no code " * 300,), (None,)], "s string").select(methods(F.col("s")).alias("m")).collect()
+    assert [m["name"] for m in rows[0]["m"]] == ["one", "two", "three"] and rows[0]["m"][0]["code"] == "def one(a, b):\n    return a\n\n" and len(rows[0]["m"][2]["code"]) == 803
+    assert rows[1]["m"][0]["name"] is None and len(rows[1]["m"][0]["code"]) == 1000 and rows[2]["m"] is None
