@@ -95,3 +95,16 @@ def delta_to(rows: DataFrame, key: str, baseline: str, value: str) -> DataFrame:
     """Difference and share of change to the baseline row. The baseline is one number."""
     one = rows.filter(F.col(key) == baseline).select(F.max(value)).scalar()
     return rows.select(key, value, (F.col(value) - one).alias("delta"), F.try_divide(F.col(value) - one, one).alias("change"))
+
+
+def call_costs(calls: DataFrame, rates: DataFrame, model: str = "model") -> DataFrame:
+    """``calls`` with ``cost``: tokens times the rates per million of their model.
+
+    ``calls`` has input_tokens, cached_tokens, cache_write_tokens and output_tokens (null as 0; cached tokens are part of the input), ``rates`` one row per
+    model with input_rate, output_rate and, where they are not those of the input, cached_rate and cache_write_rate. A model without rates costs 0.
+    """
+    n = lambda c: F.coalesce(F.col(c), F.lit(0)) if c in calls.columns else F.lit(0)
+    rate = lambda c, other=None: F.coalesce(F.col(c), *([F.col(other)] if other else []), F.lit(0.0))
+    fresh = F.greatest(n("input_tokens") - n("cached_tokens"), F.lit(0))
+    cost = fresh * rate("input_rate") + n("cached_tokens") * rate("cached_rate", "input_rate") + n("cache_write_tokens") * rate("cache_write_rate", "input_rate") + n("output_tokens") * rate("output_rate")
+    return calls.join(rates, model, "left").withColumn("cost", cost / 1_000_000).drop("input_rate", "cached_rate", "cache_write_rate", "output_rate")

@@ -74,15 +74,27 @@ def filled_chunks(text: Column, budget: int, overlap: int, per_token: int = 4) -
     return run(text)
 
 
+def pack_in_order(parts: list[str], budget: int) -> list[str]:
+    """Parts joined in order while they fit the budget of characters; a larger one stands alone."""
+    out, open_parts, size = [], [], 0
+    for part in parts:
+        if open_parts and size + len(part) > budget:
+            out.append("".join(open_parts))
+            open_parts, size = [], 0
+        open_parts.append(part)
+        size += len(part)
+    return [*out, "".join(open_parts)] if open_parts else out
+
+
 def packed_sections(parts: Column, budget: int) -> Column:
-    """Sections joined in order while they fit the budget of characters; a larger one stands alone. A fold, in the JVM."""
-    start = F.array().cast("array<string>")
-    last = lambda a: F.try_element_at(a, F.lit(-1))
-    return F.aggregate(
-        parts,
-        start,
-        lambda a, s: F.when((F.size(a) > 0) & (F.length(last(a)) + F.length(s) <= budget), F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.concat(last(a), s)))).otherwise(F.concat(a, F.array(s))),
-    )
+    """``pack_in_order`` of an array of texts; each is passed over once."""
+
+    @F.pandas_udf("array<string>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for lists in batches:
+            yield lists.map(lambda x: None if x is None else pack_in_order(list(x), budget))
+
+    return run(parts)
 
 
 def size_strategy(tokens: Column, full: int, chunked: int) -> Column:

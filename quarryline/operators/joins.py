@@ -57,14 +57,30 @@ def either_key(rows: DataFrame, table: DataFrame, keys: Sequence[tuple[str, str]
 def overlapping(left: DataFrame, right: DataFrame, scope: Sequence[str], width: int, a: tuple[str, str] = ("a_start", "a_end"), b: tuple[str, str] = ("b_start", "b_end")) -> DataFrame:
     """Pairs of one scope whose closed intervals overlap.
 
-    Each interval goes to the buckets of ``width`` that it touches, so the join has equal keys only. A pair
-    is kept in the one bucket where the later of the two begins.
+    An interval has the level whose buckets (``width`` times a power of two) are as long as it, so that it touches two of them at most. Of a pair the
+    interval of the lower level looks the other one up at that one's level, so the joins have equal keys only and no interval gives more
+    than two rows a level, however long it is. A pair is kept in the one bucket where the later of the two begins.
     """
-    span = lambda s, e: F.explode(F.sequence(F.floor(F.col(s) / width), F.floor(F.col(e) / width)))
-    x = left.filter(F.col(a[0]) <= F.col(a[1])).withColumn("_bucket", span(*a))
-    y = right.filter(F.col(b[0]) <= F.col(b[1])).withColumn("_bucket", span(*b))
-    on = x.join(y, [*scope, "_bucket"]).filter((F.col(a[0]) <= F.col(b[1])) & (F.col(a[1]) >= F.col(b[0])))
-    return on.filter(F.col("_bucket") == F.floor(F.greatest(a[0], b[0]) / width)).drop("_bucket")
+    span = lambda s, e, at: F.sequence(F.floor(F.col(s) / at), F.floor(F.col(e) / at))
+    at_level = lambda k: F.pow(F.lit(2.0), k) * width
+    level = lambda s, e: F.greatest(F.ceil(F.log2((F.col(e) - F.col(s) + 1) / F.lit(float(width)))), F.lit(0)).cast("int")
+
+    def side(rows: DataFrame, ends: tuple[str, str]) -> DataFrame:
+        return rows.filter(F.col(ends[0]) <= F.col(ends[1])).withColumn("_own", level(*ends))
+
+    def own(rows: DataFrame, ends: tuple[str, str]) -> DataFrame:
+        return rows.withColumn("_level", F.col("_own")).withColumn("_bucket", F.explode(span(*ends, at_level(F.col("_own"))))).drop("_own")
+
+    def above(rows: DataFrame, ends: tuple[str, str], other: DataFrame, least: int) -> DataFrame:
+        top = other.agg(F.coalesce(F.max("_own"), F.lit(0))).scalar()
+        levels = F.when(F.col("_own") + least <= top, F.sequence(F.col("_own") + least, top))
+        return rows.withColumn("_level", F.explode(levels)).withColumn("_bucket", F.explode(span(*ends, at_level(F.col("_level"))))).drop("_own")
+
+    x, y, key = side(left, a), side(right, b), [*scope, "_level", "_bucket"]
+    low = above(x, a, y, 0).join(own(y, b), key)
+    high = own(x, a).join(above(y, b, x, 1), key)
+    both = low.unionByName(high).filter((F.col(a[0]) <= F.col(b[1])) & (F.col(a[1]) >= F.col(b[0])))
+    return both.filter(F.col("_bucket") == F.floor(F.greatest(a[0], b[0]) / at_level(F.col("_level")))).drop("_level", "_bucket")
 
 
 def tightest_enclosing(points: DataFrame, spans: DataFrame, scope: Sequence[str], point_id: str, width: int, p: tuple[str, str] = ("a_start", "a_end"), s: tuple[str, str] = ("b_start", "b_end")) -> DataFrame:

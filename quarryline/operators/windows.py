@@ -6,8 +6,9 @@ offsets (``global_rank``), so that no single task sorts everything.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -55,11 +56,24 @@ def with_context(rows: DataFrame, keys: Sequence[str], order: str, text: str, be
     return rows.withColumn("context", F.collect_list(text).over(w))
 
 
+def spaced(hits: list[int], gap: int) -> list[int]:
+    """Positions in order, each more than ``gap`` after the one kept before."""
+    kept: list[int] = []
+    for h in sorted(set(hits)):
+        if not kept or h - kept[-1] > gap:
+            kept.append(int(h))
+    return kept
+
+
 def greedy_frames(hits: Column, before: int, after: int) -> Column:
-    """Hits kept in order so that their frames do not overlap: a fold over the sorted positions of one document."""
-    first = F.array_sort(F.array_distinct(hits))
-    start = F.array().cast("array<int>")
-    return F.aggregate(first, start, lambda kept, h: F.when((F.size(kept) == 0) | (h - before > F.try_element_at(kept, F.lit(-1)) + after), F.concat(kept, F.array(h))).otherwise(kept))
+    """Hits kept in order so that their frames do not overlap; the positions of a document are passed over once."""
+
+    @F.pandas_udf("array<int>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for lists in batches:
+            yield lists.map(lambda x: None if x is None else spaced(list(x), before + after))
+
+    return run(hits)
 
 
 def order_label(keys: Sequence[str], order: Sequence[str]) -> Column:

@@ -215,6 +215,17 @@ def a30(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnRenamed("m", "model")
 
 
+@_R.add(
+    "a33_call_costs",
+    f"""WITH {base.CALLS_SQL}, r(m, i, o) AS (VALUES ('quarrel-flash', 2.0, 8.0), ('tindra-mini', 0.5, 1.5)), c AS (SELECT call.*, r.i, r.o FROM call LEFT JOIN r ON call.model = r.m)
+SELECT model, count(*) AS n, CAST(sum(CAST((coalesce(input_tokens, 0) * coalesce(i, 0) + coalesce(output_tokens, 0) * coalesce(o, 0)) / 1000000 AS DECIMAL(20,9))) AS DOUBLE) AS cost FROM c GROUP BY 1""",
+)
+def a33(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Costs by model under a table of rates per million tokens."""
+    rates = spark.createDataFrame([("quarrel-flash", 2.0, 8.0, None, None), ("tindra-mini", 0.5, 1.5, None, None)], "model string, input_rate double, output_rate double, cached_rate double, cache_write_rate double")
+    return op.call_costs(base.calls(spark, sf_dir), rates).groupBy("model").agg(F.count("*").alias("n"), F.sum(F.col("cost").cast("decimal(20,9)")).cast("double").alias("cost"))
+
+
 @_R.add("a35_delta_to_baseline", f"WITH {base.CALLS_SQL}, c AS (SELECT lower(trim(model)) AS model, CAST(sum(total_tokens) AS BIGINT) AS tokens FROM call WHERE model IS NOT NULL GROUP BY 1), b AS (SELECT max(tokens) AS t FROM c WHERE model = 'quarrel-flash') SELECT model, tokens, tokens - (SELECT t FROM b) AS delta, (tokens - (SELECT t FROM b)) / (SELECT t FROM b) AS change FROM c")
 def a35(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A34, A35."""

@@ -274,6 +274,14 @@ def g05(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.callers(table(spark, sf_dir, "llm_call_record"), ["module_name", "function_name"], "model")
 
 
+@_R.add("g06_filtered_clusters", "WITH k AS (SELECT list_distinct(list(path)) AS keep FROM parsed_file WHERE file_type = '.py'), c AS (SELECT diff_id, list_sort(list(DISTINCT path)) AS ps FROM parsed_file WHERE path IS NOT NULL GROUP BY 1) SELECT diff_id, ps FROM (SELECT diff_id, list_filter(ps, lambda p: ends_with(p, '.py')) AS ps FROM c) WHERE len(ps) > 0")
+def g06(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files of each diff as a cluster, without those of other kinds."""
+    per = table(spark, sf_dir, "parsed_file").filter("path is not null").groupBy("diff_id").agg(F.array_sort(F.collect_set("path")).alias("ps"))
+    kept = graph.filtered_clusters(F.array("ps"), F.filter("ps", lambda p: p.endswith(".py")))
+    return per.select("diff_id", F.explode(kept).alias("ps"))
+
+
 @_R.add("g07_bounded_summary", "SELECT diff_id, ps[1:2] AS shown, CAST(len(ps) AS INTEGER) AS total, len(ps) > 2 AS truncated FROM (SELECT diff_id, list_sort(list(DISTINCT path)) AS ps FROM parsed_file WHERE path IS NOT NULL GROUP BY 1)")
 def g07(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G06, G07."""

@@ -83,12 +83,6 @@ def source_files(spark: SparkSession, path: str, glob: str = "*.py", most_bytes:
     return files.filter(F.col("length") <= most_bytes).select("path", F.decode("content", "UTF-8").alias("content"))
 
 
-def fingerprints(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """path, n_bytes, modified, fingerprint of files."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path)
-    return files.select("path", F.col("length").alias("n_bytes"), F.col("modificationTime").alias("modified"), F.sha2("content", 256).alias("fingerprint"))
-
-
 def row_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
     """table_name, n_rows of named tables."""
     parts = [df.agg(F.count("*").alias("n_rows")).select(F.lit(name).alias("table_name"), "n_rows") for name, df in tables.items()]

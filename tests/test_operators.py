@@ -308,3 +308,38 @@ def test_methods(spark):
     rows = spark.createDataFrame([(source,), ("no code " * 300,), (None,)], "s string").select(methods(F.col("s")).alias("m")).collect()
     assert [m["name"] for m in rows[0]["m"]] == ["one", "two", "three"] and rows[0]["m"][0]["code"] == "def one(a, b):\n    return a\n\n" and len(rows[0]["m"][2]["code"]) == 803
     assert rows[1]["m"][0]["name"] is None and len(rows[1]["m"][0]["code"]) == 1000 and rows[2]["m"] is None
+
+
+def test_long_intervals_give_few_rows(spark):
+    import random
+
+    from quarryline.operators.joins import overlapping
+
+    rng = random.Random(5)
+    span = lambda: (lambda s, n: (s, s + n))(rng.randrange(-2000, 10_000), rng.choice([0, 3, 63, 64, 65, 500, 10**6, 10**9]))
+    a, b = [(i, *span()) for i in range(120)], [(i, *span()) for i in range(120)]
+    x, y = spark.createDataFrame(a, "id_a int, a_start long, a_end long").selectExpr("*", "1 as g"), spark.createDataFrame(b, "id_b int, b_start long, b_end long").selectExpr("*", "1 as g")
+    got = sorted((r["id_a"], r["id_b"]) for r in overlapping(x, y, ["g"], 64).collect())
+    assert got == sorted((i, j) for i, s, e in a for j, t, f in b if s <= f and e >= t)
+    assert overlapping(x, y.limit(0), ["g"], 64).count() == 0
+
+
+def test_packs_and_frames():
+    import random
+
+    from quarryline.operators.chunking import pack_in_order
+    from quarryline.operators.windows import spaced
+
+    rng = random.Random(1)
+    parts = ["x" * rng.randrange(1, 40) for _ in range(5000)]
+    packs = pack_in_order(parts, 100)
+    assert "".join(packs) == "".join(parts) and all(len(p) <= 100 for p in packs) and pack_in_order([], 5) == [] and pack_in_order(["abcdef", "g"], 5) == ["abcdef", "g"]
+    assert spaced([9, 1, 1, 12, 11, 30], 10) == [1, 12, 30]
+
+
+def test_call_costs(spark):
+    from quarryline.operators.aggregates import call_costs
+
+    calls = spark.createDataFrame([("m", 1_000_000, 400_000, 100_000, 10), ("m", None, None, None, None), ("z", 5, 0, 0, 5), (None, 1, 0, 0, 1)], "model string, input_tokens int, cached_tokens int, cache_write_tokens int, output_tokens int")
+    rates = spark.createDataFrame([("m", 2.0, 8.0, 0.5, None)], "model string, input_rate double, output_rate double, cached_rate double, cache_write_rate double")
+    assert sorted(round(r["cost"], 6) for r in call_costs(calls, rates).collect()) == [0.0, 0.0, 0.0, round(1.2 + 0.2 + 0.2 + 0.00008, 6)]

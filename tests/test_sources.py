@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from quarryline.sources import readers, sinks
+from quarryline.sources import large_json, readers, sinks
 
 
 def test_jsonl(spark, tmp_path):
@@ -99,4 +99,32 @@ def test_files(spark, tmp_path):
     (tmp_path / "src" / "a.py").write_text("x = 1\n")
     (tmp_path / "src" / "b.txt").write_text("no")
     assert [r["content"] for r in readers.source_files(spark, str(tmp_path)).collect()] == ["x = 1\n"]
-    assert readers.fingerprints(spark, str(tmp_path)).count() == 2
+    assert large_json.fingerprints(spark, str(tmp_path)).count() == 2
+
+
+def test_large_objects_in_blocks(spark, tmp_path, monkeypatch):
+    doc = {f"k{i} \\ \"é": {"patch": 'a "quoted" {brace] \\', "n": [i, {"deep": [None, True]}]} for i in range(50)} | {"text": "x,y: {", "num": -1.5e3, "null": None, "empty": {}, "list": [1, [2]]}
+    for name, text in (("one.json", json.dumps(doc)), ("wide.json", json.dumps(doc, indent=3, ensure_ascii=False)), ("list.json", "[1, 2]"), ("none.json", ""), ("cut.json", '{"a": 1, "b": [1, 2'), ("no.json", "{}")):
+        (tmp_path / name).write_text(text)
+        for block in (1, 2, 7, 1 << 20):
+            raw = text.encode()
+            got = list(large_json.scan_entries(raw[i : i + block] for i in range(0, len(raw), block)))
+            if name in ("one.json", "wide.json"):
+                assert {k: json.loads(v) for k, _, _, v in got} == doc and all(raw[s : s + n] == v for _, s, n, v in got)
+            else:
+                assert [k for k, *_ in got] == (["a"] if name == "cut.json" else [])
+    rows = large_json.large_entries(spark, str(tmp_path / "*.json")).collect()
+    assert len(rows) == 2 * len(doc) + 1
+
+
+def test_index_is_renewed_where_files_change(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for name, doc in (("a.json", {"x": 1, "y": [2]}), ("b.json", {"x": {"z": 3}})):
+        (tmp_path / "in" / name).write_text(json.dumps(doc))
+    src, at = str(tmp_path / "in"), str(tmp_path / "index")
+    keys = spark.createDataFrame([("x",), ("w",), (None,)], "key string")
+    ask = lambda: sorted((r["path"][-6:], r["key"], r["value"]) for r in large_json.lookup_entries(large_json.refresh_index(spark, src, at), keys).collect())
+    assert ask() == [("a.json", "x", "1"), ("b.json", "x", '{"z": 3}')] == ask()
+    (tmp_path / "in" / "a.json").write_text('{"w": "longer", "x": 77}')
+    (tmp_path / "in" / "b.json").unlink()
+    assert ask() == [("a.json", "w", '"longer"'), ("a.json", "x", "77")]
