@@ -21,8 +21,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quarryline.functions.arrays import let
+from quarryline.session import shuffle_width
 
-SALTS = 64
+#: Salts of a term: as many as this, and so many times the shuffle partitions.
+SALTS, SALTS_A_PARTITION = 64, 4
 LEAST_RECORDS = 3
 MOST_SHARE = 0.1
 COMBINED = 256
@@ -49,8 +51,11 @@ def combine_row(terms: Column) -> Column:
     return let(F.filter(terms, lambda t: t.isNotNull() & (F.regexp_replace(t, r"\s+", "") != "")), of)
 
 
-def term_counts(rows: DataFrame, record: str, lists: dict[str, Column], salts: int = SALTS) -> DataFrame:
-    """field_name, term, occurrences, records for the terms in the array columns ``lists``."""
+def term_counts(rows: DataFrame, record: str, lists: dict[str, Column], salts: int | None = None) -> DataFrame:
+    """field_name, term, occurrences, records for the terms in the array columns ``lists``.
+
+    A term of most records leaves each sort one part in ``salts`` of the rows, so they grow with the cluster's partitions."""
+    salts = salts or max(SALTS, SALTS_A_PARTITION * shuffle_width(rows.sparkSession))
 
     def of(field: str, terms: Column) -> Column:
         combined = combine_row(F.coalesce(terms, F.array().cast("array<string>")))
@@ -73,7 +78,7 @@ def mark_terms(counts: DataFrame, total: DataFrame, least: int = LEAST_RECORDS,
     return counts.withColumn("mark", F.when(F.col("records") < least, "rare").when(common, "common"))
 
 
-def job_and_step_terms(summary: DataFrame, salts: int = SALTS) -> DataFrame:
+def job_and_step_terms(summary: DataFrame, salts: int | None = None) -> DataFrame:
     """Counts and marks of the job and step names in ``failed_jobs`` of ``summary``, per instance ``id``."""
     jobs = F.filter("failed_jobs", lambda j: j.isNotNull())
     names = F.transform(jobs, lambda j: name_form(j["job_name"]))
