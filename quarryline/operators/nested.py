@@ -36,6 +36,10 @@ JOB_LISTS = ("failed_validation_jobs", "failed_jobs")
 STEP_LISTS = ("failed_validation_step_names", "step_names")
 
 JOB_FIELDS = {"job_id": "bigint", "job_name": "string", "runner_name": "string", "failure_evidence": "string", "failed_validation_steps_count": "int"}
+#: All validation jobs of a commit, failed or not, under their names.
+ALL_JOB_LISTS = ("validation_jobs", "overall_jobs")
+ALL_STEP_LISTS = ("validation_step_names", "step_names")
+ALL_JOB_FIELDS = {"job_id": "bigint", "job_name": "string", "status": "string", "conclusion": "string", "started_at": "string", "completed_at": "string"}
 COMMIT_FIELDS = {"original_commit": "string", "commit_type": "string", "commit_date": "string", "workflow_run_id": "bigint", "workflow_conclusion": "string", "pending": "boolean"}
 
 #: Spellings of dates, tried in this order.
@@ -133,6 +137,10 @@ class _Variant:
     def elements(v: Column) -> Column:
         return F.try_variant_get(v, "$", "array<variant>")
 
+    @staticmethod
+    def text(s: Column) -> Column:
+        return F.when(F.schema_of_variant(s).startswith("OBJECT"), F.try_variant_get(s, "$.name", "string")).otherwise(F.try_variant_get(_Variant.present(s), "$", "string"))
+
     @staticmethod
     def step(s: Column) -> Column:
         kind = F.schema_of_variant(s)
@@ -173,6 +181,12 @@ class _Text:
         return _step(text, opened["number"].try_cast("int"), F.when(s.isNull(), "null").when(text.isNull(), "blank").when(is_object, "object").otherwise("text"))
 
 
+    @staticmethod
+    def text(s: Column) -> Column:
+        is_object = s.startswith("{") & F.from_json(s, "map<string,string>").isNotNull()
+        return F.when(is_object, F.from_json(F.when(is_object, s), "name string")["name"]).otherwise(s)
+
+
 _Reader = type[_Variant] | type[_Text]
 
 
@@ -252,6 +266,31 @@ def _typed_commit(c: Column) -> Column:
     return F.when(c.isNotNull(), _node(fields, F.transform(jobs, _typed_job), "jobs", COMMIT_MOVES, F.lit("typed"), F.when(jobs.isNull(), "absent").otherwise("list"), _children_state))
 
 
+def _run_of(r: _Reader) -> Callable[[Column], Column]:
+    """A commit of a document with all its validation jobs."""
+
+    def job(j: Column) -> Column:
+        def of(o: Column) -> Column:
+            fields = [r.field(o, n, t).alias(n) for n, t in ALL_JOB_FIELDS.items()]
+            return _from_list(r, o, ALL_STEP_LISTS, lambda e, *_: F.struct(*fields, F.transform(e, r.text).alias("steps")))
+
+        return F.when(r.present(j).isNotNull(), r.opened(j, ALL_JOB_FIELDS, ALL_STEP_LISTS, of))
+
+    def commit(c: Column) -> Column:
+        def of(o: Column) -> Column:
+            fields = [r.field(o, n, t).alias(n) for n, t in COMMIT_FIELDS.items()]
+            return _from_list(r, o, ALL_JOB_LISTS, lambda e, *_: F.struct(*fields, F.transform(e, job).alias("jobs")))
+
+        return F.when(r.present(c).isNotNull(), r.opened(c, COMMIT_FIELDS, ALL_JOB_LISTS, of))
+
+    return commit
+
+
+def _typed_run(c: Column) -> Column:
+    job = lambda j: F.when(j.isNotNull(), F.struct(*[j[n].cast(t).alias(n) for n, t in ALL_JOB_FIELDS.items()], j["validation_step_names"].alias("steps")))
+    return F.when(c.isNotNull(), F.struct(*[c[n].cast(t).alias(n) for n, t in COMMIT_FIELDS.items()], F.transform(c["validation_jobs"], job).alias("jobs")))
+
+
 @dataclass(frozen=True)
 class NestedTables:
     """The flat tables of one input. All are lazy and read the input once each."""
@@ -317,22 +356,32 @@ class NestedTables:
         return self.normal.select("record_id", F.explode(F.flatten(F.transform("commits", of_commit))).alias("k")).filter("k is not null").select("record_id", "k.*")
 
 
-def flatten_commits(df: DataFrame) -> NestedTables:
-    """Flat tables from records with ``record_id``, ``id``, ``commits`` and ``commits_json``."""
-    typed, text, parsed = F.col("commits").isNotNull(), F.col("legacy"), F.col("parsed")
-    base = df.select("record_id", "id", "commits", "commits_json", F.when(~typed, F.col("commits_json")).alias("legacy")).withColumn("parsed", F.try_parse_json("legacy"))
-    document = _Variant.present(parsed)
+def _read(df: DataFrame, *columns: str, typed: Callable[[Column], Column], document: Callable[[_Reader], Callable[[Column], Column]]) -> DataFrame:
+    """``columns``, record_state and commits of both collectors in one shape."""
+    is_typed, text, parsed = F.col("commits").isNotNull(), F.col("legacy"), F.col("parsed")
+    base = df.select(*columns, "commits", F.when(~is_typed, F.col("commits_json")).alias("legacy")).withColumn("parsed", F.try_parse_json("legacy"))
+    doc = _Variant.present(parsed)
     refused = text.isNotNull() & parsed.isNull()
     by_text = F.when(refused, _Text.elements(text))
     bare_text = F.when(refused & by_text.isNull() & F.from_json(F.when(refused, text), "map<string,string>").isNotNull(), text)
-    listed = _Variant.elements(document)
+    listed = _Variant.elements(doc)
     commits = (
-        F.when(typed, F.transform("commits", _typed_commit))
-        .when(document.isNotNull(), F.transform(F.coalesce(listed, F.array(document)), _commit_of(_Variant)))
-        .otherwise(F.transform(F.coalesce(by_text, F.when(bare_text.isNotNull(), F.array(bare_text))), _commit_of(_Text)))
+        F.when(is_typed, F.transform("commits", typed))
+        .when(doc.isNotNull(), F.transform(F.coalesce(listed, F.array(doc)), document(_Variant)))
+        .otherwise(F.transform(F.coalesce(by_text, F.when(bare_text.isNotNull(), F.array(bare_text))), document(_Text)))
     )
     state = (
-        F.when(typed, "typed/list").when(text.isNull(), "none/absent").when(listed.isNotNull() | by_text.isNotNull(), "json/list")
-        .when(document.isNotNull() | bare_text.isNotNull(), "json/bare").when(refused, "unparsable").otherwise("json/absent")
+        F.when(is_typed, "typed/list").when(text.isNull(), "none/absent").when(listed.isNotNull() | by_text.isNotNull(), "json/list")
+        .when(doc.isNotNull() | bare_text.isNotNull(), "json/bare").when(refused, "unparsable").otherwise("json/absent")
     )
-    return NestedTables(base.select("record_id", "id", "commits_json", state.alias("record_state"), commits.alias("commits")))
+    return base.select(*columns, state.alias("record_state"), commits.alias("commits"))
+
+
+def flatten_commits(df: DataFrame) -> NestedTables:
+    """Flat tables from records with ``record_id``, ``id``, ``commits`` and ``commits_json``."""
+    return NestedTables(_read(df, "record_id", "id", "commits_json", typed=_typed_commit, document=_commit_of))
+
+
+def all_runs(df: DataFrame, *columns: str) -> DataFrame:
+    """``columns`` and commits with all their validation jobs (``jobs``, with ``steps``), whichever collector wrote the record."""
+    return _read(df, *columns, typed=_typed_run, document=_run_of).drop("record_state")

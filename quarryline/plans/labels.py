@@ -115,5 +115,5 @@ def l13(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_R.add("l15_merged_records", f"WITH {base.COMMITS_SQL} SELECT a.record_id, coalesce(b.c.workflow_conclusion, a.c.workflow_conclusion) AS workflow_conclusion, coalesce(b.c.commit_date, a.c.commit_date) AS commit_date FROM com a JOIN com b ON a.record_id = b.record_id AND a.commit_pos = 0 AND b.commit_pos = 1")
 def l15(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "all_instances_metadata").select("record_id", F.get("commits", F.lit(0)).alias("a"), F.get("commits", F.lit(1)).alias("b")).filter("a is not null and b is not null")
+    rows = base.runs(spark, sf_dir).select("record_id", F.get("commits", F.lit(0)).alias("a"), F.get("commits", F.lit(1)).alias("b")).filter("a is not null and b is not null")
     return rows.select("record_id", op.merged_struct(F.col("a"), F.col("b"), ["workflow_conclusion", "commit_date"]).alias("m")).select("record_id", "m.*")

@@ -110,7 +110,7 @@ def e06(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.withColumn("rate", F.col("passed") / F.greatest("n", F.lit(1)))
 
 
-@_R.add("e07_merged_levels", _LEVEL_SQL.replace("WITH", f"WITH {base.OUTCOMES_SQL},", 1) + " SELECT m.record_id, lv.level, o.ok FROM all_instances_metadata m LEFT JOIN lv ON m.record_id = lv.record_id LEFT JOIN outc o ON m.id = o.id")
+@_R.add("e07_merged_levels", _LEVEL_SQL + f", {base.OUTC_SQL}" + " SELECT m.record_id, lv.level, o.ok FROM all_instances_metadata m LEFT JOIN lv ON m.record_id = lv.record_id LEFT JOIN outc o ON m.id = o.id")
 def e07(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = table(spark, sf_dir, "all_instances_metadata").select("record_id", "id")
     return ids.join(_levels(spark, sf_dir), "record_id", "left").join(base.outcomes(spark, sf_dir), "id", "left").select("record_id", "level", "ok")
