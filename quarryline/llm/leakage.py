@@ -104,6 +104,7 @@ class ItemIndex:
 
     items: list[tuple[int, list[str], list[int]]]
     radius: int = RADIUS
+    beyond: bool = True
     number: dict[str, int] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
@@ -142,7 +143,6 @@ class ItemIndex:
         self.flat_first = np.concatenate([np.concatenate([[True], p[1:] != p[:-1]]) if len(p) else np.zeros(0, bool) for p in self.parts]) if self.codes else np.zeros(0, bool)
         self.n_parts = np.array([int(p[-1]) + 1 if len(p) else 0 for p in self.parts], np.int64)
         self._foreign_signs: dict[str, np.ndarray] = {}
-        self._seen = np.zeros(len(self.number) + 1, bool)  # the last place is for words no item has
 
     def _vectors(self, words: list[str], codes: np.ndarray) -> np.ndarray:
         out = np.empty((len(words), BITS), np.float32)
@@ -212,54 +212,47 @@ class ItemIndex:
                 return True
         return False
 
-    def has_words(self, a: np.ndarray, item: int, share: float = 1 - CHANGED) -> bool:
-        """Whether some run of the item has enough words that stand in ``a`` in any order."""
-        self._seen[a] = True
-        self._seen[-1] = False
-        found = self.part_weight[item] * self._seen[self.codes[item]]
-        self._seen[a] = False
-        least = min(WINDOW, int(self.parts[item][-1]) + 1)
-        return bool(found.sum() >= share * least - 1e-3 and _starts(self.parts[item], found, share).any())
-
-    def has_words_in_place(self, a: np.ndarray, item: int, p: np.ndarray, q: np.ndarray) -> bool:
-        """The same for words within ``PLACE`` of where the seeds (``p`` in ``a``, ``q`` in the item) would have them."""
-        own = self.codes[item]
-        m, n = len(own), len(a)
-        allowed = np.zeros(m + n + 2 * PLACE + 1, bool)
-        inside = (p >= 0) & (p < n)
-        for d in np.unique(p[inside] - q[inside]).tolist():
-            allowed[d + m : d + m + 2 * PLACE + 1] = True
-        k, at = np.nonzero((own[:, None] == a) & (own[:, None] >= 0))
-        here = np.zeros(m, bool)
-        here[k[allowed[at - k + m + PLACE]]] = True
-        return bool(_starts(self.parts[item], self.part_weight[item] * here).any())
-
     def holds_run(self, a: np.ndarray, owner: np.ndarray, item: int) -> bool:
         """Whether a run of the item's words stands in ``a`` with few enough changes."""
         own = self.codes[item]
         return run_within(*_units(a, owner, own), *_units(own, self.parts[item], a))
 
-    def enough_words(self, a: np.ndarray, items: np.ndarray) -> np.ndarray:
-        """For each of ``items``, whether a run of it has the share ``MATCHED_WORDS`` of ``WINDOW`` of words that stand in ``a``, in any order: all items at once.
+    def words_in_place(self, codes: np.ndarray, item: np.ndarray, p: np.ndarray, q: np.ndarray, shares: tuple[float, ...]) -> tuple[np.ndarray, np.ndarray]:
+        """The items of the seeds, and for each share whether a run of the item has that share of its words near where the seeds would have them.
 
-        Runs of ``WINDOW`` up to twice as many words are tried, longer ones part into these. Items of fewer words pass."""
+        All items at once: a word counts if the text has it within ``PLACE`` of the seeds' diagonal. Runs of ``WINDOW`` up to twice as many words
+        are tried, longer ones part into these. An item of fewer words is one run."""
+        group = np.unique(np.stack([item, (p - q) // DRIFT], axis=1), axis=0)
+        items, centre = group[:, 0], group[:, 1] * DRIFT + DRIFT // 2
         size = self.first[items + 1] - self.first[items]
         start = np.concatenate([[0], np.cumsum(size)])[:-1]
-        at = np.repeat(self.first[items] - start, size) + np.arange(int(size.sum()))
-        self._seen[a] = True
-        self._seen[-1] = False  # words no item has
-        found = self.flat_weight[at] * self._seen[self.flat[at]]
-        self._seen[a] = False
-        # One entry per blank-separated word of the item.
+        inside = np.arange(int(size.sum())) - np.repeat(start, size)
+        at = np.repeat(self.first[items], size) + inside
+        # The text's words in order of code and place: one search finds the first of a code from a place on.
+        n = len(codes)
+        known = np.flatnonzero(codes >= 0)
+        there = np.sort(codes[known] * n + known)
+        want, expected = self.flat[at] * n, inside + np.repeat(centre, size)
+        low = want + np.clip(expected - PLACE - DRIFT // 2, 0, n - 1)
+        k = np.searchsorted(there, low)
+        hit = (k < len(there)) & (there[np.minimum(k, len(there) - 1)] <= want + np.clip(expected + PLACE + DRIFT // 2, 0, n - 1)) & (expected + PLACE + DRIFT // 2 >= 0) & (expected - PLACE - DRIFT // 2 < n)
         first = np.flatnonzero(self.flat_first[at])
         parts = self.n_parts[items]
         of = np.repeat(np.arange(len(items)), parts)
-        over = np.concatenate([[0.0], np.cumsum(np.add.reduceat(found, first) - MATCHED_WORDS / WINDOW)])
-        ok = parts < WINDOW
-        for n in range(WINDOW, min(2 * WINDOW, len(of) + 1)):
-            hit = (over[n:] - over[:-n] >= -1e-3) & (of[n - 1 :] == of[: len(of) - n + 1])
-            ok[of[: len(hit)][hit]] = True
-        return ok
+        held = np.add.reduceat(self.flat_weight[at] * hit, first)
+        ok = np.zeros((len(items), len(shares)), bool)
+        for j, share in enumerate(shares):
+            over = np.concatenate([[0.0], np.cumsum(held - share)])
+            for length in range(WINDOW, min(2 * WINDOW, len(of) + 1)):
+                good = (over[length:] - over[:-length] >= -1e-3) & (of[length - 1 :] == of[: len(of) - length + 1])
+                ok[of[: len(good)][good], j] = True
+            short = parts < WINDOW
+            if short.any():
+                ok[short, j] = (np.bincount(of, held, len(items)) >= share * parts - 1e-3)[short]
+        some, back = np.unique(items, return_inverse=True)
+        out = np.zeros((len(some), len(shares)), bool)
+        np.logical_or.at(out, back, ok)
+        return some, out
 
     def find(self, text: str | None) -> list[int]:
         """Numbers of the items that ``text`` holds."""
@@ -273,11 +266,8 @@ class ItemIndex:
         item, p, q = self.seeds(codes)
         if not len(item):
             return []
-        kept = np.zeros(len(item), bool)
-        for low, high in _stretches(np.unique(p)):
-            here = (p >= low) & (p < high)
-            some, back = np.unique(item[here], return_inverse=True)
-            kept[here] |= self.enough_words(codes[low:high], some)[back]
+        some, enough = self.words_in_place(codes, item, p, q, (1 - CHANGED, MATCHED_WORDS / WINDOW))
+        kept = enough.any(axis=1)[np.searchsorted(some, item)]
         if not kept.any():
             return []
         item, p, q = item[kept], p[kept], q[kept]
@@ -292,14 +282,13 @@ class ItemIndex:
             if width not in prints:
                 prints[width] = _fingerprints(vectors, width)
             places, close = np.unique(ps), self.near(prints[width], i, ps, qs)
-            for low, high in _stretches(places):
-                # Changes of the heaviest words put a passage beyond the radius; few pairs there have the words for a run in place.
-                if self.has_words(codes[low:high], i) and (close or self.has_words_in_place(codes[low:high], i, ps - low, qs)):
-                    owner = np.array(_parted(plain)[1], np.int64) if owner is None else owner
-                    if self.holds_run(codes[low:high], owner[low:high], i):
-                        found.add(i)
-                        break
-            if close and i not in found and any(self.has_words(codes[low:high], i, MATCHED_WORDS / WINDOW) for low, high in _stretches(places)):
+            run = bool(enough[np.searchsorted(some, i), 0])
+            # Changes of the heaviest words put a passage beyond the radius; few pairs there have the words for a run in place.
+            if run and (close or self.beyond):
+                owner = np.array(_parted(plain)[1], np.int64) if owner is None else owner
+                if any(self.holds_run(codes[low:high], owner[low:high], i) for low, high in _stretches(places)):
+                    found.add(i)
+            if close and i not in found:
                 near.append((i, places))
         good = self._aligned(codes, near) if near else set()
         found |= {i for i, ps in near if i in good and self.holds(codes, i, ps)}

@@ -140,6 +140,8 @@ def normal_form(text: str | None) -> str | None:
     """The one form of ``text``, composed (NFC)."""
     if text is None or text.isascii():
         return text
+    if unicodedata.is_normalized("NFC", text) and not _SPECIAL.search(text) and not _OTHER_SCRIPTS.search(text):
+        return text
     plain = _SPECIAL.sub(_plain, unicodedata.normalize("NFD", text))
     if _OTHER_SCRIPTS.search(plain):
         plain = _TOKEN.sub(_resolve, plain)

@@ -36,8 +36,7 @@ def shingle_similarity(index: op.ItemIndex, codes: np.ndarray, item: int, size:
 def main(sf_dir: str) -> None:
     rng = random.Random(1)
     items = [(r["item_id"], *op.item_words(r["text"])) for r in pq.read_table(f"{sf_dir}/eval_items.parquet").to_pylist() if r["text"]]
-    index, only_near = op.ItemIndex(items), op.ItemIndex(items)
-    only_near.has_words_in_place = lambda *_: False
+    index, only_near = op.ItemIndex(items), op.ItemIndex(items, beyond=False)
     docs = [t for t in pq.read_table(f"{sf_dir}/documents.parquet", columns=["text"])["text"].to_pylist() if t][:4000]
     other = [w for t in docs[:300] for w in op.words_of(t)]
     radii, passages = (16, 20, 24, 28, 32, 36), 0
