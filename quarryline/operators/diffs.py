@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from difflib import SequenceMatcher
 from functools import reduce
 
 import pandas as pd
@@ -217,3 +218,51 @@ def applied(source: Column, section: Column) -> Column:
         return pd.Series([None if s is None or p is None else apply_section(s, p) for s, p in zip(sources, parts, strict=True)])
 
     return run(source, section)
+
+
+CONFLICT = ("<<<<<<<", "=======", ">>>>>>>")
+
+
+def _synced(base: list[str], a: list[str], b: list[str]) -> list[tuple[int, int, int, int]]:
+    """(place in base, in a, in b, length) of the runs of lines that all three share, in order."""
+    blocks = lambda x: [m for m in SequenceMatcher(None, base, x, autojunk=False).get_matching_blocks() if m.size]
+    left, right, out, i, k = blocks(a), blocks(b), [], 0, 0
+    while i < len(left) and k < len(right):
+        x, y = left[i], right[k]
+        low, high = max(x.a, y.a), min(x.a + x.size, y.a + y.size)
+        if low < high:
+            out.append((low, x.b + low - x.a, y.b + low - y.a, high - low))
+        if x.a + x.size <= y.a + y.size:
+            i += 1
+        else:
+            k += 1
+    return [*out, (len(base), len(a), len(b), 0)]
+
+
+def merge3(base: str, a: str, b: str) -> tuple[str, int]:
+    """Both texts' changes to ``base`` in one, and how many places both changed differently; there both versions stand between marks."""
+    base_lines, a_lines, b_lines = base.split("\n"), a.split("\n"), b.split("\n")
+    out, conflicts, at, at_a, at_b = [], 0, 0, 0, 0
+    for start, start_a, start_b, n in _synced(base_lines, a_lines, b_lines):
+        old, one, two = base_lines[at:start], a_lines[at_a:start_a], b_lines[at_b:start_b]
+        if one == two or two == old:
+            out += one
+        elif one == old:
+            out += two
+        else:
+            conflicts += 1
+            out += [CONFLICT[0], *one, CONFLICT[1], *two, CONFLICT[2]]
+        out += base_lines[start : start + n]
+        at, at_a, at_b = start + n, start_a + n, start_b + n
+    return "\n".join(out), conflicts
+
+
+def merged(base: Column, a: Column, b: Column) -> Column:
+    """struct<text, conflicts> of two changed versions of a text; null where one of the three is."""
+
+    @F.pandas_udf("struct<text:string, conflicts:int>")
+    def run(bases: pd.Series, ones: pd.Series, twos: pd.Series) -> pd.DataFrame:
+        done = [(None, None) if o is None or x is None or y is None else merge3(o, x, y) for o, x, y in zip(bases, ones, twos, strict=True)]
+        return pd.DataFrame({"text": [t for t, _ in done], "conflicts": pd.array([c for _, c in done], "Int32")})
+
+    return run(base, a, b)

@@ -395,3 +395,58 @@ def python_outline(source: Column) -> Column:
         return texts.map(one)
 
     return run(source)
+
+
+_JAVA_SKIP = re.compile(r'/\*.*?\*/|//[^\n]*|"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\.)*\'', re.DOTALL)
+_JAVA_TYPE = re.compile(r"\b(class|interface|enum|record)\s+(\w+)")
+_JAVA_METHOD = re.compile(r"(\w+)\s*\([^()]*(?:\([^()]*\)[^()]*)*\)\s*(?:throws\s+[\w.,\s]+)?\Z")
+_JAVA_FIELD = re.compile(r"[\w>\],?]\s+(\w+)\s*(?:\[\s*\])*\s*(?:=.*)?\Z", re.DOTALL)
+
+
+def outline_java(text: str) -> list[dict]:
+    """Types, methods and fields of a Java source with the type that holds them and their lines, by heads and braces; comments and strings are passed over."""
+    # What is passed over keeps its line feeds, so that lines stay right.
+    code = _JAVA_SKIP.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), text)
+    out, stack, head, head_line, line, round_ = [], [], "", 1, 1, 0
+    for ch in code:
+        if ch == "\n":
+            line += 1
+        in_type = not stack or stack[-1] is not None and stack[-1]["kind"] not in ("method",)
+        if ch == "(":
+            round_ += 1
+        elif ch == ")":
+            round_ = max(0, round_ - 1)
+        if ch in "{};" and not (ch == ";" and round_):
+            owner = next((x["name"] for x in reversed(stack) if x is not None and x["kind"] != "method"), None)
+            plain, item = head.strip(), None
+            if in_type and ch == "{" and (m := _JAVA_TYPE.search(plain)) is not None:
+                item = {"kind": m[1], "name": m[2]}
+            elif in_type and stack and "=" not in plain and (m := _JAVA_METHOD.search(plain)) is not None:
+                item = {"kind": "method", "name": m[1]}
+            elif in_type and stack and ch == ";" and "(" not in plain.split("=")[0] and (m := _JAVA_FIELD.search(plain)) is not None:
+                item = {"kind": "field", "name": m[1]}
+            if item is not None:
+                item |= {"owner": owner, "first": head_line, "last": line}
+                out.append(item)
+            if ch == "{":
+                stack.append(item)
+            elif ch == "}" and stack:
+                done = stack.pop()
+                if done is not None:
+                    done["last"] = line
+            head, round_ = "", 0
+        else:
+            if not head.strip():
+                head_line = line
+            head += ch
+    return out
+
+
+def java_outline(source: Column) -> Column:
+    """array<struct<kind, name, owner, first, last>> of a Java source."""
+
+    @F.pandas_udf("array<struct<kind:string, name:string, owner:string, first:int, last:int>>")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(outline_java, na_action="ignore")
+
+    return run(source)

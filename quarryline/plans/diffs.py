@@ -130,6 +130,18 @@ def d14(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "llm_call_record").select("call_id", op.looks_corrupt(F.col("error_text")).alias("corrupt"))
 
 
+@_R.add(
+    "d15_merged",
+    """SELECT doc_id, CASE WHEN contains(text, chr(10)) THEN '> ' || text || chr(10) || 'end' ELSE '<<<<<<<' || chr(10) || '> ' || text || chr(10) || '=======' || chr(10) || text || chr(10) || 'end' || chr(10) || '>>>>>>>' END AS text,
+  CASE WHEN contains(text, chr(10)) THEN 0 ELSE 1 END AS conflicts FROM documents WHERE text IS NOT NULL""",
+)
+def d15(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A change of the first line and a line at the end, merged; a text of one line has both in one place."""
+    t = F.col("text")
+    rows = table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", op.merged(t, F.concat(F.lit("> "), t), F.concat(t, F.lit("\nend"))).alias("m"))
+    return rows.select("doc_id", "m.*")
+
+
 @_R.add(
     "d16_valid_patches",
     """WITH r AS (SELECT id, min(repo_owner) AS repo_owner, min(repo_name) AS repo_name, min(sha_fail) AS sha_fail FROM all_instances_metadata GROUP BY 1), d AS (SELECT DISTINCT diff_id, instance_id, diff FROM diff_output)

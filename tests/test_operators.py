@@ -343,3 +343,45 @@ def test_call_costs(spark):
     calls = spark.createDataFrame([("m", 1_000_000, 400_000, 100_000, 10), ("m", None, None, None, None), ("z", 5, 0, 0, 5), (None, 1, 0, 0, 1)], "model string, input_tokens int, cached_tokens int, cache_write_tokens int, output_tokens int")
     rates = spark.createDataFrame([("m", 2.0, 8.0, 0.5, None)], "model string, input_rate double, output_rate double, cached_rate double, cache_write_rate double")
     assert sorted(round(r["cost"], 6) for r in call_costs(calls, rates).collect()) == [0.0, 0.0, 0.0, round(1.2 + 0.2 + 0.2 + 0.00008, 6)]
+
+
+def test_three_way_merge(spark):
+    from pyspark.sql import functions as F
+
+    from quarryline.operators.diffs import apply_section, merge3, merged
+
+    base = "a\nb\nc\nd\ne"
+    assert merge3(base, "A\nb\nc\nd\ne", "a\nb\nc\nd\nE\nf") == ("A\nb\nc\nd\nE\nf", 0)
+    assert merge3(base, "a\nX\nc\nd\ne", "a\nY\nc\nd\ne") == ("a\n<<<<<<<\nX\n=======\nY\n>>>>>>>\nc\nd\ne", 1)
+    assert merge3(base, base, "a\nc\nd\ne") == ("a\nc\nd\ne", 0) and merge3(base, "z", "z") == ("z", 0) and merge3("", "", "") == ("", 0)
+    one, two = apply_section(base, "@@ -1,2 +1,2 @@\n-a\n+A\n b"), apply_section(base, "@@ -4,2 +4,1 @@\n d\n-e")
+    assert merge3(base, one, two) == ("A\nb\nc\nd", 0)
+    rows = spark.createDataFrame([(base, one, two), (base, None, two)], "o string, a string, b string")
+    assert [tuple(r["m"] or (None, None)) for r in rows.select(merged(F.col("o"), F.col("a"), F.col("b")).alias("m")).collect()] == [("A\nb\nc\nd", 0), (None, None)]
+
+
+def test_java_outline(spark):
+    from pyspark.sql import functions as F
+
+    from quarryline.operators.text import java_outline
+
+    source = """package x;
+import java.util.*;
+/* class Not { } */
+public class Outer<T> extends Base {
+    private static final Map<String, int[]> TABLE = make("}{;");
+    int a, count;
+    @Override
+    public List<T> find(String k, int n) throws IOException {
+        if (n > 0) { return null; } // }
+        for (int i = 0; i < n; i++) { run(i); }
+        return null;
+    }
+    interface Inner { void go(); }
+    enum Kind { ONE, TWO }
+}
+"""
+    got = spark.createDataFrame([(source,), (None,), ("",)], "s string").select(java_outline(F.col("s")).alias("o")).collect()
+    assert [(x["kind"], x["name"], x["owner"]) for x in got[0]["o"]] == [("class", "Outer", None), ("field", "TABLE", "Outer"), ("field", "count", "Outer"), ("method", "find", "Outer"), ("interface", "Inner", "Outer"), ("method", "go", "Inner"), ("enum", "Kind", "Outer")]
+    assert [(x["first"], x["last"]) for x in got[0]["o"]][0] == (4, 15) and [(x["first"], x["last"]) for x in got[0]["o"]][3] == (7, 12)
+    assert got[1]["o"] is None and got[2]["o"] == []
