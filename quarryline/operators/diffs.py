@@ -223,16 +223,25 @@ def applied(source: Column, section: Column) -> Column:
 CONFLICT = ("<<<<<<<", "=======", ">>>>>>>")
 
 
+def _shared(x: list[str], y: list[str]) -> list[tuple[int, int, int]]:
+    """(place in x, in y, length) of runs of equal lines, in order: what both begin and end with, and matches between."""
+    most = min(len(x), len(y))
+    head = next((i for i in range(most) if x[i] != y[i]), most)
+    tail = next((i for i in range(most - head) if x[-1 - i] != y[-1 - i]), most - head)
+    between = SequenceMatcher(None, x[head : len(x) - tail], y[head : len(y) - tail], autojunk=False).get_matching_blocks()
+    runs = [(0, 0, head), *[(m.a + head, m.b + head, m.size) for m in between], (len(x) - tail, len(y) - tail, tail)]
+    return [r for r in runs if r[2]]
+
+
 def _synced(base: list[str], a: list[str], b: list[str]) -> list[tuple[int, int, int, int]]:
     """(place in base, in a, in b, length) of the runs of lines that all three share, in order."""
-    blocks = lambda x: [m for m in SequenceMatcher(None, base, x, autojunk=False).get_matching_blocks() if m.size]
-    left, right, out, i, k = blocks(a), blocks(b), [], 0, 0
+    left, right, out, i, k = _shared(base, a), _shared(base, b), [], 0, 0
     while i < len(left) and k < len(right):
-        x, y = left[i], right[k]
-        low, high = max(x.a, y.a), min(x.a + x.size, y.a + y.size)
+        (x, in_a, n), (y, in_b, m) = left[i], right[k]
+        low, high = max(x, y), min(x + n, y + m)
         if low < high:
-            out.append((low, x.b + low - x.a, y.b + low - y.a, high - low))
-        if x.a + x.size <= y.a + y.size:
+            out.append((low, in_a + low - x, in_b + low - y, high - low))
+        if x + n <= y + m:
             i += 1
         else:
             k += 1
