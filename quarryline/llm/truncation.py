@@ -175,7 +175,7 @@ def read_texts(analyses: DataFrame, sample: int = SAMPLE) -> DataFrame:
     word = r"[\p{L}\p{M}\p{N}_]"
     rows = rows.select(
         "analysis_id", "analyzer", "field_name", "part", "elem_pos", kind.alias("kind"), sim.alias("sim"), F.xxhash64("text").alias("h"), F.length("text").alias("len"),
-        F.when(sim, F.left(text, F.col("place"))).otherwise(text).alias("text"), F.right(trimmed(text), F.lit(40)).rlike(SIGN).alias("whole_signed"), F.right(trimmed(text), F.lit(40)).rlike(CLOSED).alias("whole_closed"),
+        F.when(sim, F.left(text, F.col("place"))).otherwise(text).alias("text"), (sim & F.right(trimmed(text), F.lit(40)).rlike(SIGN)).alias("whole_signed"), (sim & F.right(trimmed(text), F.lit(40)).rlike(CLOSED)).alias("whole_closed"),
         (sim & after.rlike(word)).alias("goes_on"), (sim & after.isin(*BOUNDARY)).alias("bounds"),
     )
     end, quotes = F.right(trimmed(F.col("text")), F.lit(40)), F.length("text") - F.length(F.replace("text", F.lit('"'), F.lit("")))
