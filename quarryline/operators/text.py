@@ -159,6 +159,22 @@ def tfidf(post: DataFrame, most_share: float = 1.0, least_df: int = 1) -> DataFr
     return raw.join(norm, "doc").select("doc", "term", (F.col("w") / F.col("norm")).alias("weight"))
 
 
+#: Rows of an item that are paired in one task.
+HOT_ROWS = 2000
+
+
+def prefix_pairs(prefix: DataFrame, key: Sequence[str], id_column: str, carried: Sequence[str], hot: int = HOT_ROWS) -> DataFrame:
+    """Pairs id_a < id_b of rows with the same key, with the ``carried`` columns of both.
+
+    ``f`` bounds the rows of a key. A key with more than ``hot`` is split: the rows of one side go to one of its parts by hash, those of the other to all
+    of them, so that no part of a hot key is more than about ``hot`` rows against all."""
+    parts = F.ceil(F.col("f") / hot).cast("int")
+    side = lambda x, part: prefix.select(*key, F.col(id_column).alias(f"id_{x}"), *[F.col(c).alias(f"{c}_{x}") for c in carried], part.alias("_part"))
+    a = side("a", F.pmod(F.xxhash64(id_column), parts).cast("int"))
+    b = side("b", F.explode(F.sequence(F.lit(0), F.greatest(parts - 1, F.lit(0)))))
+    return a.join(b, [*key, "_part"]).filter("id_a < id_b").drop("_part")
+
+
 def jaccard_pairs(sets: DataFrame, scope: Sequence[str], id_column: str, items: str, least: float) -> DataFrame:
     """id_a < id_b, jaccard of pairs within a scope whose Jaccard similarity is at least ``least``.
 
@@ -168,12 +184,14 @@ def jaccard_pairs(sets: DataFrame, scope: Sequence[str], id_column: str, items:
     flat = sets.select(*scope, F.col(id_column).alias("id"), F.array_distinct(F.filter(items, lambda x: x.isNotNull())).alias("s")).filter(F.size("s") > 0)
     freq = flat.select(*scope, F.explode("s").alias("item")).groupBy(*scope, "item").agg(F.count("*").alias("f"))
     ordered = flat.select(*scope, "id", F.explode("s").alias("item")).join(freq, [*scope, "item"])
-    ordered = ordered.groupBy(*scope, "id").agg(F.transform(F.array_sort(F.collect_list(F.struct("f", "item"))), lambda x: x["item"]).alias("s"))
-    prefix = ordered.select(*scope, "id", "s", F.explode(F.slice("s", F.lit(1), F.size("s") - F.ceil(F.size("s") * least).cast("int") + 1)).alias("item"))
-    a = prefix.select(*scope, "item", F.col("id").alias("id_a"), F.size("s").alias("n_a"))
-    b = prefix.select(*scope, "item", F.col("id").alias("id_b"), F.size("s").alias("n_b"))
-    near = a.join(b, [*scope, "item"]).filter((F.col("id_a") < F.col("id_b")) & (F.least("n_a", "n_b") >= F.lit(least) * F.greatest("n_a", "n_b"))).select(*scope, "id_a", "id_b").distinct()
-    full = ordered.select(*scope, F.col("id").alias("id_a"), F.col("s").alias("s_a"))
+    ordered = ordered.groupBy(*scope, "id").agg(F.array_sort(F.collect_list(F.struct("f", "item"))).alias("s"))
+    kept = F.slice("s", F.lit(1), F.size("s") - F.ceil(F.size("s") * least).cast("int") + 1)
+    prefix = ordered.select(*scope, "id", F.size("s").alias("n"), F.posexplode(kept).alias("pos", "x")).select(*scope, "id", "n", "pos", F.col("x.item").alias("item"), F.col("x.f").alias("f"))
+    # Sets of sizes so unlike can't be similar, nor can those whose items from the shared one on are too few.
+    sizes = F.least("n_a", "n_b") >= F.lit(least) * F.greatest("n_a", "n_b")
+    places = F.lit(1 + least) * (1 + F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) - 1) >= F.lit(least) * (F.col("n_a") + F.col("n_b")) - 1e-9
+    near = prefix_pairs(prefix, [*scope, "item"], "id", ["n", "pos"]).filter(sizes & places).select(*scope, "id_a", "id_b").distinct()
+    full = ordered.select(*scope, F.col("id").alias("id_a"), F.transform("s", lambda x: x["item"]).alias("s_a"))
     both = near.join(full, [*scope, "id_a"]).join(full.withColumnsRenamed({"id_a": "id_b", "s_a": "s_b"}), [*scope, "id_b"])
     j = F.size(F.array_intersect("s_a", "s_b")) / F.size(F.array_union("s_a", "s_b"))
     return both.select(*scope, "id_a", "id_b", j.alias("jaccard")).filter(F.col("jaccard") >= least)
@@ -209,8 +227,8 @@ def cosine_pairs(weights: DataFrame, least: float, block: Sequence[str] = ()) ->
 
     tail = F.aggregate(F.reverse("v"), F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("k")), longer, lambda a: a["k"])
     size = F.size("v") - tail
-    prefix = vectors.select(*block, "doc", F.explode(F.slice("v", F.lit(1), size)).alias("x")).select(*block, "doc", "x.term")
-    near = prefix.withColumnRenamed("doc", "id_a").join(prefix.withColumnRenamed("doc", "id_b"), [*block, "term"]).filter("id_a < id_b").select(*block, "id_a", "id_b").distinct()
+    prefix = vectors.select(*block, F.col("doc").alias("id"), F.explode(F.slice("v", F.lit(1), size)).alias("x")).select(*block, "id", "x.term", F.col("x.df").alias("f"))
+    near = prefix_pairs(prefix, [*block, "term"], "id", []).select(*block, "id_a", "id_b").distinct()
     full = vectors.select(*block, F.col("doc").alias("id_a"), F.map_from_entries(F.transform("v", lambda x: F.struct(x["term"], x["weight"]))).alias("v_a"))
     both = near.join(full, [*block, "id_a"]).join(full.withColumnsRenamed({"id_a": "id_b", "v_a": "v_b"}), [*block, "id_b"])
     dot = F.aggregate(F.map_values(F.map_zip_with("v_a", "v_b", lambda _, x, y: x * y)), F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0)))

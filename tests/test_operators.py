@@ -385,3 +385,20 @@ public class Outer<T> extends Base {
     assert [(x["kind"], x["name"], x["owner"]) for x in got[0]["o"]] == [("class", "Outer", None), ("field", "TABLE", "Outer"), ("field", "count", "Outer"), ("method", "find", "Outer"), ("interface", "Inner", "Outer"), ("method", "go", "Inner"), ("enum", "Kind", "Outer")]
     assert [(x["first"], x["last"]) for x in got[0]["o"]][0] == (4, 15) and [(x["first"], x["last"]) for x in got[0]["o"]][3] == (7, 12)
     assert got[1]["o"] is None and got[2]["o"] == []
+
+
+def test_jaccard_pairs_lose_none_of_a_hot_item(spark, monkeypatch):
+    import itertools
+    import random
+
+    from quarryline.operators import text
+
+    rng = random.Random(2)
+    sets = {d: sorted({"hot", *rng.sample([f"f{k}" for k in range(25)], rng.randrange(0, 8))} if rng.random() < 0.8 else {f"f{rng.randrange(25)}"}) for d in range(80)}
+    rows = spark.createDataFrame(list(sets.items()), "id int, s array<string>")
+    for least in (0.2, 0.5, 1.0):
+        want = {(a, b) for a, b in itertools.combinations(sets, 2) if len(set(sets[a]) & set(sets[b])) / len(set(sets[a]) | set(sets[b])) >= least}
+        assert {(r["id_a"], r["id_b"]) for r in text.jaccard_pairs(rows, [], "id", "s", least).collect()} == want
+    pairs = spark.createDataFrame([("hot", i, 300) for i in range(300)] + [("cold", 1, 1), (None, 2, 1), (None, 3, 1)], "item string, id int, f int")
+    got = text.prefix_pairs(pairs, ["item"], "id", [], 50)
+    assert got.count() == got.distinct().count() == 300 * 299 // 2
