@@ -39,7 +39,8 @@ from quarryline.session import materialize
 SIGN = r"(?:\.\.\.|…|<\.\.\.>|\[\.\.\.\]|[\[(<](?i:truncated|cut|snip|more)[\])>]|\(\+\d+ (?i:chars|characters|bytes)\)|\x{FFFD})\z"
 CLOSED = r"(?:[.!?。！？]+[\"'”’»)\]`]*|[\"”»)\]`])\z"
 #: Prose: paths, names and numbers are one token each. Paths: every part is a token.
-PROSE_TOKEN = r"[\w.@-]*/[\w./@-]*\w|[\p{L}\p{M}\p{N}_]*[\p{N}_](?:[\p{L}\p{M}\p{N}_.-]*[\p{L}\p{M}\p{N}_])?|[\p{L}\p{M}]+|[^\p{L}\p{M}\p{N}_\s]"
+#: The first form is what words without anything beside them match at once; the others would come to the same.
+PROSE_TOKEN = r"[\p{L}\p{M}]++(?![\p{N}_./@-])|[\w.@-]*/[\w./@-]*\w|[\p{L}\p{M}\p{N}_]*[\p{N}_](?:[\p{L}\p{M}\p{N}_.-]*[\p{L}\p{M}\p{N}_])?|[\p{L}\p{M}]+|[^\p{L}\p{M}\p{N}_\s]"
 PATH_TOKEN = r"[\p{L}\p{M}]+|\p{N}+|[^\p{L}\p{M}\p{N}\s]"
 BOUNDARY = (".", "!", "?", ";", "。", "！", "？")
 BLANKS = " \t\r\n\f\x0b"
@@ -77,14 +78,15 @@ def elements(analyses: DataFrame) -> DataFrame:
 
 def _prose_token(t: Column) -> Column:
     # Most tokens are letters alone: one test decides them.
-    path = F.concat(F.lit("<path>"), F.lower(F.regexp_extract(t, r"\w(\.[A-Za-z]{1,5})$", 1)))
+    path = F.concat(F.lit("<path>"), F.regexp_extract(t, r"\w(\.[a-z]{1,5})$", 1))
     named = F.when(t == "/", t).when(t.contains("/"), path).when(t.rlike(r"^\p{N}+$"), "0").otherwise("<name>")
-    return F.when(t.rlike(r"[/\p{N}_]"), named).otherwise(F.lower(t))
+    return F.when(t.rlike(r"[/\p{N}_]"), named).otherwise(t)
 
 
 def _tokens(text: Column, kind: Column) -> Column:
+    text = F.lower(text)
     prose = F.transform(F.regexp_extract_all(text, F.lit(PROSE_TOKEN), F.lit(0)), _prose_token)
-    path = F.transform(F.regexp_extract_all(text, F.lit(PATH_TOKEN), F.lit(0)), lambda t: F.when(t.rlike(r"^\p{N}"), "0").otherwise(F.lower(t)))
+    path = F.transform(F.regexp_extract_all(text, F.lit(PATH_TOKEN), F.lit(0)), lambda t: F.when(t.rlike(r"^\p{N}"), "0").otherwise(t))
     return F.when(kind == "path", path).otherwise(prose)
 
 
