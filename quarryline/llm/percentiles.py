@@ -79,14 +79,20 @@ def within_bound(once: DataFrame, k: int = K, bound: float = 0.01) -> DataFrame:
     group = ["model", "day", "measure"]
     asked = percentiles(daily_sketches(once, k), "model", "day")
     values = once.select("model", "day", F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("v")) for m in MEASURES])).alias("x")).select("model", "day", "x.*").filter("v is not null")
-    same = F.col("a.measure") == F.col("b.measure")
-    for g in group[:2]:
-        same = same & F.col(f"a.{g}").eqNullSafe(F.col(f"b.{g}"))
+
+    def same(x: str, y: str) -> Column:
+        out = F.col(f"{x}.measure") == F.col(f"{y}.measure")
+        for g in group[:2]:
+            out = out & F.col(f"{x}.{g}").eqNullSafe(F.col(f"{y}.{g}"))
+        return out
+
     ranks = []
     for p in QUANTILES:
         ranks += [F.count_if(F.col("v") < F.col(p)).alias(f"below_{p}"), F.count_if(F.col("v") <= F.col(p)).alias(f"upto_{p}")]
-    counted = asked.alias("a").join(values.alias("b"), same, "left").groupBy(*[F.col(f"a.{g}").alias(g) for g in group], F.col("a.n").alias("n")).agg(*ranks)
+    # The values are the side that Spark may split where a model or a day is hot; groups without values come back from the sketches.
+    counted = values.alias("b").join(asked.alias("a"), same("a", "b")).groupBy(*[F.col(f"a.{g}").alias(g) for g in group]).agg(*ranks)
     inside = F.lit(True)
     for p, q in QUANTILES.items():
-        inside = inside & (F.col(f"below_{p}") <= (q + bound) * F.col("n")) & (F.col(f"upto_{p}") >= (q - bound) * F.col("n"))
-    return counted.select(*group, "n", inside.alias("within_bound"))
+        inside = inside & (F.coalesce(f"below_{p}", F.lit(0)) <= (q + bound) * F.col("n")) & (F.coalesce(f"upto_{p}", F.lit(0)) >= (q - bound) * F.col("n"))
+    both = asked.alias("a").join(counted.alias("c"), same("a", "c"), "left")
+    return both.select(*[F.col(f"a.{g}").alias(g) for g in group], "n", inside.alias("within_bound"))
