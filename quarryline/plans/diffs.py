@@ -76,6 +76,14 @@ def d05(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("diff_id", op.section_path(F.col("s")).alias("path"), op.whitespace_only(F.col("s")).alias("whitespace_only"))
 
 
+@_R.add("d06_applied", "SELECT doc_id, 'new' || chr(10) || text AS text FROM documents WHERE text IS NOT NULL")
+def d06(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A section that puts a line before the first one, applied to every text."""
+    first = F.split("text", "\n", 2)[0]
+    section = F.concat(F.lit("@@ -1,1 +1,2 @@\n-"), first, F.lit("\n+new\n+"), first)
+    return table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", op.applied(F.col("text"), section).alias("text"))
+
+
 @_R.add(
     "d07_without_workflows",
     f"""WITH {_SECTIONS}, m AS (SELECT diff_id, max(section_pos) AS top FROM se GROUP BY 1),
