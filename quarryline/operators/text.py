@@ -55,20 +55,31 @@ def postings(docs: DataFrame, doc: str, tokens: Column, scope: Sequence[str] = (
     return rows.select(*scope, "doc", F.size("_t").alias("doc_len"), F.explode("_t").alias("term")).groupBy(*scope, "doc", "term").agg(F.count("*").alias("tf"), F.max("doc_len").alias("doc_len"))
 
 
-def bm25(post: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75, k: int = 10, idf: DataFrame | None = None) -> DataFrame:
+def asked_postings(docs: DataFrame, doc: str, tokens: Column, queries: DataFrame) -> tuple[DataFrame, Column]:
+    """The postings of the terms that ``queries`` (query, term) ask for, and the collection's number and mean length of documents as one scalar.
+
+    Other terms go before anything is shuffled; lengths are counted without taking the texts apart. Documents without a term are none."""
+    words = docs.select(F.col(doc).alias("doc"), tokens.alias("_t"))
+    rows = words.select("doc", F.size("_t").alias("doc_len"), F.explode("_t").alias("term")).join(queries.select("term").distinct(), "term", "left_semi")
+    collection = words.select(F.size("_t").alias("l")).filter("l > 0").agg(F.struct(F.count("*").alias("n"), F.avg("l").alias("mean"))).scalar()
+    return rows.groupBy("doc", "term").agg(F.count("*").alias("tf"), F.max("doc_len").alias("doc_len")), collection
+
+
+def bm25(post: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75, k: int = 10, idf: DataFrame | None = None, collection: Column | None = None) -> DataFrame:
     """query, doc, score, rank: the k best documents of each query with a positive score.
 
-    ``post`` holds (doc, term, tf, doc_len) and is read three times, so it is best a written index;
+    ``post`` holds (doc, term, tf, doc_len), of the asked terms alone if ``collection`` (n and mean length) comes with it;
     ``queries`` holds (query, term); a term asked twice counts twice.
     Inverse document frequency is log(1 + (n - df + 0.5) / (df + 0.5)), or given as (term, idf).
     """
-    return top_k(bm25_scores(post, queries, k1, b, idf), ["query"], [F.desc("score"), F.col("doc")], k)
+    return top_k(bm25_scores(post, queries, k1, b, idf, collection), ["query"], [F.desc("score"), F.col("doc")], k)
 
 
-def bm25_scores(post: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75, idf: DataFrame | None = None) -> DataFrame:
+def bm25_scores(post: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75, idf: DataFrame | None = None, collection: Column | None = None) -> DataFrame:
     """query, doc, score of all documents with a positive score."""
-    lens = post.groupBy("doc").agg(F.max("doc_len").alias("l"))
-    collection = lens.agg(F.struct(F.count("*").alias("n"), F.avg("l").alias("mean"))).scalar()
+    if collection is None:
+        lens = post.groupBy("doc").agg(F.max("doc_len").alias("l"))
+        collection = lens.agg(F.struct(F.count("*").alias("n"), F.avg("l").alias("mean"))).scalar()
     n, mean = collection["n"], collection["mean"]
     asked = queries.groupBy("query", "term").agg(F.count("*").alias("qtf"))
     hits = post.join(asked.select("term").distinct(), "term", "left_semi")
@@ -80,7 +91,7 @@ def bm25_scores(post: DataFrame, queries: DataFrame, k1: float = 1.5, b: float =
     return scores.withColumn("score", F.round("score", 9))
 
 
-def filtered_bm25(post: DataFrame, docs: DataFrame, queries: DataFrame, must: Sequence[str], least_should: int = 1, k: int = 10, **how: float) -> DataFrame:
+def filtered_bm25(post: DataFrame, docs: DataFrame, queries: DataFrame, must: Sequence[str], least_should: int = 1, k: int = 10, **how: object) -> DataFrame:
     """``bm25`` over documents (doc and the keys ``must``) that agree with the query (query, term and the keys) in all keys and have ``least_should`` of its terms.
 
     The statistics are those of the whole collection. Null keys agree with nothing."""
@@ -112,7 +123,7 @@ def rescored(first: DataFrame, second: DataFrame, weights: tuple[float, float] =
     """The first ``window`` results of each query ordered anew by both scores; others are left out."""
     top = first.filter(F.col("rank") <= window).select("query", "doc", F.col("score").alias("s1"))
     both = top.join(second.select("query", "doc", F.col("score").alias("s2")), ["query", "doc"], "left").fillna(0.0, ["s2"])
-    scored = both.select("query", "doc", F.round(F.col("s1") * weights[0] + F.col("s2") * weights[1], 9).alias("score"))
+    scored = both.select("query", "doc", (F.col("s1") * weights[0] + F.col("s2") * weights[1]).alias("score"))
     return renumbered(scored.withColumn("_n", -F.col("score")), ["query"], ["_n", "doc"], "rank").drop("_n")
 
 
