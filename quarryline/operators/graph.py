@@ -71,9 +71,13 @@ def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 20, bias: Da
 
 
 def term_graph(docs: DataFrame, doc: str, tokens: Column, window: int = 5) -> DataFrame:
-    """doc, src < dst, w: how often a term is one of the ``window`` that follow another. Pairs are made inside a document's own row."""
+    """doc, src < dst, w: how often a term is one of the ``window`` that follow another.
+
+    Documents are partitioned before their pairs are made, so that terms travel and pairs do not; rows of one ``doc`` meet in one task.
+    """
     pairs = F.flatten(F.transform("_t", lambda x, i: F.transform(F.slice("_t", i + 2, window), lambda y: F.struct(F.least(x, y).alias("src"), F.greatest(x, y).alias("dst")))))
-    return docs.select(F.col(doc).alias("doc"), tokens.alias("_t")).filter(F.size("_t") > 1).select("doc", F.explode(pairs).alias("p")).filter("p.src <> p.dst").groupBy("doc", "p.src", "p.dst").agg(F.count("*").alias("w"))
+    rows = docs.select(F.col(doc).alias("doc"), tokens.alias("_t")).filter(F.size("_t") > 1).repartition(F.col("doc"))
+    return rows.select("doc", F.explode(pairs).alias("p")).filter("p.src <> p.dst").groupBy("doc", "p.src", "p.dst").agg(F.count("*").alias("w"))
 
 
 def neighbourhood(edges: DataFrame, seeds: DataFrame) -> DataFrame:
