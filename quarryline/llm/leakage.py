@@ -51,6 +51,8 @@ BITS = 128
 RADIUS = 36
 DRIFT = 8
 PLACE = 2 * DRIFT
+#: Diagonals with the most seeds on which a run is looked for without the edit distance.
+DIAGONALS = 3
 STRETCH = 1000
 LEAST_SCORE = 8
 MATCHED_WORDS = 13
@@ -240,20 +242,36 @@ class ItemIndex:
         parts = self.n_parts[items]
         of = np.repeat(np.arange(len(items)), parts)
         held = np.add.reduceat(self.flat_weight[at] * hit, first)
-        ok = np.zeros((len(items), len(shares)), bool)
-        for j, share in enumerate(shares):
-            over = np.concatenate([[0.0], np.cumsum(held - share)])
-            for length in range(WINDOW, min(2 * WINDOW, len(of) + 1)):
-                good = (over[length:] - over[:-length] >= -1e-3) & (of[length - 1 :] == of[: len(of) - length + 1])
-                ok[of[: len(good)][good], j] = True
-            short = parts < WINDOW
-            if short.any():
-                ok[short, j] = (np.bincount(of, held, len(items)) >= share * parts - 1e-3)[short]
+        # A gap that no run can make up for stands after each item; of each start the best end is looked for at once.
+        place = np.arange(len(of)) + of
+        short = parts < WINDOW
         some, back = np.unique(items, return_inverse=True)
         out = np.zeros((len(some), len(shares)), bool)
-        np.logical_or.at(out, back, ok)
+        for j, share in enumerate(shares):
+            gain = np.full(len(of) + len(items), -1e6)
+            gain[place] = held - share
+            over = np.concatenate([[0.0], np.cumsum(gain), np.full(2 * WINDOW, -np.inf)])
+            best = over[WINDOW : WINDOW + len(gain)].copy()
+            for length in range(WINDOW + 1, 2 * WINDOW):
+                np.maximum(best, over[length : length + len(gain)], out=best)
+            ok = np.bincount(of, best[place] - over[place] >= -1e-3, len(items)) > 0
+            if short.any():
+                ok[short] = (np.bincount(of, held, len(items)) >= share * parts - 1e-3)[short]
+            out[:, j] = np.bincount(back, ok, len(some)) > 0
         return some, out
 
+    def on_diagonal(self, codes: np.ndarray, item: int, p: np.ndarray, q: np.ndarray) -> bool:
+        """Whether a run of the item stands in the text with few enough words replaced and none dropped or added: the edit distance can't be more than that."""
+        own = self.codes[item]
+        shifts, n = np.unique(p - q, return_counts=True)
+        for shift in shifts[np.argsort(-n, kind="stable")][:DIAGONALS].tolist():
+            low, high = max(0, -shift), min(len(own), len(codes) - shift)
+            same = np.zeros(len(own), bool)
+            same[low:high] = own[low:high] == codes[low + shift : high + shift]
+            if _starts(self.parts[item], self.part_weight[item] * same).any():
+                return True
+        return False
+
     def find(self, text: str | None) -> list[int]:
         """Numbers of the items that ``text`` holds."""
         return self.find_plain(_plain(text)) if text else []
@@ -284,7 +302,9 @@ class ItemIndex:
             places, close = np.unique(ps), self.near(prints[width], i, ps, qs)
             run = bool(enough[np.searchsorted(some, i), 0])
             # Changes of the heaviest words put a passage beyond the radius; few pairs there have the words for a run in place.
-            if run and (close or self.beyond):
+            if run and (close or self.beyond) and self.on_diagonal(codes, i, ps, qs):
+                found.add(i)
+            elif run and (close or self.beyond):
                 owner = np.array(_parted(plain)[1], np.int64) if owner is None else owner
                 if any(self.holds_run(codes[low:high], owner[low:high], i) for low, high in _stretches(places)):
                     found.add(i)
