@@ -266,6 +266,16 @@ def _typed_commit(c: Column) -> Column:
     return F.when(c.isNotNull(), _node(fields, F.transform(jobs, _typed_job), "jobs", COMMIT_MOVES, F.lit("typed"), F.when(jobs.isNull(), "absent").otherwise("list"), _children_state))
 
 
+def _fields_of(r: _Reader) -> Callable[[Column], Column]:
+    """A commit of a document without its jobs."""
+    of = lambda o: F.struct(*[r.field(o, n, t).alias(n) for n, t in COMMIT_FIELDS.items()])
+    return lambda c: F.when(r.present(c).isNotNull(), r.opened(c, COMMIT_FIELDS, (), of))
+
+
+def _typed_fields(c: Column) -> Column:
+    return F.when(c.isNotNull(), F.struct(*[c[n].cast(t).alias(n) for n, t in COMMIT_FIELDS.items()]))
+
+
 def _run_of(r: _Reader) -> Callable[[Column], Column]:
     """A commit of a document with all its validation jobs."""
 
@@ -382,6 +392,7 @@ def flatten_commits(df: DataFrame) -> NestedTables:
     return NestedTables(_read(df, "record_id", "id", "commits_json", typed=_typed_commit, document=_commit_of))
 
 
-def all_runs(df: DataFrame, *columns: str) -> DataFrame:
-    """``columns`` and commits with all their validation jobs (``jobs``, with ``steps``), whichever collector wrote the record."""
-    return _read(df, *columns, typed=_typed_run, document=_run_of).drop("record_state")
+def all_runs(df: DataFrame, *columns: str, with_jobs: bool = True) -> DataFrame:
+    """``columns`` and commits, with all their validation jobs (``jobs``, with ``steps``) if asked for, whichever collector wrote the record."""
+    typed, document = (_typed_run, _run_of) if with_jobs else (_typed_fields, _fields_of)
+    return _read(df, *columns, typed=typed, document=document).drop("record_state")

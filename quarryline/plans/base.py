@@ -54,18 +54,18 @@ OUTCOMES_SQL = f"{COMMITS_SQL}, {OUTC_SQL}"
 CALLS_SQL = "call AS (SELECT DISTINCT * FROM llm_call_record)"
 
 
-def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def runs(spark: SparkSession, sf_dir: str, with_jobs: bool = False) -> DataFrame:
     """record_id, id, repo and the commits of both collectors."""
-    return all_runs(table(spark, sf_dir, "all_instances_metadata"), "record_id", "id", "repo")
+    return all_runs(table(spark, sf_dir, "all_instances_metadata"), "record_id", "id", "repo", with_jobs=with_jobs)
 
 
-def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = runs(spark, sf_dir).select("record_id", "id", "repo", F.posexplode("commits").alias("commit_pos", "c"))
+def commits(spark: SparkSession, sf_dir: str, with_jobs: bool = False) -> DataFrame:
+    rows = runs(spark, sf_dir, with_jobs).select("record_id", "id", "repo", F.posexplode("commits").alias("commit_pos", "c"))
     return rows.filter("c is not null").withColumn("commit_pos", F.col("commit_pos").cast("bigint"))
 
 
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = commits(spark, sf_dir).select("record_id", "id", "repo", "commit_pos", F.col("c.commit_type").alias("commit_type"), F.posexplode("c.jobs").alias("job_pos", "j")).filter("j is not null")
+    rows = commits(spark, sf_dir, True).select("record_id", "id", "repo", "commit_pos", F.col("c.commit_type").alias("commit_type"), F.posexplode("c.jobs").alias("job_pos", "j")).filter("j is not null")
     names = ("job_id", "job_name", "status", "conclusion", "started_at", "completed_at", "steps")
     return rows.select("record_id", "id", "repo", "commit_pos", F.col("job_pos").cast("bigint").alias("job_pos"), "commit_type", *[F.col(f"j.{n}").alias(n) for n in names])
 
