@@ -273,21 +273,23 @@ def _note_starts(styled: DataFrame) -> DataFrame:
 
 def categories(styled: DataFrame) -> DataFrame:
     """``styled`` without tokens, with the category of the ending."""
+    # Signed texts and closed prose are judged without their last words.
+    judged = ~F.col("signed") & ((F.col("kind") == "path") | ~F.col("closed"))
     narrow = styled.drop("t")
-    # Signed and closed prose is judged without its last words.
-    judged = (F.col("kind") == "path") | ~F.col("closed")
-    asked = narrow.filter(judged & ~F.col("signed")).select("kind", "c", "w").distinct()
+    rest, narrow = narrow.filter(~judged), narrow.filter(judged)
+    asked = narrow.select("kind", "c", "w").distinct()
     pairs = materialize(_pair_counts(styled))  # counted once for both orders
     known = asked.join(_known(pairs, ["c", "w"], asked), ["kind", "c", "w"], "left").join(_known(pairs, ["w"], asked), ["kind", "w"], "left")
     rows = narrow.join(known, ["kind", "c", "w"], "left").join(_note_starts(styled), ["style", "first"], "left")
     hazard = _hazard(2, _hazard(1, F.lit(BASE_HAZARD)))
     bins = F.lpad(F.least(F.floor(-F.log(hazard) * BIN_WIDTH), F.lit(BINS)).cast("string"), 2, "0")
     # Short notes begin alike and are hardly ever closed.
-    own = F.when(F.col("sim") | F.col("closed"), 0).otherwise(1)
+    own = F.when(F.col("sim"), 0).otherwise(1)
     note = F.when(F.coalesce("open_starts", F.lit(0)) - own > F.lit(0.5) * (F.coalesce("starts", F.lit(0)) - own), "note").otherwise("")
     marks = F.concat_ws(" ", F.when((F.col("kind") == "prose") & F.col("odd"), "odd"), F.when(F.col("blank"), "blank"), F.when(F.col("style") == "closing", note))
-    category = F.when(judged, F.concat(F.lit("open "), bins, F.lit(" "), marks)).when(F.col("bare_path"), "closed path").otherwise("closed")
-    return rows.select("analysis_id", "analyzer", "field_name", "part", "elem_pos", "style", "sim", "signed", "whole_signed", "whole_closed", "censoring", "limit", "h", _once().alias("once"), category.alias("category"))
+    columns = ["analysis_id", "analyzer", "field_name", "part", "elem_pos", "style", "sim", "signed", "whole_signed", "whole_closed", "censoring", "limit", "h", _once().alias("once")]
+    by_ending = rows.select(*columns, F.concat(F.lit("open "), bins, F.lit(" "), marks).alias("category"))
+    return by_ending.unionByName(rest.select(*columns, F.when(F.col("signed"), "signed").when(F.col("bare_path"), "closed path").otherwise("closed").alias("category")))
 
 
 def fit_endings(found: np.ndarray, cut: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
