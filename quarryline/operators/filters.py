@@ -106,15 +106,15 @@ def rename_in_array(array: Column, names: Mapping[str, str]) -> Column:
     return F.transform(array, lambda x: F.struct(*[x[old].alias(new) for new, old in names.items()]))
 
 
-#: Roles of files by what their path holds or ends with, in order.
-ROLES = {"test": ("/test_", "/tests/", "_test."), "config": (".toml", ".yaml", ".yml", ".cfg", ".ini", ".json"), "docs": (".md", ".rst", ".txt"), "code": (".py", ".ts", ".js", ".java", ".go", ".rs")}
+#: Roles of files by what their path holds (tests) or ends with, in order. The endings of config are fixed values.
+ROLES = {"test": ("/test_", "/tests/", "_test."), "config": (".toml", ".ini", ".cfg", ".yaml", ".yml", ".json"), "docs": (".md", ".rst", ".txt"), "code": (".py", ".ts", ".js", ".java", ".go", ".rs")}
 
 
-def file_role(path: Column) -> Column:
-    """test, config, docs, code or other."""
+def file_role(path: Column, roles: Mapping[str, Sequence[str]] = ROLES) -> Column:
+    """The first role that fits, else other."""
     p = F.concat(F.lit("/"), F.lower(path))
     out = F.when(path.isNull(), None)
-    for role, marks in ROLES.items():
+    for role, marks in roles.items():
         hit = F.lit(False)
         for m in marks:
             hit = hit | (p.contains(m) if role == "test" else p.endswith(m))

@@ -10,7 +10,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 class Registry:
-    """``queries`` and ``sql`` of one module. A query without SQL is one that SQL cannot express on whole tables."""
+    """``queries`` and ``sql`` of one module. A query without SQL is one that DuckDB's SQL cannot express on whole tables: sketches, fitted models, rounds of PageRank, parsers, erfc."""
 
     def __init__(self) -> None:
         self.queries: dict[str, Query] = {}

@@ -168,9 +168,9 @@ def t13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.top_k(_term_ranks(spark, sf_dir, 20, True).withColumn("score", F.round("rank", 9)).drop("rank"), ["query"], [F.desc("score"), F.col("term")], 10).select("query", "term", "rank")
 
 
-@_R.add("t08_terms", f"SELECT doc_id, len(list_filter({_WORDS}, lambda w: length(w) >= 3 AND w NOT IN {_STOP})) AS n_terms FROM documents WHERE text IS NOT NULL")
+@_R.add("t08_terms", f"SELECT doc_id, list_filter({_WORDS}, lambda w: length(w) >= 3 AND w NOT IN {_STOP}) AS terms FROM documents WHERE text IS NOT NULL")
 def t08(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", F.size(_words("text")).cast("bigint").alias("n_terms"))
+    return table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", _words("text").alias("terms"))
 
 
 @_R.add("t08_postings", f"WITH {_POST} SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM po GROUP BY 1")
@@ -189,17 +189,24 @@ def t10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "all_instances_metadata").select("record_id", op.split_camel(F.col("workflow_name")).alias("name"))
 
 
-@_R.add("t14_tfidf_norms", f"WITH {_POST}, f AS (SELECT doc, term, tf FROM po), df AS (SELECT term, count(*) AS df FROM f GROUP BY 1 HAVING count(*) >= 2 AND count(*) <= 0.6 * (SELECT count(DISTINCT doc) FROM f)) SELECT f.doc, count(*) AS n_terms, round(max(f.tf * (ln((1 + (SELECT count(DISTINCT doc) FROM f)) / (1 + df.df)) + 1)) / sqrt(sum(power(f.tf * (ln((1 + (SELECT count(DISTINCT doc) FROM f)) / (1 + df.df)) + 1), 2))), 6) AS best FROM f JOIN df ON f.term = df.term GROUP BY 1")
+@_R.add(
+    "t14_tfidf_weights",
+    f"""WITH {_POST}, n AS (SELECT count(DISTINCT doc) AS n FROM po), df AS (SELECT term, count(*) AS df FROM po GROUP BY 1 HAVING count(*) >= 2 AND count(*) <= 0.6 * (SELECT n FROM n)),
+w AS (SELECT po.doc, po.term, tf * (ln((1 + (SELECT n FROM n)) / (1 + df.df)) + 1) AS w FROM po JOIN df ON po.term = df.term) SELECT doc, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc)), 6) AS weight FROM w""",
+)
 def t14(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TF-IDF weights, length one."""
-    w = op.tfidf(_post(spark, sf_dir), 0.6, 2)
-    return w.groupBy("doc").agg(F.count("*").alias("n_terms"), F.round(F.max("weight"), 6).alias("best"))
+    return op.tfidf(_post(spark, sf_dir), 0.6, 2).select("doc", "term", F.round("weight", 6).alias("weight"))
 
 
-@_R.add("t14_ngrams", "WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS t FROM documents WHERE text IS NOT NULL) SELECT doc_id, CAST(greatest(len(t) - 2, 0) + greatest(len(t) - 3, 0) AS BIGINT) AS n FROM w")
+@_R.add(
+    "t14_ngrams",
+    """WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS t FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, list_concat(list_transform(range(1, greatest(len(t) - 1, 1)), lambda i: array_to_string(t[i : i + 2], ' ')), list_transform(range(1, greatest(len(t) - 2, 1)), lambda i: array_to_string(t[i : i + 3], ' '))) AS grams FROM w""",
+)
 def t14n(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))
-    return table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", F.size(op.ngrams(t, [3, 4])).cast("bigint").alias("n"))
+    return table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", op.ngrams(t, [3, 4]).alias("grams"))
 
 
 _FILES_SQL = "fs AS (SELECT instance_id AS id, list(DISTINCT r.file) AS s FROM (SELECT instance_id, unnest(relevant_files) AS r FROM log_analysis) WHERE r.file IS NOT NULL AND instance_id IS NOT NULL GROUP BY 1)"
@@ -234,7 +241,14 @@ def t18(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("id_a", "id_b", F.round("cosine", 6).alias("cosine"))
 
 
-@_R.add("t26_methods")
+@_R.add(
+    "t26_methods",
+    """WITH l AS (SELECT doc_id, text, ls[i] AS x, i, len(ls) AS top FROM (SELECT doc_id, text, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL))),
+g AS (SELECT *, sum(CASE WHEN regexp_matches(x, '^[ \\t]*(?:async[ \\t]+)?(?:def|class)\\s') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS grp FROM l),
+f AS (SELECT doc_id, grp, first(x ORDER BY i) AS head, string_agg(x, chr(10) ORDER BY i) || CASE WHEN max(i) < max(top) THEN chr(10) ELSE '' END AS body FROM g WHERE grp > 0 GROUP BY 1, 2),
+m AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY grp) - 1 AS INTEGER) AS pos, regexp_extract(head, 'def\\s+(\\w+)', 1) AS name, CASE WHEN length(body) > 800 THEN left(body, 800) || '...' ELSE body END AS code FROM f WHERE regexp_matches(head, '^[ \\t]*(?:async[ \\t]+)?def\\s+\\w+\\s*[(]'))
+SELECT * FROM m UNION ALL SELECT doc_id, 0, NULL, left(text, 1000) FROM documents WHERE text IS NOT NULL AND doc_id NOT IN (SELECT doc_id FROM m)""",
+)
 def t26(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Functions in the texts of the documents, or their heads."""
     rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(op.methods(F.col("text"))).alias("pos", "m"))
