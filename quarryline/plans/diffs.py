@@ -171,7 +171,17 @@ def d17(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("parsed_id", op.change_kinds(F.col("changes")).alias("k")).select("parsed_id", "k.*")
 
 
-@_R.add("c01_token_chunks")
+@_R.add(
+    "c01_token_chunks",
+    """WITH RECURSIVE p AS (SELECT doc_id, flatten(list_transform(string_split(text, chr(10)), lambda l: CASE WHEN length(l) <= 800 THEN [l] ELSE list_transform(range(0, CAST(ceil(length(l) / 800) AS BIGINT)), lambda i: substr(l, i * 800 + 1, 800)) END)) AS p FROM documents WHERE text IS NOT NULL),
+z AS (SELECT doc_id, p, list_transform(p, lambda x: (length(x) + 3) // 4) AS sz FROM p), s AS (SELECT doc_id, p, sz, list_transform(range(0, len(p) + 1), lambda i: CAST(coalesce(list_sum(sz[1:i]), 0) AS BIGINT)) AS sums FROM z),
+r AS (
+  SELECT doc_id, 0 AS chunk_no, CAST(1 AS BIGINT) AS first, greatest(len(list_filter(range(1, len(p) + 1), lambda j: sums[j + 1] <= 200)), 1) AS last FROM s
+  UNION ALL SELECT doc_id, chunk_no, first, greatest(first - 1 + len(list_filter(range(first, len(p) + 1), lambda j: sums[j + 1] - sums[first] <= 200)), first) FROM (
+    SELECT r.doc_id, r.chunk_no + 1 AS chunk_no, s.p, s.sums, r.last + 1 - len(list_filter(range(1, r.last - r.first + 1), lambda k: s.sums[r.last + 1] - s.sums[r.last + 1 - k] <= least(20, 200 - s.sz[r.last + 1]))) AS first
+    FROM r JOIN s ON s.doc_id = r.doc_id WHERE r.last < len(s.p)))
+SELECT r.doc_id, chunk_no, CAST(first AS INTEGER) AS first, CAST(last AS INTEGER) AS last, CAST(sums[last + 1] - sums[first] AS INTEGER) AS size, array_to_string(p[first:last], chr(10)) AS text FROM r JOIN s ON s.doc_id = r.doc_id""",
+)
 def c01(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of 200 tokens that repeat up to 20."""
     chunks = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(chunking.filled_chunks(F.col("text"), 200, 20)).alias("chunk_no", "c"))
