@@ -154,7 +154,24 @@ def _term_ranks(spark: SparkSession, sf_dir: str, window: int, biased: bool) ->
     return graph.pagerank(both, bias=bias).select(F.col("node.doc").alias("query"), F.col("node.term").alias("term"), "rank")
 
 
-@_R.add("t12_expansion")
+_ALL_TERMS_SQL = f"tt AS (SELECT doc_id AS doc, list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+'), lambda w: regexp_matches(w, '^[a-z_][a-z0-9_]*$') AND length(w) >= 3 AND w NOT IN {_STOP}) AS t FROM documents WHERE text IS NOT NULL)"
+
+
+def _ranks_sql(window: int, start: str) -> str:
+    """Ranks after 20 rounds over the term graphs of the query documents, from nodes ``nb`` (doc, term, bias)."""
+    return f"""{_ALL_TERMS_SQL}, pr AS (SELECT doc, t[i] AS x, t[i + k] AS y FROM (SELECT doc, t, unnest(range(1, len(t) + 1)) AS i FROM tt WHERE doc % 100 = 0), (SELECT unnest(range(1, {window + 1})) AS k) WHERE i + k <= len(t)),
+tg AS (SELECT doc, least(x, y) AS src, greatest(x, y) AS dst, CAST(count(*) AS DOUBLE) AS w FROM pr WHERE x <> y GROUP BY 1, 2, 3), tb AS (SELECT doc, src, dst, w FROM tg UNION ALL SELECT doc, dst, src, w FROM tg),
+tf AS (SELECT doc, src, dst, w / sum(w) OVER (PARTITION BY doc, src) AS share FROM tb), nd AS (SELECT DISTINCT doc, src AS term FROM tb), {start},
+r AS (SELECT 0 AS i, doc, term, CAST(bias AS DOUBLE) AS rank FROM nb
+  UNION ALL SELECT g.i + 1, g.doc, g.term, CAST(0.15 AS DOUBLE) * nb.bias + CAST(0.85 AS DOUBLE) * g.got FROM (SELECT r.i, tf.doc, tf.dst AS term, sum(r.rank * tf.share) AS got FROM r JOIN tf ON r.doc = tf.doc AND r.term = tf.src WHERE r.i < 20 GROUP BY 1, 2, 3) g JOIN nb ON nb.doc = g.doc AND nb.term = g.term),
+rk AS (SELECT doc AS query, term, CAST(row_number() OVER (PARTITION BY doc ORDER BY round(rank, 9) DESC, term) AS INTEGER) AS rank FROM r WHERE i = 20)"""
+
+
+@_R.add(
+    "t12_expansion",
+    f"""WITH RECURSIVE {_ASKED}, {_ranks_sql(5, "nb AS (SELECT doc, term, 1.0 / (SELECT count(*) FROM nd) AS bias FROM nd)")}
+SELECT query, term, CAST(row_number() OVER (PARTITION BY query ORDER BY rank) AS INTEGER) AS rank FROM rk WHERE rank <= 10 AND NOT EXISTS (SELECT 1 FROM qu WHERE qu.query = rk.query AND qu.term = rk.term) QUALIFY row_number() OVER (PARTITION BY query ORDER BY rank) <= 5""",
+)
 def t12(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each query document the five best terms among its ten highest ranks that the query lacks."""
     first = op.top_k(_term_ranks(spark, sf_dir, 5, False).withColumn("score", F.round("rank", 9)).drop("rank"), ["query"], [F.desc("score"), F.col("term")], 10)
@@ -162,7 +179,11 @@ def t12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.top_k(fresh, ["query"], [F.desc("score"), F.col("term")], 5).select("query", "term", "rank")
 
 
-@_R.add("t13_biased_keywords")
+_BIAS_SQL = """tp AS (SELECT doc, term, count(*) AS tf FROM (SELECT doc, unnest(t) AS term FROM tt) GROUP BY 1, 2), td AS (SELECT term, ln((1 + (SELECT count(DISTINCT doc) FROM tp)) / (1 + count(*))) + 1 AS idf FROM tp GROUP BY 1),
+tw AS (SELECT doc, term, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY doc)) AS w FROM tp JOIN td USING (term)), nb AS (SELECT nd.doc, nd.term, coalesce(w, 0) / sum(coalesce(w, 0)) OVER () AS bias FROM nd LEFT JOIN tw ON tw.doc = nd.doc AND tw.term = nd.term)"""
+
+
+@_R.add("t13_biased_keywords", f"WITH RECURSIVE {_ranks_sql(20, _BIAS_SQL)} SELECT query, term, rank FROM rk WHERE rank <= 10")
 def t13(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each query document the ten terms of highest rank with a window of 20 and a bias of tf times idf."""
     return op.top_k(_term_ranks(spark, sf_dir, 20, True).withColumn("score", F.round("rank", 9)).drop("rank"), ["query"], [F.desc("score"), F.col("term")], 10).select("query", "term", "rank")
