@@ -1,7 +1,7 @@
 """Tokens, postings, BM25, TF-IDF, similarity and keyword scans.
 
-Retrieval is joins on postings: queries are joined with terms by equality, scores are sums per pair. The
-statistics of the collection (documents, lengths) are scalar subqueries. Similarity pairs come from
+Retrieval scores cells of documents against all queries in Arrow batches, as its pairs grow with the square of the
+collection. The statistics of the collection (documents, lengths) are scalar subqueries. Similarity pairs come from
 shared terms or shared features, never from all pairs.
 """
 
@@ -16,8 +16,10 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quarryline.functions.arrays import let
+from quarryline.operators.scoring import cell_search
 from quarryline.operators.windows import renumbered, top_k
 
 #: Words left out of term lists, and words that name a failure.
@@ -55,52 +57,90 @@ def postings(docs: DataFrame, doc: str, tokens: Column, scope: Sequence[str] = (
     return rows.select(*scope, "doc", F.size("_t").alias("doc_len"), F.explode("_t").alias("term")).groupBy(*scope, "doc", "term").agg(F.count("*").alias("tf"), F.max("doc_len").alias("doc_len"))
 
 
-def asked_postings(docs: DataFrame, doc: str, tokens: Column, queries: DataFrame) -> tuple[DataFrame, Column]:
-    """The postings of the terms that ``queries`` (query, term) ask for, and the collection's number and mean length of documents as one scalar.
+#: Documents that are searched in one task.
+CELL = 16_384
+#: Counted among a document's terms for the document itself.
+ITSELF = "\0"
 
-    Other terms go before anything is shuffled; lengths are counted without taking the texts apart. Documents without a term are none."""
-    words = docs.select(F.col(doc).alias("doc"), tokens.alias("_t"))
-    rows = words.select("doc", F.size("_t").alias("doc_len"), F.explode("_t").alias("term")).join(queries.select("term").distinct(), "term", "left_semi")
-    collection = words.select(F.size("_t").alias("l")).filter("l > 0").agg(F.struct(F.count("*").alias("n"), F.avg("l").alias("mean"))).scalar()
-    return rows.groupBy("doc", "term").agg(F.count("*").alias("tf"), F.max("doc_len").alias("doc_len")), collection
 
+class Collection:
+    """The searched documents, dealt into cells by hash, and what BM25 asks of them as a whole.
 
-def bm25(post: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75, k: int = 10, idf: DataFrame | None = None, collection: Column | None = None) -> DataFrame:
-    """query, doc, score, rank: the k best documents of each query with a positive score.
+    ``rows`` holds doc and x, an array of the document's key (an array of one, null if no filtered search may find it) and its terms with repeats;
+    ``doc_len`` is its length. Rows of one document are one document; documents without a term are none.
+    As x is one column, all that reads the cells reads the same columns, so that they are made once."""
+
+    def __init__(self, rows: DataFrame, doc_len: Column | None = None) -> None:
+        n = rows.agg(F.approx_count_distinct("doc").alias("n")).scalar()
+        self.cells = F.greatest(F.ceil(n / CELL), F.lit(1)).cast("int")
+        dealt = rows.withColumn("cell", F.pmod(F.xxhash64("doc"), self.cells).cast("int")).repartition("cell")
+        key, terms = F.get(F.get("x", F.lit(0)), F.lit(0)), F.get("x", F.lit(1))
+        docs = dealt.groupBy("cell", "doc").agg(F.max(F.size(terms) if doc_len is None else doc_len).alias("doc_len"), F.flatten(F.collect_list(terms)).alias("terms"), F.max(key).alias("key"))
+        self.docs = docs.filter("doc_len > 0")
+        each = self.docs.select("doc_len", F.explode(F.concat(F.array_distinct("terms"), F.array(F.lit(ITSELF)))).alias("term")).withColumn("term", F.coalesce("term", F.lit("")))
+        self.terms = each.groupBy("term").agg(F.count("*").alias("df"), F.sum("doc_len").alias("len"))
+        own = lambda c: F.max(F.when(F.col("term") == ITSELF, F.col(c)))
+        whole = self.terms.agg(F.struct(own("df").alias("n"), (own("len") / own("df")).alias("mean"))).scalar()
+        self.n, self.mean = whole["n"], whole["mean"]
+
+    def idf(self) -> DataFrame:
+        """term, idf: log(1 + (n - df + 0.5) / (df + 0.5))."""
+        return self.terms.filter("len > 0").select("term", F.log(1 + (self.n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+
+
+def tokenised(docs: DataFrame, doc: str, tokens: Column, must: Sequence[str] = ()) -> Collection:
+    """The collection of documents with the terms ``tokens``; ``must`` are the keys by which searches are filtered."""
+    return Collection(docs.select(F.col(doc).alias("doc"), F.array(F.array(_key(must)), tokens).alias("x")))
+
+
+def posted(post: DataFrame) -> Collection:
+    """The collection whose postings are ``post`` (doc, term, tf, doc_len)."""
+    return Collection(post.select("doc", "doc_len", F.array(F.array(_key(())), F.array_repeat("term", F.col("tf").cast("int"))).alias("x")), F.col("doc_len"))
 
-    ``post`` holds (doc, term, tf, doc_len), of the asked terms alone if ``collection`` (n and mean length) comes with it;
-    ``queries`` holds (query, term); a term asked twice counts twice.
-    Inverse document frequency is log(1 + (n - df + 0.5) / (df + 0.5)), or given as (term, idf).
-    """
-    return top_k(bm25_scores(post, queries, k1, b, idf, collection), ["query"], [F.desc("score"), F.col("doc")], k)
 
+def _key(must: Sequence[str]) -> Column:
+    """The keys as one string, null where one of them is."""
+    whole = F.lit(True)
+    for c in must:
+        whole = whole & F.col(c).isNotNull()
+    return F.when(whole, F.to_json(F.struct(*[F.col(c) for c in must])) if must else F.lit(""))
 
-def bm25_scores(post: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75, idf: DataFrame | None = None, collection: Column | None = None) -> DataFrame:
-    """query, doc, score of all documents with a positive score."""
-    if collection is None:
-        lens = post.groupBy("doc").agg(F.max("doc_len").alias("l"))
-        collection = lens.agg(F.struct(F.count("*").alias("n"), F.avg("l").alias("mean"))).scalar()
-    n, mean = collection["n"], collection["mean"]
+
+def searches(docs: Collection, queries: DataFrame, ways: Sequence[tuple[float, float]] = ((1.5, 0.75),), ranked: int = 1, k: int = 10, idf: DataFrame | None = None, must: Sequence[str] = (), least_should: int = 1) -> DataFrame:
+    """way, query, doc, rank, score_0, score_1 ...: the k best documents of each query with a positive BM25 score, by each of the first ``ranked`` ways.
+
+    A way is (k1, b); every row has its scores by all ways. ``queries`` holds (query, term) and the columns ``must``, in which the documents have to agree; a term asked
+    twice counts twice. Documents have ``least_should`` terms of the query at least. ``idf`` (term, idf) replaces the collection's own; terms that it lacks add nothing.
+    Every cell of documents meets all queries and hands on its best ones, which decide among each other; pairs are not shuffled.
+    """
     asked = queries.groupBy("query", "term").agg(F.count("*").alias("qtf"))
-    hits = post.join(asked.select("term").distinct(), "term", "left_semi")
-    if idf is None:
-        df = hits.groupBy("term").agg(F.count("*").alias("df"))
-        idf = df.select("term", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("doc_len") / mean))
-    scores = hits.join(idf, "term").join(asked, "term").groupBy("query", "doc").agg(F.sum(part).alias("score")).filter("score > 0")
-    return scores.withColumn("score", F.round("score", 9))
+    weighed = asked.join(docs.idf() if idf is None else idf, "term", "left").select("query", "term", F.coalesce(F.col("qtf") * F.col("idf"), F.lit(0.0)).alias("w"))
+    if least_should <= 1:
+        weighed = weighed.filter("w <> 0")
+    lists = weighed.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("term", "w"))).alias("t"))
+    lists = lists.join(queries.select("query", _key(must).alias("key")).filter("key is not null").distinct(), "query") if must else lists.withColumn("key", F.lit(""))
+    everywhere = lists.select(F.explode(F.sequence(F.lit(0), docs.cells - 1)).alias("cell"), "query", "key", F.col("t.term").alias("terms"), F.col("t.w").alias("weights"), docs.mean.alias("mean"))
+    kinds = dict(queries.dtypes)["query"], dict(docs.docs.dtypes)["doc"]
+    schema = f"way int, query {kinds[0]}, doc {kinds[1]}, " + ", ".join(f"score_{i} double" for i in range(len(ways)))
+    found = docs.docs.groupBy("cell").cogroup(everywhere.groupBy("cell")).applyInArrow(cell_search(ways, ranked, k, least_should), schema)
+    score = F.coalesce(*[F.when(F.col("way") == i, F.col(f"score_{i}")) for i in range(ranked)])
+    return top_k(found, ["way", "query"], [F.desc(score), F.col("doc")], k)
+
+
+def bm25(post: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75, k: int = 10, idf: DataFrame | None = None) -> DataFrame:
+    """query, doc, score, rank: the k best documents of each query with a positive score. ``post`` holds (doc, term, tf, doc_len); see ``searches``."""
+    return best_of(searches(posted(post), queries, [(k1, b)], k=k, idf=idf))
+
 
+def best_of(found: DataFrame) -> DataFrame:
+    """query, doc, score, rank of searches that went one way."""
+    return found.select("query", "doc", F.col("score_0").alias("score"), "rank")
 
-def filtered_bm25(post: DataFrame, docs: DataFrame, queries: DataFrame, must: Sequence[str], least_should: int = 1, k: int = 10, **how: object) -> DataFrame:
-    """``bm25`` over documents (doc and the keys ``must``) that agree with the query (query, term and the keys) in all keys and have ``least_should`` of its terms.
 
-    The statistics are those of the whole collection. Null keys agree with nothing."""
-    asked = queries.select("query", "term").distinct()
-    held = post.join(asked, "term").groupBy("query", "doc").agg(F.count("*").alias("n")).filter(F.col("n") >= least_should)
-    wanted = queries.select("query", *must).distinct().join(docs.select("doc", *must), list(must)).select("query", "doc")
-    allowed = held.join(wanted, ["query", "doc"], "left_semi")
-    scores = bm25_scores(post, queries, **how).join(allowed.select("query", "doc"), ["query", "doc"], "left_semi")
-    return top_k(scores, ["query"], [F.desc("score"), F.col("doc")], k)
+def both_ways(found: DataFrame) -> DataFrame:
+    """query, doc, a, b: searches that were ranked two ways as a row per pair, with the score of each way whose best ones it is among, else null."""
+    score = lambda i: F.max(F.when(F.col("way") == i, F.col(f"score_{i}")))
+    return found.groupBy("query", "doc").agg(score(0).alias("a"), score(1).alias("b"))
 
 
 def combined_search(results: Sequence[tuple[DataFrame, float]], k: int) -> DataFrame:
@@ -113,27 +153,24 @@ def combined_search(results: Sequence[tuple[DataFrame, float]], k: int) -> DataF
     return top_k(total, ["query"], [F.desc("score"), F.col("doc")], k)
 
 
-def reranked(first: DataFrame, second: DataFrame, k: int) -> DataFrame:
-    """The order of the second search among what the first one found."""
-    kept = second.join(first.select("query", "doc"), ["query", "doc"], "left_semi").select("query", "doc", "score")
+def reranked(found: DataFrame, k: int) -> DataFrame:
+    """The order of the second way among what the first one found; ``found`` is ranked by the first alone."""
+    kept = found.select("query", "doc", F.col("score_1").alias("score")).filter("score > 0")
     return top_k(kept, ["query"], [F.desc("score"), F.col("doc")], k)
 
 
-def rescored(first: DataFrame, second: DataFrame, weights: tuple[float, float] = (0.7, 1.2), window: int = 50) -> DataFrame:
-    """The first ``window`` results of each query ordered anew by both scores; others are left out."""
-    top = first.filter(F.col("rank") <= window).select("query", "doc", F.col("score").alias("s1"))
-    both = top.join(second.select("query", "doc", F.col("score").alias("s2")), ["query", "doc"], "left").fillna(0.0, ["s2"])
-    scored = both.select("query", "doc", (F.col("s1") * weights[0] + F.col("s2") * weights[1]).alias("score"))
+def rescored(both: DataFrame, weights: tuple[float, float] = (0.7, 1.2)) -> DataFrame:
+    """What the first way found, ordered anew by the scores of both (see ``both_ways``); others are left out."""
+    scored = both.filter("a is not null").select("query", "doc", (F.col("a") * weights[0] + F.coalesce("b", F.lit(0.0)) * weights[1]).alias("score"))
     return renumbered(scored.withColumn("_n", -F.col("score")), ["query"], ["_n", "doc"], "rank").drop("_n")
 
 
-def fused(a: DataFrame, b: DataFrame, both: float = 2.0, only_a: float = 1.5, only_b: float = 0.5) -> DataFrame:
-    """query, doc, score, rank from two searches: weights by agreement, then scaled by the query's best score."""
-    x = a.select("query", "doc", F.col("score").alias("sa")).join(b.select("query", "doc", F.col("score").alias("sb")), ["query", "doc"], "full")
-    w = F.when(F.col("sa").isNotNull() & F.col("sb").isNotNull(), both).when(F.col("sa").isNotNull(), only_a).otherwise(only_b)
-    raw = x.select("query", "doc", (w * F.greatest(F.coalesce("sa", F.lit(0.0)), F.coalesce("sb", F.lit(0.0)))).alias("raw"))
-    best = raw.groupBy("query").agg(F.max("raw").alias("best"))
-    scaled = raw.join(best, "query").select("query", "doc", F.round(F.col("raw") / F.col("best"), 9).alias("score"))
+def fused(pairs: DataFrame, both: float = 2.0, only_a: float = 1.5, only_b: float = 0.5) -> DataFrame:
+    """query, doc, score, rank from the scores of two searches (see ``both_ways``): weights by agreement, then scaled by the query's best score."""
+    w = F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), both).when(F.col("a").isNotNull(), only_a).otherwise(only_b)
+    raw = pairs.select("query", "doc", (w * F.greatest(F.coalesce("a", F.lit(0.0)), F.coalesce("b", F.lit(0.0)))).alias("raw"))
+    best = F.max("raw").over(Window.partitionBy("query"))
+    scaled = raw.select("query", "doc", F.round(F.col("raw") / best, 9).alias("score"))
     return renumbered(scaled.withColumn("_n", -F.col("score")), ["query"], ["_n", "doc"], "rank").drop("_n")
 
 

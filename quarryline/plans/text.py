@@ -36,15 +36,17 @@ def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(F.col("doc_id").alias("query"), F.explode(F.filter(first, lambda w: F.length(w) >= 3)).alias("term"))
 
 
-def _index(spark: SparkSession, sf_dir: str, text: str = "text") -> tuple[DataFrame, Column]:
-    """The postings that the queries ask for, and the statistics of the collection."""
+def _search(spark: SparkSession, sf_dir: str, text: str = "text", must: tuple[str, ...] = (), **how: object) -> DataFrame:
+    """Searches (``searches``) of all queries over all documents."""
     docs = table(spark, sf_dir, "documents").filter("text is not null").withColumn("head", F.split("text", "\n", 2)[0])
-    return op.asked_postings(docs, "doc_id", _words(text), _asked(spark, sf_dir))
+    asked = _asked(spark, sf_dir)
+    if must:
+        asked = asked.join(docs.select(F.col("doc_id").alias("query"), *must), "query")
+    return op.searches(op.tokenised(docs, "doc_id", _words(text), must), asked, must=must, **how)
 
 
-def _search(spark: SparkSession, sf_dir: str, text: str = "text", **how: object) -> DataFrame:
-    post, collection = _index(spark, sf_dir, text)
-    return op.bm25(post, _asked(spark, sf_dir), collection=collection, **how)
+#: k1 and b of the two searches that are compared.
+_BOTH = ((1.5, 0.75), (1.5, 0.2))
 
 
 _STATS = "st AS (SELECT count(*) AS n, avg(l) AS m FROM (SELECT max(doc_len) AS l FROM po GROUP BY doc)), df AS (SELECT term, ln(1 + ((SELECT n FROM st) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM po GROUP BY 1), a AS (SELECT query, term, count(*) AS qtf FROM qu GROUP BY 1, 2)"
@@ -66,12 +68,12 @@ _RENUMBERED = "SELECT query, doc, score, CAST(row_number() OVER (PARTITION BY qu
 @_R.add("t02_bm25", _bm25_sql(10))
 def t02(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BM25 over all documents, ten best a query (T01-T04). Scores are rounded before they are ranked, so that the order of sums decides no tie."""
-    return _search(spark, sf_dir)
+    return op.best_of(_search(spark, sf_dir))
 
 
 @_R.add("t02_bm25_best_scores", _bm25_sql(1, "SELECT query, round(max(score), 6) AS best FROM s GROUP BY 1"))
 def t02b(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = _search(spark, sf_dir, k=1)
+    best = op.best_of(_search(spark, sf_dir, k=1))
     return best.select("query", F.round("score", 6).alias("best"))
 
 
@@ -86,7 +88,7 @@ SELECT * FROM ({_RENUMBERED} u) WHERE rank <= 10""",
 )
 def t05(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole text and, at double weight, first lines."""
-    return op.combined_search([(_search(spark, sf_dir, k=50), 1.0), (_search(spark, sf_dir, "head", k=50), 2.0)], 10)
+    return op.combined_search([(op.best_of(_search(spark, sf_dir, k=50)), 1.0), (op.best_of(_search(spark, sf_dir, "head", k=50)), 2.0)], 10)
 
 
 @_R.add(
@@ -95,7 +97,7 @@ def t05(spark: SparkSession, sf_dir: str) -> DataFrame:
 u AS (SELECT s.query, s.doc, s.score * CAST(0.7 AS DOUBLE) + coalesce(z.score, 0) * CAST(1.2 AS DOUBLE) AS score FROM s_r s LEFT JOIN z_r z ON s.query = z.query AND s.doc = z.doc AND z.rank <= 50 WHERE s.rank <= 50) {_RENUMBERED} u""",
 )
 def t06(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.rescored(_search(spark, sf_dir, k=50), _search(spark, sf_dir, b=0.2, k=50))
+    return op.rescored(op.both_ways(_search(spark, sf_dir, ways=_BOTH, ranked=2, k=50)))
 
 
 @_R.add(
@@ -105,7 +107,7 @@ r AS (SELECT coalesce(x.query, y.query) AS query, coalesce(x.doc, y.doc) AS doc,
 u AS (SELECT query, doc, round(raw / max(raw) OVER (PARTITION BY query), 9) AS score FROM r) {_RENUMBERED} u""",
 )
 def t07(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.fused(_search(spark, sf_dir, k=20), _search(spark, sf_dir, b=0.2, k=20))
+    return op.fused(op.both_ways(_search(spark, sf_dir, ways=_BOTH, ranked=2, k=20)))
 
 
 _EXTERNAL_SQL = "SELECT term, round(ln(1 + 220.0 / count(*)), 9) AS idf FROM (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS term FROM eval_items) GROUP BY 1"
@@ -116,7 +118,7 @@ def t03(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BM25 with the idf of another collection; terms that it lacks do not count."""
     other = table(spark, sf_dir, "eval_items").select("item_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("term")).distinct()
     idf = other.groupBy("term").agg(F.round(F.log(1 + F.lit(220.0) / F.count("*")), 9).alias("idf"))
-    return _search(spark, sf_dir, idf=idf)
+    return op.best_of(_search(spark, sf_dir, idf=idf))
 
 
 @_R.add(
@@ -127,16 +129,13 @@ SELECT * FROM ({_RENUMBERED} f) WHERE rank <= 10""",
 )
 def t04(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of the query's repository and language that have two of its terms or more."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "repo", "lang")
-    asked, (post, collection) = _asked(spark, sf_dir), _index(spark, sf_dir)
-    return op.filtered_bm25(post, docs, asked.join(docs.withColumnRenamed("doc", "query"), "query"), ["repo", "lang"], 2, collection=collection)
+    return op.best_of(_search(spark, sf_dir, must=("repo", "lang"), least_should=2))
 
 
 @_R.add("t32_reranked", f"WITH {_POST}, {_ASKED}, {_STATS}, {_scores_sql('s')}, {_scores_sql('z', 0.2)}, u AS (SELECT z.* FROM z JOIN s_r ON z.query = s_r.query AND z.doc = s_r.doc WHERE s_r.rank <= 20) SELECT * FROM ({_RENUMBERED} u) WHERE rank <= 10")
 def t32(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 20 of one search in the order of another."""
-    post, collection = _index(spark, sf_dir)
-    return op.reranked(_search(spark, sf_dir, k=20), op.bm25_scores(post, _asked(spark, sf_dir), b=0.2, collection=collection), 10)
+    return op.reranked(_search(spark, sf_dir, ways=_BOTH, k=20), 10)
 
 
 def _term_ranks(spark: SparkSession, sf_dir: str, window: int, biased: bool) -> DataFrame:
