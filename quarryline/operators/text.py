@@ -59,6 +59,8 @@ def postings(docs: DataFrame, doc: str, tokens: Column, scope: Sequence[str] = (
 
 #: Documents that are searched in one task.
 CELL = 16_384
+#: Terms of any length are read back, or the job fails.
+_AS_WRITTEN = {"mode": "FAILFAST", "maxStringLen": str(2**31 - 1)}
 #: Counted among a document's terms for the document itself.
 ITSELF = "\0"
 
@@ -66,7 +68,7 @@ ITSELF = "\0"
 class Collection:
     """The searched documents, dealt into cells by hash, and what BM25 asks of them as a whole.
 
-    ``rows`` holds doc and x, an array of the document's key (an array of one, null if no filtered search may find it) and its terms with repeats;
+    ``rows`` holds doc and x (see ``_held``), the document's key (null if no filtered search may find it) and its terms with repeats;
     ``doc_len`` is its length. Rows of one document are one document; documents without a term are none.
     As x is one column, all that reads the cells reads the same columns, so that they are made once."""
 
@@ -74,8 +76,8 @@ class Collection:
         n = rows.agg(F.approx_count_distinct("doc").alias("n")).scalar()
         self.cells = F.greatest(F.ceil(n / CELL), F.lit(1)).cast("int")
         dealt = rows.withColumn("cell", F.pmod(F.xxhash64("doc"), self.cells).cast("int")).repartition("cell")
-        key, terms = F.get(F.get("x", F.lit(0)), F.lit(0)), F.get("x", F.lit(1))
-        docs = dealt.groupBy("cell", "doc").agg(F.max(F.size(terms) if doc_len is None else doc_len).alias("doc_len"), F.flatten(F.collect_list(terms)).alias("terms"), F.max(key).alias("key"))
+        dealt = dealt.select("cell", "doc", *([] if doc_len is None else [doc_len.alias("doc_len")]), F.get("x", F.lit(0)).alias("key"), F.from_json(F.get("x", F.lit(1)), "array<string>", _AS_WRITTEN).alias("terms"))
+        docs = dealt.groupBy("cell", "doc").agg(F.max(F.size("terms") if doc_len is None else F.col("doc_len")).alias("doc_len"), F.flatten(F.collect_list("terms")).alias("terms"), F.max("key").alias("key"))
         self.docs = docs.filter("doc_len > 0")
         each = self.docs.select("doc_len", F.explode(F.concat(F.array_distinct("terms"), F.array(F.lit(ITSELF)))).alias("term")).withColumn("term", F.coalesce("term", F.lit("")))
         self.terms = each.groupBy("term").agg(F.count("*").alias("df"), F.sum("doc_len").alias("len"))
@@ -90,12 +92,17 @@ class Collection:
 
 def tokenised(docs: DataFrame, doc: str, tokens: Column, must: Sequence[str] = ()) -> Collection:
     """The collection of documents with the terms ``tokens``; ``must`` are the keys by which searches are filtered."""
-    return Collection(docs.select(F.col(doc).alias("doc"), F.array(F.array(_key(must)), tokens).alias("x")))
+    return Collection(docs.select(F.col(doc).alias("doc"), _held(_key(must), tokens)))
 
 
 def posted(post: DataFrame) -> Collection:
     """The collection whose postings are ``post`` (doc, term, tf, doc_len)."""
-    return Collection(post.select("doc", "doc_len", F.array(F.array(_key(())), F.array_repeat("term", F.col("tf").cast("int"))).alias("x")), F.col("doc_len"))
+    return Collection(post.select("doc", "doc_len", _held(_key(()), F.array_repeat("term", F.col("tf").cast("int")))), F.col("doc_len"))
+
+
+def _held(key: Column, terms: Column) -> Column:
+    """x: the key and the terms as JSON, which takes less than half of an array's place in a shuffle."""
+    return F.array(key, F.to_json(terms)).alias("x")
 
 
 def _key(must: Sequence[str]) -> Column:

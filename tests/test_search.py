@@ -95,3 +95,38 @@ def test_cells_equal_brute_force(monkeypatch, k, least, rare):
             mine = [(-r[f"score_{way}"], r["doc"]) for r in got if r["way"] == way and r["query"] == q]
             assert [d for _, d in mine] == [d for _, d in sorted(scored)[:k]]
             assert np.allclose([s for s, _ in mine], [s for s, _ in sorted(scored)[:k]], atol=2e-9)
+
+
+def written(plan) -> int:
+    """Bytes of the rows that the exchanges of an executed plan have written, before they are compressed."""
+    name, n = plan.getClass().getSimpleName(), 0
+    if name == "AdaptiveSparkPlanExec":
+        return written(plan.executedPlan())
+    if name.endswith("QueryStageExec"):
+        return written(plan.plan())
+    if name == "ShuffleExchangeExec":
+        n = plan.metrics().apply("dataSize").value()
+    children = plan.children()
+    return n + sum(written(children.apply(i)) for i in range(children.size()))
+
+
+def test_dealt_terms_take_little_more_than_their_letters(spark):
+    from pyspark.sql import functions as F
+
+    from quarryline.operators import text
+
+    docs = spark.range(200).select("id", F.transform(F.sequence(F.lit(1), F.lit(300)), lambda i: F.format_string("w%05d", (F.col("id") * 300 + i).cast("int"))).alias("t"))
+    dealt = text.tokenised(docs, "id", F.col("t")).docs.select("doc", "terms")
+    assert sum(len(r["terms"]) for r in dealt.collect()) == 60_000
+    assert written(dealt._jdf.queryExecution().executedPlan()) < 60_000 * 10
+
+
+def test_dealt_terms_come_back_as_they_were(spark):
+    from pyspark.sql import functions as F
+
+    from quarryline.operators import text
+
+    odd = {1: ['"', "\\", "", "[a, b]", "é\n \0", "😀", None, "a", "a"], 2: ["null", "x" * 3000], 3: [], 4: [None]}
+    got = text.tokenised(spark.createDataFrame(list(odd.items()), "d int, t array<string>"), "d", F.col("t")).docs.collect()
+    assert {r["doc"]: r["terms"] for r in got} == {d: t for d, t in odd.items() if t}
+    assert all(r["doc_len"] == len(odd[r["doc"]]) for r in got)
