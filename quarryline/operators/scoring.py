@@ -84,9 +84,9 @@ class Cell:
         at = at[there]
         return list(zip(self.slot_first[at].tolist(), self.slot_first[at + 1].tolist(), weights[there].tolist(), strict=True))
 
-    def best(self, query: int, ranked: int, k: int, least: int) -> list[tuple[np.ndarray, list[np.ndarray]]]:
+    def best(self, query: int, ranked: int, k: int, least: int) -> list[tuple[np.ndarray, dict[int, np.ndarray]]]:
         """Of each of the first ``ranked`` ways the positions of the k documents with the greatest rounded scores above zero,
-        greatest first and equal ones in order of document, and their scores by all ways."""
+        greatest first and equal ones in order of document, and their scores by this way and by those that rank nothing."""
         key, span = int(self.query_key[query]), slice(self.query_begin[query], self.query_begin[query + 1])
         terms, weights = self.query_terms[span], self.query_weights[span]
         a, b = int(self.begin[key]), int(self.begin[key + 1])
@@ -111,27 +111,28 @@ class Cell:
             at = np.flatnonzero(scores > max(least_of_best(scores, k), 0.0) - slack * self.most[i])
             if few is None:
                 at = at[scores[at] != 0]
-            out.append(self._ordered(at + a, i, k))
+            out.append(self._ordered(at + a, i, k, (i, *range(ranked, len(self.parts)))))
         self.weights[terms] = 0
         return out
 
-    def _ordered(self, docs: np.ndarray, way: int, k: int) -> tuple[np.ndarray, list[np.ndarray]]:
-        """The k best of the documents and their full scores."""
+    def _ordered(self, docs: np.ndarray, way: int, k: int, by: Sequence[int]) -> tuple[np.ndarray, dict[int, np.ndarray]]:
+        """The k best of the documents and their full scores by some ways."""
         n = self.first[docs + 1] - self.first[docs]
         docs, n = docs[n > 0], n[n > 0]
         if not len(docs):
-            return docs, [np.empty(0) for _ in self.parts]
+            return docs, {i: np.empty(0) for i in by}
         begin = np.cumsum(n) - n
         at = np.arange(n.sum()) + np.repeat(self.first[docs] - begin, n)
         weights = self.weights[self.terms[at]]
-        scores = [np.round(np.add.reduceat(weights * p[at], begin), DIGITS) for p in self.parts]
+        scores = {i: np.round(np.add.reduceat(weights * self.parts[i][at], begin), DIGITS) for i in by}
         order = np.lexsort((docs, -scores[way]))
         order = order[scores[way][order] > 0][:k]
-        return docs[order], [s[order] for s in scores]
+        return docs[order], {i: s[order] for i, s in scores.items()}
 
 
 def cell_search(ways: Sequence[tuple[float, float]], ranked: int, k: int, least: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     """way, query, doc and the score of each of ``ways`` (k1, b): the k best of each query by each of the first ``ranked`` ways.
+    Scores by another way that ranks are null: only what it finds itself counts there.
 
     Of documents (doc, doc_len, terms, key) and queries (query, terms, weights, key, mean)."""
 
@@ -146,10 +147,10 @@ def cell_search(ways: Sequence[tuple[float, float]], ranked: int, k: int, least:
                     way.append(np.full(len(at), i, np.int32))
                     queries.append(np.full(len(at), q))
                     places.append(at)
-                    for all_, s in zip(scores, found, strict=True):
-                        all_.append(s)
+                    for j, all_ in enumerate(scores):
+                        all_.append(found[j] if j in found else np.full(len(at), np.nan))
         flat = lambda x, kind: np.concatenate(x) if x else np.empty(0, kind)
-        columns = [pa.array(flat(way, np.int32)), asked["query"].take(pa.array(flat(queries, np.int64))), taken.take(pa.array(flat(places, np.int64))), *[pa.array(flat(s, float)) for s in scores]]
+        columns = [pa.array(flat(way, np.int32)), asked["query"].take(pa.array(flat(queries, np.int64))), taken.take(pa.array(flat(places, np.int64))), *[pa.array(flat(s, float), from_pandas=True) for s in scores]]
         return pa.table(columns, ["way", "query", "doc", *[f"score_{i}" for i in range(len(ways))]])
 
     return run

@@ -116,7 +116,7 @@ def _key(must: Sequence[str]) -> Column:
 def searches(docs: Collection, queries: DataFrame, ways: Sequence[tuple[float, float]] = ((1.5, 0.75),), ranked: int = 1, k: int = 10, idf: DataFrame | None = None, must: Sequence[str] = (), least_should: int = 1) -> DataFrame:
     """way, query, doc, rank, score_0, score_1 ...: the k best documents of each query with a positive BM25 score, by each of the first ``ranked`` ways.
 
-    A way is (k1, b); every row has its scores by all ways. ``queries`` holds (query, term) and the columns ``must``, in which the documents have to agree; a term asked
+    A way is (k1, b); a row has its scores by the way that ranks it and by those that rank nothing, others are null. ``queries`` holds (query, term) and the columns ``must``, in which the documents have to agree; a term asked
     twice counts twice. Documents have ``least_should`` terms of the query at least. ``idf`` (term, idf) replaces the collection's own; terms that it lacks add nothing.
     Every cell of documents meets all queries and hands on its best ones, which decide among each other; pairs are not shuffled.
     """
@@ -130,8 +130,10 @@ def searches(docs: Collection, queries: DataFrame, ways: Sequence[tuple[float, f
     kinds = dict(queries.dtypes)["query"], dict(docs.docs.dtypes)["doc"]
     schema = f"way int, query {kinds[0]}, doc {kinds[1]}, " + ", ".join(f"score_{i} double" for i in range(len(ways)))
     found = docs.docs.groupBy("cell").cogroup(everywhere.groupBy("cell")).applyInArrow(cell_search(ways, ranked, k, least_should), schema)
-    score = F.coalesce(*[F.when(F.col("way") == i, F.col(f"score_{i}")) for i in range(ranked)])
-    return top_k(found, ["way", "query"], [F.desc(score), F.col("doc")], k)
+    # The ways that rank share a column in the shuffle.
+    own, others = F.coalesce(*[F.col(f"score_{i}") for i in range(ranked)]), [f"score_{i}" for i in range(ranked, len(ways))]
+    best = top_k(found.select("way", "query", "doc", own.alias("score"), *others), ["way", "query"], [F.desc("score"), F.col("doc")], k)
+    return best.select("way", "query", "doc", "rank", *[F.when(F.col("way") == i, F.col("score")).alias(f"score_{i}") for i in range(ranked)], *others)
 
 
 def bm25(post: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75, k: int = 10, idf: DataFrame | None = None) -> DataFrame:

@@ -130,3 +130,33 @@ def test_dealt_terms_come_back_as_they_were(spark):
     got = text.tokenised(spark.createDataFrame(list(odd.items()), "d int, t array<string>"), "d", F.col("t")).docs.collect()
     assert {r["doc"]: r["terms"] for r in got} == {d: t for d, t in odd.items() if t}
     assert all(r["doc_len"] == len(odd[r["doc"]]) for r in got)
+
+
+@pytest.mark.parametrize("k", [20, 50])
+def test_pairs_carry_the_score_of_their_way_alone(spark, k):
+    """t06_rescored and t07_fused shuffle one score a pair."""
+    from pyspark.sql import functions as F
+
+    from quarryline.operators import text
+
+    docs = spark.range(400).select("id", F.array(F.lit("a"), F.format_string("b%d", F.col("id") % 3), *[F.lit("c")] * 4).alias("t"), (F.col("id") % 7).cast("int").alias("n"))
+    held = text.tokenised(docs.select("id", F.concat("t", F.array_repeat(F.lit("d"), F.col("n"))).alias("t")), "id", F.col("t"))
+    queries = spark.range(30).select(F.col("id").alias("query"), F.explode(F.array(F.lit("a"), F.format_string("b%d", F.col("id") % 3))).alias("term"))
+    found = text.searches(held, queries, ways=[(1.5, 0.75), (1.5, 0.2)], ranked=2, k=k)
+    rows = found.collect()
+    assert len(rows) == 2 * 30 * k
+    assert all(r[f"score_{r['way']}"] > 0 and r[f"score_{1 - r['way']}"] is None for r in rows)
+    assert 32 <= largest_rows(found._jdf.queryExecution().executedPlan(), 2 * 30 * k) <= 40  # way, query, doc, score and the bits of nulls
+
+
+def largest_rows(plan, n) -> float:
+    """Bytes a row of the last exchange of an executed plan that wrote at least n rows."""
+    name = plan.getClass().getSimpleName()
+    if name == "AdaptiveSparkPlanExec":
+        return largest_rows(plan.executedPlan(), n)
+    if name.endswith("QueryStageExec"):
+        return largest_rows(plan.plan(), n)
+    if name == "ShuffleExchangeExec" and (m := plan.metrics()).apply("shuffleRecordsWritten").value() >= n:
+        return m.apply("dataSize").value() / m.apply("shuffleRecordsWritten").value()
+    children = plan.children()
+    return max((largest_rows(children.apply(i), n) for i in range(children.size())), default=0)
