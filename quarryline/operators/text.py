@@ -136,6 +136,23 @@ def searches(docs: Collection, queries: DataFrame, ways: Sequence[tuple[float, f
     return best.select("way", "query", "doc", "rank", *[F.when(F.col("way") == i, F.col("score")).alias(f"score_{i}") for i in range(ranked)], *others)
 
 
+def alike(queries: DataFrame) -> DataFrame:
+    """query, of, t: the terms of each query with repeats, and the least query that asks the same. A null query is none."""
+    asks = queries.filter("query is not null").groupBy("query").agg(F.array_sort(F.collect_list("term")).alias("t"))
+    return asks.withColumn("of", F.min("query").over(Window.partitionBy("t")))
+
+
+def once(same: DataFrame) -> DataFrame:
+    """query, term: of queries that ask the same (see ``alike``) the least one."""
+    return same.filter("query = of").select("query", F.explode("t").alias("term"))
+
+
+def for_all(found: DataFrame, same: DataFrame) -> DataFrame:
+    """What was found for the least of the queries that ask the same, for each of them."""
+    rows = found.withColumnRenamed("query", "of").join(same.select("query", "of"), "of")
+    return rows.select(*found.columns)
+
+
 def bm25(post: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75, k: int = 10, idf: DataFrame | None = None) -> DataFrame:
     """query, doc, score, rank: the k best documents of each query with a positive score. ``post`` holds (doc, term, tf, doc_len); see ``searches``."""
     return best_of(searches(posted(post), queries, [(k1, b)], k=k, idf=idf))

@@ -36,10 +36,10 @@ def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(F.col("doc_id").alias("query"), F.explode(F.filter(first, lambda w: F.length(w) >= 3)).alias("term"))
 
 
-def _search(spark: SparkSession, sf_dir: str, text: str = "text", must: tuple[str, ...] = (), **how: object) -> DataFrame:
-    """Searches (``searches``) of all queries over all documents."""
+def _search(spark: SparkSession, sf_dir: str, text: str = "text", must: tuple[str, ...] = (), asked: DataFrame | None = None, **how: object) -> DataFrame:
+    """Searches (``searches``) of all queries, or of ``asked``, over all documents."""
     docs = table(spark, sf_dir, "documents").filter("text is not null").withColumn("head", F.split("text", "\n", 2)[0])
-    asked = _asked(spark, sf_dir)
+    asked = _asked(spark, sf_dir) if asked is None else asked
     if must:
         asked = asked.join(docs.select(F.col("doc_id").alias("query"), *must), "query")
     return op.searches(op.tokenised(docs, "doc_id", _words(text), must), asked, must=must, **how)
@@ -107,7 +107,9 @@ r AS (SELECT coalesce(x.query, y.query) AS query, coalesce(x.doc, y.doc) AS doc,
 u AS (SELECT query, doc, round(raw / max(raw) OVER (PARTITION BY query), 9) AS score FROM r) {_RENUMBERED} u""",
 )
 def t07(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.fused(op.both_ways(_search(spark, sf_dir, ways=_BOTH, ranked=2, k=20)))
+    """Two searches fused (T07); queries that ask the same are searched once."""
+    same = op.alike(_asked(spark, sf_dir))
+    return op.for_all(op.fused(op.both_ways(_search(spark, sf_dir, asked=op.once(same), ways=_BOTH, ranked=2, k=20))), same)
 
 
 _EXTERNAL_SQL = "SELECT term, round(ln(1 + 220.0 / count(*)), 9) AS idf FROM (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS term FROM eval_items) GROUP BY 1"

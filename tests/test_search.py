@@ -160,3 +160,20 @@ def largest_rows(plan, n) -> float:
         return m.apply("dataSize").value() / m.apply("shuffleRecordsWritten").value()
     children = plan.children()
     return max((largest_rows(children.apply(i), n) for i in range(children.size())), default=0)
+
+
+def test_fused_queries_that_ask_the_same_are_searched_once(spark, tmp_path):
+    """2,000 of the 3,000 documents are queries that ask one of three things, twice the same word in one of them."""
+    duck, n = duckdb.connect(), 2000
+    heads = "['anchor ramil', 'ramil anchor', 'anchor luman', 'anchor anchor luman']"
+    duck.execute(f"CREATE TABLE documents AS SELECT CASE WHEN i < {n} THEN 100 * i ELSE i + 1 END AS doc_id, CASE WHEN i < {n} THEN {heads}[1 + i % 4] || ' of 12' ELSE 'anchor of luman' END || chr(10) || repeat('toran ', CAST(i * 7 % 11 AS INTEGER)) AS text FROM range(3000) t(i) WHERE i < {n} OR (i + 1) % 100 <> 0")
+    duck.execute(f"COPY documents TO '{tmp_path}/documents.parquet'")
+    df = plans.QUERIES["t07_fused"](spark, str(tmp_path))
+    rows = sorted(tuple(r) for r in df.collect())
+    cur = duck.execute(plans.SQL["t07_fused"])
+    names = [d[0] for d in cur.description]
+    whole = sorted(tuple(r[names.index(c)] for c in df.columns) for r in cur.fetchall())
+    assert len(rows) == len(whole) >= 20 * n
+    for r, w in zip(rows, whole, strict=True):
+        assert r == pytest.approx(w, abs=2e-9)
+    assert shuffled(df._jdf.queryExecution().executedPlan()) < len(whole)
